@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
+from .packing import op6_packing
 from .sharding import op7_sharding
+from .token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op7_sharding)}
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op6_packing, op7_sharding, op9_token_files)}
 ORACLES: dict[str, str] = {}
