@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op5_byte_bpe
 from .fingerprints import op3_fingerprints
+from .language_id import op10_language_id
 from .packing import op6_packing
 from .sharding import op7_sharding
 from .token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op6_packing, op7_sharding, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op5_byte_bpe, op6_packing, op7_sharding, op9_token_files, op10_language_id)}
 ORACLES: dict[str, str] = {}
