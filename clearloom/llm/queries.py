@@ -7,10 +7,11 @@ from .fingerprints import op3_fingerprints
 from .language_id import op10_language_id
 from .language_model import op1_language_model
 from .neighbours import op8_neighbours
+from .ngram_join import op2_ngram_join
 from .packing import op6_packing
 from .sharding import op7_sharding
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op3_fingerprints, op4_suffix_dedup, op5_byte_bpe, op6_packing, op7_sharding, op8_neighbours, op9_token_files, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_byte_bpe, op6_packing, op7_sharding, op8_neighbours, op9_token_files, op10_language_id)}
 ORACLES: dict[str, str] = {}

@@ -275,14 +275,14 @@ def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     return clean.withColumns({"t": F.xxhash64("__text"), "size": F.octet_length("__text").cast("int")})
 
 
-def cut(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, removed (begin and end of each removed stretch, flat) and kept (the remaining bytes)."""
+def cut(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, removed (begin and end of each removed stretch, flat) and kept (the remaining bytes; as_text: as a string, without characters that were cut in two)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept", "__text")
     rows = keyed(docs, text)
     found = repeats(rows.filter(F.col("size") >= LENGTH).select("t", "size", F.col("__text").alias("text")))
     names = docs.columns
     joined = rows.join(found, ["t", "size"], "left").select(*names, F.col("__text"), "spans")
-    schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "removed": F.array(F.lit(0).cast("long")), "kept": F.lit(b"")}).schema
+    schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "removed": F.array(F.lit(0).cast("long")), "kept": F.lit("" if as_text else b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,8 +295,9 @@ def cut(docs: DataFrame, text: str = "text") -> DataFrame:
                 gone.append(int((b - a).sum()))
                 n.append(len(a))
                 where.append(edges[1:-1])
-                kept.append(b"".join([raw[i:j] for i, j in zip(edges[::2], edges[1::2])]))
-            cols = [pa.array(x, t) for x, t in zip((size, gone, n, where, kept), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
+                rest = b"".join([raw[i:j] for i, j in zip(edges[::2], edges[1::2])])
+                kept.append(rest.decode(errors="ignore") if as_text else rest)
+            cols = [pa.array(x, t) for x, t in zip((size, gone, n, where, kept), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*names, "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
     return joined.mapInArrow(run, schema)
