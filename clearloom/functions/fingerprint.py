@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import joined_windows, words
+from .text import joined_windows, let, words
 
 
 def sha256_prefixed(content: Column) -> Column:
@@ -47,8 +47,8 @@ def simhash_similarity(a: Column, b: Column) -> Column:
 
 def privacy_signature(text: Column, salt: str = "cross-org-v1", most: int = 64) -> Column:
     """Sorted distinct salted hashes of the first word 3-shingles; fewer than three words are one shingle."""
-    w = words(text)
-    shingles = F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(F.slice(joined_windows(w, 3), 1, most))
+    first = lambda w: F.when(F.size(w) < 3, F.array(F.array_join(w, " "))).otherwise(joined_windows(F.slice(w, 1, most + 2), 3))
+    shingles = let(words(text), first)
     return F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.substring(F.sha2(F.concat(s, F.lit(salt)).cast("binary"), 256), 1, 16))))
 
 

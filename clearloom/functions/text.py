@@ -20,9 +20,15 @@ def split_ws(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once: inside lambdas an expression would be worked out for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def windows(tokens: Column, n: int) -> Column:
     """All n-token windows; none if there are fewer tokens."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    every = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    return let(tokens, every)
 
 
 def joined_windows(tokens: Column, n: int) -> Column:
@@ -31,16 +37,19 @@ def joined_windows(tokens: Column, n: int) -> Column:
 
 def chunks(text: Column, size: int = 256, overlap: int = 50) -> Column:
     """Overlapping chunks as structs (chunk_idx, start_token, end_token, chunk_text). A text of at most `size` tokens is one chunk as it stands; an empty one has none."""
-    tokens, step = split_ws(text), size - overlap
-    n = F.size(tokens)
-    count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - overlap) / step).cast("int"))
+    step, kind = size - overlap, "array<struct<chunk_idx:int,start_token:int,end_token:int,chunk_text:string>>"
+
+    def every(tokens: Column) -> Column:
+        n = F.size(tokens)
+        count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - overlap) / step).cast("int"))
+
+        def chunk(i: Column) -> Column:
+            body = F.when(n <= size, text).otherwise(F.array_join(F.slice(tokens, i * step + 1, F.lit(size)), " "))
+            return F.struct(i.alias("chunk_idx"), (i * step).alias("start_token"), F.least(i * step + size, n).alias("end_token"), body.alias("chunk_text"))
 
-    def chunk(i: Column) -> Column:
-        body = F.when(n <= size, text).otherwise(F.array_join(F.slice(tokens, i * step + 1, F.lit(size)), " "))
-        return F.struct(i.alias("chunk_idx"), (i * step).alias("start_token"), F.least(i * step + size, n).alias("end_token"), body.alias("chunk_text"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), chunk)).otherwise(F.array().cast(kind))
 
-    kind = "array<struct<chunk_idx:int,start_token:int,end_token:int,chunk_text:string>>"
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), chunk)).otherwise(F.array().cast(kind))
+    return let(split_ws(text), every)
 
 
 def license_class(text: Column) -> Column:

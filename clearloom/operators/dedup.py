@@ -27,8 +27,8 @@ def elect_leaders(rows: DataFrame, key: str, digest: str, simhash: str, most: in
 
     Equal rows follow their first; the others settle from the front: a row is decided once all its earlier neighbours are.
     """
-    firsts = rows.groupBy(digest).agg(F.min(key).alias("first"), F.min_by(simhash, key).alias("h"))
-    edges = near_pairs(firsts, "first", "h", most).select("a", "b").checkpoint()
+    firsts = rows.groupBy(digest).agg(F.min(key).alias("first"), F.min_by(simhash, key).alias("first_hash"))
+    edges = near_pairs(firsts, "first", "first_hash", most).select("a", "b").checkpoint()
     state = firsts.select(F.col("first").alias("k"), F.lit(None).cast("boolean").alias("lead")).checkpoint()
     for _ in range(rounds):
         before = edges.join(state.select(F.col("k").alias("a"), F.col("lead").alias("la")), "a").groupBy("b").agg(F.max("la").alias("any"), F.count_if(F.col("la").isNull()).alias("open"))

@@ -333,7 +333,7 @@ def dedup_leaders(spark, d):
     return dedup.elect_leaders(rows, "doc_id", "h", "simhash")
 
 
-@query(f"WITH {_ROUTED}, h AS (SELECT doc_id, sha256(text) AS h FROM documents), s AS (SELECT h, min(doc_id) AS first_id FROM h WHERE doc_id % 2 = 0 GROUP BY 1), p AS (SELECT s.h, status, matched FROM s JOIN routed ON first_id = doc_id WHERE status IN ('PASSED', 'BLOCKED')) SELECT doc_id AS asset_id, p.h IS NOT NULL AS is_duplicate, status, CASE WHEN status = 'BLOCKED' THEN matched END AS matched_source FROM h LEFT JOIN p USING (h) WHERE doc_id % 2 = 1")
+@query(f"WITH {_ROUTED}, hh AS (SELECT doc_id, sha256(text) AS hash FROM documents), st AS (SELECT hash, min(doc_id) AS first_id FROM hh WHERE doc_id % 2 = 0 GROUP BY 1), pp AS (SELECT st.hash, status, matched, true AS known FROM st JOIN routed ON first_id = doc_id WHERE status IN ('PASSED', 'BLOCKED')) SELECT doc_id AS asset_id, known IS NOT NULL AS is_duplicate, status, CASE WHEN status = 'BLOCKED' THEN matched END AS matched_source FROM hh LEFT JOIN pp USING (hash) WHERE doc_id % 2 = 1")
 def dedup_fast_path(spark, d):
     """Odd assets against the state that even ones left."""
     h = table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.sha2(F.col("text").cast("binary"), 256).alias("asset_hash"))
