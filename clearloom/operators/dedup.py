@@ -28,18 +28,18 @@ def elect_leaders(rows: DataFrame, key: str, digest: str, simhash: str, most: in
     Equal rows follow their first; the others settle from the front: a row is decided once all its earlier neighbours are.
     """
     firsts = rows.groupBy(digest).agg(F.min(key).alias("first"), F.min_by(simhash, key).alias("first_hash"))
-    edges = near_pairs(firsts, "first", "first_hash", most).select("a", "b").checkpoint()
-    state = firsts.select(F.col("first").alias("k"), F.lit(None).cast("boolean").alias("lead")).checkpoint()
+    edges = near_pairs(firsts, "first", "first_hash", most).select(F.col("a").alias("_a"), F.col("b").alias("_b")).checkpoint()
+    state = firsts.select(F.col("first").alias("_n"), F.lit(None).cast("boolean").alias("_lead")).checkpoint()
     for _ in range(rounds):
-        before = edges.join(state.select(F.col("k").alias("a"), F.col("lead").alias("la")), "a").groupBy("b").agg(F.max("la").alias("any"), F.count_if(F.col("la").isNull()).alias("open"))
-        told = state.join(before, state.k == F.col("b"), "left")
-        lead = F.when(F.col("lead").isNotNull(), F.col("lead")).when(F.col("any"), False).when(F.coalesce("open", F.lit(0)) == 0, True)
-        state = told.select("k", lead.alias("lead")).checkpoint()
-        if state.filter(F.col("lead").isNull()).isEmpty():
+        before = edges.join(state.select(F.col("_n").alias("_a"), F.col("_lead").alias("_la")), "_a").groupBy("_b").agg(F.max("_la").alias("_any"), F.count_if(F.col("_la").isNull()).alias("_open"))
+        told = state.join(before, F.col("_n") == F.col("_b"), "left")
+        lead = F.when(F.col("_lead").isNotNull(), F.col("_lead")).when(F.col("_any"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)
+        state = told.select("_n", lead.alias("_lead")).checkpoint()
+        if state.filter(F.col("_lead").isNull()).isEmpty():
             break
-    chosen = edges.join(state.filter("lead").select(F.col("k").alias("a")), "a").groupBy("b").agg(F.min("a").alias("near"))
-    heads = state.join(chosen, state.k == F.col("b"), "left").select("k", F.when(F.col("lead"), F.col("k")).otherwise(F.col("near")).alias("leader"))
-    return rows.join(firsts.select(digest, "first"), digest).join(heads, F.col("first") == F.col("k")).select(key, "leader")
+    chosen = edges.join(state.filter("_lead").select(F.col("_n").alias("_a")), "_a").groupBy("_b").agg(F.min("_a").alias("_near"))
+    heads = state.join(chosen, F.col("_n") == F.col("_b"), "left").select("_n", F.when(F.col("_lead"), F.col("_n")).otherwise(F.col("_near")).alias("leader"))
+    return rows.join(firsts.select(digest, "first"), digest).join(heads, F.col("first") == F.col("_n")).select(key, "leader")
 
 
 def fast_path(assets: DataFrame, state: DataFrame) -> DataFrame:

@@ -77,16 +77,18 @@ def canonical_json(**fields: Column) -> Column:
 
 
 class Signer:
-    """RSA-PSS (SHA-256, longest salt). Keys and driver-side signing are the JVM's; executors sign and verify by RFC 8017 with Python integers."""
+    """RSA-PSS (SHA-256, longest salt). Keys are made by the JVM; executors sign and verify by RFC 8017 with Python integers."""
 
-    def __init__(self, spark: SparkSession, private=None, public=None, bits: int = 2048, issuer: str = "clearloom"):
+    def __init__(self, spark: SparkSession, private: bytes | None = None, public: bytes | None = None, bits: int = 2048, issuer: str = "clearloom"):
+        """private, public: DER encodings (PKCS8, SubjectPublicKeyInfo); without them a new pair."""
         self.spark, self.issuer, self.bits = spark, issuer, bits
-        jvm = spark._jvm
         if public is None:
-            gen = jvm.java.security.KeyPairGenerator.getInstance("RSA")
+            jvm = spark._jvm
+            gen, factory = jvm.java.security.KeyPairGenerator.getInstance("RSA"), jvm.java.security.KeyFactory.getInstance("RSA")
             gen.initialize(bits)
-            pair = gen.generateKeyPair()
-            private, public = pair.getPrivate(), pair.getPublic()
+            pair, kind = gen.generateKeyPair(), lambda name: jvm.java.lang.Class.forName(f"java.security.spec.{name}EncodedKeySpec")
+            private = bytes(factory.getKeySpec(pair.getPrivate(), kind("PKCS8")).getEncoded())
+            public = bytes(factory.getKeySpec(pair.getPublic(), kind("X509")).getEncoded())
         self.private, self.public = private, public
 
     @staticmethod
@@ -96,26 +98,22 @@ class Signer:
         return f"-----BEGIN {name}-----\n{body}\n-----END {name}-----\n"
 
     def public_pem(self) -> str:
-        return self._pem(bytes(self.public.getEncoded()), "PUBLIC KEY")
+        return self._pem(self.public, "PUBLIC KEY")
 
     def private_pem(self) -> str:
-        return self._pem(bytes(self.private.getEncoded()), "PRIVATE KEY")
+        return self._pem(self.private, "PRIVATE KEY")
 
     @classmethod
     def from_pem(cls, spark: SparkSession, public: str, private: str | None = None) -> "Signer":
-        der = lambda pem: bytearray(base64.b64decode("".join(x for x in pem.splitlines() if not x.startswith("-----"))))
-        jvm = spark._jvm
-        factory = jvm.java.security.KeyFactory.getInstance("RSA")
-        pub = factory.generatePublic(jvm.java.security.spec.X509EncodedKeySpec(der(public)))
-        key = factory.generatePrivate(jvm.java.security.spec.PKCS8EncodedKeySpec(der(private))) if private else None
-        return cls(spark, key, pub)
+        der = lambda pem: base64.b64decode("".join(x for x in pem.splitlines() if not x.startswith("-----")))
+        return cls(spark, der(private) if private else None, der(public))
 
     def fingerprint(self) -> str:
-        return hashlib.sha256(bytes(self.public.getEncoded())).hexdigest()
+        return hashlib.sha256(self.public).hexdigest()
 
     def numbers(self) -> tuple[int, int, int | None]:
-        n, e = int(self.public.getModulus().toString()), int(self.public.getPublicExponent().toString())
-        return n, e, int(self.private.getPrivateExponent().toString()) if self.private is not None else None
+        n, e = _integers(self.public)[:2]
+        return n, e, _integers(self.private)[2] if self.private is not None else None
 
     def sign(self, df: DataFrame, message: str, out: str = "signature_b64") -> DataFrame:
         n, _, d = self.numbers()
@@ -136,6 +134,24 @@ class Signer:
         return df.withColumn(out, run(message, signature))
 
 
+def _integers(der: bytes) -> list[int]:
+    """The key's numbers (modulus, exponents, ...) of a DER-encoded RSA key: the integers of the innermost sequence, without version numbers."""
+
+    def items(raw: bytes):
+        at = 0
+        while at < len(raw):
+            tag, size, at = raw[at], raw[at + 1], at + 2
+            if size & 0x80:
+                size, at = int.from_bytes(raw[at : at + (size & 0x7F)], "big"), at + (size & 0x7F)
+            yield tag, raw[at : at + size]
+            at += size
+
+    (_, body), = items(der)
+    inner = [(t, v) for t, v in items(body) if t in (3, 4)][0]
+    (_, numbers), = items(inner[1][1:] if inner[0] == 3 else inner[1])
+    return [x for x in (int.from_bytes(v, "big") for t, v in items(numbers) if t == 2) if x]
+
+
 def _mask(seed: bytes, n: int) -> bytes:
     return b"".join(hashlib.sha256(seed + i.to_bytes(4, "big")).digest() for i in range(-(-n // 32)))[:n]
 

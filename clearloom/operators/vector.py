@@ -18,8 +18,8 @@ def top_k(index: DataFrame, queries: DataFrame, key: str, qkey: str, col: str, k
     """qkey, key, score, rank. Queries (a stated set) meet all rows in blocks: each block keeps its own k best for a query, and only these are merged."""
     rows = index.select(F.col(key), F.col(col))
     blocks = max(1, -(-rows.count() // block))
-    qs = queries.select(F.col(qkey), F.col(col).alias("q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    qs = queries.select(F.col(qkey), F.col(col).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
 
     def unit(s: pd.Series) -> np.ndarray:
         m = np.stack(s.to_numpy()).astype(np.float64)
@@ -30,12 +30,12 @@ def top_k(index: DataFrame, queries: DataFrame, key: str, qkey: str, col: str, k
         if not len(a) or not len(b):
             return pd.DataFrame({qkey: [], key: [], "score": []})
         b = b.sort_values(key)
-        s = unit(a["q"]) @ unit(b[col]).T
+        s = unit(a["_q"]) @ unit(b[col]).T
         top = np.argsort(-np.round(s, 12), 1, kind="stable")[:, :k]
         i = np.repeat(np.arange(len(a)), top.shape[1])
         return pd.DataFrame({qkey: a[qkey].to_numpy()[i], key: b[key].to_numpy()[top.ravel()], "score": s[i, top.ravel()]})
 
-    found = qs.groupBy("b").cogroup(rows.groupBy("b")).applyInPandas(run, f"{qkey} long, {key} long, score double")
+    found = qs.groupBy("_b").cogroup(rows.groupBy("_b")).applyInPandas(run, f"{qkey} long, {key} long, score double")
     w = Window.partitionBy(qkey).orderBy(F.desc(F.round("score", 10)), key)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
