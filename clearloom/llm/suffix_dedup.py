@@ -16,13 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
+from .common import membership, mix, only, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
 
 LENGTH = 400
-GRAM = 32
+GRAM = 160
 #: Most starts of a run; distinct runs of a key that one task sorts; bytes sorted at once.
 RUN, GROUP, BATCH = 256, 1500, 1 << 20
 RUNS = "t long, size int, h long, r long, p int, len int, own boolean"
@@ -240,25 +240,29 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(texts: DataFrame) -> DataFrame:
     """From t, size, text: t, size, spans (begin and end of the starts of repeated strings, flat; one row for each text that has any)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = texts.select("t", "size", "text").mapInArrow(found_runs, RUNS)
-    # Equal texts give equal rows: they are summed before they move.
-    runs = stage(runs.groupBy("t", "size", "h", "r", "p", "len", "own").agg(F.count("*").alias("n")), "repeats-runs")
-    distinct = runs.groupBy("h", "r").agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.min(F.struct("t", "size", "p", "len")).alias("at"))
-    keys = distinct.groupBy("h").agg(F.sum("n").alias("all"), F.max("own").alias("own"), F.count("*").alias("kinds")).filter((F.col("all") > 1) | F.col("own")).drop("own")
-    wanted = distinct.join(keys, "h").select("h", "r", "n", "at.t", "at.size", "at.p", "at.len", (F.col("kinds") > GROUP).alias("hot"))
+    texts = texts.select("t", "size", "text")
+    runs = stage(texts.mapInArrow(found_runs, RUNS), "repeats-runs")
+    # Equal runs are summed before they move.
+    distinct = runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("t", "size", "p", "len")).alias("at"))
+    key = Window.partitionBy("h")
+    counted = distinct.select("h", "r", "n", "at", F.sum("n").over(key).alias("all"), F.max("own").over(key).alias("own"), F.count("*").over(key).alias("kinds"))
+    counted = counted.filter((F.col("all") > 1) | F.col("own"))
+    wanted = stage(counted.select("h", "r", "n", "at.t", "at.size", "at.p", "at.len", (F.col("kinds") > GROUP).alias("hot")), "repeats-wanted")
     by_text = wanted.groupBy("t", "size").agg(F.collect_list(F.struct("h", "r", "n", "p", "len", "hot")).alias("runs"))
-    # Equal texts are one here: any of them holds the bytes.
-    one_each = texts.join(by_text, ["t", "size"]).select("t", "size", "text", "runs")
-    bytes_of = one_each.select("text", "runs").mapInArrow(fetched, "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
-    got = stage(bytes_of.dropDuplicates(["h", "r"]), "repeats-bytes")
-    cold = got.filter(F.col("bytes").isNotNull()).select("h", "r", "n", "len", "bytes").repartition(4 * parts, "h").sortWithinPartitions("h", "r")
+    # Only texts that may hold a wanted run move. Equal texts are one here: any of them holds the bytes.
+    some = only(texts, membership(wanted, "t"), "t", True).join(by_text, ["t", "size"]).dropDuplicates(["t", "size"])
+    bytes_of = some.select("text", "runs").mapInArrow(fetched, "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
+    cold = bytes_of.filter(F.col("bytes").isNotNull()).select("h", "r", "n", "len", "bytes").repartition(4 * parts, "h").sortWithinPartitions("h", "r")
     spans = cold.mapInArrow(sorted_groups, "h long, r long, spans array<int>")
-    starts = got.filter(F.col("bytes").isNull()).select("h", "r", "n", F.posexplode(F.arrays_zip("one", "two")).alias("i", "x")).select("h", "r", "n", "i", "x.one", "x.two")
-    many = starts.groupBy("one", "two").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("one", "two")
-    hot = starts.join(many, ["one", "two"], "left_semi").select("h", "r", F.array(F.col("i"), F.col("i") + 1).alias("spans"))
-    hot = hot.groupBy("h", "r").agg(F.flatten(F.array_sort(F.collect_list("spans"))).alias("spans"))  # at most RUN of them
-    found = runs.select("t", "size", "h", "r", "p").join(spans.unionByName(hot), ["h", "r"])
-    return found.groupBy("t", "size").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("p")))).alias("spans"))
+    if not wanted.filter("hot").isEmpty():
+        starts = bytes_of.filter(F.col("bytes").isNull()).select("h", "r", "n", F.posexplode(F.arrays_zip("one", "two")).alias("i", "x")).select("h", "r", "n", "i", "x.one", "x.two")
+        starts = stage(starts, "repeats-starts")
+        many = starts.groupBy("one", "two").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).select("one", "two")
+        hot = starts.join(many, ["one", "two"], "left_semi").select("h", "r", F.array(F.col("i"), F.col("i") + 1).alias("spans"))
+        spans = spans.unionByName(hot.groupBy("h", "r").agg(F.flatten(F.array_sort(F.collect_list("spans"))).alias("spans")))  # at most RUN of them
+    found = runs.select("t", "size", "h", "r", "p").join(stage(spans, "repeats-spans"), ["h", "r"])
+    found = found.groupBy("t", "size", "p").agg(F.any_value("spans").alias("spans"))  # equal texts say the same
+    return stage(found.groupBy("t", "size").agg(F.flatten(F.collect_list(F.transform("spans", lambda x: x + F.col("p")))).alias("spans")), "repeats-found")
 
 
 def covered(size: int, spans: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -271,17 +275,21 @@ def covered(size: int, spans: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    clean = docs.drop("t", "size", "spans").withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    return clean.withColumns({"t": F.xxhash64("__text"), "size": F.octet_length("__text").cast("int")})
+    """docs with __text (nulls empty), and __t and __size, which stand for it."""
+    clean = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    return clean.withColumns({"__t": F.xxhash64("__text"), "__size": F.octet_length("__text").cast("int")})
 
 
 def cut(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, removed (begin and end of each removed stretch, flat) and kept (the remaining bytes; as_text: as a string, without characters that were cut in two)."""
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept", "__text")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept")
     rows = keyed(docs, text)
-    found = repeats(rows.filter(F.col("size") >= LENGTH).select("t", "size", F.col("__text").alias("text")))
+    found = repeats(rows.filter(F.col("__size") >= LENGTH).select(F.col("__t").alias("t"), F.col("__size").alias("size"), F.col("__text").alias("text")))
+    found = found.select(F.col("t").alias("__t"), F.col("size").alias("__size"), F.col("spans").alias("__spans"))
     names = docs.columns
-    joined = rows.join(found, ["t", "size"], "left").select(*names, F.col("__text"), "spans")
+    rows, bits = rows.select(*names, "__text", "__t", "__size"), membership(found, "__t")
+    near = only(rows, bits, "__t", True).join(found, ["__t", "__size"], "left").select(*names, "__text", "__spans")
+    joined = near.unionByName(only(rows, bits, "__t", False).select(*names, "__text", F.lit(None).cast("array<int>").alias("__spans")))
     schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "removed": F.array(F.lit(0).cast("long")), "kept": F.lit("" if as_text else b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
