@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-#: Place of the r-th set bit of a byte.
-_NTH = np.zeros((256, 8), np.uint8)
-for _i in range(256):
-    for _r, _b in enumerate(b for b in range(8) if _i >> b & 1):
-        _NTH[_i, _r] = _b
+_ONE = np.uint64(1)
+#: Halving steps of a select within a word: widths and masks.
+_STEPS = [(np.uint64(w), np.uint64((1 << w) - 1), w) for w in (32, 16, 8, 4, 2, 1)]
+
+
+def select_in_words(words: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th (from 0) set bit of each 64-bit word."""
+    words, r, out = words.copy(), r.astype(np.int64), np.zeros(len(words), np.int64)
+    for shift, mask, width in _STEPS:
+        count = np.bitwise_count(words & mask).astype(np.int64)
+        up = r >= count
+        r -= np.where(up, count, 0)
+        words >>= np.where(up, shift, np.uint64(0))
+        out += np.where(up, width, 0)
+    return out
 
 
 class EliasFano:
-    """Fields: n, low_bits, low (packed low bits, u64 words), high (unary high parts, bytes), ones (set bits before each 8 bytes of high)."""
+    """Fields: n, low_bits, low (packed low bits), high (unary high parts), ones (set bits before each word of high); low and high are 64-bit words."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.ones = n, low_bits, low, high, ones
@@ -37,9 +46,8 @@ class EliasFano:
         unary = np.zeros(-(-size // 64) * 64, np.uint8)
         if n:
             unary[(values >> np.uint64(bits)).astype(np.int64) + np.arange(n)] = 1
-        high = np.packbits(unary, bitorder="little")
-        per = _POP[high].reshape(-1, 8).sum(1)
-        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(per, dtype=np.int64)]))
+        high = np.packbits(unary, bitorder="little").view(np.uint64)
+        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]))
 
     def _nth(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Places in the unary part of the k-th set (or clear) bits."""
@@ -50,15 +58,8 @@ class EliasFano:
         else:
             before = self.ones
         word = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[word]
-        eight = self.high.reshape(-1, 8)[word]
-        if zeros:
-            eight = ~eight
-        sums = np.cumsum(_POP[eight], 1, dtype=np.int64)
-        byte = (sums <= rest[:, None]).sum(1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(byte > 0, sums[rows, np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + _NTH[eight[rows, byte], rest]
+        bits = self.high[word]
+        return word * 64 + select_in_words(~bits if zeros else bits, k - before[word])
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -76,26 +77,50 @@ class EliasFano:
             return np.zeros(0, np.int64)
         return ((self._nth(i, False) - i) << self.low_bits) | self._low(i).astype(np.int64)
 
-    def successor(self, target: np.ndarray) -> np.ndarray:
-        """For each target, the place of the first value that is not less (n if there is none)."""
-        if not len(target):
-            return np.zeros(0, np.int64)
+    def _bucket(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places [lo, hi) of the values with these high parts (all within the unary part)."""
+        at = np.where(part > 0, self._nth(np.maximum(part - 1, 0), True) + 1, 0)
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        # Set bits from `at` on, in the rest of its word: up to the first clear one.
+        rest = ~(self.high[np.minimum(word, len(self.high) - 1)] >> bit)
+        run = np.bitwise_count((rest & (~rest + _ONE)) - _ONE).astype(np.int64)
+        lo = at - part
+        hi = lo + run
+        over = np.flatnonzero(run + bit.astype(np.int64) >= 64)
+        if len(over):
+            hi[over] = self._nth(part[over], True) - part[over]
+        return lo, hi
+
+    def _search(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successor's place, and whether it equals the target."""
         part = target >> self.low_bits
-        zeros = len(self.high) * 8 - self.n
-        beyond = part >= zeros - 1
+        beyond = part >= len(self.high) * 64 - self.n - 1
         part = np.where(beyond, 0, part)
-        lo = np.where(part > 0, self._nth(np.maximum(part - 1, 0), True) - (part - 1), 0)
-        hi = self._nth(part, True) - part
+        lo, hi = self._bucket(part)
+        end = hi.copy()
         want = target.astype(np.uint64) & self.mask
-        while True:  # binary search among the values with the same high part
-            open_ = np.flatnonzero(lo < hi)
-            if not len(open_):
-                break
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):  # binary search among the values with the same high part
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < want[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
-        return np.where(beyond, self.n, lo)
+            open_ = open_[lo[open_] < hi[open_]]
+        same = ~beyond & (lo < end)
+        at = np.flatnonzero(same)
+        same[at] = self._low(lo[at]) == want[at]
+        return np.where(beyond, self.n, lo), same
+
+    def successor(self, target: np.ndarray) -> np.ndarray:
+        """For each target, the place of the first value that is not less (n if there is none)."""
+        return self._search(target)[0] if len(target) else np.zeros(0, np.int64)
+
+    def find(self, target: np.ndarray) -> np.ndarray:
+        """For each target, the place of its successor if that equals it, else -1."""
+        if not len(target) or not self.n:
+            return np.full(len(target), -1, np.int64)
+        place, same = self._search(target)
+        return np.where(same, place, -1)
 
     def all(self) -> np.ndarray:
         return self.access(np.arange(self.n, dtype=np.int64))

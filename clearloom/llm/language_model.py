@@ -25,7 +25,7 @@ from .elias_fano import EliasFano
 ORDER = 3
 LEAST = 2
 #: Bytes of text whose n-grams are counted together before they are handed on.
-GATHER = 12 << 20
+GATHER = 8 << 20
 #: The end of a text, as a word.
 END = np.uint64(0x9D39247E33776D41)
 _open: dict[str, "Model"] = {}
@@ -128,18 +128,26 @@ class Model:
         for s, a, b in self._spread(level, parents):
             shard = self.shards[level - 1][s]
             p = parents[a:b] - shard.low
-            inside = np.flatnonzero(p < shard.pointers.n - 1)
-            p = p[inside]
-            lam[a + inside] = shard.arrays["lam_scale"][0] + shard.arrays["lam_scale"][1] * shard.lam[p]
-            begin, end = shard.pointers.access(p), shard.pointers.access(p + 1)
-            some = np.flatnonzero((begin < end) & (rel[a + inside] >= 0))
-            begin, end, at = begin[some], end[some], a + inside[some]
-            base = np.where(begin > 0, shard.nodes.access(np.maximum(begin - 1, 0)) + 1, 0)
-            target = base + rel[at]
-            i = shard.nodes.successor(target)
-            ok = np.flatnonzero(i < end)
-            ok = ok[shard.nodes.access(i[ok]) == target[ok]]
-            out[at[ok]] = i[ok] + self.base[level - 1][s]
+            new = np.ones(len(p), bool)
+            new[1:] = p[1:] != p[:-1]
+            first = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            own = p[first]  # each parent once
+            inside = own < shard.pointers.n - 1
+            own = np.where(inside, own, 0)
+            begin = shard.pointers.access(own)
+            end = shard.pointers.access(own + 1)
+            some = inside & (begin < end)
+            base = np.zeros(len(own), np.int64)
+            late = np.flatnonzero(some & (begin > 0))
+            base[late] = shard.nodes.access(begin[late] - 1) + 1
+            weight = np.where(inside, shard.arrays["lam_scale"][0] + shard.arrays["lam_scale"][1] * shard.lam[own], 0.0)
+            lam[a:b] = weight[of]
+            at = np.flatnonzero(some[of] & (rel[a:b] >= 0))
+            # A number beyond the parent's last one would meet the next parent's.
+            i = shard.nodes.find(base[of[at]] + rel[a:b][at])
+            ok = (i >= 0) & (i < end[of[at]])
+            out[a + at[ok]] = i[ok] + self.base[level - 1][s]
         return out, lam
 
     def indices(self, words: np.ndarray, docs: np.ndarray, upto: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
