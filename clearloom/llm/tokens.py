@@ -10,7 +10,7 @@ import public_tokenizers
 import regex
 
 #: Distinct pieces kept per worker process; beyond it the cache starts anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_200_000
 END_ID = 2
 #: Marks that the pattern keeps apart from letters before them, and together with each other.
 PUNCTUATION = ".,;:!?)]}\"|"
@@ -69,28 +69,30 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; None is an empty text."""
         split, bare, led = [], set(), set()
+        known_bare, known_led = self.bare.get, self.led.get
         for text in texts:
             if not text:
                 split.append(((), ()))
-            elif "  " in text:
-                words = self.pattern.findall(text)
-                bare.update(words)
-                split.append((words, ()))
+                continue
+            if "  " in text:
+                head, rest = self.pattern.findall(text), ()
             else:
-                pieces = text.split(" ")
-                head = pieces[:1] if pieces[0] else ()
-                bare.update(head)
-                del pieces[0]
-                led.update(pieces)
-                split.append((head, pieces))
-        self._learn_missing(bare, led)
+                rest = text.split(" ")
+                head = rest[:1] if rest[0] else ()
+                del rest[0]
+            split.append((head, rest))
+            bare.update([p for p in head if known_bare(p) is None])
+            led.update([p for p in rest if known_led(p) is None])
+        if self._learn_missing(bare, led):  # the cache began anew: all pieces of these texts are wanted
+            self._learn_missing({p for a, _ in split for p in a}, {p for _, b in split for p in b})
         get_bare, get_led = self.bare.__getitem__, self.led.__getitem__
         return [b"".join(map(get_bare, a)) + b"".join(map(get_led, b)) for a, b in split]
 
-    def _learn_missing(self, bare: set[str], led: set[str]) -> None:
-        if len(self.bare) + len(bare) > self.cache:
+    def _learn_missing(self, bare: set[str], led: set[str]) -> bool:
+        """Learns what is missing; True if the cache was full and began anew."""
+        fresh = len(self.bare) + len(bare) > self.cache or len(self.led) + len(led) > self.cache
+        if fresh:
             self.bare.clear()
-        if len(self.led) + len(led) > self.cache:
             self.led.clear()
         words, parts, made = self._join(self.led, led.difference(self.led))
         bare = bare | parts
@@ -98,6 +100,7 @@ class PieceEncoder:
         self._learn(self.led, list(words.difference(self.led)), " ")
         for p, word, rest in made:
             self.led[p] = self.led[word] + b"".join([self.bare[x] for x in rest])
+        return fresh
 
 
 def encoder(path: str) -> PieceEncoder:
