@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 SAMPLE, CALIBRATE, RECALL = 20_000, 200, 0.97
-BRANCH, LEAF = 8, 48
+BRANCH, LEAF, LEAVES = 8, 64, 128
+#: A leaf holds at most LEAF vectors of the sample, or a share of 1 / LEAVES: the number of leaves, and of visits, doesn't grow with the input.
 #: Vectors and queries of a leaf that one task compares.
 BLOCK = 4096
 
@@ -135,7 +136,7 @@ def nearest(vectors: DataFrame, key: str, col: str, k: int, is_query) -> DataFra
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _matrix(sample)
-    tree = spark.sparkContext.broadcast(Tree(x).calibrate(x, k))  # bounded by SAMPLE
+    tree = spark.sparkContext.broadcast(Tree(x, leaf=max(LEAF, len(x) // LEAVES)).calibrate(x, k))  # bounded by SAMPLE
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
