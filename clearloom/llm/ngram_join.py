@@ -2,7 +2,7 @@
 
 Sets are hashed n-grams. Equal sets are one class, so copies are never paired. All classes order their n-grams in one way: those that are rare in the corpus first, then by hash. Two sets of Jaccard similarity J overlap in at least J times the larger size, so they share at least COMBINE n-grams among the first n - ceil(J n) + COMBINE of each. The index holds these prefixes: a token of at most FREQUENT classes by itself, more frequent ones in combinations of COMBINE (pairs of similar sets that share no rarer token share such a combination). Sets above LONG n-grams have too many combinations and index every token by itself; sizes between LONG and LONG / J do both.
 
-In each bucket of the index all members are verified against one leader, the smallest. What the verified links connect needs no more comparison; every member of another component is then verified against all members of the bucket that are not in its own. So no link between components is missed, and a group of n near copies costs n verifications a bucket, not n squared. Verification first counts n-grams that only one prefix has (they must be few), then compares whole sets.
+In each bucket of the index all members are verified against one leader, the smallest. What the verified links connect needs no more comparison. Where members of other components remain, a few of them at a time lead in turn and are verified against all members that are not in their component; after TURNS such rounds all that are left are. So no link between components is missed, and a group of n near copies costs about n verifications a bucket, not n squared. Verification first counts n-grams that only one prefix has (they must be few), then compares whole sets.
 
 Nulls: a null text is an empty one; a document without words has no n-gram and no link. Null and repeated doc_ids are rows of their own; a component's id is its smallest doc_id. Fewer words than the n-gram length count as one n-gram. An empty table gives an empty result. Other columns of the input are not read.
 """
@@ -14,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix, signed, slices, stage, table, text_buffers, word_hashes
 
 COMBINE = 2
+#: Members of a bucket that are compared with all others at a time, and how often, before all that are left are.
+LEADERS, TURNS = 4, 3
 FREQUENT, LONG = 1000, 200
 #: N-grams counted before the join: this share of the hash range; more frequent than TOP_COUNT comes last in the order; at most TOP_MOST of them are known.
 SHARE, TOP_COUNT, TOP_MOST = 0.2, 32, 400_000
@@ -113,14 +115,14 @@ def classed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
 
 
 def index(classes: DataFrame, percent: int) -> DataFrame:
-    """key, node: the buckets with more than one member."""
+    """key, node, n: the buckets with more than one member."""
     posts = classes.filter(F.size("prefix") > 0).select("node", "n", F.explode("prefix").alias("g"))
     df = posts.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     posts = stage(posts.join(df, "g"), "ngram-posts")
-    rare = posts.filter((F.col("df") <= FREQUENT) | (F.col("n") > LONG)).select(F.col("g").alias("key"), "node")
-    lists = posts.filter((F.col("df") > FREQUENT) & (F.col("n") * percent <= LONG * 100)).groupBy("node").agg(F.array_sort(F.collect_list("g")).alias("gs"))  # a prefix at most
+    rare = posts.filter((F.col("df") <= FREQUENT) | (F.col("n") > LONG)).select(F.col("g").alias("key"), "node", "n")
+    lists = posts.filter((F.col("df") > FREQUENT) & (F.col("n") * percent <= LONG * 100)).groupBy("node", "n").agg(F.array_sort(F.collect_list("g")).alias("gs"))  # a prefix at most
     pairs = F.flatten(F.transform("gs", lambda x, i: F.transform(F.slice("gs", i + 2, F.size("gs")), lambda y: F.xxhash64(x, y))))
-    combined = lists.select(F.explode(pairs).alias("key"), "node")
+    combined = lists.select(F.explode(pairs).alias("key"), "node", "n")
     return stage(rare.unionByName(combined).distinct(), "ngram-index")
 
 
@@ -193,22 +195,39 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     rows, classes = classed(docs, n, percent)
     buckets = index(classes, percent)
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("size")).filter(F.col("size") > 1).drop("size")
-    members = stage(buckets.join(leaders, "key"), "ngram-members")
-    stars = members.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    first = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter(F.col("size") > 1)
+    members = stage(buckets.join(first.drop("size"), "key").withColumn("done", F.col("node") == F.col("first")), "ngram-members")
+    leads = members.filter("done").select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"))
+    stars = members.join(leads, "key").filter((F.col("node") != F.col("lead")) & sized("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     edges = stage(verified(stars, docs, classes, n, percent), "ngram-edges")
     labels = components(edges)
-    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
-    known = members.join(label("node"), "node", "left").join(label("leader"), "leader", "left")
-    known = known.select("key", "node", "leader", F.coalesce("l_node", "node").alias("own"), F.coalesce("l_leader", "leader").alias("main"))
-    away = known.filter(F.col("own") != F.col("main")).select("key", "node", "own")
-    others = known.select("key", F.col("node").alias("with"), F.col("own").alias("with_own"), (F.col("own") != F.col("main")).alias("with_away"), F.col("leader").alias("first"))
-    # Pairs of two such members are met once; those with the leader were verified before.
-    met = (F.col("own") != F.col("with_own")) & (F.col("with") != F.col("first")) & (~F.col("with_away") | (F.col("node") < F.col("with")))
-    rest = away.join(others, "key").filter(met).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-    rest = stage(rest, "ngram-rest")
-    if not rest.isEmpty():
-        labels = components(edges.union(verified(rest, docs, classes, n, percent)))
+    for turn in range(TURNS + 1):
+        # Buckets whose members aren't all in one component, with members that aren't in their first one's and were compared with nobody yet.
+        label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
+        known = members.join(label("node"), "node", "left").join(label("first"), "first", "left")
+        known = known.select("key", "node", "n", "first", "done", F.coalesce("l_node", "node").alias("own"), (F.coalesce("l_node", "node") != F.coalesce("l_first", "first")).alias("away"))
+        live = known.groupBy("key").agg(F.bool_or(F.col("away") & ~F.col("done")).alias("live")).filter("live").select("key")
+        members = stage(known.join(live, "key", "left_semi"), "ngram-members")
+        if members.isEmpty():
+            break
+        if turn < TURNS:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
+            asked = members.filter(F.col("away") & ~F.col("done")).withColumn("r", rank).filter(F.col("r") <= LEADERS)
+        else:
+            asked = members.filter(F.col("away") & ~F.col("done"))
+        asked = stage(asked.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own")), "ngram-asked")
+        # A pair of members that both ask is met once; members that asked before were compared with all.
+        met = members.filter(~F.col("done")).join(asked, "key").filter((F.col("own") != F.col("lead_own")) & sized("n", "lead_n"))
+        pairs = met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        more = stage(verified(pairs, docs, classes, n, percent), "ngram-edges")
+        if not more.isEmpty():
+            edges = stage(edges.union(more), "ngram-edges")
+            labels = components(edges)
+        if turn == TURNS:
+            break
+        was = asked.select("key", F.col("lead").alias("node"), F.lit(True).alias("asked"))
+        members = stage(members.join(was, ["key", "node"], "left").select("key", "node", "n", "first", (F.col("done") | F.coalesce("asked", F.lit(False))).alias("done")), "ngram-members")
     nodes = classes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
     out = stage(rows.join(nodes, ["s1", "s2", "n"], "left"), "ngram-out")
     least = out.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
