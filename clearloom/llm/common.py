@@ -63,8 +63,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         i = j
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _rng = np.random.default_rng(20240501)
@@ -118,7 +118,7 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     base = offsets[0]
     raw = _LOWER[raw]
-    solid = ~_SPACE[raw]
+    solid = ~SPACE[raw]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[-1]] - base

@@ -4,6 +4,8 @@ Every start of a LENGTH-byte string has a key that depends on that string alone:
 
 In a group, only the suffixes that are smaller than their successors are sorted directly; the others are induced by one scan over the buckets of first bytes, each placing its predecessors. Then the common prefixes of neighbours in the suffix array are compared: a start is repeated if it shares LENGTH bytes with a neighbour, or if its run occurs more than once.
 
+Passages are found alike: each word (between ASCII white space, as it is written) becomes CODE bytes of its hash, and repeated strings of CODE bytes for each of the passage's words are looked for in those. Of what they cover, the whole words and what lies between them go.
+
 A key with more than GROUP distinct runs is not sorted in one task: its starts are dealt by two 64-bit hashes of their LENGTH bytes and counted, which decides the same.
 
 Texts are UTF-8 bytes; matches don't cross documents. Nulls: a null text is an empty one; null and repeated doc_ids are as any other rows. Equal texts of LENGTH bytes or more remove each other wholly. An empty table gives an empty result. Columns of the input are kept; those that the operator adds replace columns with their names.
@@ -13,16 +15,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import membership, mix, only, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
+from .common import SPACE, membership, mix, only, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
 
 LENGTH = 400
 GRAM = 160
+#: Bytes that stand for a word where passages are counted in words.
+CODE = 6
 #: Most starts of a run; distinct runs of a key that one task sorts; bytes sorted at once.
 RUN, GROUP, BATCH = 256, 1500, 1 << 20
 RUNS = "t long, size int, h long, r long, p int, len int, own boolean"
@@ -76,13 +81,13 @@ def runs_of(offsets: np.ndarray, raw: np.ndarray, length: int = LENGTH, gram: in
     return doc, h, span_hash(prefix, lo, hi + length - 1), lo - offsets[doc], hi - lo, own
 
 
-def found_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def found_runs(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """t, size, text -> RUNS."""
     for batch in batches:
         offsets, raw = text_buffers(batch.column(2))
         for i, j in slices(offsets):
             part = offsets[i : j + 1] - offsets[i]
-            doc, h, r, p, n, own = runs_of(part, raw[offsets[i] : offsets[j]])
+            doc, h, r, p, n, own = runs_of(part, raw[offsets[i] : offsets[j]], length, length * GRAM // LENGTH)
             at = pa.array(doc + i)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(signed(h)), pa.array(signed(r)), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], names=["t", "size", "h", "r", "p", "len", "own"])
 
@@ -182,13 +187,13 @@ def spans_of(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(edge).astype(np.int32)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sorted_groups(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """h, r, n, len, bytes in order of h -> h, r, spans: whole groups, about BATCH bytes at once."""
     rows: list[tuple] = []
     size, last = 0, None
 
     def out() -> pa.RecordBatch:
-        flags = repeated([x[4] for x in rows], np.array([x[2] for x in rows]), np.array([x[3] for x in rows]))
+        flags = repeated([x[4] for x in rows], np.array([x[2] for x in rows]), np.array([x[3] for x in rows]), length)
         some = [i for i, f in enumerate(flags) if f.any()]
         return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in some], pa.int64()), pa.array([rows[i][1] for i in some], pa.int64()), pa.array([spans_of(flags[i]) for i in some], pa.list_(pa.int32()))], names=["h", "r", "spans"])
 
@@ -204,7 +209,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
-def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fetched(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
     """text, runs (h, r, n, p, len, hot) -> h, r, n, len, bytes (null where hot), and for hot ones the two hashes of each start."""
     fields = ("h", "r", "n", "len")
     for batch in batches:
@@ -215,19 +220,19 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(of), 4096):
             part = slice(at, at + 4096)
             begin = offsets[of[part]] + cols["p"][part]
-            end = begin + cols["len"][part] + LENGTH - 1
+            end = begin + cols["len"][part] + length - 1
             data, one, two = [], [], []
             for a, b, is_hot in zip(begin.tolist(), end.tolist(), hot[part].tolist()):
                 data.append(None if is_hot else raw[a:b].tobytes())
                 if is_hot:
                     prefix = prefix_hash(raw[a:b])
-                    i = np.arange(b - a - LENGTH + 1)
+                    i = np.arange(b - a - length + 1)
                     _, down = powers(len(prefix))
                     with np.errstate(over="ignore"):
-                        x = (prefix[i + LENGTH] - prefix[i]) * down[i]
+                        x = (prefix[i + length] - prefix[i]) * down[i]
                         other = np.zeros(b - a + 1, np.uint64)
                         np.cumsum(mix(raw[a:b].astype(np.uint64) + np.uint64(77)) * powers(b - a)[0], out=other[1:])
-                        y = (other[i + LENGTH] - other[i]) * down[i]
+                        y = (other[i + length] - other[i]) * down[i]
                     one.append(signed(mix(x)))
                     two.append(signed(mix(y ^ np.uint64(0x5555555555555555))))
                 else:
@@ -237,11 +242,11 @@ def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(cols[k][part]) for k in fields), *(pa.array(x, t) for x, t in zip((data, one, two), kinds))], names=[*fields, "bytes", "one", "two"])
 
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """From t, size, text: t, size, spans (begin and end of the starts of repeated strings, flat; one row for each text that has any)."""
+def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """From t, size, text: t, size, spans (begin and end of the starts of repeated strings of `length` bytes, flat; one row for each text that has any)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("t", "size", "text")
-    runs = stage(texts.mapInArrow(found_runs, RUNS), "repeats-runs")
+    runs = stage(texts.mapInArrow(partial(found_runs, length=length), RUNS), "repeats-runs")
     # Equal runs are summed before they move.
     distinct = runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("t", "size", "p", "len")).alias("at"))
     key = Window.partitionBy("h")
@@ -251,9 +256,9 @@ def repeats(texts: DataFrame) -> DataFrame:
     by_text = wanted.groupBy("t", "size").agg(F.collect_list(F.struct("h", "r", "n", "p", "len", "hot")).alias("runs"))
     # Only texts that may hold a wanted run move. Equal texts are one here: any of them holds the bytes.
     some = only(texts, membership(wanted, "t"), "t", True).join(by_text, ["t", "size"]).dropDuplicates(["t", "size"])
-    bytes_of = some.select("text", "runs").mapInArrow(fetched, "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
+    bytes_of = some.select("text", "runs").mapInArrow(partial(fetched, length=length), "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
     cold = bytes_of.filter(F.col("bytes").isNotNull()).select("h", "r", "n", "len", "bytes").repartition(4 * parts, "h").sortWithinPartitions("h", "r")
-    spans = cold.mapInArrow(sorted_groups, "h long, r long, spans array<int>")
+    spans = cold.mapInArrow(partial(sorted_groups, length=length), "h long, r long, spans array<int>")
     if not wanted.filter("hot").isEmpty():
         starts = bytes_of.filter(F.col("bytes").isNull()).select("h", "r", "n", F.posexplode(F.arrays_zip("one", "two")).alias("i", "x")).select("h", "r", "n", "i", "x.one", "x.two")
         starts = stage(starts, "repeats-starts")
@@ -274,30 +279,68 @@ def covered(size: int, spans: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
     return np.flatnonzero(on == 1), np.flatnonzero(on == -1)
 
 
+def joined_up(size: int, *ranges: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what the ranges cover together."""
+    begins, ends = (np.concatenate(x) for x in zip(*ranges))
+    return covered(size, np.stack([begins, ends], 1).ravel(), 1)
+
+
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __text (nulls empty), and __t and __size, which stand for it."""
     clean = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
     return clean.withColumns({"__t": F.xxhash64("__text"), "__size": F.octet_length("__text").cast("int")})
 
 
-def cut(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, removed (begin and end of each removed stretch, flat) and kept (the remaining bytes; as_text: as a string, without characters that were cut in two)."""
+def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], SPACE[raw], [True]])))
+    return edges[::2], edges[1::2]
+
+
+def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """t, size, text -> the same with CODE bytes for each word of the text."""
+    for batch in batches:
+        offsets, raw = text_buffers(batch.column(2))
+        out = []
+        for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            own = raw[i:j]
+            out.append(span_hash(prefix_hash(own), *words_of(own)).view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], names=["t", "size", "text"])
+
+
+def covered_words(raw: np.ndarray, spans: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the bytes to remove, from spans of starts in the codes of raw's words."""
+    begins, ends = words_of(raw)
+    a, b = covered(CODE * len(begins), spans, CODE * words)
+    return begins[-(-a // CODE)], ends[b // CODE - 1]
+
+
+def cut(docs: DataFrame, text: str = "text", as_text: bool = False, words: int | None = None) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, removed (begin and end of each removed stretch, flat) and kept (the remaining bytes; as_text: as a string, without characters that were cut in two). With words, repeated passages of so many words go too, however few bytes they have."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "removed", "kept")
     rows = keyed(docs, text)
-    found = repeats(rows.filter(F.col("__size") >= LENGTH).select(F.col("__t").alias("t"), F.col("__size").alias("size"), F.col("__text").alias("text")))
-    found = found.select(F.col("t").alias("__t"), F.col("size").alias("__size"), F.col("spans").alias("__spans"))
+    texts = rows.select(F.col("__t").alias("t"), F.col("__size").alias("size"), F.col("__text").alias("text"))
+    none = F.lit(None).cast("array<int>")
+    found = repeats(texts.filter(F.col("size") >= LENGTH)).select("t", "size", "spans", none.alias("words"))
+    if words:
+        codes = texts.filter(F.col("size") >= 2 * words - 1).mapInArrow(coded, "t long, size int, text binary")
+        found = found.unionByName(repeats(codes, CODE * words).select("t", "size", none.alias("spans"), F.col("spans").alias("words")))
+        found = found.groupBy("t", "size").agg(F.any_value("spans", True).alias("spans"), F.any_value("words", True).alias("words"))
+    found = found.select(F.col("t").alias("__t"), F.col("size").alias("__size"), F.col("spans").alias("__spans"), F.col("words").alias("__words"))
     names = docs.columns
     rows, bits = rows.select(*names, "__text", "__t", "__size"), membership(found, "__t")
-    near = only(rows, bits, "__t", True).join(found, ["__t", "__size"], "left").select(*names, "__text", "__spans")
-    joined = near.unionByName(only(rows, bits, "__t", False).select(*names, "__text", F.lit(None).cast("array<int>").alias("__spans")))
+    near = only(rows, bits, "__t", True).join(found, ["__t", "__size"], "left").select(*names, "__text", "__spans", "__words")
+    joined = near.unionByName(only(rows, bits, "__t", False).select(*names, "__text", none.alias("__spans"), none.alias("__words")))
     schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "removed": F.array(F.lit(0).cast("long")), "kept": F.lit("" if as_text else b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, gone, n, where, kept = [], [], [], [], []
-            for text, spans in zip(batch.column(len(names)), batch.column(len(names) + 1)):
+            for text, spans, passages in zip(*batch.columns[len(names) :]):
                 raw = text.as_py().encode()
                 a, b = covered(len(raw), np.asarray(spans.values)) if spans.is_valid else (np.zeros(0, int),) * 2
+                if passages.is_valid:
+                    a, b = joined_up(len(raw), (a, b), covered_words(np.frombuffer(raw, np.uint8), np.asarray(passages.values), words))
                 edges = [0, *np.stack([a, b], 1).ravel().tolist(), len(raw)]
                 size.append(len(raw))
                 gone.append(int((b - a).sum()))

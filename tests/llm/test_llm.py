@@ -300,3 +300,47 @@ def test_pipeline(spark, docs):
     assert cut.columns == rows.columns
     packed = corpus_pipeline.packing(spark, cut, "")
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in cut.collect()}
+
+
+def brute_passages(texts, n):
+    """Bytes left of each text where those of words in repeated n-word passages, and between them, are gone, as are repeated strings of LENGTH bytes."""
+    raw = {i: t.encode() for i, t in texts.items()}
+    at = {i: [m.span() for m in re.finditer(rb"[^\x20\x09-\x0d]+", r)] for i, r in raw.items()}
+    keys = {i: [tuple(raw[i][a:b] for a, b in w[k : k + n]) for k in range(len(w) - n + 1)] for i, w in at.items()}
+    seen = Counter(k for ks in keys.values() for k in ks)
+    strings = Counter(r[k : k + suffix_dedup.LENGTH] for r in raw.values() for k in range(len(r) - suffix_dedup.LENGTH + 1))
+    out = {}
+    for i, r in raw.items():
+        gone = np.zeros(len(r), bool)
+        for k, key in enumerate(keys[i]):
+            if seen[key] > 1:
+                gone[at[i][k][0] : at[i][k + n - 1][1]] = True
+        for k in range(len(r) - suffix_dedup.LENGTH + 1):
+            if strings[r[k : k + suffix_dedup.LENGTH]] > 1:
+                gone[k : k + suffix_dedup.LENGTH] = True
+        out[i] = bytes(np.frombuffer(r, np.uint8)[~gone])
+    return out
+
+
+@pytest.mark.parametrize("group", [1500, 1])
+def test_repeated_passages_by_words(spark, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    n, few, many, tiny = corpus_pipeline.PASSAGE, words(50, 21), words(51, 22), "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2
+    tiny = tiny[:101]  # 51 words of one letter
+    texts = dict(corpus_texts := text_of()) | {
+        100: words(30, 23) + " " + few + " " + words(30, 24), 101: words(20, 25) + "\n" + few, 102: words(20, 26) + " " + many + "\n" + words(5, 27), 103: many.replace(" ", "\n\t"), 104: "é ü " + many + " end",
+        105: tiny, 106: "one " + tiny + " two", 107: "w " * 51, 108: "v " * 52 + "\n", 109: many.upper(), 110: " ".join(words(60, 28).split()[:50]) + " x", 111: words(60, 28) + " ", 112: words(60, 28) + "\n",
+    }
+    assert len(many) < suffix_dedup.LENGTH and n == 51 and len(corpus_texts) < len(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.kept for r in suffix_dedup.cut(rows, words=n).collect()}
+    want = brute_passages(texts, n)
+    assert {i: bytes(x) for i, x in got.items()} == want
+    assert want[100] == texts[100].encode() and many.encode() not in want[102] and want[103] == b"" and want[104] == "é ü  end".encode() and want[105] == b""
+    assert suffix_dedup.cut(rows.limit(0), words=n).count() == 0
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    passage = words(51, 31)
+    rows = spark.createDataFrame([(i, words(40, 40 + i) + " " + passage + " " + words(40, 60 + i), "en", "s", 1) for i in range(3)], SCHEMA)
+    assert [passage in r.text for r in corpus_pipeline.passages(spark, rows, "").collect()] == [False] * 3
