@@ -2,6 +2,8 @@
 
 The kernel of two texts is the number of n-grams both hold, over the root of the product of both numbers, in the space of the n-grams of the landmarks. The model is fitted on a bounded sample: at most PER_LANG labelled rows of each language, the first by a hash of id and text; LANDMARKS of them are landmarks. Every text is scored whole.
 
+Margins tell languages apart but sum to about 2 less their number, so they can't tell a text of none of them. What does is coverage: the share of a text's trigrams that the sample holds. On request, texts with less than FAMILIAR times what nearly all labelled texts reach without their own trigrams are `und` too.
+
 Nulls: a text that is null or has no letter is `und` with score 0. Rows with a null lang are not learned from. Without any labelled row all are `und`. Repeated rows and null doc_ids pass through row by row. An empty table gives an empty result. Other columns of the input are not read.
 """
 
@@ -23,6 +25,8 @@ RIDGE = 1e-3
 #: Margins times this go into the softmax.
 SHARPNESS = 4.0
 BATCH_DOCS = 128
+#: Least coverage of a text, as a part of the coverage that all but this share of the labelled texts reach.
+FAMILIAR, OUTLIERS = 0.6, 0.01
 LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.arange(256, dtype=np.uint32)
 _KEEP[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
@@ -36,6 +40,13 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate([b, two, three])  # bytes 0 don't begin an n-gram, so lengths don't clash
 
 
+def trigrams(text: str) -> np.ndarray:
+    """The trigrams among grams(text) that aren't spaces alone."""
+    g = grams(text)
+    g = g[len(g) * 2 // 3 + 1 :]  # n bytes: n, n - 1 and n - 2 codes
+    return g[g != 0x202020]
+
+
 class Model:
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
         self.langs = sorted(set(langs))
@@ -57,6 +68,10 @@ class Model:
         weight = np.array([len(langs) / (len(self.langs) * len(by_lang[x])) for x in langs])[:, None]
         gram = phi.T @ (weight * phi) + ridge * len(phi) * np.eye(phi.shape[1]) / 10
         self.solved = np.linalg.solve(gram, phi.T @ (weight * target))
+        own = [trigrams(t) for t in texts]
+        self.known, holders = np.unique(np.concatenate([np.unique(x) for x in own]), return_counts=True)
+        shared = self.known[holders > 1]
+        self.floor = FAMILIAR * float(np.quantile([np.isin(x, shared).mean() if len(x) else 1.0 for x in own], OUTLIERS))
 
     def index(self) -> np.ndarray:
         """Place of each code in the landmarks' space, plus 1; 0 if it has none."""
@@ -67,7 +82,15 @@ class Model:
         return self._index
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_index", "_is_known")}
+
+    def coverage(self, text: str) -> float:
+        """Share of the text's trigrams that the labelled sample holds; 1 if it has none."""
+        if not hasattr(self, "_is_known"):
+            self._is_known = np.zeros(1 << 24, bool)
+            self._is_known[self.known] = True
+        x = trigrams(text)
+        return float(self._is_known[x].mean()) if len(x) else 1.0
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         """Kernel of each text with each landmark."""
@@ -108,8 +131,8 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return Model([r.text for r in got], [r.lang for r in got]) if got else None
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[Column | str]) -> DataFrame:
-    """The columns of `keep`, lang_pred, score and margin of each row."""
+def predict(docs: DataFrame, model: Model | None, keep: list[Column | str], reject: bool = False) -> DataFrame:
+    """The columns of `keep`, lang_pred, score and margin of each row. With reject, texts of less coverage than the model's floor are `und`, with score 0."""
     spark = docs.sparkSession
     names = [*docs.select(*keep).columns]
     rows = docs.select(*keep, F.col("text").alias("__text"))
@@ -121,6 +144,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[Column | str]) -> D
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             out = m.predict(texts) if m else (["und"] * len(texts), [0.0] * len(texts), [-1.0] * len(texts))
+            for i in [i for i, t in enumerate(texts) if reject and out[0][i] != "und" and m.coverage(t) < m.floor]:
+                out[0][i], out[1][i] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=[*names, "lang_pred", "score", "margin"])
 
     return rows.mapInArrow(run, schema)

@@ -344,3 +344,16 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     passage = words(51, 31)
     rows = spark.createDataFrame([(i, words(40, 40 + i) + " " + passage + " " + words(40, 60 + i), "en", "s", 1) for i in range(3)], SCHEMA)
     assert [passage in r.text for r in corpus_pipeline.passages(spark, rows, "").collect()] == [False] * 3
+
+
+def test_pipeline_rejects_what_no_language_claims(spark):
+    r = random.Random(8)
+    vocabularies = {x: ["".join(r.choice(c) for _ in range(r.randint(2, 7))) for _ in range(150)] for x, c in {"aa": "bcdfgaei", "bb": "klmnouy", "cc": "éèçàrst", "dd": "hjvwöäüi"}.items()}
+    clean = lambda x, n: " ".join(r.choice(vocabularies[x]) for _ in range(n))
+    known = [(i, clean(x, r.randint(20, 60)), x) for i in range(200) for x in [list(vocabularies)[i % 4]]]
+    unlabelled = [(300 + i, clean(x, 25), None) for i in range(40) for x in [list(vocabularies)[i % 4]]]
+    consonants = [(400 + i, " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(25)), None) for i in range(40)]
+    scripts = [(500, "Все люди рождаются свободными и равными в своем достоинстве и правах", None), (501, "人人生而自由在尊严和权利上一律平等", None), (502, "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι", None)]
+    rows = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in known + unlabelled + consonants + scripts], SCHEMA)
+    kept = {k.doc_id: k.lang for k in corpus_pipeline.language(spark, rows, "").collect()}
+    assert kept == {i: x for i, _, x in known} | {i: list(vocabularies)[i % 4] for i, _, _ in unlabelled}
