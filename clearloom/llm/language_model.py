@@ -2,7 +2,7 @@
 
 Level 1 holds the words (their 64-bit hashes, sorted; a word's id is its place). Level k > 1 holds the k-grams as children of their first k-1 words: a monotone pointer per parent, and within the parent's range the last word, written relative to its context: as its place among the children of the words between, so numbers are small. Both sequences are Elias-Fano coded; a child is found by a successor search for its number, moved to its parent's range. Probabilities (interpolated absolute discounting) and back-off weights are quantised to 8 bits. A level is split into shards by ranges of parents, one file each in the shared folder, written by the tasks that build them and memory-mapped by those that score, so a model may exceed a worker's memory.
 
-Counts are gathered from every training text, level by level; k-grams from k = 2 on with fewer than LEAST occurrences are left to the lower levels, as is their probability mass. Words are never left out.
+Counts are gathered from every training text, level by level; none is left out, however rare.
 
 Tokens: A-Z lower-cased, split at ASCII white space, then one end per text. Nulls: a null text is an empty one (the end alone); null doc_ids are as any other value. Without training rows every token has probability 1. An empty table gives an empty result. Repeated rows count and are scored each. Other columns of the input are not read.
 """
@@ -23,7 +23,6 @@ from .common import crc_mod, shared_dir, slices, stage, table, text_buffers, wor
 from .elias_fano import EliasFano
 
 ORDER = 3
-LEAST = 2
 #: Bytes of text whose n-grams are counted together before they are handed on.
 GATHER = 8 << 20
 #: The end of a text, as a word.
@@ -237,7 +236,7 @@ def built(rows: DataFrame, by: str, then: list[str], make, folder: str, level: i
     return [(f"{folder}/{level}-{r.shard}", r.low, r.size, r.total) for r in sorted(out, key=lambda r: r.shard)]
 
 
-def learned(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple:
+def learned(train: DataFrame, order: int = ORDER) -> tuple:
     """Counts, builds and writes the model of the texts in `train` (column text). Returns what opened() takes."""
     spark = train.sparkSession
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
@@ -291,7 +290,7 @@ def learned(train: DataFrame, order: int = ORDER, least: int = LEAST) -> tuple:
 
         grams = texts.mapInArrow(count_grams, "parent long, suffix long, n long").groupBy("parent", "suffix").agg(F.sum("n").alias("n"))
         seen = Observation()
-        kept = stage(grams.observe(seen, F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).filter(F.col("n") >= least), f"lm-{level}")
+        kept = stage(grams.observe(seen, F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")), f"lm-{level}")
         d = discount(seen.get["once"], seen.get["twice"])
 
         def make_level(cols: list[np.ndarray], uri: str, level=level, below=below, d=d) -> tuple[int, int, int]:

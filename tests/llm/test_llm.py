@@ -357,3 +357,32 @@ def test_pipeline_rejects_what_no_language_claims(spark):
     rows = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in known + unlabelled + consonants + scripts], SCHEMA)
     kept = {k.doc_id: k.lang for k in corpus_pipeline.language(spark, rows, "").collect()}
     assert kept == {i: x for i, _, x in known} | {i: list(vocabularies)[i % 4] for i, _, _ in unlabelled}
+
+
+def test_language_model_keeps_every_ngram(spark):
+    texts = {i: words(40, 70 + i, 60) for i in range(12)}
+    texts |= {20: texts[0][:90], 21: words(30, 99, 80), 22: texts[3] + " unseen " + texts[4]}  # near copies of what training holds once
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("held_out", F.col("doc_id") >= 20)
+    stream = {i: [*tokens(t), None] for i, t in texts.items()}
+    counts = [Counter(tuple(w[k : k + n]) for i, w in stream.items() if i < 20 for k in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(counts[0].values())
+    d = [language_model.discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())) for c in counts]
+    children = [Counter(), *({} for _ in counts[1:])]
+    for k in (1, 2):
+        for gram, n in counts[k].items():
+            children[k][gram[:-1]] = children[k].get(gram[:-1], 0) + n - d[k]
+
+    def prob(gram):
+        k = len(gram) - 1
+        if not k:
+            return (counts[0][gram] - d[0]) / total if gram in counts[0] else d[0] * len(counts[0]) / total
+        times, low = counts[k - 1][gram[:-1]], prob(gram[1:])
+        if gram[:-1] not in children[k]:
+            return low
+        return (counts[k][gram] - d[k] if gram in counts[k] else 0) / times + (1 - children[k][gram[:-1]] / times) * low
+
+    assert sum(n == 1 for n in counts[2].values()) > 0.5 * len(counts[2])
+    for r in language_model.scored(rows, language_model.learned(rows.filter(~F.col("held_out")))).collect():
+        w = stream[r.doc_id]
+        want = sum(math.log10(prob(tuple(w[max(0, k - 2) : k + 1]))) for k in range(len(w)))
+        assert abs(r.score - want) < 0.02 * len(w), (r.doc_id, r.score, want)
