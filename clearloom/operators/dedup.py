@@ -22,21 +22,19 @@ def first_seen(rows: DataFrame, key: str, digest: str) -> DataFrame:
     return rows.join(lead, digest).select(key, "leader", (F.col(key) != F.col("leader")).alias("is_duplicate"))
 
 
-def elect_leaders(rows: DataFrame, key: str, digest: str, simhash: str, most: int = DEFAULT.simhash_distance, rounds: int = 50) -> DataFrame:
+def elect_leaders(rows: DataFrame, key: str, digest: str, simhash: str, most: int = DEFAULT.simhash_distance) -> DataFrame:
     """key, leader: greedy in order of key. A row is a leader unless an earlier leader has its digest or a SimHash at most `most` bits away; a duplicate leads nobody.
 
-    Equal rows follow their first; the others settle from the front: a row is decided once all its earlier neighbours are.
+    Equal rows follow their first; the others settle from the front: a row is decided once all its earlier neighbours are. Each pass decides at least the first row left, so the passes end; a chain of near copies takes about one for each row.
     """
     firsts = rows.groupBy(digest).agg(F.min(key).alias("first"), F.min_by(simhash, key).alias("first_hash"))
     edges = near_pairs(firsts, "first", "first_hash", most).select(F.col("a").alias("_a"), F.col("b").alias("_b")).checkpoint()
     state = firsts.select(F.col("first").alias("_n"), F.lit(None).cast("boolean").alias("_lead")).checkpoint()
-    for _ in range(rounds):
+    while not state.filter(F.col("_lead").isNull()).isEmpty():
         before = edges.join(state.select(F.col("_n").alias("_a"), F.col("_lead").alias("_la")), "_a").groupBy("_b").agg(F.max("_la").alias("_any"), F.count_if(F.col("_la").isNull()).alias("_open"))
         told = state.join(before, F.col("_n") == F.col("_b"), "left")
         lead = F.when(F.col("_lead").isNotNull(), F.col("_lead")).when(F.col("_any"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)
         state = told.select("_n", lead.alias("_lead")).checkpoint()
-        if state.filter(F.col("_lead").isNull()).isEmpty():
-            break
     chosen = edges.join(state.filter("_lead").select(F.col("_n").alias("_a")), "_a").groupBy("_b").agg(F.min("_a").alias("_near"))
     heads = state.join(chosen, F.col("_n") == F.col("_b"), "left").select("_n", F.when(F.col("_lead"), F.col("_n")).otherwise(F.col("_near")).alias("leader"))
     return rows.join(firsts.select(digest, "first"), digest).join(heads, F.col("first") == F.col("_n")).select(key, "leader")

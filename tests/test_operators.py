@@ -159,3 +159,15 @@ def test_sources_registry(spark):
     state = spark.createDataFrame([("k", 1, "old"), ("m", 1, "kept")], "key string, seq int, v string")
     new = spark.createDataFrame([("k", 1, "x"), ("k", 2, "y")], "key string, seq int, v string")
     assert {r.key: r.v for r in web.upsert(state, new, "key").collect()} == {"k": "y", "m": "kept"}
+
+
+def test_leaders_of_a_long_chain(spark, tmp_path):
+    """Each row is near the one before it alone, so rows settle one by one."""
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    hashes = [(2 << k) - 1 for k in range(58)]  # a SimHash of 0 takes no part
+    rows = spark.createDataFrame([(k, str(k), h) for k, h in enumerate(hashes)], "k long, d string, h long")
+    want, leaders = {}, []
+    for k, h in enumerate(hashes):
+        want[k] = next((m for m in leaders if bin(hashes[m] ^ h).count("1") <= 1), k)
+        leaders += [k] * (want[k] == k)
+    assert {r.k: r.leader for r in dedup.elect_leaders(rows, "k", "d", "h", 1).collect()} == want
