@@ -175,7 +175,16 @@ _CODE = " OR ".join(f"contains(text, '{k}')" for k in config.CODE_KEYWORDS)
 @query(f"SELECT doc_id, CASE WHEN {_CODE} THEN 'CODE' ELSE 'TEXT' END AS track, CASE WHEN {_CODE} THEN 'text/x-code' ELSE 'text/plain' END AS mime FROM (SELECT doc_id, decode(encode(text)[1:4096]) AS text FROM documents WHERE octet_length(encode(text)) <= 4096)")
 def asset_sniff(spark, d):
     """Track and type by content, of texts that the header holds wholly (SQL can't cut UTF-8 at a byte)."""
-    rows = table(spark, d, "documents").filter(F.octet_length("text") <= 4096)
+    return _sniffed(table(spark, d, "documents").filter(F.octet_length("text") <= 4096))
+
+
+@query()
+def asset_sniff_all(spark, d):
+    """Track and type by content of every text, from its first 4096 bytes."""
+    return _sniffed(table(spark, d, "documents"))
+
+
+def _sniffed(rows: DataFrame) -> DataFrame:
     kind = assets.sniff(F.col("text").cast("binary"), F.lit("x.public_domain"))
     return rows.select("doc_id", kind.alias("k")).select("doc_id", "k.track", "k.mime")
 

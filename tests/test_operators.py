@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clearloom import config
 from clearloom.functions import fingerprint as fp
 from clearloom.functions import text as tx
 from clearloom.operators import decision, dedup, governance, provenance, sinks, tracks, vector
+from clearloom.plans import catalogue
 from clearloom.sources import assets, web
 from clearloom.streaming import queue
 
@@ -171,3 +173,13 @@ def test_leaders_of_a_long_chain(spark, tmp_path):
         want[k] = next((m for m in leaders if bin(hashes[m] ^ h).count("1") <= 1), k)
         leaders += [k] * (want[k] == k)
     assert {r.k: r.leader for r in dedup.elect_leaders(rows, "k", "d", "h", 1).collect()} == want
+
+
+def test_sniff_reads_the_head_of_every_text(spark, tmp_path):
+    word = config.CODE_KEYWORDS[0]
+    texts = ["plain", word, "é" * 3000, "x" * 4095 + "é" * 50, "a " * 2040 + word + " b" * 3000, "a" * 5000 + word, "y" * (4096 - len(word)) + word, "z" * (4097 - len(word)) + word + "z" * 5000, "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    head = lambda t: t.encode()[:4096]
+    want = {i: "CODE" if any(k.encode() in head(t) for k in config.CODE_KEYWORDS) else "TEXT" for i, t in enumerate(texts) if t is not None}
+    got = {r.doc_id: r.track for r in catalogue.asset_sniff_all(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and {i: got[i] for i in want} == want and list(want.values()).count("CODE") == 3
