@@ -331,13 +331,17 @@ def first_seen(spark, d):
     return dedup.first_seen(table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")), "doc_id", "h")
 
 
-@query()
-def dedup_leaders(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "text")
+def _checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+
+
+@query()
+def dedup_leaders(spark, d):
+    docs = table(spark, d, "documents", "doc_id", "text")
+    _checkpoints(spark)
     rows = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).join(fp.simhash(docs, "doc_id", "text"), "doc_id")
     return dedup.elect_leaders(rows, "doc_id", "h", "simhash")
 
@@ -366,8 +370,18 @@ j AS (SELECT e.query_id, w.query_id AS work_id, count(*) / (any_value(e.n) + any
 SELECT query_id, work_id, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, work_id) AS r FROM j) WHERE r = 1""")
 def cross_org_match(spark, d):
     """Signals that one organisation exports (documents with ids divisible by 10) against all texts."""
+    return _signal_matches(spark, d, "doc_id % 10 = 0")
+
+
+@query()
+def cross_org_match_all(spark, d):
+    """Signals of all documents against all texts."""
+    return _signal_matches(spark, d, "true")
+
+
+def _signal_matches(spark: SparkSession, d: str, exported: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").withColumn("title", F.col("doc_id").cast("string"))
-    signals = governance.export_signals(docs.filter("doc_id % 10 = 0"), "org-alpha", "doc_id")
+    signals = governance.export_signals(docs.filter(exported), "org-alpha", "doc_id")
     found = governance.match_signals(docs.select(F.col("doc_id").alias("query_id"), fp.privacy_signature(F.col("text")).alias("sig")), signals)
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
@@ -450,8 +464,18 @@ def fingerprint_registered(spark, d):
 s AS (SELECT q.vec_id AS query_id, n.vec_id, list_dot_product(q.e, n.e) AS score FROM n q, n WHERE q.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank, round(score, 5) AS score FROM r WHERE rank <= 5""")
 def vector_topk5(spark, d):
+    return _top5(spark, d, "vec_id % 25 = 0")
+
+
+@query()
+def vector_topk5_20(spark, d):
+    """As vector_topk5, with the stated query set: every 20th vector."""
+    return _top5(spark, d, "vec_id % 20 = 0")
+
+
+def _top5(spark: SparkSession, d: str, asked: str) -> DataFrame:
     v = table(spark, d, "embeddings", "vec_id", "embedding")
-    rows = vector.top_k(v, v.filter("vec_id % 25 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", "embedding")
+    rows = vector.top_k(v, v.filter(asked).withColumnRenamed("vec_id", "query_id"), "vec_id", "query_id", "embedding")
     return rows.select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
@@ -463,14 +487,39 @@ def telemetry_p95(spark, d):
 @query("SELECT event_id, (user_id % 3) * 10 AS priority, row_number() OVER (ORDER BY (user_id % 3) * 10, event_id) AS position FROM events WHERE event_type = 'click' ORDER BY position LIMIT 100")
 def queue_order(spark, d):
     """The next 100 items of the queue: a top-k by priority and arrival."""
-    rows = table(spark, d, "events").filter(F.col("event_type") == "click").select("event_id", ((F.col("user_id") % 3) * 10).alias("priority"), F.col("event_id").alias("seq"))
-    top = queue.order(rows).limit(100)
+    top = queue.order(_queued(table(spark, d, "events").filter(F.col("event_type") == "click"))).limit(100)
     return top.select("event_id", "priority", F.row_number().over(Window.orderBy("priority", "seq")).alias("position"))
 
 
+@query()
+def queue_order_all(spark, d):
+    """All items in the order of the queue; positions are worked out in each range of (priority, arrival) and moved by the ranges before it."""
+    rows = _queued(table(spark, d, "events"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _checkpoints(spark)
+    ranges = rows.repartitionByRange(parts, "priority", "seq").withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = sorted(ranges.groupBy("part").count().collect())  # one row for each range
+    before = spark.createDataFrame([(p, sum(n for _, n in sizes[:i])) for i, (p, n) in enumerate(sizes)], "part int, before long")
+    within = F.row_number().over(Window.partitionBy("part").orderBy("priority", "seq"))
+    return ranges.withColumn("within", within).join(F.broadcast(before), "part").select("event_id", "priority", (F.col("before") + F.col("within")).alias("position"))
+
+
+def _queued(events: DataFrame) -> DataFrame:
+    return events.select("event_id", ((F.col("user_id") % 3) * 10).alias("priority"), F.col("event_id").alias("seq"))
+
+
 @query("SELECT user_id AS item_id, count(*) AS retry_count, 10 + 5 * least(count(*), 3) AS priority, count(*) > 3 AS dead, 'Attempt 1: ' || arg_min(event_type, event_id) AS first_error FROM events WHERE event_id % 50 = 0 GROUP BY 1")
 def retry_dlq(spark, d):
-    rows = table(spark, d, "events").filter("event_id % 50 = 0").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("error"))
+    return _retries(table(spark, d, "events").filter("event_id % 50 = 0"))
+
+
+@query()
+def retry_dlq_all(spark, d):
+    return _retries(table(spark, d, "events"))
+
+
+def _retries(events: DataFrame) -> DataFrame:
+    rows = events.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("error"))
     return queue.retried(rows).select("item_id", "retry_count", "priority", "dead", F.element_at("error_log", 1).alias("first_error"))
 
 
@@ -486,8 +535,17 @@ def audit_monthly(spark, d):
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS newest FROM events WHERE user_id % 20 = 0")
 def audit_by_asset(spark, d):
+    return _newest_first(table(spark, d, "events").filter("user_id % 20 = 0"))
+
+
+@query()
+def audit_by_asset_all(spark, d):
+    return _newest_first(table(spark, d, "events"))
+
+
+def _newest_first(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return table(spark, d, "events").filter("user_id % 20 = 0").select("user_id", "event_id", F.row_number().over(w).alias("newest"))
+    return events.select("user_id", "event_id", F.row_number().over(w).alias("newest"))
 
 
 @query("SELECT user_id AS url, arg_max(event_id, event_id) AS seq, arg_max(value, event_id) AS etag FROM events GROUP BY 1")
@@ -561,8 +619,18 @@ def graph_catch_up(spark, d):
 @query("SELECT page_id AS asset_id, CASE WHEN page_id % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'SIGNATURE_VALID' END AS reason FROM pages WHERE page_id % 10 = 0 OR page_id % 7 = 0")
 def certificate_verify(spark, d):
     """Signs certificates of a share of pages and verifies them; some come with another hash."""
+    return _verified(spark, _lineage(spark, d).filter("asset_id % 10 = 0 OR asset_id % 7 = 0"))
+
+
+@query()
+def certificate_verify_all(spark, d):
+    """Signs certificates of all pages and verifies them; some come with another hash."""
+    return _verified(spark, _lineage(spark, d))
+
+
+def _verified(spark: SparkSession, lineage: DataFrame) -> DataFrame:
     signer = provenance.Signer(spark)
-    rows = _lineage(spark, d).filter("asset_id % 10 = 0 OR asset_id % 7 = 0").withColumn("claimed", F.when(F.col("asset_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.col("asset_hash")))
+    rows = lineage.withColumn("claimed", F.when(F.col("asset_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.col("asset_hash")))
     signed = signer.sign(rows, "asset_hash")
     return provenance.verify_reason(signer.verify(signed, "asset_hash", "signature_b64"), "signature_valid", "claimed", "asset_hash").select("asset_id", "reason")
 
@@ -596,9 +664,24 @@ def acoustic_fingerprints(spark, d):
 @query("SELECT x.vec_id AS asset_id, y.vec_id AS item_id, bit_count(xor(x.h, y.h))::INTEGER AS dist FROM (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) x JOIN (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) y ON y.vec_id % 5 = 0 AND bit_count(xor(x.h, y.h)) < 8")
 def phash_match(spark, d):
     """64-bit hashes (here signs of vector components) against an index, fewer than 8 bits apart."""
+    v = _signs(spark, d)
+    return _near_hashes(v, v.filter("vec_id % 5 = 0"))
+
+
+@query()
+def phash_match_all(spark, d):
+    """As phash_match, with all hashes in the index."""
+    v = _signs(spark, d)
+    return _near_hashes(v, v)
+
+
+def _signs(spark: SparkSession, d: str) -> DataFrame:
     h = F.lit(0).cast("long")
     for i in range(63):
         h = h.bitwiseOR(F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    v = table(spark, d, "embeddings").select("vec_id", h.alias("h"))
-    index = v.filter("vec_id % 5 = 0").select(F.col("vec_id").alias("item_id"), F.col("h").alias("i_hash"))
+    return table(spark, d, "embeddings").select("vec_id", h.alias("h"))
+
+
+def _near_hashes(v: DataFrame, index: DataFrame) -> DataFrame:
+    index = index.select(F.col("vec_id").alias("item_id"), F.col("h").alias("i_hash"))
     return simjoin.hamming_join(v.select(F.col("vec_id").alias("asset_id"), F.col("h").alias("a_hash")), index, "asset_id", "item_id", "a_hash", "i_hash", config.DEFAULT.phash_distance - 1).withColumn("dist", F.col("dist").cast("int"))
