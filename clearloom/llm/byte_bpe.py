@@ -2,7 +2,7 @@
 
 Token bytes are mapped to Latin-1 strings, and a pyahocorasick automaton finds every token in a piece in one pass; the longest token at each place is kept. Encoding goes from left to right: take the longest token; if it isn't compatible with the one before (their joined bytes would be merged otherwise), take its longest proper prefix that is a token; if none is left, step back and mark the place as a dead end. A sequence whose neighbours are all compatible is what the merges yield, and dead ends are met once, so the time is linear in the piece. Compatibility and encoded pieces are memoised, with bounds.
 
-Nulls: a null text is an empty one (no ids). Repeated rows, null doc_ids and empty tables pass through row by row. Other columns of the input are not read.
+Nulls: a null text is an empty one (no ids). A very long text is one step of numpy, with about 40 bytes of memory for each of its own. Repeated rows, null doc_ids and empty tables pass through row by row. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ import ahocorasick
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import PieceEncoder, text_slices
+from .tokens import PieceEncoder
 
 #: Memoised pairs of tokens per worker process; beyond it they start anew.
 PAIRS = 400_000
@@ -108,23 +109,16 @@ class ByteBpe:
 
 
 class ByteBpeText(PieceEncoder):
-    """Whole texts: the pattern's matches one by one, pieces cached."""
-
-    def __init__(self, path: str, cache: int = 600_000):
-        import regex
+    """Whole texts: the pattern's matches one by one. Pieces are cut and kept as PieceEncoder does."""
 
+    def __init__(self, path: str, pieces: int = 1 << 19):
         self.bpe = ByteBpe.load(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.cache = cache
-        self.bare, self.led = {}, {}
+        self._begin(pieces, [])
 
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+    def learn(self, new: list[str]) -> list[np.ndarray]:
         find, piece = self.pattern.findall, self.bpe.encode_piece
-        for p in new:
-            ids: list[int] = []
-            for match in find(lead + p):
-                ids += piece(match.encode())
-            known[p] = np.array(ids, "<u4").tobytes()
+        return [np.array([i for match in find(p) for i in piece(match.encode())], np.uint32) for p in new]
 
 
 _loaded: dict[str, ByteBpeText] = {}
@@ -138,14 +132,13 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             _loaded[path] = ByteBpeText(path)
         enc = _loaded[path]
         for batch in batches:
-            n, a, b = [], [], []
-            for part in text_slices(batch.column(1).to_pylist()):
-                for raw in enc.encode(part):
-                    ids = np.frombuffer(raw, "<u4")
-                    n.append(len(ids))
-                    a.append(hashlib.sha256(raw).hexdigest())
-                    b.append(hashlib.sha256(enc.bpe.decode(ids.tolist())).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for ids, counts, first in enc.encode_column(batch.column(1)):
+                ends = np.cumsum(counts).tolist()
+                raw, a, b = memoryview(ids.astype("<u4").tobytes()), [], []
+                for i, j in zip([0, *ends], ends):
+                    a.append(hashlib.sha256(raw[4 * i : 4 * j]).hexdigest())
+                    b.append(hashlib.sha256(enc.bpe.decode(ids[i:j].tolist())).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

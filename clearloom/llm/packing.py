@@ -2,7 +2,7 @@
 
 Pieces are dealt at random into groups of about GROUP_PIECES, and each group is packed by itself: largest first, each into the open sequence that fits it under every constraint and scores best, by weighted residual norm (what stays free after the piece, as shares of the capacities; least wins) or by weighted dot product of the piece and the free room (greatest wins). A group leaves about one sequence partly filled, so the loss is a fixed small share at any size.
 
-Nulls: a null text is an empty one, and holds the end id only. Null or repeated doc_ids are packed as separate documents; ties go to the older sequence. An empty table gives an empty result. Other columns of the input are not read. Documents longer than a sequence are cut into full pieces; the first piece takes the remainder.
+Nulls: a null text is an empty one, and holds the end id only. Null or repeated doc_ids are packed as separate documents; ties go to the older sequence. A very long text is one step of the encoder. An empty table gives an empty result. Other columns of the input are not read. Documents longer than a sequence are cut into full pieces; the first piece takes the remainder.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .tokens import END_ID, encoder, text_slices
+from .tokens import encoder, with_ends
 
 GROUP_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -83,18 +83,16 @@ def pieces(docs: DataFrame, path: str, most: int) -> DataFrame:
     """The pieces of each document, with the crc32 of their ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(path), END_ID.to_bytes(4, "little")
+        enc = encoder(path)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at, rows = 0, ([], [], [], [], [])
-            for part in text_slices(texts):
-                for raw in enc.encode(part):
-                    raw += end
-                    for k, (start, length) in enumerate(cut(len(raw) // 4, most)):
-                        for col, x in zip(rows, (ids[at], k, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]))):
+            for ids, counts, first in enc.encode_column(batch.column(1)):
+                ids, sizes, begin = with_ends(ids, counts)
+                raw, rows = memoryview(ids.astype("<u4").tobytes()), ([], [], [], [], [])
+                for at, n, key in zip(begin.tolist(), sizes.tolist(), batch.column(0).slice(first, len(counts)).to_pylist()):
+                    for k, (start, length) in enumerate(cut(n, most)):
+                        for col, x in zip(rows, (key, k, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)]))):
                             col.append(x)
-                    at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
 

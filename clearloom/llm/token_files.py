@@ -9,7 +9,7 @@ The file format: one Parquet row per block of about BLOCK_TOKENS ids, in ascendi
   keys    doc_id of each document (i64), with a null mask (u8)
 Documents lie in ascending doc_id order through shards and blocks. A shard is a range of doc_ids; no document is split.
 
-Nulls: a null text is an empty one, and holds the end id only. Null doc_ids come first. Repeated doc_ids lie next to each other in an order fixed by their text. An empty table gives an empty file. Other columns of the input are not read.
+Nulls: a null text is an empty one, and holds the end id only. Null doc_ids come first. Repeated doc_ids lie next to each other in an order fixed by their text. A very long text is one step of the encoder. An empty table gives an empty file. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -25,85 +25,92 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stage, table
-from .tokens import END_ID, encoder, text_slices
+from .tokens import END_ID, encoder, with_ends
 
 BLOCK_TOKENS = 1 << 20
 MAGIC, VERSION = 0x52505231, 1
-#: Rules made per round, rounds, and the least count of a pair worth a rule.
-RULES, ROUNDS, LEAST = 256, 3, 16
+#: The least count of a pair worth a rule. A rule takes the room of three symbols (left, right, size) and each use saves one.
+LEAST = 6
 BLOCKS = "shard int, block int, before long, tokens long, payload binary"
 
 
-def frequent_pairs(seq: np.ndarray, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent adjacent pairs (as left << 32 | right) and their counts. Pairs are first counted by a hash, and exactly where that reaches the bar."""
-    if len(seq) < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    a, b = seq[:-1], seq[1:]
-    bits = max(10, min(18, len(seq).bit_length() - 2))
-    h = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
-    counts = np.bincount(h, minlength=1 << bits)
-    bar = max(least, int(np.partition(counts, -min(2 * most, len(counts)))[-min(2 * most, len(counts))]))
-    at = np.flatnonzero(counts[h] >= bar)
-    keys, n = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_counts=True)
-    top = np.lexsort((keys, -n))[:most]
-    top = top[n[top] >= least]
-    return keys[top], n[top]
-
-
-def replaced(seq: np.ndarray, keys: np.ndarray, first: int) -> np.ndarray:
-    """seq with the pairs replaced by first, first + 1, ...; of overlapping pairs the more frequent goes first, then the left one."""
-    order = np.argsort(keys)
-    pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    lefts = np.zeros(int(seq.max()) + 1, bool)
-    lefts[(keys >> np.uint64(32)).astype(np.int64)] = True
-    at = np.flatnonzero(lefts[seq[:-1]])
-    place = np.searchsorted(keys[order], pair[at])
-    place[place == len(keys)] = 0
-    hit = keys[order][place] == pair[at]
-    at, rank = at[hit], order[place[hit]]
-    if not len(at):
-        return seq
+def frequent_pairs(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs at the places `at` (ascending): those that occur `least` times there, as left << 32 | right; their counts; the places they stand at; and the number of the pair at each of these."""
+    a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
+    keys = a << np.uint64(32) | b
+    wide, far = np.uint64(int(seq.max()).bit_length()), np.uint64(max(1, len(at).bit_length()))
+    if 2 * wide + far <= 64:  # pair and place in one number: sorted without an index
+        low = (np.uint64(1) << far) - np.uint64(1)
+        order = (np.sort((a << wide | b) << far | np.arange(len(at), dtype=np.uint64)) & low).astype(np.int64)
+    else:
+        order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
+    n = np.diff(first, append=len(keys))
+    often = n >= least
+    number = np.full(len(at), -1, np.int32)
+    number[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), n)
+    hit = np.flatnonzero(number >= 0)
+    return keys[first[often]], n[often], at[hit], number[hit]
+
+
+def chosen(at: np.ndarray, number: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which of the places give way to their rule: of overlapping pairs the more frequent goes first, then the left one."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+    rank = rank[number]
     touch = at[1:] == at[:-1] + 1
     keep = np.ones(len(at), bool)
     keep[1:] &= ~(touch & (rank[:-1] <= rank[1:]))
     keep[:-1] &= ~(touch & (rank[1:] < rank[:-1]))
-    at, rank = at[keep], rank[keep]
-    out = seq.copy()
-    out[at] = first + rank
-    gone = np.zeros(len(seq), bool)
-    gone[at + 1] = True
-    return out[~gone]
+    alike = touch & (rank[:-1] == rank[1:])
+    if alike.any():  # in a run of one pair ("aaaa") every other one may go, if the first does
+        begin = np.concatenate([[True], ~alike])
+        lead = np.flatnonzero(begin)[np.cumsum(begin) - 1]
+        keep |= ((np.arange(len(at)) - lead) % 2 == 0) & ~begin & np.concatenate([alike, [False]]) & keep[lead]
+    return keep
 
 
-def grammar(seq: np.ndarray, most: int = RULES, rounds: int = ROUNDS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
-    """(terminals, rules as rows of left and right, sequence): symbols from `terminals` on stand for rules."""
+def grammar(seq: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
+    """(terminals, rules as rows of left and right, sequence): symbols from `terminals` on stand for rules. Rounds go on until no pair occurs `least` times; each makes a rule of every pair that does, wherever a more frequent one doesn't overlap it.
+
+    A round looks only at places whose pair was frequent before or holds a new symbol: no other pair's count can have grown.
+    """
     seq = np.ascontiguousarray(seq, np.uint32)
-    terminals = int(seq.max()) + 1 if len(seq) else 0
-    rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        keys, _n = frequent_pairs(seq, most, least)
+    first = terminals = int(seq.max()) + 1 if len(seq) else 0
+    rules: list[np.ndarray] = [np.zeros((0, 2), np.uint32)]
+    at = np.arange(max(len(seq) - 1, 0))
+    while len(at):
+        keys, counts, at, number = frequent_pairs(seq, at, least)
+        keep = chosen(at, number, counts)
         if not len(keys):
             break
-        seq = replaced(seq, keys, terminals + made)
+        live = np.zeros(len(seq), bool)
+        live[at[~keep]] = True
+        at, number = at[keep], number[keep]
+        used = np.zeros(len(counts), bool)
+        used[number] = True
+        out = seq.copy()
+        out[at] = first + (np.cumsum(used) - 1)[number]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        stays = np.ones(len(seq), bool)
+        stays[at + 1] = False
+        # The place before a new symbol may itself be the second half of another.
+        live[np.maximum(at - 2, 0)] |= ~stays[np.maximum(at - 1, 0)]
+        seq, live = out[stays], live[stays]
+        at = np.flatnonzero(live[:-1])
+        keys = keys[used]
         rules.append(np.stack([keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += len(keys)
-    return terminals, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
+        first += len(keys)
+    return terminals, np.concatenate(rules), seq
 
 
 def rule_sizes(terminals: int, rules: np.ndarray) -> np.ndarray:
-    sizes = np.ones(len(rules), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        sizes[i] = (sizes[a - terminals] if a >= terminals else 1) + (sizes[b - terminals] if b >= terminals else 1)
-    return sizes
-
-
-def expansions(terminals: int, rules: np.ndarray) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    of = lambda s: out[s - terminals] if s >= terminals else np.array([s], np.uint32)
+    sizes = [1] * terminals
     for a, b in rules.tolist():
-        out.append(np.concatenate([of(a), of(b)]))
-    return out
+        sizes.append(sizes[a] + sizes[b])
+    return np.array(sizes[terminals:], np.uint32)
 
 
 class Block:
@@ -126,7 +133,6 @@ class Block:
         self.sizes, self.symbols, self.lengths = take("<u4", n_rules), take("<u4", n_sym), take("<u4", n_docs)
         self.keys, self.null = take("<i8", n_docs), take("u1", n_docs)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-        self._flat = None
 
     def _symbol_sizes(self, symbols: np.ndarray) -> np.ndarray:
         size = np.ones(len(symbols), np.int64)
@@ -134,18 +140,27 @@ class Block:
         size[rule] = self.sizes[symbols[rule] - self.terminals]
         return size
 
+    def _wholly(self, symbols: np.ndarray) -> np.ndarray:
+        """Symbols become terminals: rules give way to their two sides, level by level."""
+        out = symbols.astype(np.uint32)
+        while (rule := out >= self.terminals).any():
+            at = np.cumsum(rule + 1)[rule]
+            sides = self.rules[out[rule] - self.terminals]
+            out = np.repeat(out, rule + 1)
+            out[at - 2], out[at - 1] = sides[:, 0], sides[:, 1]
+        return out
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        if self._flat is None:
-            parts = expansions(self.terminals, self.rules)
-            self._flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), *parts]) if self.terminals else np.zeros(0, np.uint32)
-            self._at = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])[: len(self.sizes)] + self.terminals
-        size = self._symbol_sizes(symbols)
+        """The ids that symbols stand for."""
+        if len(symbols) < len(self.rules):
+            return self._wholly(symbols)
+        flat = np.concatenate([np.arange(self.terminals, dtype=np.uint32), self._wholly(self.rules.ravel())])
         begin = symbols.astype(np.int64)
         rule = symbols >= self.terminals
-        begin[rule] = self._at[symbols[rule] - self.terminals]
+        begin[rule] = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes + self.terminals)[symbols[rule] - self.terminals]
+        size = self._symbol_sizes(symbols)
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        return self._flat[np.repeat(begin - (ends - size), size) + np.arange(total)]
+        return flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
     def all_ids(self) -> np.ndarray:
         return self.expand(self.symbols)
@@ -161,7 +176,7 @@ class Block:
         return self.expand(self.symbols[a:b])[skip : skip + (hi - lo)]
 
 
-def block(ids: np.ndarray, lengths: list[int], keys: list[int | None]) -> bytes:
+def block(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None]) -> bytes:
     terminals, rules, seq = grammar(ids)
     head = np.array([MAGIC, VERSION, terminals, len(rules), len(seq), len(lengths), len(ids) & 0xFFFFFFFF, len(ids) >> 32], "<u4")
     null = np.array([k is None for k in keys], "u1")
@@ -172,27 +187,25 @@ def write(docs: DataFrame, path: str, end: int = END_ID, block_tokens: int = BLO
     """Writes the blocks to the shared folder and returns them as read from there: shard, block, before (ids of the shard before it), tokens, payload."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, stop, shard = encoder(path), end.to_bytes(4, "little"), TaskContext.get().partitionId()
-        raw, lengths, keys, size, before, number = [], [], [], 0, 0, 0
+        enc, shard = encoder(path), TaskContext.get().partitionId()
+        flat, lengths, keys, size, before, number = [], [], [], 0, 0, 0
 
         def out() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block(ids, lengths, keys)], pa.binary())], names=["shard", "block", "before", "tokens", "payload"])
+            ids = np.concatenate(flat)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([block(ids, np.concatenate(lengths), keys)], pa.binary())], names=["shard", "block", "before", "tokens", "payload"])
 
         for batch in batches:
-            ids, texts, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for part in text_slices(texts):
-                for x in enc.encode(part):
-                    raw.append(x + stop)
-                    lengths.append(len(x) // 4 + 1)
-                    keys.append(ids[at])
-                    size += lengths[-1]
-                    at += 1
-                    if size >= block_tokens:
-                        yield out()
-                        before, number = before + size, number + 1
-                        raw, lengths, keys, size = [], [], [], 0
-        if raw:
+            for ids, counts, first in enc.encode_column(batch.column(1)):
+                ids, sizes, _ = with_ends(ids, counts, end)
+                flat.append(ids)
+                lengths.append(sizes)
+                keys += batch.column(0).slice(first, len(counts)).to_pylist()
+                size += len(ids)
+                if size >= block_tokens:
+                    yield out()
+                    before, number = before + size, number + 1
+                    flat, lengths, keys, size = [], [], [], 0
+        if flat:
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
