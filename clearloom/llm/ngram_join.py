@@ -1,28 +1,31 @@
 """Similarity join of documents on word n-gram sets (Jaccard), with token-combination prefixes.
 
-Sets are hashed n-grams. Equal sets are one class, so copies are never paired. All classes order their n-grams in one way: those that are rare in the corpus first, then by hash. Two sets of Jaccard similarity J overlap in at least J times the larger size, so they share at least COMBINE n-grams among the first n - ceil(J n) + COMBINE of each. The index holds these prefixes: a token of at most FREQUENT classes by itself, more frequent ones in combinations of COMBINE (pairs of similar sets that share no rarer token share such a combination). Sets above LONG n-grams have too many combinations and index every token by itself; sizes between LONG and LONG / J do both.
+Sets are hashed n-grams. Equal sets are one class, so copies are never paired. All classes order their n-grams in one way: those that are known to be frequent last, then by hash. Two sets of Jaccard similarity J overlap in at least J times the larger size, so they share at least COMBINE n-grams among the first n - ceil(J n) + COMBINE of each. The index holds these prefixes: an n-gram of at most FREQUENT classes by itself, more frequent ones in combinations of COMBINE (similar sets that share no rarer n-gram share such a combination). Sets above LONG n-grams have too many pairs; they combine each n-gram of a longer prefix with the next one: two linked sets are at most d n-grams apart, each of which parts two neighbours at most, so among the first 3 d + 2 of each some neighbours stay together. Sizes between LONG and LONG / J do both.
 
-In each bucket of the index all members are verified against one leader, the smallest. What the verified links connect needs no more comparison. Where members of other components remain, a few of them at a time lead in turn and are verified against all members that are not in their component; after TURNS such rounds all that are left are. So no link between components is missed, and a group of n near copies costs about n verifications a bucket, not n squared. Verification first counts n-grams that only one prefix has (they must be few), then compares whole sets.
+In each bucket of the index all members are compared with its lead, the class of most copies. Buckets that links then connect are done. Of others, the small ones compare their pairs of different components; the large ones go on with each member's differences from the lead instead of its n-grams (based_on): a member that isn't linked to the lead can be linked only to members that share several of its differences, so new buckets of those are far smaller. That goes on, with more pairs compared in each round, until all buckets are done: no link between components is missed, and a group of n near copies costs about n comparisons, not n squared.
 
-Nulls: a null text is an empty one; a document without words has no n-gram and no link. Null and repeated doc_ids are rows of their own; a component's id is its smallest doc_id. Fewer words than the n-gram length count as one n-gram. An empty table gives an empty result. Other columns of the input are not read.
+A comparison first looks at bitmaps with about one bit for each n-gram, which bound how far two sets are apart from below, and then at whole sets.
+
+Nulls: a null text is an empty one; a document without words has no n-gram and no link. Null and repeated doc_ids are rows of their own; a component's id is its smallest doc_id. Fewer words than the n-gram length count as one n-gram. A very long text is one step of numpy, with about 100 bytes for each of its own. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, signed, slices, stage, table, text_buffers, word_hashes
+from .common import discard, mix, signed, slices, stage, table, text_buffers, word_hashes
 
 COMBINE = 2
-#: Members of a bucket that are compared with all others at a time, and how often, before all that are left are.
-LEADERS, TURNS = 4, 3
+#: Classes up to which an n-gram is indexed by itself; n-grams of a set from which neighbours are combined instead of all pairs.
 FREQUENT, LONG = 1000, 200
+#: Pairs for each member up to which all pairs of a bucket are compared, in the first round; in each later one this times as many.
+FEW, MORE = 8, 8
 #: N-grams counted before the join: this share of the hash range; more frequent than TOP_COUNT comes last in the order; at most TOP_MOST of them are known.
 SHARE, TOP_COUNT, TOP_MOST = 0.2, 32, 400_000
 
@@ -80,96 +83,156 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + COMBINE
 
 
-def classed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, s1, s2; classes: node, n, prefix). prefix: hashes in the order of the join, with the frequent ones as a second list."""
+def most_apart(n, percent: int):
+    """The most n-grams that only one of two linked sets has, where one of them has n."""
+    return n * (100 - percent) // percent
+
+
+def in_order(s: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A sorted set's n-grams in the order of the join, in two parts: those that aren't known to be frequent, and those that are."""
+    if not len(top):
+        return s, s[:0]
+    is_top = top[np.minimum(np.searchsorted(top, s), len(top) - 1)] == s
+    return s[~is_top], s[is_top]
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap of a power of two of bits, about one for each n-gram: the parity of the n-grams that fall on each. Two sets differ in at least as many n-grams as bits."""
+    bits = max(64, 1 << max(0, len(s) - 1).bit_length())
+    at = (mix(s ^ np.uint64(0x7ABCDEF)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def classed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """(rows: doc_id, t, n, s1, s2; classes: node, n, copies, prefix, bits; the known frequent n-grams)."""
     top = docs.sparkSession.sparkContext.broadcast(top_grams(docs.select("text"), n))  # at most TOP_MOST hashes
-    schema = "doc_id long, t long, n int, s1 long, s2 long, prefix array<long>, top int"
+    schema = "doc_id long, t long, n int, s1 long, s2 long, prefix array<long>, bits array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, s1, s2, prefix, tops = [], [], [], [], []
-            for _, sets in sets_of(batch.column(2), n):
+            for i, sets in sets_of(batch.column(2), n):
+                size, s1, s2, prefix, bits = [], [], [], [], []
                 for s in sets:
                     size.append(len(s))
                     with np.errstate(over="ignore"):
                         s1.append(int(signed(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))])))[0]))
                         s2.append(int(signed(np.array([np.bitwise_xor.reduce(mix(s ^ np.uint64(0x1234567)))]))[0]) if len(s) else 0)
-                    if len(s) * (100 - percent) >= percent:  # else no other set is similar enough
-                        take = prefix_size(len(s), percent)
-                        if len(top.value):
-                            i = np.searchsorted(top.value, s)
-                            is_top = top.value[np.minimum(i, len(top.value) - 1)] == s
-                        else:
-                            is_top = np.zeros(len(s), bool)
-                        p = np.concatenate([s[~is_top][:take], s[is_top][: max(0, take - int((~is_top).sum()))]])
-                        tops.append(max(0, take - int((~is_top).sum())))
-                        prefix.append(signed(p))
-                    else:
-                        tops.append(0)
-                        prefix.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(tops, pa.int32())], names=["doc_id", "t", "n", "s1", "s2", "prefix", "top"])
+                    first, then = in_order(s, top.value)
+                    take = prefix_size(len(s), percent) if most_apart(len(s), percent) else 0  # 0: no other set is similar enough
+                    prefix.append(signed(np.concatenate([first[:take], then[: max(0, take - len(first))]])))
+                    bits.append(parity(s) if take else np.zeros(0, np.int64))
+                cols = [pa.array(size, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, len(sets)) for c in batch.columns[:2]), *cols], names=["doc_id", "t", "n", "s1", "s2", "prefix", "bits"])
 
     rows = stage(docs.select("doc_id", "t", "text").mapInArrow(run, schema), "ngram-rows")
-    classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("t").alias("node"), F.any_value("prefix").alias("prefix"), F.any_value("top").alias("top"))
-    return rows.select("doc_id", "t", "n", "s1", "s2"), stage(classes, "ngram-classes")
+    classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("t").alias("node"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
+    return rows.select("doc_id", "t", "n", "s1", "s2"), stage(classes, "ngram-classes"), top
+
 
+def sets_for(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """t, s: the whole sets of the texts with these hashes (column t)."""
 
-def index(classes: DataFrame, percent: int) -> DataFrame:
-    """key, node, n: the buckets with more than one member."""
-    posts = classes.filter(F.size("prefix") > 0).select("node", "n", F.explode("prefix").alias("g"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, sets in sets_of(batch.column(1), n):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["t", "s"])
+
+    return docs.join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(run, "t long, s array<long>")
+
+
+def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
+    """key, node, n, copies: the members of each bucket."""
+    posts = classes.filter(F.size("prefix") > 0).select("node", "n", "copies", F.explode("prefix").alias("g"))
     df = posts.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     posts = stage(posts.join(df, "g"), "ngram-posts")
-    rare = posts.filter((F.col("df") <= FREQUENT) | (F.col("n") > LONG)).select(F.col("g").alias("key"), "node", "n")
-    lists = posts.filter((F.col("df") > FREQUENT) & (F.col("n") * percent <= LONG * 100)).groupBy("node", "n").agg(F.array_sort(F.collect_list("g")).alias("gs"))  # a prefix at most
+    names = ["key", "node", "n", "copies"]
+    rare = posts.filter(F.col("df") <= FREQUENT).select(F.col("g").alias("key"), *names[1:])
+    lists = posts.filter(F.col("df") > FREQUENT).groupBy("node", "n", "copies").agg(F.array_sort(F.collect_list("g")).alias("gs"))  # a prefix at most
+    lists = stage(lists, "ngram-frequent")
     pairs = F.flatten(F.transform("gs", lambda x, i: F.transform(F.slice("gs", i + 2, F.size("gs")), lambda y: F.xxhash64(x, y))))
-    combined = lists.select(F.explode(pairs).alias("key"), "node", "n")
-    return stage(rare.unionByName(combined).distinct(), "ngram-index")
+    out = rare.unionByName(lists.filter(F.col("n") * percent <= LONG * 100).select(F.explode(pairs).alias("key"), *names[1:]))
+    wide = lists.filter(F.col("n") > LONG).select(F.col("node").alias("t"), "n", "copies")
+    if not wide.isEmpty():
+
+        def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for t, s in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    s = np.concatenate(in_order(np.asarray(s.values).view(np.uint64), top.value))[: 3 * most_apart(len(s), percent) + 2]
+                    with np.errstate(over="ignore"):
+                        keys = mix(mix(s[:-1]) * np.uint64(3) + s[1:])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.full(len(keys), t))], names=["key", "t"])
 
+        keys = sets_for(docs, wide.select("t"), n).mapInArrow(neighbours, "key long, t long")
+        out = out.unionByName(keys.join(wide, "t").select("key", F.col("t").alias("node"), "n", "copies"))
+    return stage(out.distinct(), "ngram-index")
 
-def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and prefixes allow the similarity. Within what both prefixes cover, n-grams that only one set has are all known."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"), F.col("top").alias(f"t_{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    rows = rows.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {k: batch.column(k) for k in ("n_a", "n_b", "t_a", "t_b")}
-            na, nb, ta, tb = (cols[k].to_numpy() for k in cols)
-            keep = np.zeros(len(batch), bool)
-            pa_, pb = batch.column("p_a"), batch.column("p_b")
-            for i in range(len(batch)):
-                x, y = pa_[i].values.to_numpy().view(np.uint64), pb[i].values.to_numpy().view(np.uint64)
-                # Only rare parts are compared; each is complete up to its last hash, or (with frequent ones after it) wholly.
-                x, y = x[: len(x) - ta[i]], y[: len(y) - tb[i]]
-                end = [np.uint64(2**64 - 1)]
-                if not ta[i]:
-                    end.append(x[-1])
-                if not tb[i]:
-                    end.append(y[-1])
-                end = min(end)
-                x, y = x[x <= end], y[y <= end]
-                differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = differ * (100 + percent) <= (100 - percent) * (int(na[i]) + int(nb[i]))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-    return rows.mapInArrow(run, "a long, b long")
+def sized(a, b, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def linkable(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and bitmaps allow the similarity."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"b_{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized("n_a", "n_b", percent))
+
+    def halved(mine: str, other: str) -> Column:
+        """A bitmap, folded once where the other one is shorter: sizes that may be linked are less than a factor of 2 apart."""
+        half = F.size(mine) / 2
+        return F.when(F.size(mine) > F.size(other), F.zip_with(F.slice(mine, F.lit(1), half.cast("int")), F.slice(mine, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(mine))
+
+    apart = F.aggregate(F.zip_with(halved("b_a", "b_b"), halved("b_b", "b_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return rows.filter(apart * (100 + percent) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs whose whole sets are similar enough."""
-    near = stage(plausible(pairs, classes, percent), "ngram-near")
+    near = stage(linkable(pairs, classes, percent), "ngram-near")
     nodes = near.select(F.col("a").alias("t")).union(near.select("b")).distinct()
+    sets = stage(sets_for(docs, nodes, n), "ngram-sets")
+    side = lambda x: sets.select(F.col("t").alias(x), F.col("s").alias(f"s_{x}"))
+    both = near.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    out = stage(both.filter(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b"), "ngram-links")
+    discard(near, sets)
+    return out
+
+
+def based_on(lead: np.ndarray, s: np.ndarray, top: np.ndarray, percent: int) -> tuple[np.ndarray, int, int]:
+    """A set as its differences from a lead's: (n-grams that only one of the two has, in an order common to all sets; how many of them to index if the set isn't linked to the lead, 0 if it is; how many in any case).
+
+    Sets A and B differ from each other as their differences D(A) and D(B) do. If they are linked and A isn't linked to the lead, D(A) and D(B) overlap in more than half of D(B) (but for sizes), and in all of either but what A and B may be apart. So they share one of the first few of each. What the lead lacks comes first: many sets lack the same n-grams of a lead, few add the same.
+    """
+    added, lost = np.setdiff1d(s, lead, assume_unique=True), np.setdiff1d(lead, s, assume_unique=True)
+    d, apart = len(added) + len(lost), int(most_apart(len(s), percent))
+    order = np.concatenate([*in_order(added, top), *in_order(lost, top)])
+    far = d * (100 + percent) > (100 - percent) * (len(s) + len(lead))
+    share = max(1, d - apart, (d * (100 + percent) + (100 - percent) * (len(lead) - len(s))) // (2 * (100 + percent)) + 1)
+    return order, d - max(1, d - apart) + 1 if far else 0, max(0, d - share + 1)
+
+
+def rebased(groups: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
+    """From pairs (lead, node): key, node, far, near of the buckets of each lead's members by their differences from it. A pair needs a look if one of the two is far in the bucket and the other near."""
+    sets = stage(sets_for(docs, groups.select(F.col("lead").alias("t")).union(groups.select("node")).distinct(), n), "ngram-sets")
+    both = groups.join(sets.select(F.col("t").alias("node"), F.col("s").alias("s_node")), "node").join(sets.select(F.col("t").alias("lead"), F.col("s").alias("s_lead")), "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [signed(s) for _, part in sets_of(batch.column(1), n) for s in part]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["t", "s"])
-
-    sets = stage(docs.join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(run, "t long, s array<long>"), "ngram-sets")
-    side = lambda x: sets.select(F.col("t").alias(x), F.col("s").alias(f"s_{x}"))
-    both = near.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-    return both.filter(100 * F.col("common") >= percent * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b")
+            for at in range(0, len(batch), 256):
+                part, out = batch.slice(at, 256), ([], [], [], [])
+                for lead, node, a, b in zip(part.column("lead").to_pylist(), part.column("node").to_pylist(), part.column("s_lead"), part.column("s_node")):
+                    order, far, near = based_on(np.asarray(a.values).view(np.uint64), np.asarray(b.values).view(np.uint64), top.value, percent)
+                    m = max(far, near)
+                    with np.errstate(over="ignore"):
+                        out[0].append(mix(order[:m] ^ mix(np.array([lead]).view(np.uint64))))
+                    out[1].append(np.full(m, node))
+                    out[2].append(np.arange(m) < far)
+                    out[3].append(np.arange(m) < near)
+                key, node, far, near = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(node), pa.array(far), pa.array(near)], names=["key", "node", "far", "near"])
+
+    out = stage(both.select("lead", "node", "s_lead", "s_node").mapInArrow(run, "key long, node long, far boolean, near boolean"), "ngram-rebased")
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,46 +251,49 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(edges: DataFrame | None, labels: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with more of them, and the labels of their components."""
+    if edges is None:
+        return more, components(more)
+    if more.isEmpty():
+        return edges, labels
+    edges = stage(edges.union(more), "ngram-edges")
+    return edges, components(edges)
+
+
+def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with their component as `own`, of buckets that hold more than one component."""
+    known = members.join(labels, "node", "left").withColumn("own", F.coalesce("label", "node")).drop("label")
+    several = known.groupBy("key").agg(F.min("own").alias("least"), F.max("own").alias("most")).filter("least < most").select("key")
+    return known.join(several, "key", "left_semi")
+
+
 def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, label (of the component, stable for a corpus), class (s1, s2: equal sets) of each row of docs (doc_id, text)."""
     if not 67 <= percent <= 100:
         raise ValueError("similarity from 67 to 100 percent: below, small sets may share fewer n-grams than are combined")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
-    rows, classes = classed(docs, n, percent)
-    buckets = index(classes, percent)
-    sized = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    first = buckets.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("size")).filter(F.col("size") > 1)
-    members = stage(buckets.join(first.drop("size"), "key").withColumn("done", F.col("node") == F.col("first")), "ngram-members")
-    leads = members.filter("done").select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"))
-    stars = members.join(leads, "key").filter((F.col("node") != F.col("lead")) & sized("n", "lead_n")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    edges = stage(verified(stars, docs, classes, n, percent), "ngram-edges")
-    labels = components(edges)
-    for turn in range(TURNS + 1):
-        # Buckets whose members aren't all in one component, with members that aren't in their first one's and were compared with nobody yet.
-        label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}"))
-        known = members.join(label("node"), "node", "left").join(label("first"), "first", "left")
-        known = known.select("key", "node", "n", "first", "done", F.coalesce("l_node", "node").alias("own"), (F.coalesce("l_node", "node") != F.coalesce("l_first", "first")).alias("away"))
-        live = known.groupBy("key").agg(F.bool_or(F.col("away") & ~F.col("done")).alias("live")).filter("live").select("key")
-        members = stage(known.join(live, "key", "left_semi"), "ngram-members")
-        if members.isEmpty():
-            break
-        if turn < TURNS:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node"))
-            asked = members.filter(F.col("away") & ~F.col("done")).withColumn("r", rank).filter(F.col("r") <= LEADERS)
-        else:
-            asked = members.filter(F.col("away") & ~F.col("done"))
-        asked = stage(asked.select("key", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("own").alias("lead_own")), "ngram-asked")
-        # A pair of members that both ask is met once; members that asked before were compared with all.
-        met = members.filter(~F.col("done")).join(asked, "key").filter((F.col("own") != F.col("lead_own")) & sized("n", "lead_n"))
-        pairs = met.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        more = stage(verified(pairs, docs, classes, n, percent), "ngram-edges")
-        if not more.isEmpty():
-            edges = stage(edges.union(more), "ngram-edges")
-            labels = components(edges)
-        if turn == TURNS:
+    rows, classes, top = classed(docs, n, percent)
+    members = index(classes, docs, top, n, percent).withColumns({"far": F.lit(True), "near": F.lit(True)})
+    edges, labels, first, few = None, None, True, FEW
+    while True:
+        lead = F.max(F.struct("copies", "node", "n"))
+        heads = members.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("size"), F.sum(F.col("far").cast("long")).alias("fars"), F.sum(F.col("near").cast("long")).alias("nears")).filter("size > 1 and fars > 0")
+        heads = heads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), (F.col("fars") * F.col("nears") > few * F.col("size")).alias("large"))
+        members = stage(members.join(heads, "key"), "ngram-members")
+        # All are compared with the lead; in small buckets of later rounds that is left to the comparison of pairs.
+        stars = members.filter((F.col("node") != F.col("lead")) & (F.col("large") | F.lit(first)) & sized("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+        edges, labels = joined(edges, labels, verified(stars, docs, classes, n, percent))
+        live = apart(members, labels).filter(~F.col("large"))
+        live = live.filter(F.col("node") != F.col("lead")) if first else live
+        one, other = (live.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}"), F.col(role)) for x, role in (("x", "far"), ("y", "near")))
+        met = one.filter("far").join(other.filter("near"), "key").filter((F.col("own_x") != F.col("own_y")) & sized("n_x", "n_y", percent))
+        edges, labels = joined(edges, labels, verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), docs, classes, n, percent))
+        groups = stage(apart(members.filter("large"), labels).filter(F.col("node") != F.col("lead")).select("lead", "node").distinct(), "ngram-groups")
+        if groups.isEmpty():
             break
-        was = asked.select("key", F.col("lead").alias("node"), F.lit(True).alias("asked"))
-        members = stage(members.join(was, ["key", "node"], "left").select("key", "node", "n", "first", (F.col("done") | F.coalesce("asked", F.lit(False))).alias("done")), "ngram-members")
+        members = rebased(groups, docs, top, n, percent).join(classes.select("node", "n", "copies"), "node")
+        first, few = False, few * MORE
     nodes = classes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
     out = stage(rows.join(nodes, ["s1", "s2", "n"], "left"), "ngram-out")
     least = out.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
