@@ -39,11 +39,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(*staged: DataFrame) -> None:
     """Deletes what stage() wrote: only where all that was made of it has been written too."""
     for df in staged:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        remove(df.sparkSession, df.staged_at)
 
 
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

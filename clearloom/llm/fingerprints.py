@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import stage, table
 
 PARAGRAPH = r"[\n\r]+|(?<=[.!?])\s+"
-ROUNDS = 6
+ROUNDS = 9
 RETRIES = 2
+#: Documents that are tried again up to which their keys are broadcast.
+FEW = 200_000
 KNOTS = 16
 #: Tasks for each of Spark's shuffle partitions: the sketch cells of a task's documents stay in memory.
 FINER = 4
@@ -171,6 +173,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             break
         # The failed documents and their next ones, by themselves: neighbours stay neighbours.
         few = failed.select(F.explode(F.array("k", "next_k")).alias("k")).distinct()
+        if few.limit(FEW + 1).count() <= FEW:  # else all texts would move before Spark sees how few are wanted
+            few = F.broadcast(few)
         again = versions(docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(few, "k", "left_semi").select(key, text))
         more = again.select(*by, "k", F.sha2("edited", 256).alias("edited_sha256")).join(recovered(again.select(*by, "dig", "dig_edited", "next_dig"), attempt), by, "left").na.fill(0, found).drop(*by)
         fixed = failed.drop(*found).join(more.dropDuplicates(["k", "edited_sha256"]), ["k", "edited_sha256"]).select(facts.columns)

@@ -1,10 +1,10 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 holds the words (their 64-bit hashes, sorted; a word's id is its place). Level k > 1 holds the k-grams as children of their first k-1 words: a monotone pointer per parent, and within the parent's range the last word, written relative to its context: as its place among the children of the words between, so numbers are small. Both sequences are Elias-Fano coded; a child is found by a successor search for its number, moved to its parent's range. Probabilities (interpolated absolute discounting) and back-off weights are quantised to 8 bits. A level is split into shards by ranges of parents, one file each in the shared folder, written by the tasks that build them and memory-mapped by those that score, so a model may exceed a worker's memory.
+Level 1 holds the words (their 64-bit hashes, sorted; a word's id is its place). Level k > 1 holds the k-grams as children of their first k-1 words: a monotone pointer per parent, and within the parent's range the last word, written relative to its context: as its place among the children of the words between, so numbers are small. Both sequences are Elias-Fano coded; a child is found by a successor search for its number, moved to its parent's range. Probabilities (interpolated absolute discounting) and back-off weights are quantised to 8 bits. A level is split into shards by ranges of parents, a few files each in the shared folder, written by the tasks that build them and memory-mapped by those that score, so a model may exceed a worker's memory.
 
 Counts are gathered from every training text, level by level; none is left out, however rare.
 
-Tokens: A-Z lower-cased, split at ASCII white space, then one end per text. Nulls: a null text is an empty one (the end alone); null doc_ids are as any other value. Without training rows every token has probability 1. An empty table gives an empty result. Repeated rows count and are scored each. Other columns of the input are not read.
+Tokens: A-Z lower-cased, split at ASCII white space, then one end per text. Nulls: a null text is an empty one (the end alone); null doc_ids are as any other value. Without training rows every token has the log10 probability UNTRAINED. An empty table gives an empty result. Repeated rows count and are scored each. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -15,16 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import array_files
-from .common import crc_mod, shared_dir, slices, stage, table, text_buffers, word_hashes
+from .common import crc_mod, discard, remove, shared_dir, slices, stage, table, text_buffers, word_hashes
 from .elias_fano import EliasFano
 
 ORDER = 3
 #: Bytes of text whose n-grams are counted together before they are handed on.
 GATHER = 8 << 20
+#: Occurrences of the parents of a shard, about; words of a shard of the first level.
+SHARD, WORDS = 1_500_000, 1_000_000
+#: The log10 probability of any token without a training text.
+UNTRAINED = -6.0
 #: The end of a text, as a word.
 END = np.uint64(0x9D39247E33776D41)
 _open: dict[str, "Model"] = {}
@@ -56,10 +60,11 @@ class Shard:
     def __init__(self, uri: str, level: int):
         self.uri, self.level, self.arrays = uri, level, array_files.read(uri)
         arrays = self.arrays
-        self.prob = arrays["prob"]
-        self.scale = arrays["scale"]
         if level > 1:
+            arrays |= array_files.read(f"{uri}.prob")
             self.pointers, self.nodes, self.lam, self.low = EliasFano.of(arrays, "pointers"), EliasFano.of(arrays, "nodes"), arrays["lam"], int(arrays["low"][0])
+        self.prob = arrays["prob"]
+        self.scale = arrays["scale"]
 
     def counts(self) -> np.ndarray:
         if "count" not in self.arrays:
@@ -75,10 +80,16 @@ class Model:
 
     def __init__(self, levels: list[list[tuple[str, int, int]]], total: int, vocabulary: int, log_unknown: float):
         self.levels, self.total, self.vocabulary, self.log_unknown = levels, total, vocabulary, log_unknown
-        self.shards = [[Shard(uri, k) for uri, _, _ in level] for k, level in enumerate(levels, 1)]
+        self._open: dict[tuple[int, int], Shard] = {}
         self.first = [np.array([low for _, low, _ in level], np.uint64 if k == 1 else np.int64) for k, level in enumerate(levels, 1)]
         self.base = [np.array([b for _, _, b in level], np.int64) for level in levels]
 
+    def shard(self, level: int, s: int) -> Shard:
+        """Opened when it is first wanted."""
+        if (level, s) not in self._open:
+            self._open[level, s] = Shard(self.levels[level - 1][s][0], level)
+        return self._open[level, s]
+
     def _spread(self, level: int, keys: np.ndarray):
         """Shards of sorted keys: (shard, from, to)."""
         cuts = np.searchsorted(keys, self.first[level - 1])
@@ -91,7 +102,7 @@ class Model:
         """Ids of sorted hashes, or -1."""
         out = np.full(len(hashes), -1, np.int64)
         for s, a, b in self._spread(1, hashes):
-            have = self.shards[0][s].arrays["words"]
+            have = self.shard(1, s).arrays["words"]
             i = np.searchsorted(have, hashes[a:b])
             ok = have[np.minimum(i, len(have) - 1)] == hashes[a:b]
             out[a:b][ok] = i[ok] + self.base[0][s]
@@ -109,7 +120,7 @@ class Model:
         of = np.searchsorted(self.base[level - 1], ids, side="right") - 1
         for s in np.unique(of):
             at = of == s
-            out[at] = f(self.shards[level - 1][s], ids[at] - self.base[level - 1][s])
+            out[at] = f(self.shard(level, int(s)), ids[at] - self.base[level - 1][s])
         return out
 
     def begin(self, level: int, parents: np.ndarray) -> np.ndarray:
@@ -117,7 +128,7 @@ class Model:
         out = np.zeros(len(parents), np.int64)
         of = np.searchsorted(self.first[level - 1], parents, side="right") - 1
         for s in np.unique(of):
-            at, shard = of == s, self.shards[level - 1][s]
+            at, shard = of == s, self.shard(level, int(s))
             out[at] = shard.pointers.access(parents[at] - shard.low) + self.base[level - 1][s]
         return out
 
@@ -125,7 +136,7 @@ class Model:
         """For sorted parents: index of the child with that number (or -1), and the log of the parent's back-off weight."""
         out, lam = np.full(len(parents), -1, np.int64), np.zeros(len(parents))
         for s, a, b in self._spread(level, parents):
-            shard = self.shards[level - 1][s]
+            shard = self.shard(level, s)
             p = parents[a:b] - shard.low
             new = np.ones(len(p), bool)
             new[1:] = p[1:] != p[:-1]
@@ -218,26 +229,66 @@ def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once and twice else 0.5
 
 
-META = "shard int, low long, size long, total long"
-
-
-def built(rows: DataFrame, by: str, then: list[str], make, folder: str, level: int) -> list[tuple[str, int, int, int]]:
-    """Deals rows by ranges of `by`, lets make(columns, uri) write a file for each task, and returns (uri, low, size, total) in order."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
-        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if len(b)]
-        if got:
-            low, size, total = make([np.concatenate(c) for c in zip(*got)], f"{folder}/{level}-{shard}")
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in (low, size, total))], names=["shard", "low", "size", "total"])
-
-    out = rows.repartitionByRange(parts, by).sortWithinPartitions(by, *then).mapInArrow(run, META).collect()  # one row for each task
-    return [(f"{folder}/{level}-{r.shard}", r.low, r.size, r.total) for r in sorted(out, key=lambda r: r.shard)]
+META = "shard int, low long, size long, total long, once long, twice long, cuts array<long>"
+
+
+def meta(shard: int, low: int, counts: np.ndarray) -> pa.RecordBatch:
+    """What the driver needs to know of a shard: a row. cuts: places from which its n-grams, as parents, occur about SHARD times before the next."""
+    upto = np.cumsum(counts)
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, int(upto[-1]), SHARD), side="right"))
+    row = ([shard], [int(low)], [len(counts)], [int(upto[-1])], [int((counts == 1).sum())], [int((counts == 2).sum())], [cuts.tolist()])
+    kinds = (pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["shard", "low", "size", "total", "once", "twice", "cuts"])
+
+
+def packed_run(parent: np.ndarray, suffix: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted n-grams with their counts, as differences in as few bytes as hold them, by byte planes, compressed."""
+    cols = (np.diff(parent, prepend=parent[:1]), suffix - suffix.min(), n)
+    kinds = [np.min_scalar_type(int(c.max())) for c in cols]
+    planes = b"".join(np.ascontiguousarray(c.astype(k).view(np.uint8).reshape(len(c), -1).T).tobytes() for c, k in zip(cols, kinds))
+    head = np.array([len(n), parent[0], suffix.min(), *(k.itemsize for k in kinds)], "<i8").tobytes()
+    return head + pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
+
+
+def unpacked_run(run: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, parent, suffix, *widths = np.frombuffer(run, "<i8", 6).tolist()
+    planes = np.frombuffer(pa.Codec("zstd").decompress(run[48:], m * sum(widths)), np.uint8)
+    out, at = [], 0
+    for w in widths:
+        out.append(np.ascontiguousarray(planes[at : at + m * w].reshape(w, m).T).view(f"<u{w}").ravel().astype(np.int64))
+        at += m * w
+    return np.cumsum(out[0]) + parent, out[1] + suffix, out[2]
+
+
+def counted(parent: np.ndarray, suffix: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (parent, suffix), sorted, with the sums of n (or how often each occurs)."""
+    if not len(parent):
+        return parent, suffix, np.zeros(0, np.int64)
+    low, least = parent.min(), suffix.min()
+    wide = int(suffix.max() - least).bit_length()
+    if int(parent.max() - low).bit_length() + wide <= 63:
+        key = (parent - low) << wide | (suffix - least)
+        if n is None:
+            key.sort()
+        else:
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        head = key[first]
+        parent, suffix = (head >> wide) + low, (head & ((1 << wide) - 1)) + least
+    else:
+        order = np.lexsort((suffix, parent))
+        p, s = parent[order], suffix[order]
+        first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
+        parent, suffix, n = p[first], s[first], None if n is None else n[order]
+    return parent, suffix, np.diff(first, append=len(order) if n is not None else len(key)) if n is None else np.add.reduceat(n, first)
 
 
 def learned(train: DataFrame, order: int = ORDER) -> tuple:
-    """Counts, builds and writes the model of the texts in `train` (column text). Returns what opened() takes."""
+    """Counts, builds and writes the model of the texts in `train` (column text). Returns what opened() takes.
+
+    A level's n-grams are counted within about GATHER bytes of text, and go as packed runs to the shard of their parent; shards are cut so that their parents occur about SHARD times together. A task merges the runs of one shard and writes its structure. When all are there, their numbers of n-grams that occur once and twice give the discount, and another pass over the shards writes the probabilities.
+    """
     spark = train.sparkSession
     folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
     texts = train.select("text")
@@ -253,81 +304,117 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
     total, size = sums.total or 0, sums["size"]
     d = discount(sums.once, sums.twice)
 
-    def make_words(cols: list[np.ndarray], uri: str) -> tuple[int, int, int]:
-        words = cols[0].view(np.uint64) ^ np.uint64(1 << 63)
-        prob, scale = quantised(np.log10((cols[1] - d) / total))
-        array_files.write(uri, {"words": words, "count": cols[1].astype(np.int64), "prob": prob, "scale": scale})
-        return cols[0][0], len(words), cols[1].sum()
-
-    def levels_of(made: list[tuple[str, int, int, int]], unsigned: bool) -> list[tuple[str, int, int]]:
-        base, out = 0, []
-        for uri, low, n, _ in made:
-            out.append((uri, low + (1 << 63) if unsigned else low, base))
-            base += n
-        return out
-
-    levels = [levels_of(built(counts, "w", [], make_words, folder, 1), True)]
-    spec = (levels, total, size, float(np.log10(d * size / total)) if total else 0.0)
+    def make_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if len(b)]
+        if got:
+            w, n = (np.concatenate(c) for c in zip(*got))
+            prob, scale = quantised(np.log10((n - d) / total))
+            shard = TaskContext.get().partitionId()
+            array_files.write(f"{folder}/1-{shard}", {"words": w.view(np.uint64) ^ np.uint64(1 << 63), "count": n.astype(np.int64), "prob": prob, "scale": scale})
+            yield meta(shard, w[0], n)
+
+    parts = max(1, -(-size // WORDS))
+    made = counts.repartitionByRange(parts, "w").sortWithinPartitions("w").mapInArrow(make_words, META).collect()  # one row for each shard
+    discard(counts)
+
+    def level_of(made: list, level: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+        """(shards: uri, first parent or hash, first index), and the cuts for the shards of the next level, as indices."""
+        base, out, cuts = 0, [], []
+        for r in sorted(made, key=lambda r: r.shard):
+            out.append((f"{folder}/{level}-{r.shard}", r.low + (1 << 63) if level == 1 else r.low, base))
+            cuts += [base + c for c in r.cuts]
+            base += r["size"]
+        return out, np.array(cuts, np.int64)
+
+    first, cuts = level_of(made, 1)
+    levels = [first]
+    log_unknown = float(np.log10(d * size / total)) if total else UNTRAINED
     for level in range(2, order + 1):
-        if not levels[-1]:
+        if not len(cuts):
             break
-        below = (list(levels), *spec[1:])
+        below = (list(levels), total, size, log_unknown)
+        shared_cuts = spark.sparkContext.broadcast(cuts)  # one number for each SHARD tokens
 
-        def count_grams(batches: Iterator[pa.RecordBatch], level=level, below=below) -> Iterator[pa.RecordBatch]:
+        def count_grams(batches: Iterator[pa.RecordBatch], level=level, below=below, shared_cuts=shared_cuts) -> Iterator[pa.RecordBatch]:
             model = opened(below)
             for _, words, docs in gathered(batches):
                 index, _l = model.indices(words, docs, level - 1)
                 here = index[-1]
                 at = np.flatnonzero((docs[1:] == docs[:-1]) & (here[1:] >= 0) & (here[:-1] >= 0)) + 1
-                parent, suffix = here[at - 1], here[at]
-                order_ = np.lexsort((suffix, parent)) if len(at) and int(parent.max()) >= 1 << 31 else np.argsort(parent << 32 | suffix)
-                parent, suffix = parent[order_], suffix[order_]
-                new = np.ones(len(at), bool)
-                new[1:] = (parent[1:] != parent[:-1]) | (suffix[1:] != suffix[:-1])
-                first = np.flatnonzero(new)
-                n = np.diff(np.append(first, len(at)))
-                yield pa.RecordBatch.from_arrays([pa.array(parent[first]), pa.array(suffix[first]), pa.array(n.astype(np.int64))], names=["parent", "suffix", "n"])
-
-        grams = texts.mapInArrow(count_grams, "parent long, suffix long, n long").groupBy("parent", "suffix").agg(F.sum("n").alias("n"))
-        seen = Observation()
-        kept = stage(grams.observe(seen, F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")), f"lm-{level}")
-        d = discount(seen.get["once"], seen.get["twice"])
-
-        def make_level(cols: list[np.ndarray], uri: str, level=level, below=below, d=d) -> tuple[int, int, int]:
-            parent, suffix, n = cols
+                parent, suffix, n = counted(here[at - 1], here[at])
+                if len(parent):
+                    ends = np.append(np.searchsorted(parent, shared_cuts.value[1:]), len(parent))
+                    begins = np.append(0, ends[:-1])
+                    some = np.flatnonzero(begins < ends)
+                    runs = [packed_run(parent[a:b], suffix[a:b], n[a:b]) for a, b in zip(begins[some], ends[some])]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(runs, pa.binary())], names=["shard", "run"])
+
+        def merge(batches: Iterator[pa.RecordBatch], level=level, below=below) -> Iterator[pa.RecordBatch]:
+            runs: dict[int, list] = {}
+            for b in batches:
+                for shard, run in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    runs.setdefault(shard, []).append(run)
             model = opened(below)
-            times = model.counts(level - 1, parent)
-            low = int(parent[0])
-            local = parent - low
-            begin = np.searchsorted(local, np.arange(local[-1] + 2))
-            rel = suffix.copy()
-            if level > 2:  # all children of a parent have suffixes with one context: its range starts at or before the least of them
-                first = model.base[level - 2]
-                of = np.searchsorted(first, suffix, side="right") - 1
-                for s in np.unique(of):
-                    at = of == s
-                    starts = model.shards[level - 2][s].pointers.all()
-                    rel[at] = suffix[at] - first[s] - starts[np.searchsorted(starts, suffix[at] - first[s], side="right") - 1]
-            heads = np.flatnonzero(np.diff(begin))
-            last = rel[begin[heads + 1] - 1] + 1
-            shift = np.zeros(len(begin) - 1, np.int64)
-            shift[heads] = np.concatenate([[0], np.cumsum(last)[:-1]])
-            nodes = rel + shift[local]
-            share = (n - d) / times
-            lam = np.ones(len(begin) - 1)
-            lam[heads] = np.maximum(1 - np.add.reduceat(share, begin[heads]), 1e-9)
-            p = share + lam[local] * 10 ** model.log_prob(level - 1, suffix)
-            prob, scale = quantised(np.log10(np.minimum(p, 1.0)))
-            code, lam_scale = quantised(np.log10(lam))
-            array_files.write(uri, EliasFano.build(begin).arrays("pointers") | EliasFano.build(nodes).arrays("nodes") | {"prob": prob, "scale": scale, "lam": code, "lam_scale": lam_scale, "low": np.array([low])})
-            array_files.write(f"{uri}.counts", {"count": n.astype(np.min_scalar_type(int(n.max())))})
-            return low, len(rel), n.sum()
-
-        levels.append(levels_of(built(kept, "parent", ["suffix"], make_level, folder, level), False))
-        if not levels[-1]:
-            levels.pop()
+            for shard in sorted(runs):
+                yield meta(shard, *merged(model, level, runs.pop(shard), f"{folder}/{level}-{shard}", f"{folder}/{level}-tmp/{shard}"))
+
+        rows = texts.mapInArrow(count_grams, "shard int, run binary")
+        made = rows.repartitionById(len(cuts), F.col("shard")).mapInArrow(merge, META).collect()  # one row for each shard
+        d = discount(sum(r.once for r in made), sum(r.twice for r in made))
+
+        def finish(batches: Iterator[pa.RecordBatch], level=level, d=d) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for shard in b.column(0).to_pylist():
+                    weighed(f"{folder}/{level}-{shard}", f"{folder}/{level}-tmp/{shard}", d)
+                yield b
+
+        shards = spark.createDataFrame([(r.shard,) for r in made], "shard int")
+        if made:
+            shards.repartition(len(made)).mapInArrow(finish, "shard int").count()
+            remove(spark, f"{folder}/{level}-tmp")
+        shards, cuts = level_of(made, level)
+        if not shards:
             break
-    return (levels, *spec[1:])
+        levels.append(shards)
+    return (levels, total, size, log_unknown)
+
+
+def merged(model: Model, level: int, runs: list[bytes], uri: str, temp: str) -> tuple[int, np.ndarray]:
+    """Writes a shard's structure and counts, and to temp what its probabilities are made of. Returns its first parent and the counts."""
+    parent, suffix, n = counted(*(np.concatenate(c) for c in zip(*map(unpacked_run, runs))))
+    low = int(parent[0])
+    local = parent - low
+    begin = np.searchsorted(local, np.arange(local[-1] + 2))
+    heads = np.flatnonzero(np.diff(begin))
+    rel = suffix.copy()
+    if level > 2:  # all children of a parent have suffixes with one context: its range starts at or before the least of them
+        first = model.base[level - 2]
+        of = np.searchsorted(first, suffix, side="right") - 1
+        for s in np.unique(of):
+            at = of == s
+            starts = model.shard(level - 1, int(s)).pointers.all()
+            rel[at] = suffix[at] - first[s] - starts[np.searchsorted(starts, suffix[at] - first[s], side="right") - 1]
+    last = rel[begin[heads + 1] - 1] + 1
+    shift = np.zeros(len(begin) - 1, np.int64)
+    shift[heads] = np.concatenate([[0], np.cumsum(last)[:-1]])
+    array_files.write(uri, EliasFano.build(begin).arrays("pointers") | EliasFano.build(rel + shift[local]).arrays("nodes") | {"low": np.array([low])})
+    array_files.write(f"{uri}.counts", {"count": n.astype(np.min_scalar_type(int(n.max())))})
+    array_files.write(temp, {"times": model.counts(level - 1, heads + low), "lower": model.log_prob(level - 1, suffix).astype(np.float32)})
+    return low, n
+
+
+def weighed(uri: str, temp: str, d: float) -> None:
+    """Writes a shard's probabilities and back-off weights."""
+    arrays, n, of = array_files.read(uri), array_files.read(f"{uri}.counts")["count"].astype(np.int64), array_files.read(temp)
+    begin = EliasFano.of(arrays, "pointers").all()
+    width = np.diff(begin)
+    heads = np.flatnonzero(width)
+    share = (n - d) / np.repeat(of["times"], width[heads])
+    lam = np.ones(len(width))
+    lam[heads] = np.maximum(1 - np.add.reduceat(share, begin[heads]), 1e-9)
+    prob, scale = quantised(np.log10(np.minimum(share + np.repeat(lam, width) * 10.0 ** of["lower"], 1.0)))
+    code, lam_scale = quantised(np.log10(lam))
+    array_files.write(f"{uri}.prob", {"prob": prob, "scale": scale, "lam": code, "lam_scale": lam_scale})
 
 
 def scored(docs: DataFrame, spec: tuple) -> DataFrame:

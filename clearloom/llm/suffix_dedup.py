@@ -29,7 +29,9 @@ GRAM = 160
 #: Bytes that stand for a word where passages are counted in words.
 CODE = 6
 #: Most starts of a run; distinct runs of a key that one task sorts; bytes sorted at once.
-RUN, GROUP, BATCH = 256, 1500, 1 << 20
+RUN, GROUP, BATCH = 256, 1500, 1 << 19
+#: Strings whose bytes are copied to be compared, at a time.
+CHUNK = 8192
 RUNS = "t long, size int, h long, r long, p int, len int, own boolean"
 
 
@@ -92,6 +94,37 @@ def found_runs(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Itera
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(signed(h)), pa.array(signed(r)), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(own)], names=["t", "size", "h", "r", "p", "len", "own"])
 
 
+def sorted_strings(raw: bytes, begins: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the strings raw[begin:end], none longer than depth: by 8 bytes at a time, until at most CHUNK are alike, whose bytes are then copied and compared."""
+    words = np.frombuffer(raw + bytes(8), np.uint8)
+    words = np.lib.stride_tricks.as_strided(words[:8].view(">u8"), (len(raw) + 1,), (1,))
+    out: list[np.ndarray] = []
+    todo = [(np.arange(len(begins)), 0)]
+    while todo:
+        own, at = todo.pop()
+        if len(own) <= CHUNK:
+            keys = [raw[a:b] for a, b in zip(begins[own].tolist(), ends[own].tolist())]
+            out.append(own[sorted(range(len(keys)), key=keys.__getitem__)])
+            continue
+        left = ends[own] - begins[own] - at
+        if at >= depth:  # equal but for ends: shorter ones first
+            out.append(own[np.argsort(left, kind="stable")])
+            continue
+        key = words[np.minimum(begins[own] + at, len(raw))].astype(np.uint64)
+        spare = np.uint64(8) * np.clip(8 - left, 0, 8).astype(np.uint64)
+        key = np.where(left <= 0, np.uint64(0), key >> np.minimum(spare, np.uint64(63)) << np.minimum(spare, np.uint64(63)))
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(own))
+        parts, i = [], 0
+        while i < len(edges) - 1:  # stretches of whole groups, of at most CHUNK strings or one group
+            j = max(int(np.searchsorted(edges, edges[i] + CHUNK, side="right")) - 1, i + 1)
+            parts.append((own[edges[i] : edges[j]], at if j > i + 1 else at + 8))
+            i = j
+        todo += parts[::-1]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def suffix_array(raw: bytes, begins: np.ndarray, counts: np.ndarray, ends: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Order of the suffixes at begins[i] ... begins[i] + counts[i] - 1, each string i reaching to ends[i], up to `depth` bytes.
 
@@ -122,10 +155,7 @@ def suffix_array(raw: bytes, begins: np.ndarray, counts: np.ndarray, ends: np.nd
     head[np.cumsum(width) - width] = True
     big = ~small[pos]
     direct = np.flatnonzero(~big)
-    cut = np.minimum(pos[direct] + depth, ends[of[direct]]).tolist()
-    keys = [raw[a:b] for a, b in zip(pos[direct].tolist(), cut)]
-    ordered = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    ordered = direct[sorted_strings(raw, pos[direct], np.minimum(pos[direct] + depth, ends[of[direct]]), depth)]
     first = text[pos]
     cuts = np.searchsorted(first[ordered], np.arange(257))
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]

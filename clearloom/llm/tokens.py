@@ -150,11 +150,11 @@ class PieceEncoder:
         place = self._find(k0, k1)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            place = self._learned(k0, k1, place, missing)
+            place = self._learned(k0, k1, missing)
         count = np.zeros(len(start), np.int64)
         source = np.zeros(len(start), np.int64)
         count[short], source[short] = self.count[place], self.at[place]
-        far, known = self._long(raw, start, size, np.flatnonzero(~short), {int(offsets[i]) for i in apart})
+        far = self._long(raw, start, size, np.flatnonzero(~short), {int(offsets[i]) for i in apart})
         count[~short] = [len(x) for x in far]
         ends = np.cumsum(count)
         out = np.zeros(int(ends[-1]), np.uint32)
@@ -183,7 +183,7 @@ class PieceEncoder:
                     at = data.find(s, at + 1)
         return np.unique(np.array(found, np.int64))
 
-    def _learned(self, k0: np.ndarray, k1: np.ndarray, place: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    def _learned(self, k0: np.ndarray, k1: np.ndarray, missing: np.ndarray) -> np.ndarray:
         def distinct(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = at[np.lexsort((k1[at], k0[at]))]
             new = np.ones(len(order), bool)
@@ -193,8 +193,8 @@ class PieceEncoder:
         a, b = distinct(missing)
         ids = self.learn(_pieces(a, b))
         if self.held + len(a) > self.pieces or self.used + sum(map(len, ids)) > IDS:
-            everything = self.held and (self._anew() or True)
-            if everything:  # what these texts need besides comes back too
+            if self.held:  # the table begins anew, with all that these texts need
+                self._anew()
                 a, b = distinct(np.arange(len(k0)))
                 ids = self.learn(_pieces(a, b))
             while len(a) > self.pieces or sum(map(len, ids)) > IDS - self.used:  # more than a table holds: a larger one
@@ -205,20 +205,17 @@ class PieceEncoder:
                     self.ids = np.zeros(sum(map(len, ids)), np.uint32)
                     break
         self._add(a, b, ids)
-        if len(missing) < len(place) and (place[place >= 0] < self.held).all() and self.held > len(a):
-            place[missing] = self._find(k0[missing], k1[missing])
-            return place
         return self._find(k0, k1)
 
-    def _long(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, apart: set[int]) -> tuple[list[np.ndarray], int]:
+    def _long(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, apart: set[int]) -> list[np.ndarray]:
         """Ids of the pieces at these places, from the dictionary."""
         keys = [raw[a : a + n].tobytes() for a, n in zip(start[at].tolist(), size[at].tolist())]
         alone = {k for k, a in zip(keys, start[at].tolist()) if a in apart}
-        here = {}
+        here: dict[bytes, np.ndarray] = {}
         new = list({k for k in keys if k not in self.long} | alone)
         if new:
             cut, odd = [k for k in new if k not in alone], list(alone)
-            for k, ids in [*zip(cut, self.learn([k.decode() for k in cut])), *zip(odd, self.whole([k.decode() for k in odd]))]:
+            for k, ids in [*zip(cut, self.learn([k.decode() for k in cut])), *zip(odd, self.whole([k.decode() for k in odd]) if odd else [])]:
                 here[k] = ids
         out = [here[k] if k in here else self.long[k] for k in keys]
         for k, ids in here.items():
@@ -227,7 +224,7 @@ class PieceEncoder:
                 self.long_bytes += len(k) + ids.nbytes + 200
         if self.long_bytes > LONG_BYTES:
             self.long, self.long_bytes = {}, 0
-        return out, len(here)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; None is an empty text."""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from clearloom.llm import byte_bpe, fingerprints, language_id, language_model, neighbours, ngram_join, packing, sharding, suffix_dedup, token_files
+from clearloom.llm import tokens as tokens_module
 from clearloom.llm.elias_fano import EliasFano
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -77,9 +78,7 @@ def components_of(texts, n, percent):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 def test_elias_fano():
@@ -101,7 +100,7 @@ def test_language_model(spark, docs, empty):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), total)
         assert math.isclose(r.base_score, sum(math.log10((counts[x] + 1) / (total + size + 1)) for x in w), abs_tol=1e-6) and r.score <= 0
     none = language_model.learned(empty)
-    assert language_model.scored(rows, none).agg(F.sum("score")).first()[0] == 0
+    assert all(math.isclose(r.score, language_model.UNTRAINED * r.n_tokens) for r in language_model.scored(rows, none).collect())
     assert language_model.scored(empty.withColumn("held_out", F.lit(True)), none).count() == 0
 
 
@@ -121,6 +120,27 @@ def test_ngram_join_group_of_near_copies(spark, monkeypatch):
     assert got == components_of(texts, 3, 90)
 
 
+@pytest.mark.parametrize("few,frequent,long", [(8, 1000, 200), (0.2, 3, 200), (0.2, 3, 20)])
+def test_ngram_join_goes_on_with_differences(spark, monkeypatch, few, frequent, long):
+    """Copies with few and many edits, that share edits or don't: links that only members have among each other."""
+    for name, value in (("FEW", few), ("MORE", 2), ("FREQUENT", frequent), ("LONG", long), ("TOP_COUNT", 5)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r, texts, rebased = random.Random(12), {}, []
+    real = ngram_join.rebased
+    monkeypatch.setattr(ngram_join, "rebased", lambda *a: rebased.append(1) or real(*a))
+    for g in range(2):
+        base = words(120, 50 + g, 3000).split()
+        for i in range(60):
+            w = list(base if i < 40 or not i % 2 else texts[1000 * g + i - 1].split())
+            for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
+                k = r.randrange(len(w))
+                w[k : k + 1] = r.choice([[], ["the"], [f"v{r.randrange(50)}"], [w[k], "of"]])
+            texts[1000 * g + i] = " ".join(w)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.linked(rows, 3, 90).collect()} == components_of(texts, 3, 90)
+    assert few == 8 or rebased
+
+
 def test_one_of_each(spark, docs, empty):
     rows = docs.unionByName(spark.createDataFrame([(5, corpus()[5][1], "en", "s", 1), (None, "one two", "en", "s", 7)], SCHEMA))
     kept = sorted(r.doc_id for r in ngram_join.one_of_each(rows, 5, 80).collect())
@@ -180,6 +200,18 @@ def test_suffix_array():
         assert got is None or got.tolist() == want
 
 
+def test_sorted_strings(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 3)
+    r = random.Random(5)
+    for letters in (b"ab", b"\x00a", b"\x00", b"abc\xff"):
+        raw = bytes(r.choice(letters) for _ in range(150))
+        begins = np.array([r.randrange(150) for _ in range(80)])
+        ends = np.minimum(begins + 20, [r.choice([150, 60 if b < 60 else 150]) for b in begins])
+        order = suffix_dedup.sorted_strings(raw, begins, ends, 20)
+        keys = [raw[begins[i] : ends[i]] for i in order]
+        assert sorted(order.tolist()) == list(range(80)) and keys == sorted(keys)
+
+
 def test_suffix_dedup_empty(empty):
     assert suffix_dedup.cut(empty).count() == 0
 
@@ -263,6 +295,23 @@ def test_token_files(docs, empty):
     assert token_files.read(token_files.write(empty, JSON)).count() == 0
 
 
+def test_pieces_give_what_the_library_gives():
+    r, parts = random.Random(9), ["a", "Bc", "don't", "'", "'s", " ", "  ", "\n", "\n\n", "\t", "1", "23", ".", ",", "!?", "é", "中文", " ", "\u0301", "<|endoftext|>", "<|end", "\x00", "x" * 20, "_", "’s", " '", "I'll", "😀", "\r\n", "\u00a0", "0a", "'1", "\u2028"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(5000)] + [None, "", "a <|endoftext|> b", "word " * 60_000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert tokens_module.PieceEncoder(JSON).encode(texts) == want
+    small = tokens_module.PieceEncoder(JSON, pieces=64)
+    assert [x for i in range(0, len(texts), 40) for x in small.encode(texts[i : i + 40])] == want
+
+
+def test_grammar_goes_on_until_no_pair_pays():
+    r = np.random.default_rng(7)
+    ids = np.concatenate([np.tile(r.integers(0, 9, 37), 30), r.integers(0, 9, 400), np.zeros(100)]).astype(np.uint32)
+    terminals, rules, seq = token_files.grammar(ids)
+    pairs = Counter(zip(seq[:-1].tolist(), seq[1:].tolist()))
+    assert max(pairs.values()) < token_files.LEAST and (rules < terminals + np.arange(len(rules))[:, None]).all() and len(seq) < 400
+
+
 def test_grammar_round_trip():
     r = np.random.default_rng(6)
     lengths = [50, 0, 700, 1, 3000]
