@@ -24,7 +24,7 @@ from .elias_fano import EliasFano
 
 ORDER = 3
 #: Bytes of text whose n-grams are counted together before they are handed on.
-GATHER = 8 << 20
+GATHER = 5 << 20
 #: Occurrences of the parents of a shard, about; words of a shard of the first level.
 SHARD, WORDS = 1_500_000, 1_000_000
 #: The log10 probability of any token without a training text.
@@ -109,29 +109,37 @@ class Model:
         return out
 
     def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """Training counts. Above level 1 they lie in files of their own, which scoring doesn't read."""
+        """Training counts of ascending ids. Above level 1 they lie in files of their own, which scoring doesn't read."""
         return self._by_index(level, ids, lambda shard, i: shard.counts()[i])
 
     def log_prob(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """Of ascending ids."""
         return self._by_index(level, ids, lambda shard, i: shard.log_prob(i))
 
     def _by_index(self, level: int, ids: np.ndarray, f) -> np.ndarray:
         out = np.zeros(len(ids), np.float64)
-        of = np.searchsorted(self.base[level - 1], ids, side="right") - 1
-        for s in np.unique(of):
-            at = of == s
-            out[at] = f(self.shard(level, int(s)), ids[at] - self.base[level - 1][s])
+        cuts = np.searchsorted(ids, self.base[level - 1])
+        for s, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(ids)])):
+            if a < b:
+                out[a:b] = f(self.shard(level, s), ids[a:b] - self.base[level - 1][s])
         return out
 
     def begin(self, level: int, parents: np.ndarray) -> np.ndarray:
-        """First index of the children, at `level`, of parents that have any."""
+        """First index of the children, at `level`, of ascending parents that have any."""
         out = np.zeros(len(parents), np.int64)
-        of = np.searchsorted(self.first[level - 1], parents, side="right") - 1
-        for s in np.unique(of):
-            at, shard = of == s, self.shard(level, int(s))
-            out[at] = shard.pointers.access(parents[at] - shard.low) + self.base[level - 1][s]
+        for s, a, b in self._spread(level, parents):
+            shard = self.shard(level, s)
+            out[a:b] = shard.pointers.access(parents[a:b] - shard.low) + self.base[level - 1][s]
         return out
 
+    def siblings(self, level: int, ids: np.ndarray) -> np.ndarray:
+        """First index, at `level`, of the children of the parent of each of ascending ids."""
+
+        def first(shard: Shard, i: np.ndarray) -> np.ndarray:
+            return shard.pointers.access(shard.pointers.successor(i + 1) - 1) - i
+
+        return self._by_index(level, ids, first).astype(np.int64) + ids
+
     def find(self, level: int, parents: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted parents: index of the child with that number (or -1), and the log of the parent's back-off weight."""
         out, lam = np.full(len(parents), -1, np.int64), np.zeros(len(parents))
@@ -160,16 +168,21 @@ class Model:
             out[a + at[ok]] = i[ok] + self.base[level - 1][s]
         return out, lam
 
-    def indices(self, words: np.ndarray, docs: np.ndarray, upto: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each token and level, the index of the n-gram that ends there (-1: none), and the log back-off weight of its context."""
+    def indices(self, words: np.ndarray, docs: np.ndarray, upto: int, probs: bool = False) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(For each level, the index of the n-gram that ends at each token, -1: none; with probs, the training count of each token and the log10 of its probability.) Distinct n-grams are looked up once, in their order."""
         uniq, inverse = np.unique(words, return_inverse=True)
-        index = [self.words(uniq)[inverse]]
-        lams = [np.zeros(len(words))]
+        ids = self.words(uniq)
+        index, known = [ids[inverse]], ids >= 0
+        counts, p = np.zeros(0, np.int64), np.zeros(0)
+        if probs:
+            n, low = np.zeros(len(uniq), np.int64), np.full(len(uniq), self.log_unknown)
+            n[known], low[known] = self.counts(1, ids[known]), self.log_prob(1, ids[known])
+            counts, p = n[inverse], low[inverse]
         for level in range(2, upto + 1):
-            out, lam = np.full(len(words), -1, np.int64), np.zeros(len(words))
-            if self.levels[level - 1]:
-                before, here = index[-1], index[-1]
-                at = np.flatnonzero((docs[1:] == docs[:-1]) & (before[:-1] >= 0)) + 1  # a context exists
+            out = np.full(len(words), -1, np.int64)
+            before = here = index[-1]
+            at = np.flatnonzero((docs[1:] == docs[:-1]) & (before[:-1] >= 0)) + 1  # a context exists
+            if self.levels[level - 1] and len(at):
                 parent = before[at - 1]
                 rel = here[at].copy()
                 known = rel >= 0
@@ -177,36 +190,28 @@ class Model:
                     between = index[level - 3][at[known] - 1]
                     ctx, inv = np.unique(between, return_inverse=True)
                     rel[known] -= self.begin(level - 1, ctx)[inv]
-                    rel[~known] = -1
+                rel[~known] = -1
                 span = int(rel.max(initial=0)) + 2
-                if len(at) and int(parent.max()) < (1 << 62) // span:
+                if int(parent.max()) < (1 << 62) // span:
                     key, inv = np.unique(parent * span + (rel + 1), return_inverse=True)
-                    p, r = key // span, key % span - 1
-                    i, lm = self.find(level, p, np.where(r < 0, -1, r))
-                    i[r < 0] = -1
-                    out[at], lam[at] = i[inv], lm[inv]
+                    par, r = key // span, key % span - 1
                 else:
                     order = np.lexsort((rel, parent))
-                    i, lm = self.find(level, parent[order], rel[order])
-                    i[rel[order] < 0] = -1
-                    out[at[order]], lam[at[order]] = i, lm
+                    par, r, inv = parent[order], rel[order], np.argsort(order)
+                i, lam = self.find(level, par, r)
+                out[at] = i[inv]
+                if probs:
+                    found = np.flatnonzero(i >= 0)
+                    value = lam.copy()
+                    value[found] = self.log_prob(level, i[found])
+                    hit = (i >= 0)[inv]
+                    p[at] = np.where(hit, 0.0, p[at]) + value[inv]
             index.append(out)
-            lams.append(lam)
-        return index, lams
+        return index, counts, p
 
     def score(self, words: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per token: training count, and log10 probability."""
-        index, lams = self.indices(words, docs, len(self.levels))
-        known = index[0] >= 0
-        counts = np.zeros(len(words), np.int64)
-        counts[known] = self.counts(1, index[0][known])
-        p = np.full(len(words), self.log_unknown)
-        p[known] = self.log_prob(1, index[0][known])
-        for level in range(2, len(self.levels) + 1):
-            i = index[level - 1]
-            p += lams[level - 1]
-            p[i >= 0] = self.log_prob(level, i[i >= 0])
-        return counts, p
+        return self.indices(words, docs, len(self.levels), True)[1:]
 
 
 def opened(spec: tuple) -> Model:
@@ -338,8 +343,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
         def count_grams(batches: Iterator[pa.RecordBatch], level=level, below=below, shared_cuts=shared_cuts) -> Iterator[pa.RecordBatch]:
             model = opened(below)
             for _, words, docs in gathered(batches):
-                index, _l = model.indices(words, docs, level - 1)
-                here = index[-1]
+                here = model.indices(words, docs, level - 1)[0][-1]
                 at = np.flatnonzero((docs[1:] == docs[:-1]) & (here[1:] >= 0) & (here[:-1] >= 0)) + 1
                 parent, suffix, n = counted(here[at - 1], here[at])
                 if len(parent):
@@ -387,19 +391,21 @@ def merged(model: Model, level: int, runs: list[bytes], uri: str, temp: str) ->
     begin = np.searchsorted(local, np.arange(local[-1] + 2))
     heads = np.flatnonzero(np.diff(begin))
     rel = suffix.copy()
-    if level > 2:  # all children of a parent have suffixes with one context: its range starts at or before the least of them
-        first = model.base[level - 2]
-        of = np.searchsorted(first, suffix, side="right") - 1
-        for s in np.unique(of):
-            at = of == s
-            starts = model.shard(level - 1, int(s)).pointers.all()
-            rel[at] = suffix[at] - first[s] - starts[np.searchsorted(starts, suffix[at] - first[s], side="right") - 1]
+    if level > 2:  # the children of a parent have one context in common, and so one range at the level below
+        some = suffix[begin[heads]]
+        order = np.argsort(some)
+        start = np.empty(len(some), np.int64)
+        start[order] = model.siblings(level - 1, some[order])
+        rel -= np.repeat(start, np.diff(begin)[heads])
     last = rel[begin[heads + 1] - 1] + 1
     shift = np.zeros(len(begin) - 1, np.int64)
     shift[heads] = np.concatenate([[0], np.cumsum(last)[:-1]])
     array_files.write(uri, EliasFano.build(begin).arrays("pointers") | EliasFano.build(rel + shift[local]).arrays("nodes") | {"low": np.array([low])})
     array_files.write(f"{uri}.counts", {"count": n.astype(np.min_scalar_type(int(n.max())))})
-    array_files.write(temp, {"times": model.counts(level - 1, heads + low), "lower": model.log_prob(level - 1, suffix).astype(np.float32)})
+    order = np.argsort(suffix)
+    lower = np.empty(len(suffix), np.float32)
+    lower[order] = model.log_prob(level - 1, suffix[order])
+    array_files.write(temp, {"times": model.counts(level - 1, heads + low), "lower": lower})
     return low, n
 
 

@@ -23,7 +23,7 @@ from .common import discard, mix, signed, slices, stage, table, text_buffers, wo
 
 COMBINE = 2
 #: Classes up to which an n-gram is indexed by itself; n-grams of a set from which neighbours are combined instead of all pairs.
-FREQUENT, LONG = 1000, 200
+FREQUENT, LONG = 16, 200
 #: Pairs for each member up to which all pairs of a bucket are compared, in the first round; in each later one this times as many.
 FEW, MORE = 8, 8
 #: N-grams counted before the join: this share of the hash range; more frequent than TOP_COUNT comes last in the order; at most TOP_MOST of them are known.
@@ -147,7 +147,7 @@ def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent:
     posts = stage(posts.join(df, "g"), "ngram-posts")
     names = ["key", "node", "n", "copies"]
     rare = posts.filter(F.col("df") <= FREQUENT).select(F.col("g").alias("key"), *names[1:])
-    lists = posts.filter(F.col("df") > FREQUENT).groupBy("node", "n", "copies").agg(F.array_sort(F.collect_list("g")).alias("gs"))  # a prefix at most
+    lists = posts.filter(F.col("df") > FREQUENT).groupBy("node", "n", "copies").agg(F.array_sort(F.collect_list("g")).alias("gs")).filter(F.size("gs") >= COMBINE)  # a prefix at most
     lists = stage(lists, "ngram-frequent")
     pairs = F.flatten(F.transform("gs", lambda x, i: F.transform(F.slice("gs", i + 2, F.size("gs")), lambda y: F.xxhash64(x, y))))
     out = rare.unionByName(lists.filter(F.col("n") * percent <= LONG * 100).select(F.explode(pairs).alias("key"), *names[1:]))
@@ -211,26 +211,27 @@ def based_on(lead: np.ndarray, s: np.ndarray, top: np.ndarray, percent: int) ->
 
 
 def rebased(groups: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
-    """From pairs (lead, node): key, node, far, near of the buckets of each lead's members by their differences from it. A pair needs a look if one of the two is far in the bucket and the other near."""
+    """From pairs (lead, node): key, node, far, near of the buckets of each lead's members by their differences from it (a pair needs a look if one of the two is far in the bucket and the other near); and, marked as link, the pairs that are linked, with the lead as key."""
     sets = stage(sets_for(docs, groups.select(F.col("lead").alias("t")).union(groups.select("node")).distinct(), n), "ngram-sets")
     both = groups.join(sets.select(F.col("t").alias("node"), F.col("s").alias("s_node")), "node").join(sets.select(F.col("t").alias("lead"), F.col("s").alias("s_lead")), "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part, out = batch.slice(at, 256), ([], [], [], [])
+                part, out = batch.slice(at, 256), ([], [], [], [], [])
                 for lead, node, a, b in zip(part.column("lead").to_pylist(), part.column("node").to_pylist(), part.column("s_lead"), part.column("s_node")):
                     order, far, near = based_on(np.asarray(a.values).view(np.uint64), np.asarray(b.values).view(np.uint64), top.value, percent)
-                    m = max(far, near)
+                    m, own = max(far, near), np.array([lead]).view(np.uint64)
                     with np.errstate(over="ignore"):
-                        out[0].append(mix(order[:m] ^ mix(np.array([lead]).view(np.uint64))))
-                    out[1].append(np.full(m, node))
-                    out[2].append(np.arange(m) < far)
-                    out[3].append(np.arange(m) < near)
-                key, node, far, near = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(node), pa.array(far), pa.array(near)], names=["key", "node", "far", "near"])
-
-    out = stage(both.select("lead", "node", "s_lead", "s_node").mapInArrow(run, "key long, node long, far boolean, near boolean"), "ngram-rebased")
+                        out[0].append(np.concatenate([mix(order[:m] ^ mix(own)), own[: not far]]))
+                    out[1].append(np.full(m + (not far), node))
+                    out[2].append(np.arange(m + (not far)) < far)
+                    out[3].append(np.arange(m + (not far)) < near)
+                    out[4].append(np.arange(m + (not far)) == m)
+                key, *rest = (np.concatenate(x) for x in out)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *map(pa.array, rest)], names=["key", "node", "far", "near", "link"])
+
+    out = stage(both.select("lead", "node", "s_lead", "s_node").mapInArrow(run, "key long, node long, far boolean, near boolean, link boolean"), "ngram-rebased")
     discard(sets)
     return out
 
@@ -279,7 +280,7 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     while True:
         lead = F.max(F.struct("copies", "node", "n"))
         heads = members.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("size"), F.sum(F.col("far").cast("long")).alias("fars"), F.sum(F.col("near").cast("long")).alias("nears")).filter("size > 1 and fars > 0")
-        heads = heads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), (F.col("fars") * F.col("nears") > few * F.col("size")).alias("large"))
+        heads = heads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.copies").alias("lead_copies"), (F.col("fars") * F.col("nears") > few * F.col("size")).alias("large"))
         members = stage(members.join(heads, "key"), "ngram-members")
         # All are compared with the lead; in small buckets of later rounds that is left to the comparison of pairs.
         stars = members.filter((F.col("node") != F.col("lead")) & (F.col("large") | F.lit(first)) & sized("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -289,10 +290,17 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
         one, other = (live.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}"), F.col(role)) for x, role in (("x", "far"), ("y", "near")))
         met = one.filter("far").join(other.filter("near"), "key").filter((F.col("own_x") != F.col("own_y")) & sized("n_x", "n_y", percent))
         edges, labels = joined(edges, labels, verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), docs, classes, n, percent))
-        groups = stage(apart(members.filter("large"), labels).filter(F.col("node") != F.col("lead")).select("lead", "node").distinct(), "ngram-groups")
+        large = apart(members.filter("large"), labels)
+        if first:  # all buckets of a group of copies take the same class, whether they hold it or not: of the leads that their members have in any bucket, the one of most copies
+            home = members.filter("large").groupBy("node").agg(F.max(F.struct("lead_copies", "lead")).alias("home"))
+            large = large.drop("lead").join(home, "node")
+            large = large.join(large.groupBy("key").agg(F.max("home").alias("base")).select("key", F.col("base.lead").alias("lead")), "key")
+        groups = stage(large.filter(F.col("node") != F.col("lead")).select("lead", "node").distinct(), "ngram-groups")
         if groups.isEmpty():
             break
-        members = rebased(groups, docs, top, n, percent).join(classes.select("node", "n", "copies"), "node")
+        found = rebased(groups, docs, top, n, percent)
+        edges, labels = joined(edges, labels, found.filter("link").select(F.col("key").alias("a"), F.col("node").alias("b")))
+        members = found.filter("not link").drop("link").join(classes.select("node", "n", "copies"), "node")
         first, few = False, few * MORE
     nodes = classes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
     out = stage(rows.join(nodes, ["s1", "s2", "n"], "left"), "ngram-out")
