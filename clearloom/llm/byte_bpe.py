@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 from .tokens import PieceEncoder
 
 #: Memoised pairs of tokens per worker process; beyond it they start anew.
@@ -140,7 +140,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     b.append(hashlib.sha256(enc.bpe.decode(ids[i:j].tolist())).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(counts)), pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

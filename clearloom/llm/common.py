@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,35 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch: whole texts, so fewer than Spark's 10,000.
+BATCH_ROWS = 2000
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow; at the end of a task the worker gives free memory back to the machine, which workers keep for later tasks otherwise."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,14 +59,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.staged_at = path
+    clean_up(spark)
     return out
 
 
@@ -182,4 +221,4 @@ def only(df: DataFrame, bits: np.ndarray, col: str, members: bool) -> DataFrame:
             there = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(there if members else ~there))
 
-    return df.withColumn("__slot", filter_slot(col)).mapInArrow(run, df.schema)
+    return df.withColumn("__slot", filter_slot(col)).mapInArrow(lean(run), df.schema)

@@ -5,20 +5,23 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
-#: Halving steps of a select within a word: widths and masks.
-_STEPS = [(np.uint64(w), np.uint64((1 << w) - 1), w) for w in (32, 16, 8, 4, 2, 1)]
+#: Each byte of a word: ones, low bits of pairs, of nibbles, top bits.
+_ONES, _PAIRS, _QUADS, _NIBBLES, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x01, 0x55, 0x33, 0x0F, 0x80))
+#: Place of the r-th set bit of each byte, at 8 * byte + r.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
 
 
 def select_in_words(words: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Place of the r-th (from 0) set bit of each 64-bit word."""
-    words, r, out = words.copy(), r.astype(np.int64), np.zeros(len(words), np.int64)
-    for shift, mask, width in _STEPS:
-        count = np.bitwise_count(words & mask).astype(np.int64)
-        up = r >= count
-        r -= np.where(up, count, 0)
-        words >>= np.where(up, shift, np.uint64(0))
-        out += np.where(up, width, 0)
-    return out
+    """Place of the r-th (from 0) set bit of each 64-bit word: the byte from running sums of the bytes' set bits, then a table."""
+    with np.errstate(over="ignore"):
+        sums = words - ((words >> _ONE) & _PAIRS)
+        sums = (sums & _QUADS) + ((sums >> np.uint64(2)) & _QUADS)
+        sums = ((sums + (sums >> np.uint64(4))) & _NIBBLES) * _ONES
+        r = r.astype(np.uint64)
+        shift = np.bitwise_count(((r * _ONES | _TOPS) - sums) & _TOPS).astype(np.uint64) << np.uint64(3)
+        before = ((sums << np.uint64(8)) >> shift) & np.uint64(255)
+        byte = (words >> shift) & np.uint64(255)
+    return shift.astype(np.int64) + _IN_BYTE[((byte << np.uint64(3)) + r - before).astype(np.int64)]
 
 
 class EliasFano:

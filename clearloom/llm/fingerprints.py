@@ -2,7 +2,7 @@
 
 A document is a set of paragraph digests (lines, and sentences within lines). Each digest goes into one cell of each of three sub-tables; a cell holds a signed count, the xor of its digests and the xor of their checksums. Sketches of two versions subtract cell by cell; peeling then recovers the digests that only one of them holds: a cell with count +1 or -1 and a fitting checksum holds one digest, which leaves its other cells too. Sub-tables take turns, so no digest is recovered twice. What doesn't empty is tried again with twice the cells and other hash functions, up to RETRIES times, and then compared digest by digest.
 
-Nulls: a null text is an empty one, whose set is empty; two empty sets are alike (1.0). A null doc_id sorts first. Repeated paragraphs count once. Repeated doc_ids are separate rows. An empty table gives an empty result. Other columns of the input are not read.
+Nulls: a null text is an empty one, whose set is empty; two empty sets are alike (1.0). A null doc_id sorts first (the least long counts as null). A very long text is one row, whose cells are counted within its task. Repeated paragraphs count once. Repeated doc_ids are separate rows. An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ RETRIES = 2
 #: Documents that are tried again up to which their keys are broadcast.
 FEW = 200_000
 KNOTS = 16
+#: Stands for a null key, so that the rows that move have the same columns for all that is made of them, and move once.
+NO_KEY = -(1 << 63)
 #: Tasks for each of Spark's shuffle partitions: the sketch cells of a task's documents stay in memory.
 FINER = 4
 
@@ -45,15 +47,15 @@ def ordered_buckets(key: Column, docs: DataFrame, name: str, fine: int) -> Colum
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """bucket, rid, key, text, dig, next_text, next_dig: each row with the next by key (the last with the first).
+    """bucket, rid, k, text, dig, next_text, next_dig: each row with the next by key (the last with the first).
 
     The rows go to ordered buckets in one shuffle. The first row of each bucket also goes to the bucket before it, so windows within buckets see every neighbour.
     """
     spark = docs.sparkSession
     tasks = FINER * int(spark.conf.get("spark.sql.shuffle.partitions"))
     fine = max(4, -(-tasks // KNOTS) * 8)
-    k = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), k.alias("k"))
+    k = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), k.alias("k"))
     rows = rows.withColumn("bucket", ordered_buckets(F.col("k"), docs, key, fine))
     firsts = sorted((r.bucket, r.low) for r in rows.groupBy("bucket").agg(F.min("k").alias("low")).collect())  # at most KNOTS * fine + 2 rows
     if not firsts:
@@ -63,10 +65,10 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("copy"))
     also = F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy"))
     rows = rows.join(table_of, "bucket").withColumn("to", F.explode(F.when(F.col("k") == F.col("low"), F.array(own, also)).otherwise(F.array(own))))
-    rows = rows.select(F.col("to.bucket").alias("bucket"), F.col("to.copy").alias("copy"), key, "k", "text").repartition(tasks, "bucket")
+    rows = rows.select(F.col("to.bucket").alias("bucket"), F.col("to.copy").alias("copy"), "k", "text").repartition(tasks, "bucket")
     w = Window.partitionBy("bucket").orderBy("copy", "k", "text")
     rows = rows.withColumn("dig", digests(F.col("text")))
-    rows = rows.select("bucket", "copy", key, "k", "text", "dig", F.row_number().over(w).alias("rid"), F.lead("k").over(w).alias("next_k"), F.lead("text").over(w).alias("next_text"), F.lead("dig").over(w).alias("next_dig"))
+    rows = rows.select("bucket", "copy", "k", "text", "dig", F.row_number().over(w).alias("rid"), F.lead("k").over(w).alias("next_k"), F.lead("text").over(w).alias("next_text"), F.lead("dig").over(w).alias("next_dig"))
     return rows.filter(~F.col("copy")).drop("copy")
 
 
@@ -163,7 +165,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return d.groupBy(*by).agg(*(of(i, c).alias(f"{c}_{p}") for i, p in enumerate(pairs_of) for c in ("only_a", "only_b", "left")))
 
     base = versions(docs)
-    attrs = base.select(*by, key, "k", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.size("dig").alias("n_own"), F.size("dig_edited").alias("n_edited"), F.size("next_dig").alias("n_next"))
+    attrs = base.select(*by, F.when(F.col("k") != NO_KEY, F.col("k")).alias(key), "k", "next_k", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.size("dig").alias("n_own"), F.size("dig_edited").alias("n_edited"), F.size("next_dig").alias("n_next"))
     wide = base.select(*by, "dig", "dig_edited", "next_dig")
     prints = fingerprint_text(wide, {"fingerprint": "dig", "edited_fingerprint": "dig_edited"}, by)
     facts = stage(attrs.join(prints, by, "left").join(recovered(wide, 0), by, "left").na.fill(0, found).drop(*by), "fingerprints")
@@ -175,7 +177,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         few = failed.select(F.explode(F.array("k", "next_k")).alias("k")).distinct()
         if few.limit(FEW + 1).count() <= FEW:  # else all texts would move before Spark sees how few are wanted
             few = F.broadcast(few)
-        again = versions(docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(few, "k", "left_semi").select(key, text))
+        again = versions(docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))).join(few, "k", "left_semi").select(key, text))
         more = again.select(*by, "k", F.sha2("edited", 256).alias("edited_sha256")).join(recovered(again.select(*by, "dig", "dig_edited", "next_dig"), attempt), by, "left").na.fill(0, found).drop(*by)
         fixed = failed.drop(*found).join(more.dropDuplicates(["k", "edited_sha256"]), ["k", "edited_sha256"]).select(facts.columns)
         facts = stage(facts.filter((F.col("left_edited") == 0) & (F.col("left_next") == 0)).unionByName(fixed), "fingerprints")

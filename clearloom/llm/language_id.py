@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, lean, table
 
 PER_LANG = 400
 LANDMARKS = 128
@@ -148,7 +148,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[Column | str], reje
                 out[0][i], out[1][i] = "und", 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())], names=[*names, "lang_pred", "score", "margin"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

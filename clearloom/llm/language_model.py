@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import array_files
-from .common import crc_mod, discard, remove, shared_dir, slices, stage, table, text_buffers, word_hashes
+from .common import clean_up, crc_mod, discard, lean, remove, shared_dir, slices, stage, table, text_buffers, word_hashes
 from .elias_fano import EliasFano
 
 ORDER = 3
 #: Bytes of text whose n-grams are counted together before they are handed on.
-GATHER = 5 << 20
+GATHER = 6 << 20
 #: Occurrences of the parents of a shard, about; words of a shard of the first level.
 SHARD, WORDS = 1_500_000, 1_000_000
 #: The log10 probability of any token without a training text.
@@ -125,11 +125,11 @@ class Model:
         return out
 
     def begin(self, level: int, parents: np.ndarray) -> np.ndarray:
-        """First index of the children, at `level`, of ascending parents that have any."""
+        """First index of the children, at `level`, of ascending parents (of those without any, where they would be)."""
         out = np.zeros(len(parents), np.int64)
         for s, a, b in self._spread(level, parents):
             shard = self.shard(level, s)
-            out[a:b] = shard.pointers.access(parents[a:b] - shard.low) + self.base[level - 1][s]
+            out[a:b] = shard.pointers.access(np.minimum(parents[a:b] - shard.low, shard.pointers.n - 1)) + self.base[level - 1][s]
         return out
 
     def siblings(self, level: int, ids: np.ndarray) -> np.ndarray:
@@ -178,6 +178,10 @@ class Model:
             n, low = np.zeros(len(uniq), np.int64), np.full(len(uniq), self.log_unknown)
             n[known], low[known] = self.counts(1, ids[known]), self.log_prob(1, ids[known])
             counts, p = n[inverse], low[inverse]
+        if upto > 2 and self.levels[1]:
+            own = np.zeros(len(uniq), np.int64)
+            own[known] = self.begin(2, ids[known])
+            begins = own[inverse]
         for level in range(2, upto + 1):
             out = np.full(len(words), -1, np.int64)
             before = here = index[-1]
@@ -186,7 +190,9 @@ class Model:
                 parent = before[at - 1]
                 rel = here[at].copy()
                 known = rel >= 0
-                if level > 2 and known.any():  # relative to the children of the words between
+                if level == 3:  # relative to the children of the word between
+                    rel -= begins[at - 1]
+                elif level > 3 and known.any():  # of the words between
                     between = index[level - 3][at[known] - 1]
                     ctx, inv = np.unique(between, return_inverse=True)
                     rel[known] -= self.begin(level - 1, ctx)[inv]
@@ -304,7 +310,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
             # range partitions follow signed order: shift the hash so that it is the unsigned one
             yield pa.RecordBatch.from_arrays([pa.array((w ^ np.uint64(1 << 63)).view(np.int64)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
-    counts = stage(texts.mapInArrow(count_words, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
+    counts = stage(texts.mapInArrow(lean(count_words), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     total, size = sums.total or 0, sums["size"]
     d = discount(sums.once, sums.twice)
@@ -319,7 +325,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
             yield meta(shard, w[0], n)
 
     parts = max(1, -(-size // WORDS))
-    made = counts.repartitionByRange(parts, "w").sortWithinPartitions("w").mapInArrow(make_words, META).collect()  # one row for each shard
+    made = counts.repartitionByRange(parts, "w").sortWithinPartitions("w").mapInArrow(lean(make_words), META).collect()  # one row for each shard
     discard(counts)
 
     def level_of(made: list, level: int) -> tuple[list[tuple[str, int, int]], np.ndarray]:
@@ -362,8 +368,10 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
             for shard in sorted(runs):
                 yield meta(shard, *merged(model, level, runs.pop(shard), f"{folder}/{level}-{shard}", f"{folder}/{level}-tmp/{shard}"))
 
-        rows = texts.mapInArrow(count_grams, "shard int, run binary")
-        made = rows.repartitionById(len(cuts), F.col("shard")).mapInArrow(merge, META).collect()  # one row for each shard
+        rows = texts.mapInArrow(lean(count_grams), "shard int, run binary")
+        made = rows.repartitionById(len(cuts), F.col("shard")).mapInArrow(lean(merge), META).collect()  # one row for each shard
+        del rows
+        clean_up(spark)
         d = discount(sum(r.once for r in made), sum(r.twice for r in made))
 
         def finish(batches: Iterator[pa.RecordBatch], level=level, d=d) -> Iterator[pa.RecordBatch]:
@@ -374,7 +382,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
 
         shards = spark.createDataFrame([(r.shard,) for r in made], "shard int")
         if made:
-            shards.repartition(len(made)).mapInArrow(finish, "shard int").count()
+            shards.repartition(len(made)).mapInArrow(lean(finish), "shard int").count()
             remove(spark, f"{folder}/{level}-tmp")
         shards, cuts = level_of(made, level)
         if not shards:
@@ -437,7 +445,7 @@ def scored(docs: DataFrame, spec: tuple) -> DataFrame:
             cols = [np.bincount(of, minlength=n).astype(np.int64), sums(c > 0).astype(np.int64), np.full(n, model.total, np.int64), sums(base), sums(p)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "held_out", "text").mapInArrow(lean(run), schema)
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

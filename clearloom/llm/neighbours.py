@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import lean, stage, table
 
 SAMPLE, CALIBRATE, RECALL = 20_000, 200, 0.97
 BRANCH, LEAF, LEAVES = 8, 64, 128
@@ -153,8 +153,8 @@ def nearest(vectors: DataFrame, key: str, col: str, k: int, is_query) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves).astype(np.int64)), part.column(0).take(row), part.column(1).take(row)], names=["leaf", "cid", "v"])
 
     schema = "leaf long, cid long, v array<double>"
-    indexed = stage(classes.select("cid", "v").mapInArrow(index, schema), "neighbours")
-    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v").mapInArrow(visit, schema)
+    indexed = stage(classes.select("cid", "v").mapInArrow(lean(index), schema), "neighbours")
+    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v").mapInArrow(lean(visit), schema)
     asked = stage(asked, "neighbours")
     n = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias(name))  # noqa: E731  one row for each leaf
     blocks = F.broadcast(n(indexed, "vb").join(n(asked, "qb"), "leaf"))

@@ -19,13 +19,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, mix, signed, slices, stage, table, text_buffers, word_hashes
+from .common import discard, lean, mix, signed, slices, stage, table, text_buffers, word_hashes
 
 COMBINE = 2
 #: Classes up to which an n-gram is indexed by itself; n-grams of a set from which neighbours are combined instead of all pairs.
 FREQUENT, LONG = 16, 200
 #: Pairs for each member up to which all pairs of a bucket are compared, in the first round; in each later one this times as many.
-FEW, MORE = 8, 8
+FEW, MORE = 64, 8
 #: N-grams counted before the join: this share of the hash range; more frequent than TOP_COUNT comes last in the order; at most TOP_MOST of them are known.
 SHARE, TOP_COUNT, TOP_MOST = 0.2, 32, 400_000
 
@@ -74,7 +74,7 @@ def top_grams(texts: DataFrame, n: int) -> np.ndarray:
             g, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *low]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(g)), pa.array(c.astype(np.int64))], names=["g", "c"])
 
-    counts = texts.mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") > TOP_COUNT)
+    counts = texts.mapInArrow(lean(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") > TOP_COUNT)
     top = counts.orderBy(F.desc("c"), "g").limit(TOP_MOST).select("g").toArrow()["g"].to_numpy()
     return np.sort(top.view(np.uint64))
 
@@ -124,7 +124,7 @@ def classed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
                 cols = [pa.array(size, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, len(sets)) for c in batch.columns[:2]), *cols], names=["doc_id", "t", "n", "s1", "s2", "prefix", "bits"])
 
-    rows = stage(docs.select("doc_id", "t", "text").mapInArrow(run, schema), "ngram-rows")
+    rows = stage(docs.select("doc_id", "t", "text").mapInArrow(lean(run), schema), "ngram-rows")
     classes = rows.filter(F.col("n") > 0).groupBy("s1", "s2", "n").agg(F.min("t").alias("node"), F.count("*").alias("copies"), F.any_value("prefix").alias("prefix"), F.any_value("bits").alias("bits"))
     return rows.select("doc_id", "t", "n", "s1", "s2"), stage(classes, "ngram-classes"), top
 
@@ -137,7 +137,7 @@ def sets_for(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             for i, sets in sets_of(batch.column(1), n):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["t", "s"])
 
-    return docs.join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(run, "t long, s array<long>")
+    return docs.join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(lean(run), "t long, s array<long>")
 
 
 def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
@@ -162,7 +162,7 @@ def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent:
                         keys = mix(mix(s[:-1]) * np.uint64(3) + s[1:])
                     yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.full(len(keys), t))], names=["key", "t"])
 
-        keys = sets_for(docs, wide.select("t"), n).mapInArrow(neighbours, "key long, t long")
+        keys = sets_for(docs, wide.select("t"), n).mapInArrow(lean(neighbours), "key long, t long")
         out = out.unionByName(keys.join(wide, "t").select("key", F.col("t").alias("node"), "n", "copies"))
     return stage(out.distinct(), "ngram-index")
 
@@ -231,7 +231,7 @@ def rebased(groups: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent:
                 key, *rest = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *map(pa.array, rest)], names=["key", "node", "far", "near", "link"])
 
-    out = stage(both.select("lead", "node", "s_lead", "s_node").mapInArrow(run, "key long, node long, far boolean, near boolean, link boolean"), "ngram-rebased")
+    out = stage(both.select("lead", "node", "s_lead", "s_node").mapInArrow(lean(run), "key long, node long, far boolean, near boolean, link boolean"), "ngram-rebased")
     discard(sets)
     return out
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import lean, stage, table
 from .tokens import encoder, with_ends
 
 GROUP_PIECES = 8192
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, path: str, most: int) -> DataFrame:
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encode), PIECES)
 
 
 def packed(docs: DataFrame, path: str, cap: Capacity = Capacity(), group: int = GROUP_PIECES) -> DataFrame:

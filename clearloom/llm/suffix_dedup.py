@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, membership, mix, only, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
+from .common import SPACE, lean, membership, mix, only, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
 
 LENGTH = 400
 GRAM = 160
@@ -276,7 +276,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """From t, size, text: t, size, spans (begin and end of the starts of repeated strings of `length` bytes, flat; one row for each text that has any)."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.select("t", "size", "text")
-    runs = stage(texts.mapInArrow(partial(found_runs, length=length), RUNS), "repeats-runs")
+    runs = stage(texts.mapInArrow(lean(partial(found_runs, length=length)), RUNS), "repeats-runs")
     # Equal runs are summed before they move.
     distinct = runs.groupBy("h", "r").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("t", "size", "p", "len")).alias("at"))
     key = Window.partitionBy("h")
@@ -286,9 +286,9 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     by_text = wanted.groupBy("t", "size").agg(F.collect_list(F.struct("h", "r", "n", "p", "len", "hot")).alias("runs"))
     # Only texts that may hold a wanted run move. Equal texts are one here: any of them holds the bytes.
     some = only(texts, membership(wanted, "t"), "t", True).join(by_text, ["t", "size"]).dropDuplicates(["t", "size"])
-    bytes_of = some.select("text", "runs").mapInArrow(partial(fetched, length=length), "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
+    bytes_of = some.select("text", "runs").mapInArrow(lean(partial(fetched, length=length)), "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
     cold = bytes_of.filter(F.col("bytes").isNotNull()).select("h", "r", "n", "len", "bytes").repartition(4 * parts, "h").sortWithinPartitions("h", "r")
-    spans = cold.mapInArrow(partial(sorted_groups, length=length), "h long, r long, spans array<int>")
+    spans = cold.mapInArrow(lean(partial(sorted_groups, length=length)), "h long, r long, spans array<int>")
     if not wanted.filter("hot").isEmpty():
         starts = bytes_of.filter(F.col("bytes").isNull()).select("h", "r", "n", F.posexplode(F.arrays_zip("one", "two")).alias("i", "x")).select("h", "r", "n", "i", "x.one", "x.two")
         starts = stage(starts, "repeats-starts")
@@ -353,7 +353,7 @@ def cut(docs: DataFrame, text: str = "text", as_text: bool = False, words: int |
     none = F.lit(None).cast("array<int>")
     found = repeats(texts.filter(F.col("size") >= LENGTH)).select("t", "size", "spans", none.alias("words"))
     if words:
-        codes = texts.filter(F.col("size") >= 2 * words - 1).mapInArrow(coded, "t long, size int, text binary")
+        codes = texts.filter(F.col("size") >= 2 * words - 1).mapInArrow(lean(coded), "t long, size int, text binary")
         found = found.unionByName(repeats(codes, CODE * words).select("t", "size", none.alias("spans"), F.col("spans").alias("words")))
         found = found.groupBy("t", "size").agg(F.any_value("spans", True).alias("spans"), F.any_value("words", True).alias("words"))
     found = found.select(F.col("t").alias("__t"), F.col("size").alias("__size"), F.col("spans").alias("__spans"), F.col("words").alias("__words"))
@@ -381,7 +381,7 @@ def cut(docs: DataFrame, text: str = "text", as_text: bool = False, words: int |
             cols = [pa.array(x, t) for x, t in zip((size, gone, n, where, kept), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string() if as_text else pa.binary()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*names, "n_bytes", "n_removed", "n_spans", "removed", "kept"])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

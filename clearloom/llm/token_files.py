@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import lean, stage, table
 from .tokens import END_ID, encoder, with_ends
 
 BLOCK_TOKENS = 1 << 20
@@ -211,7 +211,7 @@ def write(docs: DataFrame, path: str, end: int = END_ID, block_tokens: int = BLO
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stage(rows.mapInArrow(encode, BLOCKS), "token_files")
+    return stage(rows.mapInArrow(lean(encode), BLOCKS), "token_files")
 
 
 def read(blocks: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def read(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(b.keys, pa.int64(), mask=b.null.astype(bool)), pa.array(b.starts[:-1] + before), pa.array(b.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = blocks.join(F.broadcast(shift), "shard").select((F.col("before") + F.col("base")).alias("before"), "payload")
-    return spread.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
