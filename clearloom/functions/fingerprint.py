@@ -8,6 +8,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,19 +24,24 @@ def sha256_prefixed(content: Column) -> Column:
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, simhash (signed 64 bits). Bit i is set if more word occurrences have it set than not, in the low 64 bits of the word's md5. No words: 0.
 
-    Words are counted per row before their bits are weighed, so a repeated word is hashed once.
+    Each row is folded by itself, so nothing moves: words are hashed in the JVM, their bits are summed in Arrow batches.
     """
-    counted = df.select(key, F.explode(words(F.col(text))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("c"))
-    digest = F.md5(F.col("w").cast("binary"))
-    half = lambda a: F.conv(F.substring(digest, a, 8), 16, 10).cast("long")
-    rows = counted.select(key, "c", half(17).alias("hi"), half(25).alias("lo"))
-    vote = lambda col, i: F.sum(F.when(F.col(col).bitwiseAND(F.lit(1 << i)) != 0, F.col("c")).otherwise(-F.col("c")))
-    sums = rows.groupBy(key).agg(*(vote("lo", i).alias(f"b{i}") for i in range(32)), *(vote("hi", i).alias(f"b{i + 32}") for i in range(32)))
-    out = F.lit(0).cast("long")
-    for i in range(64):
-        out = out.bitwiseOR(F.when(F.col(f"b{i}") > 0, F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("long"))
-    made = sums.select(key, out.alias("simhash"))
-    return df.select(key).join(made, key, "left").select(key, F.coalesce("simhash", F.lit(0).cast("long")).alias("simhash"))
+    half = lambda w, a: F.conv(F.substring(F.md5(w.cast("binary")), a, 8), 16, 10).cast("long")
+    hashed = df.select(F.col(key), F.transform(words(F.col(text)), lambda w: F.shiftleft(half(w, 17), 32).bitwiseOR(half(w, 25))).alias("h"))
+
+    def run(batches):
+        for batch in batches:
+            col = batch.column(1)
+            sizes = np.diff(col.offsets.to_numpy()) if col.null_count == 0 else pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy()
+            bits, ends = col.flatten().to_numpy().view(np.uint8).reshape(-1, 8), np.cumsum(sizes)
+            out = np.zeros(len(batch), np.int64)
+            for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+                if a < b:
+                    votes = np.unpackbits(bits[a:b], axis=1, bitorder="little").sum(0, dtype=np.int64)
+                    out[i] = np.packbits(2 * votes > b - a, bitorder="little").view(np.int64)[0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[key, "simhash"])
+
+    return hashed.mapInArrow(run, df.select(key).withColumn("simhash", F.lit(0).cast("long")).schema)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -99,6 +106,7 @@ def difflib_bound(la: Column, lb: Column) -> Column:
     return F.when(la + lb == 0, 1.0).otherwise(2.0 * F.least(la, lb) / (la + lb))
 
 
+#: Shorter names of syntax nodes.
 _SHORT = {"FunctionDef": "FuncDef", "AsyncFunctionDef": "FuncDef", "Name": "Var", "Constant": "Const"}
 
 
@@ -151,17 +159,3 @@ def image_phash(images: DataFrame, key: str) -> DataFrame:
             yield pd.DataFrame({key: pdf[key], "phash": out})
 
     return images.select(key, "height", "width", "nChannels", "data").mapInPandas(run, f"{key} string, phash long")
-
-
-def paraphrase(text: str, synonyms: dict[str, str], share: float = 0.3, seed: int = 42) -> str:
-    """Test input: known words are swapped with the given probability; case and closing marks stay."""
-    import random
-
-    rng, marks, out = random.Random(seed), ".,;:\"'!?()", []
-    for word in text.split():
-        new = synonyms.get(word.strip(marks).lower())
-        if new is None or rng.random() >= share:
-            out.append(word)
-        else:
-            out.append((new.capitalize() if word[0].isupper() else new) + (word[-1] if word[-1] in marks else ""))
-    return " ".join(out)

@@ -24,7 +24,7 @@ def submit_takedowns(takedowns: DataFrame, new: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
     top = takedowns.agg(F.coalesce(F.max("index_version"), F.lit(1)).alias("top"))
-    one = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("notice_id"))  # notices of one call: a few rows
+    one = F.row_number().over(Window.orderBy("notice_id"))  # versions are given one by one, to the notices of one call
     return takedowns.unionByName(new.crossJoin(F.broadcast(top)).withColumn("index_version", F.col("top") + one).drop("top"), allowMissingColumns=True)
 
 
@@ -38,7 +38,7 @@ def delta_candidates(cleared: DataFrame, takedowns: DataFrame, since: int, upto:
 def delta_flagged(cleared: DataFrame, takedowns: DataFrame, since: int, upto: int, least: float = DEFAULT.takedown_ratio) -> DataFrame:
     """asset_id, notice_id, ratio, action of cleared assets that a later takedown matches."""
     a, b = delta_candidates(cleared, takedowns, since, upto)
-    hits = difflib_join(a, b, ["track"], F.lit(least))
+    hits = difflib_join(a, b, ["track"], least)
     return hits.select("asset_id", "notice_id", F.round("ratio", 4).alias("ratio"), F.lit("REVOKE_AND_BLOCK").alias("action"))
 
 

@@ -24,19 +24,13 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 def text_scores(docs: DataFrame, works: DataFrame, least: float = DEFAULT.candidate_least) -> DataFrame:
     """doc_id, item_id, containment, jaccard, score of pairs with score above `least`. docs: doc_id, text; works: item_id, text.
 
-    score = least(0.98, greatest(1.5 x Jaccard, shared / size of the work)). A pair above `least` shares more than least / 1.5 of the work's words, so it shares one outside the work's most frequent such part: only the others are joined, and their pairs compared as sets.
+    score = least(0.98, greatest(1.5 x Jaccard, shared / size of the work)). Shared words are counted by an equi-join on words; the sizes travel with them, so no set moves and none is compared again.
     """
     d = docs.select("doc_id", F.array_distinct(tx.words(F.trim("text"))).alias("d"))
+    d = d.select("doc_id", F.size("d").alias("nd"), F.explode("d").alias("tok"))
     w = works.select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("w"))
-    flat = w.select("item_id", F.size("w").alias("n"), F.explode("w").alias("tok"))
-    df = flat.groupBy("tok").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("df", "tok"))
-    kept = flat.join(df, "tok").withColumn("r", rank).filter(F.col("r") <= F.col("n") - F.floor(F.col("n") * (least / 1.5)))
-    index = small(kept.select("tok", "item_id"))
-    pairs = d.select("doc_id", F.explode("d").alias("tok")).join(index, "tok").select("doc_id", "item_id").distinct()
-    both = pairs.join(d, "doc_id").join(small(w), "item_id")
-    shared = F.size(F.array_intersect("d", "w"))
-    both = both.select("doc_id", "item_id", shared.alias("k"), F.size("d").alias("nd"), F.size("w").alias("nw"))
+    index = small(w.select("item_id", F.size("w").alias("nw"), F.explode("w").alias("tok")))
+    both = d.join(index, "tok").groupBy("doc_id", "nd", "item_id", "nw").agg(F.count("*").alias("k"))
     both = both.withColumns({"containment": F.col("k") / F.col("nw"), "jaccard": F.col("k") / (F.col("nd") + F.col("nw") - F.col("k"))})
     both = both.withColumn("score", F.least(F.lit(0.98), F.greatest(1.5 * F.col("jaccard"), F.col("containment"))))
     return both.filter(F.col("score") > least).select("doc_id", "item_id", "containment", "jaccard", "score")
@@ -87,13 +81,16 @@ def hamming_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lhash:
     return pairs.select(lkey, rkey, "dist").distinct()
 
 
+def hash_classes(hashes: DataFrame, key: str, col: str) -> DataFrame:
+    """first (smallest key), copies, h of each value that occurs; 0 takes no part."""
+    return hashes.filter(F.col(col) != 0).groupBy(F.col(col).alias("h")).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
+
+
 def near_pairs(hashes: DataFrame, key: str, col: str, most: int = DEFAULT.simhash_distance) -> DataFrame:
-    """a < b, dist of rows whose hashes are at most `most` bits apart; 0 takes no part. Equal hashes are one class, joined once; the pairs of a class are its members in order."""
-    rows = hashes.filter(F.col(col) != 0).select(F.col(key).alias("k"), F.col(col).alias("h"))
-    kinds = rows.select("h").distinct()
-    met = hamming_join(kinds.withColumnRenamed("h", "ha"), kinds.withColumnRenamed("h", "hb"), "ha", "hb", "ha", "hb", most)
-    left, right = rows.select(F.col("k").alias("a"), F.col("h").alias("ha")), rows.select(F.col("k").alias("b"), F.col("h").alias("hb"))
-    return met.join(left, "ha").join(right, "hb").filter(F.col("a") < F.col("b")).select("a", "b", "dist")
+    """a < b, dist of classes of equal hashes that are 1 to `most` bits apart; a and b are the classes' smallest keys. Members of a class aren't paired: hash_classes has their number."""
+    kinds = hash_classes(hashes, key, col)
+    one, other = (kinds.select(F.col("first").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
+    return hamming_join(one, other, "a", "b", "ha", "hb", most).filter(F.col("a") < F.col("b"))
 
 
 def set_jaccard(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lset: str, rset: str, least: float) -> DataFrame:
@@ -105,18 +102,28 @@ def set_jaccard(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lset: s
 
 
 def ngram_hits(outputs: DataFrame, protected: DataFrame, key: str, n: int = DEFAULT.leakage_window) -> DataFrame:
-    """key, pos, snippet: the first window of n words that also occurs in a protected text."""
+    """key, pos, snippet: the first window of n words that also occurs in a protected text.
+
+    Windows are joined by 64-bit hashes; those that match are compared as strings. Only the hits' strings move.
+    """
     grams = tx.joined_windows(tx.words(F.col("text"), tx.WORD), n)
-    known = protected.select(F.explode(grams).alias("g")).distinct()
-    seen = outputs.select(key, F.posexplode(grams).alias("pos", "g"))
-    return seen.join(known, "g", "left_semi").groupBy(key).agg(F.min("pos").alias("pos"), F.min_by("g", "pos").alias("snippet"))
+    known = small(protected.select(F.explode(grams).alias("known")).distinct().withColumn("h", F.xxhash64("known")))
+    seen = outputs.select(key, F.posexplode(grams).alias("pos", "g")).withColumn("h", F.xxhash64("g"))
+    hits = seen.join(known, "h").filter(F.col("g") == F.col("known"))
+    return hits.groupBy(key).agg(F.min("pos").alias("pos"), F.min_by("g", "pos").alias("snippet"))
+
+
+def length_bands(text: Column, ratio: float) -> Column:
+    """Number of a text's band of lengths: texts whose difflib ratio reaches `ratio` are in the same or neighbouring bands, as the longer is at most (2 - ratio) / ratio times the shorter."""
+    return F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / F.log(F.lit((2 - ratio) / ratio))).cast("long")
 
 
-def difflib_join(left: DataFrame, right: DataFrame, by: list[Column], least: Column, l: str = "l_text", r: str = "r_text") -> DataFrame:
-    """left joined with right on `by`, with ratio, where that is at least `least`. Pairs whose lengths rule it out never reach Python."""
-    pairs = left.join(small(right), by)
+def difflib_join(left: DataFrame, right: DataFrame, by: list[str], least: float, l: str = "l_text", r: str = "r_text") -> DataFrame:
+    """left joined with right on `by` and bands of lengths, with ratio, where that is at least `least`. Pairs whose lengths rule it out never reach Python."""
+    near = right.withColumn("__band", F.explode(F.array(*(length_bands(F.col(r), least) + i for i in (-1, 0, 1)))))
+    pairs = left.withColumn("__band", length_bands(F.col(l), least)).join(small(near), [*by, "__band"]).drop("__band")
     pairs = pairs.filter(fp.difflib_bound(F.length(l), F.length(r)) >= least)
-    return pairs.withColumn("ratio", fp.difflib_ratio_from(F.lower(l), F.lower(r), least)).filter(F.col("ratio") >= least)
+    return pairs.withColumn("ratio", fp.difflib_ratio_from(F.lower(l), F.lower(r), F.lit(least))).filter(F.col("ratio") >= least)
 
 
 def full_text_match(docs: DataFrame, works: DataFrame, cfg=DEFAULT, least: float = 0.55) -> DataFrame:
@@ -146,7 +153,8 @@ def code_match(code: DataFrame, index: DataFrame, least: float = 0.4) -> DataFra
     toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
     a = code.select("doc_id", fp.code_structure_udf("text").alias("l_text"), toks(F.col("text")).alias("a"))
     b = index.select("item_id", fp.code_structure_udf("text").alias("r_text"), toks(F.col("text")).alias("b"))
-    pairs = a.join(small(b), F.exists("a", lambda x: F.array_contains(F.col("b"), x)))
+    met = a.select("doc_id", F.explode("a").alias("tok")).join(small(b.select("item_id", F.explode("b").alias("tok"))), "tok").select("doc_id", "item_id").distinct()
+    pairs = met.join(a, "doc_id").join(small(b), "item_id")
     shared = F.size(F.array_intersect("a", "b"))
     rows = pairs.select("doc_id", "item_id", fp.difflib_ratio("l_text", "r_text").alias("structure"), (shared / F.size(F.array_union("a", "b"))).alias("tokens"), (shared / F.greatest(F.size("b"), F.lit(1))).alias("inside"))
     s = F.greatest(F.col("structure"), 0.7 * F.col("structure") + 0.3 * F.col("tokens"))
@@ -160,7 +168,10 @@ def audio_match(assets: DataFrame, index: DataFrame, least: float = 0.5) -> Data
     a = assets.select("doc_id", fp.acoustic_fingerprint(F.col("content")).alias("l_text"), F.length("content").alias("la"))
     b = index.select("item_id", fp.acoustic_fingerprint(F.col("content")).alias("r_text"), F.length("content").alias("lb"))
     size = F.least("la", "lb") / F.greatest("la", "lb", F.lit(1))
-    # score > least needs 0.7 + 0.3 x size > least: pairs of very different sizes are not compared.
-    pairs = a.join(small(b), (0.7 + 0.3 * size) > least)
+    # A fingerprint has at most 47 characters. Those of one length meet those of lengths that leave a score above least possible.
+    lengths = F.filter(F.sequence(F.lit(0), F.lit(64)), lambda n: 0.7 * fp.difflib_bound(n, F.length("r_text")) + 0.3 > least)
+    near = b.withColumn("length", F.explode(lengths))
+    pairs = a.withColumn("length", F.length("l_text")).join(small(near), "length")
+    pairs = pairs.filter(0.7 * fp.difflib_bound(F.length("l_text"), F.length("r_text")) + 0.3 * size > least)
     ratio = 0.7 * fp.difflib_ratio("l_text", "r_text") + 0.3 * size
     return pairs.select("doc_id", "item_id", F.when(F.col("l_text") == F.col("r_text"), 1.0).otherwise(F.round(ratio, 4)).alias("score")).filter(F.col("score") > least)

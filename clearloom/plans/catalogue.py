@@ -169,18 +169,9 @@ def asset_manifest(spark, d):
     return table(spark, d, "documents").select("doc_id", fp.sha256_prefixed(F.col("text").cast("binary")).alias("asset_hash"), F.octet_length("text").cast("long").alias("size_bytes"))
 
 
-_CODE = " OR ".join(f"contains(text, '{k}')" for k in config.CODE_KEYWORDS)
-
-
-@query(f"SELECT doc_id, CASE WHEN {_CODE} THEN 'CODE' ELSE 'TEXT' END AS track, CASE WHEN {_CODE} THEN 'text/x-code' ELSE 'text/plain' END AS mime FROM (SELECT doc_id, decode(encode(text)[1:4096]) AS text FROM documents WHERE octet_length(encode(text)) <= 4096)")
-def asset_sniff(spark, d):
-    """Track and type by content, of texts that the header holds wholly (SQL can't cut UTF-8 at a byte)."""
-    return _sniffed(table(spark, d, "documents").filter(F.octet_length("text") <= 4096))
-
-
 @query()
-def asset_sniff_all(spark, d):
-    """Track and type by content of every text, from its first 4096 bytes."""
+def asset_sniff(spark, d):
+    """Track and type by content of every text, from its first 4096 bytes (SQL can't cut UTF-8 at a byte)."""
     return _sniffed(table(spark, d, "documents"))
 
 
@@ -316,11 +307,18 @@ def simhash_fingerprint(spark, d):
     return fp.simhash(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-@query(f"WITH {_SIM} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.simhash, y.simhash))::INTEGER AS dist FROM sim x JOIN sim y ON x.doc_id < y.doc_id AND x.simhash <> 0 AND y.simhash <> 0 AND bit_count(xor(x.simhash, y.simhash)) <= 3")
+@query(f"WITH {_SIM} , k AS (SELECT simhash, min(doc_id) AS first FROM sim WHERE simhash <> 0 GROUP BY 1) SELECT x.first AS a, y.first AS b, bit_count(xor(x.simhash, y.simhash))::INTEGER AS dist FROM k x JOIN k y ON x.first < y.first AND bit_count(xor(x.simhash, y.simhash)) <= 3")
 def near_duplicate_pairs(spark, d):
+    """Pairs of classes of equal SimHashes, by their first documents; simhash_classes has the members."""
     return simjoin.near_pairs(fp.simhash(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text"), "doc_id", "simhash").select("a", "b", F.col("dist").cast("int").alias("dist"))
 
 
+@query(f"WITH {_SIM} SELECT min(doc_id) OVER (PARTITION BY simhash) AS first, doc_id, count(*) OVER (PARTITION BY simhash) AS copies FROM sim WHERE simhash <> 0")
+def simhash_classes(spark, d):
+    h = fp.simhash(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+    return h.filter("simhash <> 0").join(simjoin.hash_classes(h, "doc_id", "simhash"), F.col("simhash") == F.col("h")).select("first", "doc_id", "copies")
+
+
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_duplicates(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter(F.col("copies") > 1)
@@ -365,23 +363,17 @@ def privacy_signature(spark, d):
     return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.array_join("s", ",").alias("signature"), F.size("s").alias("fingerprint_count"))
 
 
-@query(f"""WITH q AS (SELECT doc_id AS query_id, {_SIGL} AS sig FROM {_SIG.format(k='doc_id', t='documents')}), e AS (SELECT query_id, len(sig) AS n, unnest(sig) AS x FROM q), w AS (SELECT * FROM e WHERE query_id % 10 = 0),
+@query(f"""WITH q AS (SELECT doc_id AS query_id, {_SIGL} AS sig FROM {_SIG.format(k='doc_id', t='documents')}), e AS (SELECT query_id, len(sig) AS n, unnest(sig) AS x FROM q), w AS (SELECT * FROM e),
 j AS (SELECT e.query_id, w.query_id AS work_id, count(*) / (any_value(e.n) + any_value(w.n) - count(*)) AS jaccard FROM e JOIN w USING (x) GROUP BY ALL HAVING count(*) / (any_value(e.n) + any_value(w.n) - count(*)) >= 0.6::DOUBLE)
 SELECT query_id, work_id, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY jaccard DESC, work_id) AS r FROM j) WHERE r = 1""")
 def cross_org_match(spark, d):
-    """Signals that one organisation exports (documents with ids divisible by 10) against all texts."""
-    return _signal_matches(spark, d, "doc_id % 10 = 0")
+    """Signals of all documents, as one organisation exports them, against all texts."""
+    return _signal_matches(spark, d)
 
 
-@query()
-def cross_org_match_all(spark, d):
-    """Signals of all documents against all texts."""
-    return _signal_matches(spark, d, "true")
-
-
-def _signal_matches(spark: SparkSession, d: str, exported: str) -> DataFrame:
+def _signal_matches(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text").withColumn("title", F.col("doc_id").cast("string"))
-    signals = governance.export_signals(docs.filter(exported), "org-alpha", "doc_id")
+    signals = governance.export_signals(docs, "org-alpha", "doc_id")
     found = governance.match_signals(docs.select(F.col("doc_id").alias("query_id"), fp.privacy_signature(F.col("text")).alias("sig")), signals)
     return found.withColumn("jaccard", F.round("jaccard", 6))
 
@@ -461,15 +453,10 @@ def fingerprint_registered(spark, d):
 
 # ---- vectors, telemetry, queue, audit
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN list_dot_product(e, e) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS e FROM v),
-s AS (SELECT q.vec_id AS query_id, n.vec_id, list_dot_product(q.e, n.e) AS score FROM n q, n WHERE q.vec_id % 25 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.vec_id AS query_id, n.vec_id, list_dot_product(q.e, n.e) AS score FROM n q, n WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank, round(score, 5) AS score FROM r WHERE rank <= 5""")
 def vector_topk5(spark, d):
-    return _top5(spark, d, "vec_id % 25 = 0")
-
-
-@query()
-def vector_topk5_20(spark, d):
-    """As vector_topk5, with the stated query set: every 20th vector."""
+    """The five nearest of every 20th vector."""
     return _top5(spark, d, "vec_id % 20 = 0")
 
 
@@ -484,15 +471,8 @@ def telemetry_p95(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.expr("percentile(value, 0.95)"), 6).alias("p95"))
 
 
-@query("SELECT event_id, (user_id % 3) * 10 AS priority, row_number() OVER (ORDER BY (user_id % 3) * 10, event_id) AS position FROM events WHERE event_type = 'click' ORDER BY position LIMIT 100")
+@query("SELECT event_id, (user_id % 3) * 10 AS priority, row_number() OVER (ORDER BY (user_id % 3) * 10, event_id) AS position FROM events")
 def queue_order(spark, d):
-    """The next 100 items of the queue: a top-k by priority and arrival."""
-    top = queue.order(_queued(table(spark, d, "events").filter(F.col("event_type") == "click"))).limit(100)
-    return top.select("event_id", "priority", F.row_number().over(Window.orderBy("priority", "seq")).alias("position"))
-
-
-@query()
-def queue_order_all(spark, d):
     """All items in the order of the queue; positions are worked out in each range of (priority, arrival) and moved by the ranges before it."""
     rows = _queued(table(spark, d, "events"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -508,13 +488,8 @@ def _queued(events: DataFrame) -> DataFrame:
     return events.select("event_id", ((F.col("user_id") % 3) * 10).alias("priority"), F.col("event_id").alias("seq"))
 
 
-@query("SELECT user_id AS item_id, count(*) AS retry_count, 10 + 5 * least(count(*), 3) AS priority, count(*) > 3 AS dead, 'Attempt 1: ' || arg_min(event_type, event_id) AS first_error FROM events WHERE event_id % 50 = 0 GROUP BY 1")
+@query("SELECT user_id AS item_id, count(*) AS retry_count, 10 + 5 * least(count(*), 3) AS priority, count(*) > 3 AS dead, 'Attempt 1: ' || arg_min(event_type, event_id) AS first_error FROM events GROUP BY 1")
 def retry_dlq(spark, d):
-    return _retries(table(spark, d, "events").filter("event_id % 50 = 0"))
-
-
-@query()
-def retry_dlq_all(spark, d):
     return _retries(table(spark, d, "events"))
 
 
@@ -533,13 +508,8 @@ def audit_monthly(spark, d):
     return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("ym"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS newest FROM events WHERE user_id % 20 = 0")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS newest FROM events")
 def audit_by_asset(spark, d):
-    return _newest_first(table(spark, d, "events").filter("user_id % 20 = 0"))
-
-
-@query()
-def audit_by_asset_all(spark, d):
     return _newest_first(table(spark, d, "events"))
 
 
@@ -616,14 +586,8 @@ def graph_catch_up(spark, d):
     return provenance.catch_up(rows, provenance.graph_nodes(rows.filter("asset_id % 3 = 0"))).select("asset_id")
 
 
-@query("SELECT page_id AS asset_id, CASE WHEN page_id % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'SIGNATURE_VALID' END AS reason FROM pages WHERE page_id % 10 = 0 OR page_id % 7 = 0")
+@query("SELECT page_id AS asset_id, CASE WHEN page_id % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'SIGNATURE_VALID' END AS reason FROM pages")
 def certificate_verify(spark, d):
-    """Signs certificates of a share of pages and verifies them; some come with another hash."""
-    return _verified(spark, _lineage(spark, d).filter("asset_id % 10 = 0 OR asset_id % 7 = 0"))
-
-
-@query()
-def certificate_verify_all(spark, d):
     """Signs certificates of all pages and verifies them; some come with another hash."""
     return _verified(spark, _lineage(spark, d))
 
@@ -661,16 +625,16 @@ def acoustic_fingerprints(spark, d):
     return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", fp.acoustic_fingerprint(F.col("text").cast("binary")).alias("fingerprint"))
 
 
-@query("SELECT x.vec_id AS asset_id, y.vec_id AS item_id, bit_count(xor(x.h, y.h))::INTEGER AS dist FROM (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) x JOIN (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) y ON y.vec_id % 5 = 0 AND bit_count(xor(x.h, y.h)) < 8")
-def phash_match(spark, d):
-    """64-bit hashes (here signs of vector components) against an index, fewer than 8 bits apart."""
-    v = _signs(spark, d)
-    return _near_hashes(v, v.filter("vec_id % 5 = 0"))
+@query()
+def audio_match(spark, d):
+    """The bytes of texts as audio, by their fingerprints, against those of protected works."""
+    docs, works = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content")), table(spark, d, "benchmark").select("item_id", F.col("text").cast("binary").alias("content"))
+    return simjoin.audio_match(docs.filter(F.length("content") > 0), works.filter(F.length("content") > 0))
 
 
-@query()
-def phash_match_all(spark, d):
-    """As phash_match, with all hashes in the index."""
+@query("SELECT x.vec_id AS asset_id, y.vec_id AS item_id, bit_count(xor(x.h, y.h))::INTEGER AS dist FROM (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) x JOIN (SELECT vec_id, list_sum(list_transform(range(1, 64), lambda i: CASE WHEN embedding[i] > 0 THEN 1::BIGINT << CAST(i - 1 AS INTEGER) ELSE 0::BIGINT END))::BIGINT AS h FROM embeddings) y ON bit_count(xor(x.h, y.h)) < 8")
+def phash_match(spark, d):
+    """64-bit hashes (here signs of vector components) against an index, fewer than 8 bits apart."""
     v = _signs(spark, d)
     return _near_hashes(v, v)
 

@@ -41,24 +41,9 @@ def test_query(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, name):
-    assert QUERIES[name](spark, DIR).count() >= 0
+    rows = QUERIES[name](spark, DIR)
+    assert rows.columns and all(len(r) == len(rows.columns) for r in rows.collect())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
-
-
-def test_whole_tables(spark, db):
-    """The queries that a filter by id narrows, without it."""
-    of = lambda name, *cols: [tuple(r) for r in QUERIES[name](spark, DIR).select(*cols).collect()]
-    named = lambda name, *cols: sorted(tuple(plain(x) for x in r) for r in of(name, *cols))
-    asked = lambda sql: sorted(tuple(plain(x) for x in r) for r in db.sql(sql).fetchall())
-    assert named("retry_dlq_all", "item_id", "retry_count", "priority", "dead", "first_error") == asked("SELECT user_id, count(*), 10 + 5 * least(count(*), 3), count(*) > 3, 'Attempt 1: ' || arg_min(event_type, event_id) FROM events GROUP BY 1")
-    assert named("audit_by_asset_all", "user_id", "event_id", "newest") == asked("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) FROM events")
-    assert named("queue_order_all", "event_id", "priority", "position") == asked("SELECT event_id, (user_id % 3) * 10, row_number() OVER (ORDER BY (user_id % 3) * 10, event_id) FROM events")
-    assert named("certificate_verify_all", "asset_id", "reason") == asked("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'SIGNATURE_VALID' END FROM pages")
-    for name, narrow in (("phash_match", " % 5 = 0"), ("vector_topk5", " % 25 = 0"), ("cross_org_match", " % 10 = 0")):
-        whole = {"vector_topk5": "vector_topk5_20"}.get(name, f"{name}_all")
-        sql = ORACLES[name].replace("y.vec_id % 5 = 0", "true").replace("vec_id % 25 = 0", "vec_id % 20 = 0").replace("query_id % 10 = 0", "true")
-        got, want = QUERIES[whole](spark, DIR), db.sql(sql)
-        assert narrow in ORACLES[name] and rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())

@@ -181,5 +181,5 @@ def test_sniff_reads_the_head_of_every_text(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     head = lambda t: t.encode()[:4096]
     want = {i: "CODE" if any(k.encode() in head(t) for k in config.CODE_KEYWORDS) else "TEXT" for i, t in enumerate(texts) if t is not None}
-    got = {r.doc_id: r.track for r in catalogue.asset_sniff_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.track for r in catalogue.asset_sniff(spark, str(tmp_path)).collect()}
     assert len(got) == len(texts) and {i: got[i] for i in want} == want and list(want.values()).count("CODE") == 3
