@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clearloom import config
 from clearloom.functions import fingerprint as fp
 from clearloom.functions import text as tx
-from clearloom.operators import decision, dedup, governance, provenance, simjoin, sinks, vector
+from clearloom.operators import decision, dedup, evaluation, governance, provenance, simjoin, sinks, vector
 from clearloom.sources import assets, web
 from clearloom.streaming import queue
 
@@ -125,6 +125,19 @@ def jurisdiction_outcome(spark, d):
     return rows.select("doc_id", "jurisdiction", "rule_id", "outcome")
 
 
+_OUTCOME = "CASE rule WHEN 1 THEN 'BLOCKED' WHEN 2 THEN 'HUMAN_REVIEW' WHEN 3 THEN 'HUMAN_REVIEW' ELSE status END"
+_CERT = "sha256(doc_id::VARCHAR || '|sha256:' || h)"
+
+
+@query(f"""WITH {_ROUTED}, r AS (SELECT *, {_RULE} AS rule FROM routed), hh AS (SELECT doc_id, sha256(text) AS h, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS is_duplicate FROM documents)
+SELECT doc_id AS asset_id, 'sha256:' || h AS asset_hash, is_duplicate, matched, score, status, CASE rule WHEN 1 THEN 'EU_TDM_RESERVATION_BLOCK' WHEN 2 THEN 'US_FAIR_USE_MID_BAND' WHEN 3 THEN 'HIGH_RISK_DOMAIN_SENSITIVITY' END AS rule_id, {_OUTCOME} AS outcome,
+CASE WHEN {_OUTCOME} = 'PASSED' THEN {_CERT}[1:8] || '-' || {_CERT}[9:12] || '-' || {_CERT}[13:16] || '-' || {_CERT}[17:20] || '-' || {_CERT}[21:32] END AS certificate_id FROM r JOIN hh USING (doc_id)""")
+def full_evaluation(spark, d):
+    """Hash, duplicates, score, routing, rules and certificate of every asset in one plan."""
+    rows = attributes(table(spark, d, "documents", "doc_id", "text")).withColumnRenamed("doc_id", "asset_id")
+    return evaluation.evaluate(rows, table(spark, d, "benchmark")).drop("track", "tier", "jurisdiction")
+
+
 _SUMMARY = "count(*) AS total_assets, count_if(status = 'PASSED') AS passed_count, count_if(status = 'BLOCKED') AS blocked_count, count_if(status IN ('HUMAN_REVIEW', 'REVIEW')) AS review_count, count_if(status = 'ERROR') AS error_count, 100.0::DOUBLE * count_if(status = 'BLOCKED') / count(*) AS block_rate"
 
 
