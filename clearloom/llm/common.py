@@ -89,6 +89,15 @@ def discard(*staged: DataFrame) -> None:
         remove(df.sparkSession, df.staged_at)
 
 
+#: Rows of keys up to which they are broadcast; more are shuffled.
+FEW_ROWS = 200_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """keys, to be broadcast if they are at most FEW_ROWS (they are counted, as far as that): else Spark moves the other side before it sees how few they are."""
+    return F.broadcast(keys) if keys.limit(FEW_ROWS + 1).count() <= FEW_ROWS else keys
+
+
 def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (int64, from 0) and UTF-8 bytes of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

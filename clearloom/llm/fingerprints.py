@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import few, stage, table
 
 PARAGRAPH = r"[\n\r]+|(?<=[.!?])\s+"
 ROUNDS = 9
 RETRIES = 2
-#: Documents that are tried again up to which their keys are broadcast.
-FEW = 200_000
 KNOTS = 16
 #: Stands for a null key, so that the rows that move have the same columns for all that is made of them, and move once.
 NO_KEY = -(1 << 63)
@@ -174,10 +172,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         if failed.isEmpty():
             break
         # The failed documents and their next ones, by themselves: neighbours stay neighbours.
-        few = failed.select(F.explode(F.array("k", "next_k")).alias("k")).distinct()
-        if few.limit(FEW + 1).count() <= FEW:  # else all texts would move before Spark sees how few are wanted
-            few = F.broadcast(few)
-        again = versions(docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))).join(few, "k", "left_semi").select(key, text))
+        again_k = few(failed.select(F.explode(F.array("k", "next_k")).alias("k")).distinct())
+        again = versions(docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))).join(again_k, "k", "left_semi").select(key, text))
         more = again.select(*by, "k", F.sha2("edited", 256).alias("edited_sha256")).join(recovered(again.select(*by, "dig", "dig_edited", "next_dig"), attempt), by, "left").na.fill(0, found).drop(*by)
         fixed = failed.drop(*found).join(more.dropDuplicates(["k", "edited_sha256"]), ["k", "edited_sha256"]).select(facts.columns)
         facts = stage(facts.filter((F.col("left_edited") == 0) & (F.col("left_next") == 0)).unionByName(fixed), "fingerprints")

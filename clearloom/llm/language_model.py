@@ -24,7 +24,7 @@ from .elias_fano import EliasFano
 
 ORDER = 3
 #: Bytes of text whose n-grams are counted together before they are handed on.
-GATHER = 6 << 20
+GATHER = 8 << 20
 #: Occurrences of the parents of a shard, about; words of a shard of the first level.
 SHARD, WORDS = 1_500_000, 1_000_000
 #: The log10 probability of any token without a training text.
@@ -411,7 +411,7 @@ def merged(model: Model, level: int, runs: list[bytes], uri: str, temp: str) ->
     array_files.write(uri, EliasFano.build(begin).arrays("pointers") | EliasFano.build(rel + shift[local]).arrays("nodes") | {"low": np.array([low])})
     array_files.write(f"{uri}.counts", {"count": n.astype(np.min_scalar_type(int(n.max())))})
     order = np.argsort(suffix)
-    lower = np.empty(len(suffix), np.float32)
+    lower = np.empty(len(suffix), np.float16)  # finer than the codes it is read from
     lower[order] = model.log_prob(level - 1, suffix[order])
     array_files.write(temp, {"times": model.counts(level - 1, heads + low), "lower": lower})
     return low, n
@@ -426,7 +426,7 @@ def weighed(uri: str, temp: str, d: float) -> None:
     share = (n - d) / np.repeat(of["times"], width[heads])
     lam = np.ones(len(width))
     lam[heads] = np.maximum(1 - np.add.reduceat(share, begin[heads]), 1e-9)
-    prob, scale = quantised(np.log10(np.minimum(share + np.repeat(lam, width) * 10.0 ** of["lower"], 1.0)))
+    prob, scale = quantised(np.log10(np.minimum(share + np.repeat(lam, width) * 10.0 ** of["lower"].astype(np.float64), 1.0)))
     code, lam_scale = quantised(np.log10(lam))
     array_files.write(f"{uri}.prob", {"prob": prob, "scale": scale, "lam": code, "lam_scale": lam_scale})
 

@@ -19,11 +19,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, lean, mix, signed, slices, stage, table, text_buffers, word_hashes
+from .common import discard, few, lean, mix, signed, slices, stage, table, text_buffers, word_hashes
 
 COMBINE = 2
 #: Classes up to which an n-gram is indexed by itself; n-grams of a set from which neighbours are combined instead of all pairs.
-FREQUENT, LONG = 16, 200
+FREQUENT, LONG = 128, 200
 #: Pairs for each member up to which all pairs of a bucket are compared, in the first round; in each later one this times as many.
 FEW, MORE = 64, 8
 #: N-grams counted before the join: this share of the hash range; more frequent than TOP_COUNT comes last in the order; at most TOP_MOST of them are known.
@@ -137,7 +137,7 @@ def sets_for(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             for i, sets in sets_of(batch.column(1), n):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["t", "s"])
 
-    return docs.join(nodes, "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(lean(run), "t long, s array<long>")
+    return docs.join(few(nodes), "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(lean(run), "t long, s array<long>")
 
 
 def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
@@ -276,11 +276,11 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     rows, classes, top = classed(docs, n, percent)
     members = index(classes, docs, top, n, percent).withColumns({"far": F.lit(True), "near": F.lit(True)})
-    edges, labels, first, few = None, None, True, FEW
+    edges, labels, first, most = None, None, True, FEW
     while True:
         lead = F.max(F.struct("copies", "node", "n"))
         heads = members.groupBy("key").agg(lead.alias("lead"), F.count("*").alias("size"), F.sum(F.col("far").cast("long")).alias("fars"), F.sum(F.col("near").cast("long")).alias("nears")).filter("size > 1 and fars > 0")
-        heads = heads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.copies").alias("lead_copies"), (F.col("fars") * F.col("nears") > few * F.col("size")).alias("large"))
+        heads = heads.select("key", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n"), F.col("lead.copies").alias("lead_copies"), (F.col("fars") * F.col("nears") > most * F.col("size")).alias("large"))
         members = stage(members.join(heads, "key"), "ngram-members")
         # All are compared with the lead; in small buckets of later rounds that is left to the comparison of pairs.
         stars = members.filter((F.col("node") != F.col("lead")) & (F.col("large") | F.lit(first)) & sized("n", "lead_n", percent)).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -301,7 +301,7 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
         found = rebased(groups, docs, top, n, percent)
         edges, labels = joined(edges, labels, found.filter("link").select(F.col("key").alias("a"), F.col("node").alias("b")))
         members = found.filter("not link").drop("link").join(classes.select("node", "n", "copies"), "node")
-        first, few = False, few * MORE
+        first, most = False, most * MORE
     nodes = classes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
     out = stage(rows.join(nodes, ["s1", "s2", "n"], "left"), "ngram-out")
     least = out.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
