@@ -4,7 +4,7 @@ The kernel of two texts is the number of n-grams both hold, over the root of the
 
 Margins tell languages apart but sum to about 2 less their number, so they can't tell a text of none of them. What does is coverage: the share of a text's trigrams that the sample holds. On request, texts with less than FAMILIAR times what nearly all labelled texts reach without their own trigrams are `und` too.
 
-Nulls: a text that is null or has no letter is `und` with score 0. Rows with a null lang are not learned from. Without any labelled row all are `und`. Repeated rows and null doc_ids pass through row by row. An empty table gives an empty result. Other columns of the input are not read.
+Nulls: a text that is null or has no letter is `und` with score 0. Rows with a null lang are not learned from. Without any labelled row all are `und`. Repeated rows and null doc_ids pass through row by row. Of tied languages the first by name is chosen. An empty table gives an empty result. predict() keeps the columns that it is asked for, but for those with names of its own (lang_pred, score, margin).
 """
 
 from __future__ import annotations
@@ -131,16 +131,28 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     return Model([r.text for r in got], [r.lang for r in got]) if got else None
 
 
+#: Columns that predict() adds.
+OWN = ("lang_pred", "score", "margin")
+
+
 def predict(docs: DataFrame, model: Model | None, keep: list[Column | str], reject: bool = False) -> DataFrame:
     """The columns of `keep`, lang_pred, score and margin of each row. With reject, texts of less coverage than the model's floor are `und`, with score 0."""
     spark = docs.sparkSession
-    names = [*docs.select(*keep).columns]
-    rows = docs.select(*keep, F.col("text").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias("__text")).drop(*OWN)
+    names = rows.columns[:-1]
     schema = rows.drop("__text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "margin": F.lit(0.0)}).schema
     shared = spark.sparkContext.broadcast(model)  # landmarks x n-grams: bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        try:
+            yield from predicted(m, batches)
+        finally:
+            if m:  # tables that are quickly made again, but that the worker would keep
+                m.__dict__.pop("_index", None)
+                m.__dict__.pop("_is_known", None)
+
+    def predicted(m: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
             out = m.predict(texts) if m else (["und"] * len(texts), [0.0] * len(texts), [-1.0] * len(texts))

@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots: records hash into thousands of slots, bytes are aggregated per slot, and a versioned map from slots to shards is edited when rebalancing. DataFrame operations only.
 
-Nulls: a null key hashes as any other value; a null text has no bytes. An empty table gives an empty assignment. Repeated keys share a slot. Columns of the input other than the key and the text are kept, unless they clash with the names that the operator adds (then the operator's own win).
+Nulls: a null key hashes as any other value; a null text has no bytes. An empty table gives an empty assignment. Repeated keys share a slot. Other columns of the input are not read. A very long text is one row.
 """
 
 from __future__ import annotations
@@ -67,6 +67,20 @@ def map_table(spark: SparkSession, versions: list[dict[int, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "version int, vslot int, shard int")
 
 
+def newest(stored: DataFrame) -> tuple[int, dict[int, int]]:
+    """(version, map) of the newest version of a stored map: VIRTUAL_SLOTS rows at most."""
+    rows = stored.collect()
+    version = max((r.version for r in rows), default=0)
+    return version, {r.vslot: r.shard for r in rows if r.version == version}
+
+
+def rebalance(stored: DataFrame, weights: dict[int, tuple[int, int]], shards: int) -> DataFrame:
+    """The stored map with its next version, edited for so many shards and written again."""
+    version, slots = newest(stored)
+    edited = map_table(stored.sparkSession, [rebalanced(slots, weights, shards)]).withColumn("version", F.lit(version + 1))
+    return stage(stored.unionByName(edited), "slot-map")
+
+
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """Adds size (UTF-8 bytes plus 1), text_crc32 and vslot."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
@@ -74,14 +88,15 @@ def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int =
 
 
 def shard(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(assignment, map). assignment: key, size, text_crc32, vslot, shard, slot (place of the record in its shard, gapless from 0). Law: shards have nearly equal bytes.
+    """(assignment, stored map). The map is written to the shared folder as version 1 and read back for the assignment. assignment: key, size, text_crc32, vslot, shard, slot (place of the record in its shard, gapless from 0). Law: shards have nearly equal bytes.
 
     Only `slots` rows reach the driver. Places are counted within virtual slots and shifted by the sizes of the shard's slots before, so no task holds a whole shard.
     """
     spark = docs.sparkSession
     rows = stage(sized(docs, key, slots=slots).select(key, "size", "text_crc32", "vslot"), "sharding")
     weights = {r.vslot: (r.n_rows, r.n_bytes) for r in slot_bytes(rows).collect()}
-    slot_map = first_map(weights, shards)
+    stored = stage(map_table(spark, [first_map(weights, shards)]), "slot-map")
+    _, slot_map = newest(stored)
     before, placed = {s: 0 for s in range(shards)}, []
     for slot in sorted(slot_map):
         s = slot_map[slot]
@@ -90,7 +105,7 @@ def shard(docs: DataFrame, shards: int, slots: int = VIRTUAL_SLOTS, key: str = "
     places = spark.createDataFrame(placed, "vslot int, shard int, place long")
     within = F.row_number().over(Window.partitionBy("vslot").orderBy(F.col(key), "size", "text_crc32")) - 1
     out = rows.withColumn("within", within).join(F.broadcast(places), "vslot")  # at most `slots` rows
-    return out.select(key, "size", "text_crc32", "vslot", "shard", (F.col("place") + F.col("within")).alias("slot")), map_table(spark, [slot_map])
+    return out.select(key, "size", "text_crc32", "vslot", "shard", (F.col("place") + F.col("within")).alias("slot")), stored
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from .common import mix, slices, text_buffers
 
 #: Bytes of a piece that the table holds; pieces and ids in it; bytes of longer pieces that are kept.
-SHORT, PIECES, IDS, LONG_BYTES = 15, 1 << 20, 1 << 22, 24 << 20
+SHORT, PIECES, IDS, LONG_BYTES = 15, 1 << 19, 1 << 21, 8 << 20
 #: Pieces that the library encodes in one call.
 TOGETHER = 20_000
 END_ID = 2

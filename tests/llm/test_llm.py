@@ -258,6 +258,11 @@ def test_sharding(spark, docs, empty):
     rows = out.toPandas()
     assert len(rows) == len(corpus()) and all(sorted(g["slot"]) == list(range(len(g))) for _, g in rows.groupby("shard"))
     assert all(r.size == len(text_of()[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text_of()[r.doc_id].encode()) for r in rows.itertuples(index=False) if not callable(r.size))
+    version, held = sharding.newest(slots)
+    assert version == 1 and all(held[r.vslot] == r.shard for r in rows.itertuples(index=False))
+    weights = {r["vslot"]: (r["n"], r["b"]) for r in out.groupBy("vslot").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()}
+    both = sharding.rebalance(slots, weights, 5)
+    assert sharding.newest(both)[0] == 2 and both.filter("version = 1").count() == len(held) and sharding.newest(both)[1] == sharding.rebalanced(held, weights, 5)
     weights = {i: (1, 10) for i in range(64)}
     one = sharding.first_map(weights, 4)
     two = sharding.rebalanced(one, weights, 5)
@@ -335,6 +340,15 @@ def test_language_id(spark, empty):
     assert language_id.fit(empty) is None and language_id.predict(train, None, ["doc_id"]).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([(i, words(30, 200 + i), "en" if i % 2 else "de", "s", 1) for i in range(12)], SCHEMA)
+    clash = rows.withColumns({"score": F.col("doc_id") * 10, "lang_pred": F.lit("x"), "margin": F.lit("m")})
+    kept = corpus_pipeline.language(spark, clash, "")
+    assert kept.columns == clash.columns and {(r.doc_id, r.score, r.lang_pred, r.margin) for r in kept.collect()} == {(i, 10 * i, "x", "m") for i in range(12)}
+    found = language_id.predict(clash, language_id.fit(rows), ["doc_id", "score"])
+    assert found.columns == ["doc_id", "lang_pred", "score", "margin"] and found.count() == 12
+
+
 def test_pipeline(spark, docs):
     rows = spark.createDataFrame(corpus() + [(50, words(70, 11), None, "s", 1)], SCHEMA)
     kept = corpus_pipeline.language(spark, rows, "")
