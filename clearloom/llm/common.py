@@ -202,32 +202,3 @@ def signed(x: np.ndarray) -> np.ndarray:
 def crc_mod(n: int):
     """crc32(doc_id as text) mod n."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
-
-
-#: Bits of a membership filter: 8 MB, whatever the number of keys.
-FILTER_BITS = 1 << 26
-
-
-def filter_slot(col: str):
-    return F.pmod(F.xxhash64(col), F.lit(FILTER_BITS))
-
-
-def membership(keys: DataFrame, col: str) -> np.ndarray:
-    """A filter of fixed size: the bit of each key's slot is set. A clear bit says that a key isn't there; a set one that it may be."""
-    words = keys.select(filter_slot(col).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 AS int)))").alias("b")).toArrow()  # FILTER_BITS / 64 rows at most
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
-    return out
-
-
-def only(df: DataFrame, bits: np.ndarray, col: str, members: bool) -> DataFrame:
-    """Rows of df whose key may be among the filter's keys (members), or the others."""
-    shared, names = df.sparkSession.sparkContext.broadcast(bits), df.columns
-
-    def run(batches):
-        for batch in batches:
-            slot = batch.column(len(names)).to_numpy()
-            there = (shared.value[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(there if members else ~there))
-
-    return df.withColumn("__slot", filter_slot(col)).mapInArrow(lean(run), df.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, lean, membership, mix, only, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
+from .common import SPACE, few, lean, mix, powers, prefix_hash, signed, slices, span_hash, stage, table, text_buffers
 
 LENGTH = 400
 GRAM = 160
@@ -285,7 +285,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = stage(counted.select("h", "r", "n", "at.t", "at.size", "at.p", "at.len", (F.col("kinds") > GROUP).alias("hot")), "repeats-wanted")
     by_text = wanted.groupBy("t", "size").agg(F.collect_list(F.struct("h", "r", "n", "p", "len", "hot")).alias("runs"))
     # Only texts that may hold a wanted run move. Equal texts are one here: any of them holds the bytes.
-    some = only(texts, membership(wanted, "t"), "t", True).join(by_text, ["t", "size"]).dropDuplicates(["t", "size"])
+    some = texts.join(few(wanted.select("t").distinct()), "t", "left_semi").join(by_text, ["t", "size"]).dropDuplicates(["t", "size"])
     bytes_of = some.select("text", "runs").mapInArrow(lean(partial(fetched, length=length)), "h long, r long, n long, len int, bytes binary, one array<long>, two array<long>")
     cold = bytes_of.filter(F.col("bytes").isNotNull()).select("h", "r", "n", "len", "bytes").repartition(4 * parts, "h").sortWithinPartitions("h", "r")
     spans = cold.mapInArrow(lean(partial(sorted_groups, length=length)), "h long, r long, spans array<int>")
@@ -358,9 +358,9 @@ def cut(docs: DataFrame, text: str = "text", as_text: bool = False, words: int |
         found = found.groupBy("t", "size").agg(F.any_value("spans", True).alias("spans"), F.any_value("words", True).alias("words"))
     found = found.select(F.col("t").alias("__t"), F.col("size").alias("__size"), F.col("spans").alias("__spans"), F.col("words").alias("__words"))
     names = docs.columns
-    rows, bits = rows.select(*names, "__text", "__t", "__size"), membership(found, "__t")
-    near = only(rows, bits, "__t", True).join(found, ["__t", "__size"], "left").select(*names, "__text", "__spans", "__words")
-    joined = near.unionByName(only(rows, bits, "__t", False).select(*names, "__text", none.alias("__spans"), none.alias("__words")))
+    rows, keys = rows.select(*names, "__text", "__t", "__size"), stage(found.select("__t").distinct(), "repeats-keys")
+    near = rows.join(few(keys), "__t", "left_semi").join(found, ["__t", "__size"], "left").select(*names, "__text", "__spans", "__words")
+    joined = near.unionByName(rows.join(few(keys), "__t", "left_anti").select(*names, "__text", none.alias("__spans"), none.alias("__words")))
     schema = docs.withColumns({"n_bytes": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_spans": F.lit(0).cast("long"), "removed": F.array(F.lit(0).cast("long")), "kept": F.lit("" if as_text else b"")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
