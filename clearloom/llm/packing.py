@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean, stage, table
-from .tokens import encoder, with_ends
+from .tokens import encoder, forget, with_ends
 
 GROUP_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -79,11 +79,13 @@ def pack(lengths: np.ndarray, cap: Capacity) -> tuple[np.ndarray, np.ndarray]:
     return seq, offset
 
 
-def pieces(docs: DataFrame, path: str, most: int) -> DataFrame:
-    """The pieces of each document, with the crc32 of their ids."""
+def pieces(docs: DataFrame, path: str, most: int, keep: bool = True) -> DataFrame:
+    """The pieces of each document, with the crc32 of their ids. keep: workers hold the encoder's tables for their next task (less time, more memory)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
+        if not keep:
+            forget()
         for batch in batches:
             for ids, counts, first in enc.encode_column(batch.column(1)):
                 ids, sizes, begin = with_ends(ids, counts)
@@ -97,9 +99,9 @@ def pieces(docs: DataFrame, path: str, most: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(encode), PIECES)
 
 
-def packed(docs: DataFrame, path: str, cap: Capacity = Capacity(), group: int = GROUP_PIECES) -> DataFrame:
+def packed(docs: DataFrame, path: str, cap: Capacity = Capacity(), group: int = GROUP_PIECES, keep: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cuts = stage(pieces(docs, path, cap.tokens), "packing")
+    cuts = stage(pieces(docs, path, cap.tokens, keep), "packing")
     groups = max(1, round(cuts.count() / group))
     cuts = cuts.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
     parts = max(1, min(groups, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

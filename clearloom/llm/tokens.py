@@ -264,3 +264,8 @@ def encoder(path: str) -> PieceEncoder:
         _encoders.clear()
         _encoders[path] = PieceEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Encoders end with the tasks that use them."""
+    _encoders.clear()
