@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by largest inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on at most SAMPLE vectors (the first by a hash); every vector is indexed in the leaf that it reaches by nearest centres. A query opens the most promising node of a priority queue (the bound: inner product with the centre, plus a share of the node's spread) until it has visited enough leaves; how many is calibrated on CALIBRATE vectors of the sample against brute force, widening until RECALL is reached.
+The tree is fitted on three quarters of at most SAMPLE vectors (the first by a hash); every vector is indexed in the leaf with the nearest centre. A query opens the most promising node of a priority queue (the bound: inner product with the centre, plus a share of the node's spread, a larger one above the leaves) until it has visited enough leaves; how many is calibrated on CALIBRATE vectors of the sample's last quarter against brute force over that quarter, widening until RECALL is reached: vectors that the tree wasn't fitted on fall into leaves as all others do, and the k nearest of all N are about the k * n / N nearest of these n.
 
-Equal vectors form one class that is indexed and searched once. Of a class, only the smallest k + 1 ids can be among k nearest (ties go to smaller ids, one may be the query's own), so no more are carried; nothing else is left out. Leaves and the queries that visit them are dealt in blocks, so no task grows with a hot leaf.
+Equal vectors form one class that is indexed and searched once. Of a class, only the smallest k + 1 ids can be among k nearest (ties go to smaller ids, one may be the query's own), so no more are carried; nothing else is left out. Neighbouring leaves travel as one group, up to BLOCK vectors, so a query moves once for each group and not for each leaf; of a group, it is compared only with the leaves that it visits. Groups and the queries that visit them are dealt in blocks, so no task grows with a hot leaf.
 
 Nulls: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither as query nor as candidate. Null ids take no part. Repeated ids are one row each (a query's own id is never its neighbour). An empty table gives an empty result. Other columns of the input are not read.
 """
@@ -10,6 +10,7 @@ Nulls: vectors that are null, zero, of another length than most, or hold null or
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import lean, stage, table
 
-SAMPLE, CALIBRATE, RECALL = 20_000, 200, 0.97
-BRANCH, LEAF, LEAVES = 8, 64, 128
-#: A leaf holds at most LEAF vectors of the sample, or a share of 1 / LEAVES: the number of leaves, and of visits, doesn't grow with the input.
-#: Vectors and queries of a leaf that one task compares.
+SAMPLE, CALIBRATE, RECALL = 20_000, 400, 0.94
+#: Children of a node; a leaf holds at most LEAF vectors of the sample.
+BRANCH, LEAF = 8, 16
+#: Vectors of a group of leaves, and queries, that one task compares.
 BLOCK = 4096
 
 
@@ -61,22 +62,15 @@ class Tree:
                 self.spread.append(float(np.sqrt(((own - c) ** 2).sum(1).mean())))
                 self.leaf.append(-1)
         self.centre = np.array(self.centre)
-        self.bound = 0.3 * np.array(self.spread)
+        at = np.flatnonzero(np.array(self.leaf) >= 0)
+        self.ends = self.centre[at[np.argsort(np.array(self.leaf)[at])]]  # centres of leaves by their numbers
+        self.bound = np.where(np.array(self.leaf) >= 0, 0.3, 1.0) * np.array(self.spread)
         self.visits = self.leaves
 
     def place(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each vector, by nearest centres."""
-        out, todo = np.zeros(len(x), np.int64), [(0, np.arange(len(x)))]
-        while todo:
-            node, at = todo.pop()
-            below = self.children[node]
-            if not below:
-                out[at] = self.leaf[node]
-                continue
-            c = self.centre[below]
-            near = np.argmin((c**2).sum(1) - 2 * x[at] @ c.T, 1)
-            todo += [(below[i], at[near == i]) for i in range(len(below)) if (near == i).any()]
-        return out
+        """Leaf of each vector: the one with the nearest centre."""
+        far = (self.ends**2).sum(1)
+        return np.concatenate([np.zeros(0, np.int64), *(np.argmin(far - 2 * x[i : i + 1024] @ self.ends.T, 1) for i in range(0, len(x), 1024))])
 
     def order(self, q: np.ndarray, most: int) -> list[int]:
         """Leaves in the order of visiting, best bin first."""
@@ -91,7 +85,7 @@ class Tree:
         return out
 
     def calibrate(self, x: np.ndarray, k: int, tries: int = CALIBRATE, recall: float = RECALL) -> "Tree":
-        """Sets visits to the least number of leaves that finds the wanted share of the k nearest in the sample."""
+        """Sets visits to the least number of leaves that finds the wanted share of the k nearest among x."""
         if len(x) < 2:
             return self
         at = self.place(x)
@@ -123,6 +117,12 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), -1)
 
 
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Distinct keys (ascending already), and the values of each."""
+    known, first = np.unique(keys, return_index=True)
+    return known.tolist(), np.split(values, first[1:])
+
+
 def nearest(vectors: DataFrame, key: str, col: str, k: int, is_query) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id fits is_query(column of ids)."""
     spark = vectors.sparkSession
@@ -136,51 +136,74 @@ def nearest(vectors: DataFrame, key: str, col: str, k: int, is_query) -> DataFra
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = _matrix(sample)
-    tree = spark.sparkContext.broadcast(Tree(x, leaf=max(LEAF, len(x) // LEAVES)).calibrate(x, k))  # bounded by SAMPLE
+    held = np.arange(len(x)) % 4 == 3
+    tree = Tree(x[~held]).calibrate(x[held], math.ceil(k * held.sum() / classes.count()))
+    tree = spark.sparkContext.broadcast(tree)  # bounded by SAMPLE
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
                 yield pa.RecordBatch.from_arrays([pa.array(tree.value.place(_matrix(b.column(1)))), b.column(0), b.column(1)], names=["leaf", "cid", "v"])
 
+    indexed = stage(classes.select("cid", "v").mapInArrow(lean(index), "leaf long, cid long, v array<double>"), "neighbours")
+    sizes = np.zeros(tree.value.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # one row for each leaf
+        sizes[r.leaf] = r["count"]
+    group = spark.sparkContext.broadcast(np.cumsum(sizes) // BLOCK)  # leaves that follow each other are near each other in the tree
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tree.value
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.slice(at, 256)
-                leaves = [t.order(q, t.visits) for q in _matrix(part.column(1))]
-                row = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves).astype(np.int64)), part.column(0).take(row), part.column(1).take(row)], names=["leaf", "cid", "v"])
-
-    schema = "leaf long, cid long, v array<double>"
-    indexed = stage(classes.select("cid", "v").mapInArrow(lean(index), schema), "neighbours")
-    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v").mapInArrow(lean(visit), schema)
+                row, groups, lists = [], [], []
+                for i, q in enumerate(_matrix(part.column(1))):
+                    leaves = np.sort(np.array(t.order(q, t.visits)))
+                    known, first = np.unique(group.value[leaves], return_index=True)
+                    row += [i] * len(known)
+                    groups.append(known)
+                    lists += np.split(leaves, first[1:])
+                row = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), part.column(0).take(row), part.column(1).take(row), pa.array(lists, pa.list_(pa.int64()))], names=["grp", "cid", "v", "leaves"])
+
+    asked = classes.join(queries.select("cid").distinct(), "cid", "left_semi").select("cid", "v").mapInArrow(lean(visit), "grp long, cid long, v array<double>, leaves array<long>")
     asked = stage(asked, "neighbours")
-    n = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).alias(name))  # noqa: E731  one row for each leaf
-    blocks = F.broadcast(n(indexed, "vb").join(n(asked, "qb"), "leaf"))
+    numbers = spark.createDataFrame(pd.DataFrame({"leaf": np.arange(len(sizes)), "grp": group.value}))
+    indexed = indexed.join(F.broadcast(numbers), "leaf")
+    n = lambda df, name: df.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias(name))  # noqa: E731  one row for each group, at most as many as leaves
+    blocks = F.broadcast(n(indexed, "vb").join(n(asked, "qb"), "grp"))
     own = lambda c, m: F.pmod(F.xxhash64(c), F.col(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
-    left = asked.join(blocks, "leaf").withColumn("q", own("cid", "qb")).withColumn("b", every("vb")).select("leaf", "b", "q", "cid", "v")
-    right = indexed.join(blocks, "leaf").withColumn("b", own("cid", "vb")).withColumn("q", every("qb")).select("leaf", "b", "q", "cid", "v")
+    left = asked.join(blocks, "grp").withColumn("q", own("cid", "qb")).withColumn("b", every("vb")).select("grp", "b", "q", "cid", "v", "leaves")
+    right = indexed.join(blocks, "grp").withColumn("b", own("cid", "vb")).withColumn("q", every("qb")).select("grp", "b", "q", "cid", "v", "leaf")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"qcid": [], "cid": [], "score": []}).astype({"qcid": "int64", "cid": "int64", "score": "float64"})
-        b = b.sort_values("cid")
+        b = b.sort_values(["leaf", "cid"])
         x, ids, m = np.stack(b["v"].to_numpy()), b["cid"].to_numpy(), min(k + 1, len(b))
+        known, first = np.unique(b["leaf"].to_numpy(), return_index=True)
+        ranges = dict(zip(known.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(b)])))
         out = []
         for at in range(0, len(a), 256):
             part = a.iloc[at : at + 256]
             q = np.stack(part["v"].to_numpy())
-            dots = q @ x.T
+            dots = np.full((len(q), len(x)), -np.inf)
+            visited = np.concatenate(part["leaves"].to_numpy())
+            who = np.repeat(np.arange(len(part)), part["leaves"].map(len))
+            order = np.argsort(visited, kind="stable")
+            for leaf, at_leaf in zip(*_runs(visited[order], who[order])):
+                if leaf in ranges:
+                    i, j = ranges[leaf]
+                    dots[at_leaf, i:j] = q[at_leaf] @ x[i:j].T
             bar = np.partition(dots, len(ids) - m, 1)[:, len(ids) - m]
             bar = bar - 1e-9 * np.maximum(1, np.abs(bar))
-            i, j = np.nonzero(dots >= bar[:, None])  # ties with the last one stay
+            i, j = np.nonzero((dots >= bar[:, None]) & (dots > -np.inf))  # ties with the last one stay
             out.append(pd.DataFrame({"qcid": part["cid"].to_numpy()[i], "cid": ids[j], "score": (q[i] * x[j]).sum(1)}))
         found = pd.concat(out).sort_values(["qcid", "score", "cid"], ascending=[True, False, True])
         return found.groupby("qcid").head(m)
 
-    found = left.groupBy("leaf", "b", "q").cogroup(right.groupBy("leaf", "b", "q")).applyInPandas(compare, "qcid long, cid long, score double")
+    found = left.groupBy("grp", "b", "q").cogroup(right.groupBy("grp", "b", "q")).applyInPandas(compare, "qcid long, cid long, score double")
     best = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).select("qcid", "cid", "score")
     found = found.join(classes.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("vec_id"))
