@@ -28,6 +28,9 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
+            if _powers["n"] > KEPT_POWERS:
+                _powers.clear()
+                _powers["n"] = 0
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -65,6 +68,12 @@ def clean_up(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and give unused heap back to the machine. Between stages: Python workers of the next one need the room that the heap of the last one holds."""
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).filter(F.col("done").isNull()).collect()  # no rows
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
@@ -134,6 +143,8 @@ _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 1 << 64)
 _powers = {"n": 0}
+#: Powers that a worker keeps between tasks (16 bytes each); a long text's are dropped with its task.
+KEPT_POWERS = 1 << 16
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
