@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import conversation_repair
 from .byte_bpe import op5_byte_bpe
+from .conversation_repair import op11_conversation_repair
 from .fingerprints import op3_fingerprints
 from .language_id import op10_language_id
 from .language_model import op1_language_model
@@ -13,5 +15,5 @@ from .sharding import op7_sharding
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op9_token_files
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_byte_bpe, op6_packing, op7_sharding, op8_neighbours, op9_token_files, op10_language_id)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_byte_bpe, op6_packing, op7_sharding, op8_neighbours, op9_token_files, op10_language_id, op11_conversation_repair)}
+ORACLES: dict[str, str] = {"op11_conversation_repair": conversation_repair.ORACLE}
