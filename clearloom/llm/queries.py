@@ -15,6 +15,7 @@ from .sharding import op7_sharding
 from .source_divergence import op12_source_divergence
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op9_token_files
+from .toxicity import op13_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_language_model, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_byte_bpe, op6_packing, op7_sharding, op8_neighbours, op9_token_files, op10_language_id, op11_conversation_repair, op12_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_language_model, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_byte_bpe, op6_packing, op7_sharding, op8_neighbours, op9_token_files, op10_language_id, op11_conversation_repair, op12_source_divergence, op13_toxicity)}
 ORACLES: dict[str, str] = {"op11_conversation_repair": conversation_repair.ORACLE, "op12_source_divergence": source_divergence.ORACLE}
