@@ -62,7 +62,7 @@ def counted(docs: DataFrame) -> DataFrame:
             for (lang, source), counts in n.items():
                 terms = list(counts)
                 docs = d[lang, source]
-                columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
+                columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "d"])
             n.clear()
             d.clear()
