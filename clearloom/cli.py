@@ -24,8 +24,7 @@ def scan(spark: SparkSession, path: str, index: str, out: str | None, tier: str,
     if not os.path.exists(path) or not os.path.isdir(index):
         print(f"no such path: {path if not os.path.exists(path) else index}", file=sys.stderr)
         return 1
-    rows = assets.discover(spark, path).select("asset_id", assets.text_of(F.col("content")).alias("text"), "track", F.lit(tier).alias("tier"), F.lit("GLOBAL").alias("jurisdiction"), F.lit(False).alias("opted_out"))
-    found = evaluation.evaluate(rows, assets.text_index(spark, index)).cache()
+    found = evaluation.evaluate(assets.described_for_evaluation(spark, path, tier), assets.indexes(spark, index)).cache()
     total = decision.summary(found, "outcome").first().asDict()
     if out:
         found.orderBy("asset_id").write.mode("overwrite").json(out)

@@ -12,13 +12,31 @@ from clearloom.config import DEFAULT
 from clearloom.functions import fingerprint as fp
 from clearloom.functions import text as tx
 
-#: Rows up to which an index side is broadcast.
-SMALL_ROWS = 200_000
+from . import seqjoin
 
+#: Rows, and bytes of their values, up to which an index side is broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df, to be broadcast if it has at most `rows` rows (they are counted, as far as that)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+def _bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take."""
+    out = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("string", "binary"):
+            size = F.octet_length(c)
+        elif f.dataType.typeName() == "array":
+            size = F.octet_length(F.array_join(c, " ")) if f.dataType.elementType.typeName() == "string" else 16 * F.greatest(F.size(c), F.lit(0))
+        else:
+            size = F.lit(16)
+        out = out + F.coalesce(size, F.lit(0)).cast("long")
+    return out
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """df, to be broadcast if it has at most `rows` rows of at most `size` bytes together. To know that, a job reads it, as far as `rows` + 1 rows."""
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(_bytes(df)).alias("bytes")).first()
+    return F.broadcast(df) if got.n <= rows and (got.bytes or 0) <= size else df
 
 
 def text_scores(docs: DataFrame, works: DataFrame, least: float = DEFAULT.candidate_least) -> DataFrame:
@@ -113,65 +131,78 @@ def ngram_hits(outputs: DataFrame, protected: DataFrame, key: str, n: int = DEFA
     return hits.groupBy(key).agg(F.min("pos").alias("pos"), F.min_by("g", "pos").alias("snippet"))
 
 
-def length_bands(text: Column, ratio: float) -> Column:
-    """Number of a text's band of lengths: texts whose difflib ratio reaches `ratio` are in the same or neighbouring bands, as the longer is at most (2 - ratio) / ratio times the shorter."""
-    return F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / F.log(F.lit((2 - ratio) / ratio))).cast("long")
+#: White space that ends of texts lose.
+_WHITE = " \t\n\r\f\v"
 
 
 def difflib_join(left: DataFrame, right: DataFrame, by: list[str], least: float, l: str = "l_text", r: str = "r_text") -> DataFrame:
-    """left joined with right on `by` and bands of lengths, with ratio, where that is at least `least`. Pairs whose lengths rule it out never reach Python."""
-    near = right.withColumn("__band", F.explode(F.array(*(length_bands(F.col(r), least) + i for i in (-1, 0, 1)))))
-    pairs = left.withColumn("__band", length_bands(F.col(l), least)).join(small(near), [*by, "__band"]).drop("__band")
-    pairs = pairs.filter(fp.difflib_bound(F.length(l), F.length(r)) >= least)
-    return pairs.withColumn("ratio", fp.difflib_ratio_from(F.lower(l), F.lower(r), F.lit(least))).filter(F.col("ratio") >= least)
+    """left joined with right on `by`, with ratio, where difflib's ratio of the lower-cased texts is at least `least`; see seqjoin. No pair is made on `by` alone."""
+    pairs = seqjoin.ratio_pairs(left, right, least, l, r)
+    rows = left.withColumn("l_id", seqjoin.text_id(l)).join(pairs, "l_id")
+    return rows.join(right.withColumn("r_id", seqjoin.text_id(r)), ["r_id", *by]).drop("l_id", "r_id")
+
+
+def full_text_pairs(docs: DataFrame, works: DataFrame, cfg=DEFAULT, least: float = 0.55) -> DataFrame:
+    """doc_id, item_id, score: token score or difflib ratio, whichever is greater, at most 0.98. All pairs that score `least` or more are there with their score; of others those with a token score above candidate_least, with that."""
+    tokens = text_scores(docs, works, cfg.candidate_least).select("doc_id", "item_id", "score")
+    d = docs.select("doc_id", F.btrim("text", F.lit(_WHITE)).alias("l_text"))
+    w = works.filter(F.size(tx.words(F.col("text"))) > 0).select("item_id", F.col("text").alias("r_text"))
+    ratio = difflib_join(d, w, [], least).select("doc_id", "item_id", F.least(F.lit(0.98), "ratio").alias("score"))
+    return tokens.unionByName(ratio).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def full_text_match(docs: DataFrame, works: DataFrame, cfg=DEFAULT, least: float = 0.55) -> DataFrame:
-    """doc_id, matched, score: token score or difflib ratio, whichever is greater, of the best work (ties: smaller item_id).
+    """doc_id, matched, score, exact: the best work of each text (ties: smaller item_id) by token score or difflib ratio, whichever is greater.
 
-    The ratio counts from `least` on: below the lowest threshold of any band it changes no outcome. It is worked out only where its bounds by lengths and by characters allow that much and more than the text's best token score.
+    Where no work scores `least` or more, exact is false, and score and matched are null: the best of such ratios isn't worked out. `least` is the lowest threshold of any band, so no outcome depends on it.
     """
-    tokens = text_scores(docs, works, cfg.candidate_least)
-    best = tokens.groupBy("doc_id").agg(F.max("score").alias("bar"))
-    d = docs.join(best, "doc_id", "left").select("doc_id", F.trim("text").alias("l_text"), F.greatest(F.coalesce("bar", F.lit(0.0)), F.lit(least)).alias("bar"))
-    d = d.filter(F.length("l_text") > 0)
-    w = works.select("item_id", F.col("text").alias("r_text"))
-    band = lambda c: F.floor(F.log2(F.greatest(F.length(c), F.lit(1))) / F.lit(2.0))
-    # Such a ratio needs lengths within a factor of 4: bands of that factor and their neighbours.
-    near = d.withColumn("band", F.explode(F.array(*(band("l_text") + i for i in (-1, 0, 1)))))
-    pairs = near.join(small(w.withColumn("band", band("r_text"))), "band").filter(fp.difflib_bound(F.length("l_text"), F.length("r_text")) >= F.col("bar"))
-    ratio = pairs.select("doc_id", "item_id", F.least(F.lit(0.98), fp.difflib_ratio_from(F.lower("l_text"), F.lower("r_text"), "bar")).alias("score"))
-    every = tokens.select("doc_id", "item_id", "score").unionByName(ratio.filter(F.col("score") > 0))
-    each = every.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
-    top = top_k(each, "doc_id", "score", "item_id", 1)
+    top = top_k(full_text_pairs(docs, works, cfg, least).filter(F.col("score") >= least), "doc_id", "score", "item_id", 1)
     out = docs.select("doc_id").join(top, "doc_id", "left")
-    return out.select("doc_id", F.col("item_id").alias("matched"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("score"))
+    return out.select("doc_id", F.col("item_id").alias("matched"), F.round("score", 4).alias("score"), F.col("score").isNotNull().alias("exact"))
 
 
 def code_match(code: DataFrame, index: DataFrame, least: float = 0.4) -> DataFrame:
-    """doc_id, item_id, structure, tokens, score, stage for code texts against indexed code: structure ratio, token Jaccard and containment."""
+    """doc_id, item_id, structure, tokens, score (above `least`), stage for code texts against indexed code.
+
+    score = structure ratio r, or 0.7 r + 0.3 x Jaccard of tokens if that is more; where four fifths of the query's tokens are in the indexed code, 0.75 + 0.12 r at least. A pair scores above `least` only if r or the Jaccard is above it or the tokens are contained, so candidates come from the ratio join of structures and from shared rare tokens: those that the overlap can't do without (prefix filter over tokens, the rarest of the index first). What all code shares, like `def`, is never such a token.
+    """
     toks = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)))
-    a = code.select("doc_id", fp.code_structure_udf("text").alias("l_text"), toks(F.col("text")).alias("a"))
-    b = index.select("item_id", fp.code_structure_udf("text").alias("r_text"), toks(F.col("text")).alias("b"))
-    met = a.select("doc_id", F.explode("a").alias("tok")).join(small(b.select("item_id", F.explode("b").alias("tok"))), "tok").select("doc_id", "item_id").distinct()
-    pairs = met.join(a, "doc_id").join(small(b), "item_id")
+    blank = F.col("text").isNull() | (F.btrim("text", F.lit(_WHITE)) == "")
+    a = code.filter(~blank).select("doc_id", fp.code_structure_udf("text").alias("l_text"), toks(F.col("text")).alias("a"))
+    b = index.filter(F.col("text").isNotNull()).select("item_id", fp.code_structure_udf("text").alias("r_text"), toks(F.col("text")).alias("b"))
+    shapes = seqjoin.ratio_pairs(a, b, least, lower=False)
+    left, right = a.withColumn("l_id", seqjoin.text_id("l_text")), b.withColumn("r_id", seqjoin.text_id("r_text"))
+    by_shape = left.select("doc_id", "l_id").join(shapes, "l_id").join(right.select("item_id", "r_id"), "r_id").select("doc_id", "item_id")
+    posts = b.select("item_id", F.explode("b").alias("tok"))
+    often = posts.groupBy("tok").agg(F.count("*").alias("n"))
+    mine = a.select("doc_id", F.size("a").alias("na"), F.explode("a").alias("tok")).join(small(often), "tok", "left")
+    need = F.ceil(F.least(F.lit(0.8), F.lit(least)) * F.col("na") - 1e-9)
+    rare = mine.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("n", F.lit(0)), "tok"))).filter(F.col("r") <= F.col("na") - need + 1)
+    by_token = rare.filter(F.col("n").isNotNull()).select("doc_id", "tok").join(small(posts), "tok").select("doc_id", "item_id").distinct()
+    pairs = by_shape.unionByName(by_token).distinct().join(left, "doc_id").join(right, "item_id")
     shared = F.size(F.array_intersect("a", "b"))
-    rows = pairs.select("doc_id", "item_id", fp.difflib_ratio("l_text", "r_text").alias("structure"), (shared / F.size(F.array_union("a", "b"))).alias("tokens"), (shared / F.greatest(F.size("b"), F.lit(1))).alias("inside"))
+    pairs = pairs.withColumns({"tokens": shared / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)), "inside": shared / F.greatest(F.size("a"), F.lit(1))})
+    known = pairs.join(shapes, ["l_id", "r_id"], "left")
+    # Structures below `least` count where tokens speak for the pair.
+    known = known.filter(F.col("ratio").isNotNull() | (F.col("tokens") > least) | (F.col("inside") >= 0.8))
+    kinds = known.filter(F.col("ratio").isNull()).select("l_id", "r_id", "l_text", "r_text").dropDuplicates(["l_id", "r_id"])
+    other = kinds.select("l_id", "r_id", fp.difflib_ratio("l_text", "r_text").alias("low"))
+    rows = known.join(other, ["l_id", "r_id"], "left").withColumn("structure", F.coalesce("ratio", "low"))
     s = F.greatest(F.col("structure"), 0.7 * F.col("structure") + 0.3 * F.col("tokens"))
     s = F.when(F.col("inside") >= 0.8, F.greatest(s, 0.75 + 0.12 * F.col("structure"))).otherwise(s)
-    rows = rows.withColumn("score", F.round(s, 4)).filter(F.col("score") > least)
-    return rows.withColumn("stage", F.when(F.col("structure") > 0.85, "ast_structure").otherwise("token_overlap")).drop("inside")
+    rows = rows.select("doc_id", "item_id", "structure", "tokens", s.alias("score")).filter(F.col("score") > least)
+    return rows.withColumn("score", F.round("score", 4)).withColumn("stage", F.when(F.col("structure") > 0.85, "ast_structure").otherwise("token_overlap"))
 
 
 def audio_match(assets: DataFrame, index: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, item_id, score by acoustic fingerprints: equal ones 1.0, else 0.7 x ratio + 0.3 x shorter / longer. assets, index: id and content."""
+    """doc_id, item_id, score (above `least`) by acoustic fingerprints: equal ones 1.0, else 0.7 x ratio + 0.3 x shorter / longer. assets, index: id and content.
+
+    Equal fingerprints meet by an equi-join; others by the ratio join, as (least - 0.3) / 0.7 is the least ratio that can do. Fingerprints are short strings of few characters: at 0.5 much of the product passes, at the track's threshold little.
+    """
     a = assets.select("doc_id", fp.acoustic_fingerprint(F.col("content")).alias("l_text"), F.length("content").alias("la"))
     b = index.select("item_id", fp.acoustic_fingerprint(F.col("content")).alias("r_text"), F.length("content").alias("lb"))
+    same = a.join(b, F.col("l_text") == F.col("r_text")).select("doc_id", "item_id", F.lit(1.0).alias("score"))
     size = F.least("la", "lb") / F.greatest("la", "lb", F.lit(1))
-    # A fingerprint has at most 47 characters. Those of one length meet those of lengths that leave a score above least possible.
-    lengths = F.filter(F.sequence(F.lit(0), F.lit(64)), lambda n: 0.7 * fp.difflib_bound(n, F.length("r_text")) + 0.3 > least)
-    near = b.withColumn("length", F.explode(lengths))
-    pairs = a.withColumn("length", F.length("l_text")).join(small(near), "length")
-    pairs = pairs.filter(0.7 * fp.difflib_bound(F.length("l_text"), F.length("r_text")) + 0.3 * size > least)
-    ratio = 0.7 * fp.difflib_ratio("l_text", "r_text") + 0.3 * size
-    return pairs.select("doc_id", "item_id", F.when(F.col("l_text") == F.col("r_text"), 1.0).otherwise(F.round(ratio, 4)).alias("score")).filter(F.col("score") > least)
+    near = difflib_join(a, b, [], max(0.01, (least - 0.3) / 0.7)).filter(F.col("l_text") != F.col("r_text"))
+    near = near.select("doc_id", "item_id", (0.7 * F.col("ratio") + 0.3 * size).alias("score")).filter(F.col("score") > least)
+    return same.filter(F.lit(1.0) > least).unionByName(near.withColumn("score", F.round("score", 4)))

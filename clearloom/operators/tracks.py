@@ -13,6 +13,10 @@ from clearloom.functions import fingerprint as fp
 from .simjoin import hamming_join, small
 
 
+#: Frames of a video that are compared.
+KEY_FRAMES = 5
+
+
 def image_match(assets: DataFrame, index: DataFrame, cfg=DEFAULT) -> DataFrame:
     """asset_id, is_match, matched, score: closest index image with fewer than phash_distance bits of difference (ties: smaller item_id); score 1 - bits / 64. No source is named below the threshold."""
     met = hamming_join(assets, index, "asset_id", "item_id", "a_hash", "i_hash", cfg.phash_distance - 1)
@@ -43,7 +47,7 @@ def deep_compare(pairs: DataFrame) -> DataFrame:
     return pairs.select("asset_id", "item_id", "a", "b").mapInPandas(run, "asset_id string, item_id string, score double")
 
 
-def video_match(frames: DataFrame, index: DataFrame, most: int = 5, cfg=DEFAULT) -> DataFrame:
+def video_match(frames: DataFrame, index: DataFrame, most: int = KEY_FRAMES, cfg=DEFAULT) -> DataFrame:
     """video_id, is_match, matched, score: up to `most` key frames (video_id, frame, a_hash) as images; the first that matches decides, else the best score."""
     kept = frames.filter(F.col("frame") < most).withColumn("asset_id", F.concat_ws("#", "video_id", "frame"))
     got = image_match(kept, small(index), cfg).join(kept.select("asset_id", "video_id", "frame"), "asset_id")

@@ -93,6 +93,7 @@ def text_clearance_token(spark, d):
 
 @query()
 def text_clearance_full(spark, d):
+    """Words or sequence ratio of each text against protected works, whichever is more; null where no work reaches the lowest threshold of any band."""
     return simjoin.full_text_match(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark"))
 
 
@@ -126,16 +127,53 @@ def jurisdiction_outcome(spark, d):
 
 
 _OUTCOME = "CASE rule WHEN 1 THEN 'BLOCKED' WHEN 2 THEN 'HUMAN_REVIEW' WHEN 3 THEN 'HUMAN_REVIEW' ELSE status END"
-_CERT = "sha256(doc_id::VARCHAR || '|sha256:' || h)"
+_CERT = "sha256(asset_id::VARCHAR || '|sha256:' || h)"
 
 
-@query(f"""WITH {_ROUTED}, r AS (SELECT *, {_RULE} AS rule FROM routed), hh AS (SELECT doc_id, sha256(text) AS h, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS is_duplicate FROM documents)
-SELECT doc_id AS asset_id, 'sha256:' || h AS asset_hash, is_duplicate, matched, score, status, CASE rule WHEN 1 THEN 'EU_TDM_RESERVATION_BLOCK' WHEN 2 THEN 'US_FAIR_USE_MID_BAND' WHEN 3 THEN 'HIGH_RISK_DOMAIN_SENSITIVITY' END AS rule_id, {_OUTCOME} AS outcome,
-CASE WHEN {_OUTCOME} = 'PASSED' THEN {_CERT}[1:8] || '-' || {_CERT}[9:12] || '-' || {_CERT}[13:16] || '-' || {_CERT}[17:20] || '-' || {_CERT}[21:32] END AS certificate_id FROM r JOIN hh USING (doc_id)""")
+# Code texts are made from ids: documents hold none. ~ stands for a name of its own in each text, so those of one template differ in all their names.
+CODE_TEMPLATES = [
+    "def ~_f(~_a, ~_b):\n    ~_c = ~_a + ~_b\n    return ~_c\n",
+    "class ~_k:\n    def ~_m(self, ~_x):\n        for ~_i in ~_x:\n            print(~_i)\n        return len(~_x)\n",
+    "import os\n\nfor ~_i in range(10):\n    if ~_i % 2:\n        print(os.path.join('a', str(~_i)))\n",
+    "function ~_f(~_a) { return ~_a + 1; }\n",
+]
+# Scores of texts of a template against indexed ones of the first two, worked out by hand with ast and difflib; lower ones than 0.4 don't count.
+_CODE_SCORES = "cs(t, w, code_score, stage) AS (VALUES (0, 0, 1.0::DOUBLE, 'ast_structure'), (0, 1, 0.7256::DOUBLE, 'token_overlap'), (1, 0, 0.7256::DOUBLE, 'token_overlap'), (1, 1, 1.0::DOUBLE, 'ast_structure'), (2, 1, 0.522::DOUBLE, 'token_overlap'))"
+_CODE_BEST = f"""{_CODE_SCORES}, ci AS (SELECT item_id % 2 AS w, min(item_id) AS item_id FROM benchmark GROUP BY 1),
+cb AS (SELECT doc_id, item_id, code_score, stage FROM (SELECT doc_id, item_id, code_score, stage, row_number() OVER (PARTITION BY doc_id ORDER BY code_score DESC, item_id) AS k FROM documents JOIN cs ON doc_id % 4 = t JOIN ci USING (w)) WHERE k = 1)"""
+
+
+def _code_text(key: str, name: str, kinds: int) -> Column:
+    return F.replace(pick(key, kinds, CODE_TEMPLATES[:kinds]), F.lit("~"), F.concat(F.lit(name), F.col(key).cast("string")))
+
+
+def _code_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    code = table(spark, d, "documents", "doc_id").withColumn("text", _code_text("doc_id", "v", 4))
+    return code, table(spark, d, "benchmark", "item_id").withColumn("text", _code_text("item_id", "w", 2))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_CODE_SQL = "replace(CASE doc_id % 4 " + " ".join(f"WHEN {i} THEN {_quoted(t)}" for i, t in enumerate(CODE_TEMPLATES)) + " END, '~', 'v' || doc_id)"
+_EVERY_LOW = _LOW.replace("0.70::DOUBLE", "CASE track WHEN 'TEXT' THEN 0.70::DOUBLE ELSE 0.75::DOUBLE END")
+_EVERY_BAND = f"CASE WHEN score >= 0.85::DOUBLE THEN 'BLOCKED' WHEN score >= {_EVERY_LOW} THEN 'HUMAN_REVIEW' ELSE 'PASSED' END"
+
+
+@query(f"""WITH {_SCORES}, {_CODE_BEST},
+e AS (SELECT doc_id AS asset_id, doc_id, 'TEXT' AS track, sha256(text) AS h, matched, score FROM documents JOIN best USING (doc_id)
+UNION ALL SELECT -1 - doc_id, doc_id, 'CODE', sha256({_CODE_SQL}), item_id, coalesce(code_score, 0.0::DOUBLE) FROM documents LEFT JOIN cb USING (doc_id)),
+f AS (SELECT *, {TIER} AS tier, {_EVERY_BAND} AS status, asset_id <> min(asset_id) OVER (PARTITION BY track, h) AS is_duplicate FROM e), r AS (SELECT *, {_RULE} AS rule FROM f)
+SELECT asset_id, track, 'sha256:' || h AS asset_hash, is_duplicate, true AS compared, matched::VARCHAR AS matched, score, status, CASE rule WHEN 1 THEN 'EU_TDM_RESERVATION_BLOCK' WHEN 2 THEN 'US_FAIR_USE_MID_BAND' WHEN 3 THEN 'HIGH_RISK_DOMAIN_SENSITIVITY' END AS rule_id, {_OUTCOME} AS outcome,
+CASE WHEN {_OUTCOME} = 'PASSED' THEN {_CERT}[1:8] || '-' || {_CERT}[9:12] || '-' || {_CERT}[13:16] || '-' || {_CERT}[17:20] || '-' || {_CERT}[21:32] END AS certificate_id FROM r""")
 def full_evaluation(spark, d):
-    """Hash, duplicates, score, routing, rules and certificate of every asset in one plan."""
-    rows = attributes(table(spark, d, "documents", "doc_id", "text")).withColumnRenamed("doc_id", "asset_id")
-    return evaluation.evaluate(rows, table(spark, d, "benchmark")).drop("track", "tier", "jurisdiction")
+    """Hash, duplicates, score, routing, rules and certificate of every text (by words) and of code made from every id, each against its own index, in one plan."""
+    texts = attributes(table(spark, d, "documents", "doc_id", "text")).withColumn("asset_id", F.col("doc_id"))
+    code, works = _code_tables(spark, d)
+    rows = texts.unionByName(attributes(code).withColumns({"asset_id": -1 - F.col("doc_id"), "track": F.lit("CODE")})).drop("doc_id")
+    scorers = {"TEXT": evaluation.TOKENS, "CODE": evaluation.SCORERS["CODE"]}
+    return evaluation.evaluate(rows, {"TEXT": table(spark, d, "benchmark"), "CODE": works}, scorers=scorers).drop("tier", "jurisdiction")
 
 
 _SUMMARY = "count(*) AS total_assets, count_if(status = 'PASSED') AS passed_count, count_if(status = 'BLOCKED') AS blocked_count, count_if(status IN ('HUMAN_REVIEW', 'REVIEW')) AS review_count, count_if(status = 'ERROR') AS error_count, 100.0::DOUBLE * count_if(status = 'BLOCKED') / count(*) AS block_rate"
@@ -450,7 +488,10 @@ def delta_candidates(spark, d):
 
 @query()
 def delta_flagged(spark, d):
-    return governance.delta_flagged(*_cleared(spark, d), 2, 4)
+    """Cleared assets (all texts, and all protected works without their first tenth) against takedowns of works that came later."""
+    cleared, takedowns = _cleared(spark, d)
+    cut = table(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("asset_id"), F.lit("TEXT").alias("track"), F.substring("text", F.length("text") / 10 + F.lit(1), F.length("text")).alias("text_content"), F.lit(1).cast("long").alias("checked_index_version"))
+    return governance.delta_flagged(cleared.unionByName(cut), takedowns, 2, 4)
 
 
 @query("SELECT coalesce(max(item_id % 6 + 1), 1) AS index_version FROM benchmark")
@@ -623,11 +664,10 @@ def evidence_paths(spark, d):
     return table(spark, d, "documents").select("doc_id", sinks.vault_path(fp.sha256_prefixed(F.col("text").cast("binary"))).alias("vault"))
 
 
-@query()
+@query(f"WITH {_CODE_BEST} SELECT doc_id, item_id, code_score AS score, stage FROM cb")
 def code_match(spark, d):
-    """Texts that count as code against the works, by structure and tokens."""
-    code = table(spark, d, "documents", "doc_id", "text").filter(tx.is_code(F.col("text")))
-    return simjoin.code_match(code, table(spark, d, "benchmark"))
+    """Code made from every id against indexed code, by structure and tokens: the best indexed one of each."""
+    return simjoin.top_k(simjoin.code_match(*_code_tables(spark, d)), "doc_id", "score", "item_id", 1).select("doc_id", "item_id", "score", "stage")
 
 
 @query("""WITH f AS (SELECT doc_id, encode(text) AS b FROM documents), g AS (SELECT doc_id, b, unnest(range(least(16, CAST(ceil(octet_length(b) / 2048.0) AS INTEGER)))) AS i FROM f WHERE octet_length(b) > 0),

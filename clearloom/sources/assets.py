@@ -93,6 +93,26 @@ def image_index(spark: SparkSession, path: str) -> DataFrame:
     return fp.image_phash(rows, "item_id").withColumn("title", F.concat(F.lit("© Visual Work: "), stem))
 
 
+def path_key(path: Column) -> Column:
+    """Local paths as readers name them differently: file:/x and file:///x are one."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def described_for_evaluation(spark: SparkSession, path: str, tier: str, jurisdiction: str = "GLOBAL") -> DataFrame:
+    """The assets of a folder with what evaluation.evaluate() needs of each track: decoded text, bytes, perceptual hash (null where an image can't be decoded). Videos come without frames, which need a decoder."""
+    rows = discover(spark, path)
+    hashes = image_index(spark, path).select(path_key(F.col("item_id")).alias("__path"), "phash")
+    text = F.when(F.col("track").isin("TEXT", "CODE"), text_of(F.col("content")))
+    rows = rows.withColumn("__path", path_key(F.col("asset_id"))).join(hashes, "__path", "left")
+    return rows.select("asset_id", "asset_hash", "track", text.alias("text"), F.when(F.col("track") == "AUDIO", F.col("content")).alias("content"), "phash", F.lit(tier).alias("tier"), F.lit(jurisdiction).alias("jurisdiction"), F.lit(False).alias("opted_out"))
+
+
+def indexes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The indexed works below path by track; a track of which nothing is there has an empty index. Videos are compared with images."""
+    images = image_index(spark, path)
+    return {"TEXT": text_index(spark, path), "CODE": code_index(spark, path), "IMAGE": images, "AUDIO": media_index(spark, path), "VIDEO": images}
+
+
 def index_metadata(works: DataFrame) -> DataFrame:
     return works.select("item_id", F.length("text").alias("char_count"), F.size(tx.split_ws(F.col("text"))).alias("word_count"))
 

@@ -20,7 +20,7 @@ def evaluated(spark):
 
 def test_evaluate(evaluated):
     got = {r.asset_id: r for r in evaluated.collect()}
-    assert (got[1].outcome, got[1].matched, got[1].certificate_id) == ("BLOCKED", 7, None)
+    assert (got[1].outcome, got[1].matched, got[1].certificate_id) == ("BLOCKED", "7", None)
     assert [got[i].outcome for i in (2, 3, 4)] == ["PASSED"] * 3 and got[3].is_duplicate and not got[2].is_duplicate and got[2].asset_hash == got[3].asset_hash
 
 
@@ -53,3 +53,99 @@ def test_command_line(spark, tmp_path):
     (data / "copy.txt").write_text(WORK)
     assert cli.main(["scan", str(data), "--index", str(index)], spark) == 2
     assert cli.main(["scan", str(tmp_path / "missing"), "--index", str(index)], spark) == 1
+
+
+CODE = """
+def tally(rows, key):
+    total = {}
+    for row in rows:
+        if row[key] not in total:
+            total[row[key]] = 0
+        total[row[key]] += 1
+    return sorted(total.items(), key=lambda x: -x[1])
+
+
+class Ledger:
+    def __init__(self, path):
+        self.path, self.rows = path, []
+
+    def add(self, row):
+        self.rows.append(row)
+        return len(self.rows)
+"""
+RENAMED = CODE.replace("tally", "f").replace("rows", "aa").replace("key", "bb").replace("total", "cc").replace("Ledger", "Gg").replace("path", "dd").replace("add", "ee").replace("row", "hh")
+
+
+def attributes(df):
+    return df.withColumns({"tier": F.lit("public-web-unknown"), "jurisdiction": F.lit("GLOBAL"), "opted_out": F.lit(False)})
+
+
+def test_no_scorer_means_no_certificate(spark):
+    rows = attributes(spark.createDataFrame([(1, "AUDIO", "x"), (2, "UNSUPPORTED", "x"), (3, "IMAGE", None), (4, "TEXT", "some words here"), (5, "VIDEO", None)], "asset_id long, track string, text string"))
+    works = spark.createDataFrame([(7, WORK)], "item_id long, text string")
+    got = {r.asset_id: r for r in evaluation.evaluate(rows, {"TEXT": works, "IMAGE": spark.createDataFrame([], "item_id long, phash long")}).collect()}
+    assert {i: got[i].outcome for i in got} == {1: "HUMAN_REVIEW", 2: "ERROR", 3: "HUMAN_REVIEW", 4: "PASSED", 5: "HUMAN_REVIEW"}
+    assert all((got[i].certificate_id is None) == (i != 4) and got[i].compared == (i == 4) for i in got)
+
+
+def test_tracks_have_their_own_index(spark):
+    rows = attributes(spark.createDataFrame([(1, "CODE", RENAMED, None, None, None), (2, "IMAGE", None, None, 0b1011, None), (3, "IMAGE", None, None, -1, None), (4, "AUDIO", None, b"RIFF" + bytes(range(256)) * 40, None, None), (5, "VIDEO", None, None, None, [-1, 0b1010]), (6, "TEXT", CODE, None, None, None)], "asset_id long, track string, text string, content binary, phash long, frames array<long>"))
+    index = {
+        "CODE": spark.createDataFrame([("gpl.py", CODE)], "item_id string, text string"), "TEXT": spark.createDataFrame([(7, WORK)], "item_id long, text string"),
+        "IMAGE": spark.createDataFrame([("pic", 0b1010)], "item_id string, phash long"), "VIDEO": spark.createDataFrame([("pic", 0b1010)], "item_id string, phash long"),
+        "AUDIO": spark.createDataFrame([("song", b"RIFF" + bytes(range(256)) * 40)], "item_id string, content binary"),
+    }
+    got = {r.asset_id: (r.matched, r.outcome) for r in evaluation.evaluate(rows, index).collect()}
+    assert got == {1: ("gpl.py", "BLOCKED"), 2: ("pic", "BLOCKED"), 3: (None, "PASSED"), 4: ("song", "BLOCKED"), 5: ("pic", "BLOCKED"), 6: (None, "PASSED")}
+
+
+def test_earlier_decisions_are_kept(spark):
+    rows = attributes(spark.createDataFrame(ROWS, "asset_id long, text string").withColumn("track", F.lit("TEXT")))
+    works = spark.createDataFrame([(7, WORK)], "item_id long, text string")
+    first = evaluation.evaluate(rows, works)
+    state = first.filter("asset_id in (1, 2)").select("asset_hash", "track", F.when(F.col("asset_id") == 1, "PASSED").otherwise("BLOCKED").alias("status"), F.lit("old").alias("matched_source"))
+    got = {r.asset_id: r for r in evaluation.evaluate(rows, works, state=state).collect()}
+    assert [(got[i].outcome, got[i].matched, got[i].is_duplicate) for i in (1, 2, 3)] == [("PASSED", None, True), ("BLOCKED", "old", True), ("BLOCKED", "old", True)]
+    assert got[1].certificate_id and got[4].outcome == "PASSED" and not got[4].is_duplicate
+
+
+def test_sequence_ratio_counts(spark):
+    """Words of one or two letters: no token score, but the text is the work."""
+    work = "so we go on as if it is up to us to do it or to be in it " * 6 + "ancient"
+    rows = attributes(spark.createDataFrame([(1, work.replace("ancient", "new")[10:])], "asset_id long, text string").withColumn("track", F.lit("TEXT")))
+    got = evaluation.evaluate(rows, spark.createDataFrame([(7, work)], "item_id long, text string")).first()
+    assert (got.outcome, got.matched) == ("BLOCKED", "7") and got.score > 0.9
+
+
+def png(pixels):
+    import struct
+    import zlib
+
+    h, w, _ = pixels.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    raw = b"".join(b"\0" + pixels[i].tobytes() for i in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("track", ["code", "image", "audio", "video", "clean"])
+def test_command_line_by_track(spark, tmp_path, track, capsys):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    smooth = lambda seed: np.kron(np.random.default_rng(seed).integers(0, 255, (8, 8, 3), np.uint8), np.ones((8, 8, 1), np.uint8))
+    wav = b"RIFF" + r.bytes(4) + b"WAVE" + r.bytes(9000)
+    index, data = tmp_path / "index", tmp_path / "data"
+    index.mkdir()
+    data.mkdir()
+    (index / "w.txt").write_text(WORK)
+    (index / "gpl.py").write_text("# GNU General Public License" + CODE)
+    (index / "pic.png").write_bytes(png(smooth(1)))
+    (index / "song.wav").write_bytes(wav)
+    (data / "fine.txt").write_text(ROWS[1][1])
+    (data / "other.png").write_bytes(png(smooth(9)))
+    put = {"code": ("x.py", ("# mine" + RENAMED).encode()), "image": ("p.png", png(np.clip(smooth(1).astype(int) + 3, 0, 255).astype(np.uint8))), "audio": ("s.wav", wav), "video": ("v.mp4", b"\0\0\0\x18ftypmp42" + r.bytes(100)), "clean": ("more.txt", b"nothing of note")}[track]
+    (data / put[0]).write_bytes(put[1])
+    assert cli.main(["scan", str(data), "--index", str(index), "--out", str(tmp_path / "out")], spark) == (2 if track in ("code", "image", "audio") else 0)
+    got = {row.asset_id.rpartition("/")[2]: row for row in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got["fine.txt"].outcome == got["other.png"].outcome == "PASSED"
+    assert got[put[0]].outcome == {"video": "HUMAN_REVIEW", "clean": "PASSED"}.get(track, "BLOCKED")
