@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clearloom.config import DEFAULT
 
+from . import graph
 from .simjoin import near_pairs
 
 
@@ -25,19 +26,15 @@ def first_seen(rows: DataFrame, key: str, digest: str) -> DataFrame:
 def elect_leaders(rows: DataFrame, key: str, digest: str, simhash: str, most: int = DEFAULT.simhash_distance) -> DataFrame:
     """key, leader: greedy in order of key. A row is a leader unless an earlier leader has its digest or a SimHash at most `most` bits away; a duplicate leads nobody.
 
-    Equal rows follow their first; the others settle from the front: a row is decided once all its earlier neighbours are. Each pass decides at least the first row left, so the passes end; a chain of near copies takes about one for each row.
+    Equal rows follow their first; graph.leaders settles the others, one pass for all chains of near copies that lie in one partition.
     """
     firsts = rows.groupBy(digest).agg(F.min(key).alias("first"), F.coalesce(F.min_by(simhash, key), F.lit(0).cast("long")).alias("first_hash"))
     # Rows of one SimHash have the same neighbours: all but the first follow it, or its leader.
     firsts = firsts.withColumn("kind", F.struct("first_hash", F.when(F.col("first_hash") == 0, F.col(digest)).alias("digest")))
     heads = firsts.groupBy("kind").agg(F.min("first").alias("head"), F.max("first_hash").alias("head_hash"))
     edges = near_pairs(heads, "head", "head_hash", most).select(F.col("a").alias("_a"), F.col("b").alias("_b")).checkpoint()
-    state = heads.select(F.col("head").alias("_n"), F.lit(None).cast("boolean").alias("_lead")).checkpoint()
-    while not state.filter(F.col("_lead").isNull()).isEmpty():
-        before = edges.join(state.select(F.col("_n").alias("_a"), F.col("_lead").alias("_la")), "_a").groupBy("_b").agg(F.max("_la").alias("_any"), F.count_if(F.col("_la").isNull()).alias("_open"))
-        told = state.join(before, F.col("_n") == F.col("_b"), "left")
-        lead = F.when(F.col("_lead").isNotNull(), F.col("_lead")).when(F.col("_any"), False).when(F.coalesce("_open", F.lit(0)) == 0, True)
-        state = told.select("_n", lead.alias("_lead")).checkpoint()
+    found = graph.leaders(edges).withColumnRenamed("node", "_n")
+    state = heads.select(F.col("head").alias("_n")).join(found, "_n", "left").select("_n", F.coalesce("lead", F.lit(True)).alias("_lead"))  # without a neighbour: leads
     chosen = edges.join(state.filter("_lead").select(F.col("_n").alias("_a")), "_a").groupBy("_b").agg(F.min("_a").alias("_near"))
     led = state.join(chosen, F.col("_n") == F.col("_b"), "left").select("_n", F.when(F.col("_lead"), F.col("_n")).otherwise(F.col("_near")).alias("leader"))
     of = firsts.join(heads, "kind").select(digest, F.col("head").alias("_n"))

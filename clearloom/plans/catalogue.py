@@ -282,12 +282,21 @@ def page_prefilter(spark, d):
     return rows.select("page_id", "allowed", "tdm_opted_out", "license_hint", "skip_reason")
 
 
+#: What origins say to robots, by a sum over the origin's characters; None: no file.
+ROBOTS = ["User-agent: *\nDisallow: /", None, "User-agent: *\nDisallow: /*/\nAllow: /\n\nUser-agent: otherbot\nDisallow: /", "User-agent: clearloom-bot\nDisallow: /p\n\nUser-agent: *\nDisallow: /", "", "# open\nUser-agent: *\nCrawl-delay: 5\nAllow: /"]
+
+
+def robots_kind(origin: str) -> int:
+    return sum(map(ord, origin)) % len(ROBOTS)
+
+
 @query()
 def robots_filter(spark, d):
-    """robots.txt by origin, for URLs under a path that a third of the origins forbid."""
+    """robots.txt by origin: files that forbid all, a path, other robots or nothing, and origins without one."""
     urls = table(spark, d, "pages", "page_id", "url")
     origins = urls.select(F.regexp_extract("url", r"^([^:]+://[^/]*)", 1).alias("origin")).distinct()
-    robots = origins.filter(F.pmod(F.xxhash64("origin"), F.lit(3)) == 0).withColumn("robots_txt", F.lit("User-agent: *\nDisallow: /"))
+    total = F.aggregate(F.transform(F.split("origin", ""), lambda c: F.when(c == "", 0).otherwise(F.ascii(c))), F.lit(0), lambda a, x: a + x)
+    robots = origins.withColumn("robots_txt", F.element_at(F.array(*(F.lit(t) for t in ROBOTS)), F.pmod(total, F.lit(len(ROBOTS))) + 1))
     return web.robots_allowed(urls, robots)
 
 

@@ -1,12 +1,16 @@
 """Every query with SQL gives the rows that DuckDB gives, at the smallest scale."""
 
+import difflib
+import hashlib
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from clearloom import config
 from clearloom.plans.catalogue import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -39,10 +43,128 @@ def test_query(spark, db, name):
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_rows_only(spark, name):
-    rows = QUERIES[name](spark, DIR)
-    assert rows.columns and all(len(r) == len(rows.columns) for r in rows.collect())
+def collected(spark, name):
+    return QUERIES[name](spark, DIR).collect()
+
+
+def documents(db):
+    return dict(db.sql("SELECT doc_id, text FROM documents").fetchall())
+
+
+def works(db):
+    return dict(db.sql("SELECT item_id, text FROM benchmark").fetchall())
+
+
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+
+
+def test_all_are_checked():
+    assert set(QUERIES) - set(ORACLES) == {"text_clearance_full", "delta_flagged", "audio_match", "dedup_leaders", "leakage_redact", "robots_filter", "asset_sniff"}
+
+
+def test_text_clearance_full(spark, db):
+    words = lambda t: set(re.findall(r"\b\w{3,}\b", t.lower()))
+    index = {i: (t, words(t)) for i, t in works(db).items() if words(t)}
+    got = {r.doc_id: r for r in collected(spark, "text_clearance_full")}
+    assert len(got) == 200
+    for i, text in documents(db).items():
+        text, best = (text or "").strip(), (0.0, None)
+        for j, (work, w) in index.items():
+            if not text:
+                continue
+            q = words(text)
+            token = max(1.5 * len(q & w) / max(len(q | w), 1), len(q & w) / len(w))
+            close = 2 * min(len(text), len(work)) / (len(text) + len(work)) >= 0.55
+            score = min(max(token, ratio(text, work) if close else 0.0), 0.98)
+            best = max(best, (score, -j)) if best[1] is not None else (score, -j)
+        r = got[i]
+        if best[0] >= 0.55:
+            assert (r.exact, r.matched) == (True, -best[1]) and math.isclose(r.score, best[0], abs_tol=6e-5)
+        else:
+            assert (r.exact, r.matched, r.score) == (False, None, None)
+    assert any(r.exact for r in got.values())
+
+
+def test_delta_flagged(spark, db):
+    index = works(db)
+    cleared = {i: t for i, t in documents(db).items() if i % 5 + 1 <= 2 and t} | {-1 - i: t[len(t) // 10 :] for i, t in index.items()}
+    later = {i: t for i, t in index.items() if 2 < i % 6 + 1 <= 4}
+    want = {(i, j): v for i, a in cleared.items() for j, b in later.items() if 2 * min(len(a), len(b)) / (len(a) + len(b)) >= 0.75 and (v := ratio(a, b)) >= 0.75}
+    got = {(r.asset_id, r.notice_id): r.ratio for r in collected(spark, "delta_flagged")}
+    assert got.keys() == want.keys() and len(got) >= len(later) and all(math.isclose(got[k], want[k], abs_tol=6e-5) for k in got)
+
+
+def test_audio_match(spark, db):
+    def print_of(data):
+        return "-".join(str(int(hashlib.md5(data[i : i + 2048]).hexdigest(), 16) % 100) for i in range(0, min(len(data), 16 * 2048), 2048))
+
+    songs = {i: t.encode() for i, t in works(db).items() if t}
+    want = {}
+    for i, t in documents(db).items():
+        for j, y in songs.items():
+            if t:
+                x = t.encode()
+                a, b = print_of(x), print_of(y)
+                s = 1.0 if a == b else 0.7 * difflib.SequenceMatcher(None, a, b).ratio() + 0.3 * min(len(x), len(y)) / max(len(x), len(y))
+                if s > 0.5:
+                    want[i, j] = s
+    got = {(r.doc_id, r.item_id): r.score for r in collected(spark, "audio_match")}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=6e-5) for k in got) and got
+
+
+def test_dedup_leaders(spark, db):
+    hashes, led, lead = {}, {}, []
+    for i, t in sorted(documents(db).items()):
+        votes = [0] * 64
+        for w in re.findall(r"\b\w{3,}\b", (t or "").lower()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[16:], 16)
+            votes = [v + (1 if h >> k & 1 else -1) for k, v in enumerate(votes)]
+        hashes[i] = sum(1 << k for k, v in enumerate(votes) if v > 0)
+        near = [j for j in lead if documents_equal(db, i, j) or hashes[i] and hashes[j] and bin(hashes[i] ^ hashes[j]).count("1") <= 3]
+        led[i] = near[0] if near else i
+        lead += [] if near else [i]
+    assert {r.doc_id: r.leader for r in collected(spark, "dedup_leaders")} == led and len(lead) < len(led)
+
+
+def documents_equal(db, i, j, known={}):  # noqa: B006
+    if not known:
+        known.update(documents(db))
+    return known[i] == known[j]
+
+
+def test_leakage_redact(spark, db):
+    grams = {" ".join(w[k : k + 7]) for t in works(db).values() for w in [re.findall(r"\w+", t.lower())] for k in range(len(w) - 6)}
+    rows = {r.doc_id: r for r in collected(spark, "leakage_redact")}
+    leaks = 0
+    for i, t in documents(db).items():
+        w = re.findall(r"\w+", (t or "").lower())
+        hit = next((g for k in range(len(w) - 6) if (g := " ".join(w[k : k + 7])) in grams), None)
+        leaks += hit is not None
+        assert rows[i].leaked == (hit is not None)
+        assert rows[i].gated_text == (t if hit is None else re.sub(re.escape(hit), "[REDACTED]", t, flags=re.IGNORECASE))
+    assert leaks
+
+
+def test_robots_filter(spark, db):
+    from urllib.robotparser import RobotFileParser
+
+    from clearloom.plans.catalogue import ROBOTS, robots_kind
+
+    got = {r.page_id: r.allowed for r in collected(spark, "robots_filter")}
+    for page, url in db.sql("SELECT page_id, url FROM pages").fetchall():
+        text = ROBOTS[robots_kind(re.match(r"[^:]+://[^/]*", url).group())]
+        p = RobotFileParser()
+        p.parse((text or "").splitlines())
+        assert got[page] == (text is None or p.can_fetch("clearloom-bot/0.1", url))
+    assert len(set(got.values())) == 2
+
+
+def test_asset_sniff(spark, db):
+    head = lambda t: t.encode()[:4096]
+    want = {i: "CODE" if any(k.encode() in head(t) for k in config.CODE_KEYWORDS) else "TEXT" for i, t in documents(db).items() if t is not None}
+    got = {r.doc_id: (r.track, r.mime) for r in collected(spark, "asset_sniff")}
+    assert {i: got[i][0] for i in want} == want and {m for _, m in got.values()} <= {"text/plain", "text/x-code"}
 
 
 def test_entry(spark):
