@@ -85,30 +85,30 @@ def two_stage(docs: DataFrame, works: DataFrame, cfg=DEFAULT) -> DataFrame:
     return out.select("doc_id", F.coalesce("best_recall", F.lit(0.0)).alias("best_recall"), F.coalesce("score", F.lit(0.0)).alias("score"), "matched")
 
 
-def hamming_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lhash: str, rhash: str, most: int) -> DataFrame:
-    """lkey, rkey, dist of pairs of 64-bit hashes at most `most` bits apart. Of most + 1 bands one is equal (pigeonhole), so bands are joined."""
+def hamming_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lhash: str, rhash: str, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """lkey, rkey, dist of pairs of 64-bit hashes at most `most` bits apart, equal in the columns of `by`. Of most + 1 bands one is equal (pigeonhole), so bands are joined."""
     bands = most + 1
     cuts = [64 * i // bands for i in range(bands + 1)]
 
     def banded(df: DataFrame, key: str, col: str) -> DataFrame:
         band = F.array(*(F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(F.shiftleft(F.col(col), 64 - b), 64 - (b - a)).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-        return df.select(F.col(key), F.col(col), F.explode(band).alias("band"))
+        return df.select(F.col(key), F.col(col), *by, F.explode(band).alias("band"))
 
     a, b = banded(left, lkey, lhash), banded(right, rkey, rhash)
-    pairs = a.join(b, "band").withColumn("dist", fp.hamming(F.col(lhash), F.col(rhash))).filter(F.col("dist") <= most)
+    pairs = a.join(b, ["band", *by]).withColumn("dist", fp.hamming(F.col(lhash), F.col(rhash))).filter(F.col("dist") <= most)
     return pairs.select(lkey, rkey, "dist").distinct()
 
 
-def hash_classes(hashes: DataFrame, key: str, col: str) -> DataFrame:
-    """first (smallest key), copies, h of each value that occurs; 0 takes no part."""
-    return hashes.filter(F.col(col) != 0).groupBy(F.col(col).alias("h")).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
+def hash_classes(hashes: DataFrame, key: str, col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """first (smallest key), copies, h (and the columns of `by`) of each value that occurs; 0 takes no part."""
+    return hashes.filter(F.col(col) != 0).groupBy(F.col(col).alias("h"), *by).agg(F.min(key).alias("first"), F.count("*").alias("copies"))
 
 
-def near_pairs(hashes: DataFrame, key: str, col: str, most: int = DEFAULT.simhash_distance) -> DataFrame:
-    """a < b, dist of classes of equal hashes that are 1 to `most` bits apart; a and b are the classes' smallest keys. Members of a class aren't paired: hash_classes has their number."""
-    kinds = hash_classes(hashes, key, col)
-    one, other = (kinds.select(F.col("first").alias(x), F.col("h").alias(f"h{x}")) for x in ("a", "b"))
-    return hamming_join(one, other, "a", "b", "ha", "hb", most).filter(F.col("a") < F.col("b"))
+def near_pairs(hashes: DataFrame, key: str, col: str, most: int = DEFAULT.simhash_distance, by: tuple[str, ...] = ()) -> DataFrame:
+    """a < b, dist of classes of equal hashes (and equal columns of `by`) that are 1 to `most` bits apart; a and b are the classes' smallest keys. Members of a class aren't paired: hash_classes has their number."""
+    kinds = hash_classes(hashes, key, col, by)
+    one, other = (kinds.select(F.col("first").alias(x), F.col("h").alias(f"h{x}"), *by) for x in ("a", "b"))
+    return hamming_join(one, other, "a", "b", "ha", "hb", most, by).filter(F.col("a") < F.col("b"))
 
 
 def set_jaccard(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lset: str, rset: str, least: float) -> DataFrame:
