@@ -1,14 +1,13 @@
-"""Lineage documents and graph, certificates, and the ledger."""
+"""Lineage documents and graph, and certificates."""
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clearloom.functions.text import source_domain
@@ -197,50 +196,5 @@ def verify_reason(rows: DataFrame, signature_valid: str, claimed: str, actual: s
     return rows.withColumn("reason", F.when(F.col(claimed) != F.col(actual), "HASH_MISMATCH").when(~F.col(signature_valid), "SIGNATURE_INVALID").otherwise("SIGNATURE_VALID"))
 
 
-GENESIS = {"index": 0, "timestamp": "2026-01-01T00:00:00Z", "previous_hash": "0" * 64, "transactions": [{"type": "GENESIS", "message": "Ledger anchor"}], "merkle_root": hashlib.sha256(b"genesis").hexdigest()}
-
-
-def block_hash(block: dict) -> str:
-    return hashlib.sha256(json.dumps({k: v for k, v in block.items() if k != "block_hash"}, sort_keys=True).encode()).hexdigest()
-
-
-def ledger(certs: DataFrame, order: str = "certificate_id") -> DataFrame:
-    """index, timestamp, previous_hash, certificate_id, asset_hash, merkle_root, block (JSON), block_hash: one block for each certificate (certificate_id, asset_hash, signature_b64, anchored_at), in order.
-
-    A chain of hashes is serial: it is folded over sorted partitions, one ordered pass, on the executor that holds the single partition. The ledger holds certificates that were issued, not assets.
-    """
-
-    def run(batches):
-        previous, index = block_hash(GENESIS), 0
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples():
-                index += 1
-                tx = {"tx_id": "tx:" + hashlib.sha256(f"{r.certificate_id}:{r.asset_hash}".encode()).hexdigest()[:16], "certificate_id": r.certificate_id, "asset_hash": r.asset_hash, "signature_b64": r.signature_b64, "parent_tx": None, "anchored_at": r.anchored_at}
-                b = {"index": index, "timestamp": r.anchored_at, "previous_hash": previous, "transactions": [tx], "merkle_root": hashlib.sha256(f"{r.certificate_id}:{r.asset_hash}".encode()).hexdigest()}
-                h = block_hash(b)
-                rows.append((index, r.anchored_at, previous, r.certificate_id, r.asset_hash, b["merkle_root"], json.dumps(b, sort_keys=True), h))
-                previous = h
-            yield pd.DataFrame(rows, columns=["index", "timestamp", "previous_hash", "certificate_id", "asset_hash", "merkle_root", "block", "block_hash"])
-
-    kept = certs.select("certificate_id", "asset_hash", "signature_b64", "anchored_at").repartition(1).sortWithinPartitions(order)
-    return kept.mapInPandas(run, "index long, timestamp string, previous_hash string, certificate_id string, asset_hash string, merkle_root string, block string, block_hash string")
-
-
-def verify_ledger(blocks: DataFrame) -> DataFrame:
-    """index, hash_ok (the block hashes to what it says), linked (it names the hash of the block before)."""
-    w = Window.orderBy("index")
-    rows = blocks.withColumns({"hash_ok": F.sha2("block", 256) == F.col("block_hash"), "before": F.lag("block_hash", 1, block_hash(GENESIS)).over(w)})
-    return rows.select("index", "hash_ok", (F.col("previous_hash") == F.col("before")).alias("linked"))
-
-
-def on_chain(claims: DataFrame, blocks: DataFrame) -> DataFrame:
-    """claims (certificate_id, asset_hash) with verified and reason."""
-    b = blocks.select("certificate_id", F.col("asset_hash").alias("anchored_hash"), "block", "block_hash")
-    rows = claims.join(b, "certificate_id", "left")
-    reason = F.when(F.col("block").isNull(), "Certificate not found on ledger").when(F.col("anchored_hash") != F.col("asset_hash"), "Asset hash does not match on-chain record").when(F.sha2("block", 256) != F.col("block_hash"), "Block hash corrupted")
-    return rows.select("certificate_id", "asset_hash", reason.isNull().alias("verified"), reason.alias("reason"))
-
-
 def fresh_id() -> str:
     return str(uuid.uuid4())

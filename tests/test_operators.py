@@ -98,14 +98,6 @@ def test_signatures(spark):
     assert again.fingerprint() == signer.fingerprint() and all(r.signature_valid for r in again.verify(rows, "m", "signature_b64").collect())
 
 
-def test_ledger_links(spark):
-    certs = spark.createDataFrame([(f"c{i}", f"h{i}", "s", "t") for i in range(5)], "certificate_id string, asset_hash string, signature_b64 string, anchored_at string")
-    blocks = provenance.ledger(certs)
-    assert all(r.hash_ok and r.linked for r in provenance.verify_ledger(blocks).collect())
-    claims = spark.createDataFrame([("c1", "h1"), ("c2", "other"), ("zz", "h")], "certificate_id string, asset_hash string")
-    assert {r.certificate_id: r.verified for r in provenance.on_chain(claims, blocks).collect()} == {"c1": True, "c2": False, "zz": False}
-
-
 def test_audit_and_evidence(spark, tmp_path):
     log = sinks.AuditLog(str(tmp_path / "audit"))
     log.append(spark.sql("SELECT 1L id, 'b' batch_id, 'h' asset_hash, timestamp'2026-01-05' recorded_at"))
