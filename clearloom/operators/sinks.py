@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from clearloom.config import DEFAULT
 
+from .commits import Versions
+
 MINIMAL = ["asset_id", "status", "track", "matched_source", "similarity_score", "asset_hash", "certificate_id"]
 
 
@@ -49,29 +51,32 @@ def vault_path(asset_hash: Column) -> Column:
 
 
 class EvidenceLocker:
-    """Write-once records by hash; a second record of a hash is refused."""
+    """Write-once records by hash; a second record of a hash is refused, also where two writers store at once: each looks at what the other committed before its own version counts."""
 
     def __init__(self, path: str, retention_days: int = DEFAULT.retention_days):
         self.path, self.retention_days = path, retention_days
 
-    def store(self, records: DataFrame) -> None:
+    def store(self, records: DataFrame) -> int:
+        """The new version's number; FileExistsError if any of the hashes is locked, and then nothing is stored."""
         spark = records.sparkSession
         rows = records.withColumn("vault", vault_path(F.col("asset_hash"))).withColumn("prefix", F.substring("vault", 1, 2))
-        try:
-            known = spark.read.parquet(self.path)
-            clash = rows.join(known.select("asset_hash"), "asset_hash", "left_semi").limit(1).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            clash = 0
-        if clash or rows.groupBy("asset_hash").count().filter("count > 1").limit(1).count():
+        if not rows.groupBy("asset_hash").count().filter("count > 1").isEmpty():
             raise FileExistsError("evidence of this hash is locked")
-        rows.write.mode("append").partitionBy("prefix").parquet(self.path)
+
+        def check(held: DataFrame) -> None:
+            if not rows.join(held.select("asset_hash"), "asset_hash", "left_semi").isEmpty():
+                raise FileExistsError("evidence of this hash is locked")
+
+        return Versions(spark, self.path).commit(rows, check=check)
+
+    def read(self, spark: SparkSession) -> DataFrame | None:
+        return Versions(spark, self.path).read()
 
     def retrieve(self, spark: SparkSession, asset_hash: str) -> DataFrame:
-        prefix = asset_hash.rpartition(":")[2][:2].lower()
-        rows = spark.read.parquet(self.path).filter((F.col("prefix") == prefix) & (F.col("asset_hash") == asset_hash))
-        return rows.withColumn("retention_days", F.lit(self.retention_days))
+        rows = self.read(spark)
+        if rows is None:
+            raise FileNotFoundError(self.path)
+        return rows.filter(F.col("asset_hash") == asset_hash).drop("_version").withColumn("retention_days", F.lit(self.retention_days))
 
 
 def fallback_bbox(width: Column, height: Column) -> Column:

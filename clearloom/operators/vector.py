@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .commits import Versions
+
 
 def normalised(v):
     """Of unit length; a zero vector stays."""
@@ -40,9 +42,13 @@ def top_k(index: DataFrame, queries: DataFrame, key: str, qkey: str, col: str, k
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def save(index: DataFrame, path: str) -> None:
-    index.write.mode("overwrite").parquet(path)
+def save(index: DataFrame, path: str) -> int:
+    """Replaces the stored index as its next version; readers of the one before are not disturbed."""
+    return Versions(index.sparkSession, path).commit(index, replace=True)
 
 
-def load(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def load(spark, path: str, version: int | None = None) -> DataFrame:
+    rows = Versions(spark, path).read(version)
+    if rows is None:
+        raise FileNotFoundError(path)
+    return rows.drop("_version")
