@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step handles at once; a single longer document is one step.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 #: Rows of an Arrow batch: whole texts, so fewer than Spark's 10,000.
@@ -25,6 +26,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """run, for mapInArrow; at the end of a task the worker gives free memory back to the machine, which workers keep for later tasks otherwise."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what it freed
         try:
             yield from run(batches)
         finally:
@@ -184,8 +186,26 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Words of more bytes are hashed by BLAKE2: the rolling hash maps some long words that differ in a regular way to one value.
+LONG_WORD = 64
+
+
 def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For documents given by offsets into raw: hash of each word (A-Z lower-cased, split at ASCII white space), and the index of its document."""
+    """For documents given by offsets into raw: hash of each word (A-Z lower-cased, split at ASCII white space), and the index of its document. A long text is hashed in pieces cut between words."""
+    if len(raw) <= SLICE_BYTES:
+        return _word_hashes(offsets, raw)
+    out, at, base = [], 0, offsets[0]
+    while at < len(raw):
+        end = min(at + SLICE_BYTES, len(raw))
+        while end < len(raw) and not SPACE[raw[end]]:
+            space = np.flatnonzero(SPACE[raw[end : end + SLICE_BYTES]])
+            end = end + int(space[0]) if len(space) else min(end + SLICE_BYTES, len(raw))
+        out.append(_word_hashes(np.clip(offsets - base, at, end), raw[at:end]))
+        at = end
+    return np.concatenate([w for w, _ in out]), np.concatenate([d for _, d in out])
+
+
+def _word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     base = offsets[0]
@@ -203,7 +223,10 @@ def word_hashes(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.nd
     stop[last] |= solid[last]
     end = np.flatnonzero(stop) + 1
     doc = np.searchsorted(offsets - base, start, side="right") - 1
-    return span_hash(prefix_hash(raw), start, end), doc
+    out = span_hash(prefix_hash(raw), start, end)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, doc
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -25,8 +25,8 @@ from .elias_fano import EliasFano
 ORDER = 3
 #: Bytes of text whose n-grams are counted together before they are handed on.
 GATHER = 8 << 20
-#: Occurrences of the parents of a shard, about; words of a shard of the first level.
-SHARD, WORDS = 1_500_000, 1_000_000
+#: Occurrences of the parents of a shard, about; words of a shard of the first level. Shards of one level at most: beyond that they grow with the input.
+SHARD, WORDS, MOST_SHARDS = 1_500_000, 1_000_000, 200_000
 #: The log10 probability of any token without a training text.
 UNTRAINED = -6.0
 #: The end of a text, as a word.
@@ -42,9 +42,13 @@ def token_stream(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.n
         words.append(w)
         docs.append(d + i)
     n = len(offsets) - 1
-    w, d = np.concatenate([*words, np.full(n, END)]), np.concatenate([*docs, np.arange(n)])
-    order = np.argsort(d, kind="stable")
-    return w[order], d[order]
+    w, d = np.concatenate([*words, np.zeros(0, np.uint64)]), np.concatenate([*docs, np.zeros(0, np.int64)])
+    out, of = np.empty(len(w) + n, np.uint64), np.empty(len(w) + n, np.int64)
+    ends = np.cumsum(np.bincount(d, minlength=n)) + np.arange(n)
+    place = np.arange(len(w)) + d  # one END for each text before
+    out[place], of[place] = w, d
+    out[ends], of[ends] = END, np.arange(n)
+    return out, of
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -243,10 +247,10 @@ def discount(once: int, twice: int) -> float:
 META = "shard int, low long, size long, total long, once long, twice long, cuts array<long>"
 
 
-def meta(shard: int, low: int, counts: np.ndarray) -> pa.RecordBatch:
-    """What the driver needs to know of a shard: a row. cuts: places from which its n-grams, as parents, occur about SHARD times before the next."""
+def meta(shard: int, low: int, counts: np.ndarray, size: int) -> pa.RecordBatch:
+    """What the driver needs to know of a shard: a row. cuts: places from which its n-grams, as parents, occur about `size` times before the next."""
     upto = np.cumsum(counts)
-    cuts = np.unique(np.searchsorted(upto, np.arange(0, int(upto[-1]), SHARD), side="right"))
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, int(upto[-1]), size), side="right"))
     row = ([shard], [int(low)], [len(counts)], [int(upto[-1])], [int((counts == 1).sum())], [int((counts == 2).sum())], [cuts.tolist()])
     kinds = (pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["shard", "low", "size", "total", "once", "twice", "cuts"])
@@ -275,7 +279,7 @@ def counted(parent: np.ndarray, suffix: np.ndarray, n: np.ndarray | None = None)
     """Distinct (parent, suffix), sorted, with the sums of n (or how often each occurs)."""
     if not len(parent):
         return parent, suffix, np.zeros(0, np.int64)
-    low, least = parent.min(), suffix.min()
+    rows, low, least = len(parent), parent.min(), suffix.min()
     wide = int(suffix.max() - least).bit_length()
     if int(parent.max() - low).bit_length() + wide <= 63:
         key = (parent - low) << wide | (suffix - least)
@@ -292,7 +296,7 @@ def counted(parent: np.ndarray, suffix: np.ndarray, n: np.ndarray | None = None)
         p, s = parent[order], suffix[order]
         first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1])]))
         parent, suffix, n = p[first], s[first], None if n is None else n[order]
-    return parent, suffix, np.diff(first, append=len(order) if n is not None else len(key)) if n is None else np.add.reduceat(n, first)
+    return parent, suffix, np.diff(first, append=rows) if n is None else np.add.reduceat(n, first)
 
 
 def learned(train: DataFrame, order: int = ORDER) -> tuple:
@@ -313,6 +317,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
     counts = stage(texts.mapInArrow(lean(count_words), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-words")
     sums = counts.agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
     total, size = sums.total or 0, sums["size"]
+    size_of_shard = max(SHARD, total // MOST_SHARDS)
     d = discount(sums.once, sums.twice)
 
     def make_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +327,9 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
             prob, scale = quantised(np.log10((n - d) / total))
             shard = TaskContext.get().partitionId()
             array_files.write(f"{folder}/1-{shard}", {"words": w.view(np.uint64) ^ np.uint64(1 << 63), "count": n.astype(np.int64), "prob": prob, "scale": scale})
-            yield meta(shard, w[0], n)
+            yield meta(shard, w[0], n, size_of_shard)
 
-    parts = max(1, -(-size // WORDS))
+    parts = max(1, -(-size // max(WORDS, size // MOST_SHARDS)))
     made = counts.repartitionByRange(parts, "w").sortWithinPartitions("w").mapInArrow(lean(make_words), META).collect()  # one row for each shard
     discard(counts)
 
@@ -344,7 +349,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
         if not len(cuts):
             break
         below = (list(levels), total, size, log_unknown)
-        shared_cuts = spark.sparkContext.broadcast(cuts)  # one number for each SHARD tokens
+        shared_cuts = spark.sparkContext.broadcast(cuts)  # one number for each shard, MOST_SHARDS at most and a few
 
         def count_grams(batches: Iterator[pa.RecordBatch], level=level, below=below, shared_cuts=shared_cuts) -> Iterator[pa.RecordBatch]:
             model = opened(below)
@@ -366,7 +371,7 @@ def learned(train: DataFrame, order: int = ORDER) -> tuple:
                     runs.setdefault(shard, []).append(run)
             model = opened(below)
             for shard in sorted(runs):
-                yield meta(shard, *merged(model, level, runs.pop(shard), f"{folder}/{level}-{shard}", f"{folder}/{level}-tmp/{shard}"))
+                yield meta(shard, *merged(model, level, runs.pop(shard), f"{folder}/{level}-{shard}", f"{folder}/{level}-tmp/{shard}"), size_of_shard)
 
         rows = texts.mapInArrow(lean(count_grams), "shard int, run binary")
         made = rows.repartitionById(len(cuts), F.col("shard")).mapInArrow(lean(merge), META).collect()  # one row for each shard

@@ -221,3 +221,50 @@ def test_pieces_are_whole():
     finally:
         toxicity.PIECE = old
     assert "".join(p for _, p in got) == text and all(text.startswith(p, at) for at, p in got)
+
+
+def test_long_words_that_differ_are_not_one():
+    """Words that a rolling hash modulo a power of two can't tell apart."""
+    import numpy as np
+
+    from clearloom.llm import common
+
+    a = b = "a"
+    for _ in range(10):
+        a, b = a + a.translate(str.maketrans("ab", "ba")), b.translate(str.maketrans("ab", "ba")) + b
+    one = a.encode()
+    other = one.translate(bytes.maketrans(b"ab", b"ba"))
+    raw = np.frombuffer(one + b" " + other, np.uint8)
+    w, d = common.word_hashes(np.array([0, len(raw)]), raw)
+    assert len(w) == 2 and w[0] != w[1] and d.tolist() == [0, 0]
+
+
+def test_words_of_long_texts_are_hashed_in_pieces(monkeypatch):
+    import numpy as np
+
+    from clearloom.llm import common
+
+    texts = ["Aa bb  ccc\tD", "", " ", "x" * 300 + " y", "one two three four five six seven", "z"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = common.word_hashes(offsets, raw)
+    for size in (1, 3, 7, 50):
+        monkeypatch.setattr(common, "SLICE_BYTES", size)
+        got = common.word_hashes(offsets, raw)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_counts_of_ids_beyond_63_bits():
+    import numpy as np
+
+    from clearloom.llm import language_model
+
+    r = np.random.default_rng(1)
+    parent, suffix = r.integers(0, 5, 200) << 40, r.integers(0, 5, 200) << 40
+    n = r.integers(1, 9, 200)
+    want, sums = Counter(zip(parent.tolist(), suffix.tolist())), Counter()
+    for p, s, k in zip(parent.tolist(), suffix.tolist(), n.tolist()):
+        sums[p, s] += k
+    for weights, expected in ((None, want), (n, sums)):
+        p, s, c = language_model.counted(parent, suffix, weights)
+        assert list(zip(p.tolist(), s.tolist())) == sorted(want) and dict(zip(zip(p.tolist(), s.tolist()), c.tolist())) == dict(expected)
