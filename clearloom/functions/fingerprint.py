@@ -144,18 +144,3 @@ def shrink(image: np.ndarray, size: int = 32) -> np.ndarray:
     cut = lambda n: np.linspace(0, n, size + 1).astype(int)
     rows, cols = cut(image.shape[0]), cut(image.shape[1])
     return np.array([[image[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(cols, cols[1:])] for a, b in zip(rows, rows[1:])])
-
-
-def image_phash(images: DataFrame, key: str) -> DataFrame:
-    """key, phash (signed 64 bits) of rows with Spark's image fields height, width, nChannels, data."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for h, w, c, data in zip(pdf["height"], pdf["width"], pdf["nChannels"], pdf["data"]):
-                pixels = np.frombuffer(data, np.uint8).reshape(h, w, c)[..., ::-1] if c >= 3 else np.frombuffer(data, np.uint8).reshape(h, w)
-                value = phash(shrink(pixels))
-                out.append(value - (1 << 64) if value >> 63 else value)
-            yield pd.DataFrame({key: pdf[key], "phash": out})
-
-    return images.select(key, "height", "width", "nChannels", "data").mapInPandas(run, f"{key} string, phash long")

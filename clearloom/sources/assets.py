@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clearloom import config
 from clearloom.functions import fingerprint as fp
+from clearloom.functions import image
 from clearloom.functions import text as tx
 
 HEADER = 4096
@@ -87,10 +88,12 @@ def media_index(spark: SparkSession, path: str, glob: str = "*.{mp3,wav,ogg}", l
 
 
 def image_index(spark: SparkSession, path: str) -> DataFrame:
-    """item_id, title, phash of images below path."""
+    """item_id, title, phash of images below path, turned upright as their files say."""
     rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(path).select("image.*").withColumnRenamed("origin", "item_id")
     stem = F.regexp_replace(F.element_at(F.split("item_id", "/"), -1), r"\.[^.]+$", "")
-    return fp.image_phash(rows, "item_id").withColumn("title", F.concat(F.lit("© Visual Work: "), stem))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(path_key(F.col("path")).alias("__path"), "content")
+    rows = rows.withColumn("__path", path_key(F.col("item_id"))).join(files, "__path", "left").drop("__path")
+    return image.image_phash(rows, "item_id").withColumn("title", F.concat(F.lit("© Visual Work: "), stem))
 
 
 def path_key(path: Column) -> Column:

@@ -61,9 +61,9 @@ class KnownLeaders(StatefulProcessor):
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """A row for each key that an asset is known by: track and content hash, and for text and code the bands of a SimHash that isn't 0."""
+    """A row for each key that an asset is known by: track and content hash, and for text, code and images the bands of a SimHash or perceptual hash that isn't 0."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.concat_ws(":", "track", i.cast("string"), F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("simhash"), (F.lit(48) - 16 * i).cast("int")), F.lit(48)).cast("string")))
-    near = F.when(F.col("track").isin("TEXT", "CODE") & (F.col("simhash") != 0), bands).otherwise(F.array().cast("array<string>"))
+    near = F.when(F.col("track").isin("TEXT", "CODE", "IMAGE") & (F.col("simhash") != 0), bands).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("key", F.explode(F.concat(F.array(F.concat(F.lit("="), "track", F.lit(":"), "asset_hash")), near)))
 
 
@@ -75,7 +75,7 @@ def _leading(rows: DataFrame) -> DataFrame:
 def dedup_gate(assets: DataFrame, folder: str, most: int = DEFAULT.simhash_distance, once: bool = True):
     """Starts a stream that decides which assets of LEADER's columns (status: what evaluation says of the asset itself) repeat an earlier one.
 
-    An asset repeats the first recorded one of its track with its content hash, or else (text, code) with a SimHash at most `most` bits away; it then takes that one's status and source, and isn't recorded. Others are recorded if they passed or were blocked and are text, image or code: reviews, errors, audio and video never enter the state. Order is by seq, which differs from row to row; images repeat by content only.
+    An asset repeats the first recorded one of its track with its content hash, or else (text, code, images) with a SimHash or perceptual hash at most `most` bits away; it then takes that one's status and source, and isn't recorded. Others are recorded if they passed or were blocked and are text, image or code: reviews, errors, audio and video never enter the state. Order is by seq, which differs from row to row; simhash holds the perceptual hash of an image.
 
     folder/decisions gets asset_id, seq, leader (itself, if new), is_duplicate, status, matched_source; folder/leaders what was recorded. Recorded leaders come back as input: state is kept by key, and a new leader has several. What this run recorded (for its first batch: all that was recorded, as a batch that failed runs again with the input it had) is looked up in folder/leaders, since it may not have come back yet. A batch that runs again overwrites its own parts. Rows of one batch that repeat each other are settled in it, in order of seq.
     """
@@ -111,7 +111,7 @@ def dedup_gate(assets: DataFrame, folder: str, most: int = DEFAULT.simhash_dista
         fresh = rows.filter(F.col("e").isNull()).drop("e")
         # Among new ones: leaders are those that can be recorded, in order of seq.
         can = fresh.filter(F.col("status").isin("PASSED", "BLOCKED") & F.col("track").isin("TEXT", "IMAGE", "CODE"))
-        chosen = dedup.elect_leaders(can.select("seq", "asset_hash", "track", F.when(F.col("track").isin("TEXT", "CODE"), F.col("simhash")).otherwise(0).alias("s")), "seq", "asset_hash", "s", most, ("track",)).filter(F.col("seq") == F.col("leader")).select("seq")
+        chosen = dedup.elect_leaders(can.select("seq", "asset_hash", "track", F.col("simhash").alias("s")), "seq", "asset_hash", "s", most, ("track",)).filter(F.col("seq") == F.col("leader")).select("seq")
         new = can.join(chosen, "seq", "left_semi").persist()
         again = _keys(fresh).join(_leading(new), "key").filter((F.col("l.leader_seq") < F.col("seq")) & fits("l_simhash"))
         again = again.groupBy("asset_id", "seq").agg(F.min(F.struct((~F.col("key").startswith("=")).alias("late"), "l")).alias("n"))

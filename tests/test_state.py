@@ -34,7 +34,7 @@ def gate(rows, most=3):
     leaders, out = [], {}
     for a in sorted(rows, key=lambda a: a[1]):
         same = [k for k in leaders if k[2] == a[2] and k[3] == a[3]]
-        near = [k for k in leaders if k[2] == a[2] in ("TEXT", "CODE") and a[4] and k[4] and bin((k[4] ^ a[4]) % (1 << 64)).count("1") <= most]
+        near = [k for k in leaders if k[2] == a[2] in ("TEXT", "CODE", "IMAGE") and a[4] and k[4] and bin((k[4] ^ a[4]) % (1 << 64)).count("1") <= most]
         if hit := (same or near):
             out[a[0]] = (hit[0][0], True, hit[0][5], hit[0][6])
             continue
