@@ -89,3 +89,23 @@ def calibration(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     rate = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     one = scored.agg(F.array(*(F.struct(F.lit(t).alias("threshold"), rate(hit(t, 1), dirty).alias("catch_rate"), rate(hit(t, 0), clean).alias("false_positive_rate")) for t in thresholds)).alias("x"))
     return one.select(F.inline("x"))
+
+
+#: MIME types by the pipeline that takes them.
+TEXT_TYPES, IMAGE_TYPES = ("text/plain", "application/pdf"), ("image/png", "image/jpeg", "image/webp")
+
+
+def dispatch(assets: DataFrame, works: DataFrame, images: DataFrame, cfg=DEFAULT) -> DataFrame:
+    """asset_id, track, matched, score, verdict by MIME type. assets: asset_id, mime_type, text (decoded bytes), phash; works: item_id, text; images: item_id, phash.
+
+    Texts go through recall and chunks, images through perceptual hashes; other types pass as texts with score 0, as nothing looks at them. An image without hash scores 0.
+    """
+    from . import simjoin, tracks
+
+    text, image = F.col("mime_type").isin(*TEXT_TYPES), F.col("mime_type").isin(*IMAGE_TYPES)
+    a = simjoin.two_stage(assets.filter(text).select(F.col("asset_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), works, cfg).select(F.col("doc_id").alias("asset_id"), F.col("matched").cast("string").alias("matched"), "score")
+    near = tracks.image_match(assets.filter(image & F.col("phash").isNotNull()).select("asset_id", F.col("phash").alias("a_hash")), images.select("item_id", F.col("phash").alias("i_hash")), cfg)
+    found = a.unionByName(near.select("asset_id", F.col("matched").cast("string").alias("matched"), "score"))
+    rows = assets.select("asset_id", "mime_type").join(found, "asset_id", "left").withColumn("score", clamp(F.coalesce("score", F.lit(0.0))))
+    threshold = F.when(image, cfg.image_threshold).otherwise(cfg.text_threshold)
+    return rows.select("asset_id", F.when(image, "IMAGE").otherwise("TEXT").alias("track"), "matched", "score", F.when(text | image, verdict(F.col("score"), threshold)).otherwise("PASSED").alias("verdict"))

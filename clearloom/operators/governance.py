@@ -91,6 +91,15 @@ def card_stats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status", lic.alias("license")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("status", "license", "n", (100.0 * F.col("n") / F.col("total")).alias("pct"))  # one row
 
 
+def card_summary(rows: DataFrame, first: int = 5) -> DataFrame:
+    """total, passed, passed_pct, certificates (how many were issued), first_certificates (of the smallest asset_ids) of rows asset_id, status, certificate_id: one row."""
+    issued = rows.filter(F.col("certificate_id").isNotNull())
+    some = issued.orderBy("asset_id", "certificate_id").limit(first).agg(F.array_sort(F.collect_list(F.struct("asset_id", "certificate_id"))).alias("c"))  # `first` rows
+    whole = rows.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "PASSED").alias("passed"), F.count("certificate_id").alias("certificates"))
+    pct = 100.0 * F.col("passed") / F.greatest("total", F.lit(1))
+    return whole.join(F.broadcast(some)).select("total", "passed", pct.alias("passed_pct"), "certificates", F.array_join("c.certificate_id", ", ").alias("first_certificates"))
+
+
 def card_markdown(name: str, run_id: str, stats: list, certificates: list[str]) -> str:
     """A dataset card from card_stats rows (collected: one row for each status and license) and the first certificates."""
     total = sum(r.n for r in stats)

@@ -737,3 +737,65 @@ def _signs(spark: SparkSession, d: str) -> DataFrame:
 def _near_hashes(v: DataFrame, index: DataFrame) -> DataFrame:
     index = index.select(F.col("vec_id").alias("item_id"), F.col("h").alias("i_hash"))
     return simjoin.hamming_join(v.select(F.col("vec_id").alias("asset_id"), F.col("h").alias("a_hash")), index, "asset_id", "item_id", "a_hash", "i_hash", config.DEFAULT.phash_distance - 1).withColumn("dist", F.col("dist").cast("int"))
+
+
+# ---- intake, dispatch by MIME type, cards
+_MIMES = ["text/plain", "application/pdf", "image/png", "video/mp4", "text/plain"]
+_MIME = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MIMES)) + " END"
+
+
+def _image_hash(number: Column) -> Column:
+    return F.conv(F.substring(F.md5(number.cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+@query(f"""WITH t AS (SELECT * FROM ({ORACLES["two_stage_verdict"]})), a AS (SELECT doc_id, {_MIME} AS mime, ('0x' || md5((doc_id % 100)::VARCHAR)[1:15])::BIGINT AS h FROM documents),
+i AS (SELECT item_id, ('0x' || md5(item_id::VARCHAR)[1:15])::BIGINT AS h FROM benchmark),
+n AS (SELECT doc_id, item_id, 1 - dist / 64.0::DOUBLE AS s FROM (SELECT doc_id, item_id, dist, row_number() OVER (PARTITION BY doc_id ORDER BY dist, item_id) AS r FROM (SELECT doc_id, item_id, bit_count(xor(a.h, i.h)) AS dist FROM a JOIN i ON a.mime = 'image/png' AND bit_count(xor(a.h, i.h)) < 8)) WHERE r = 1)
+SELECT a.doc_id AS asset_id, CASE WHEN mime = 'image/png' THEN 'IMAGE' ELSE 'TEXT' END AS track, CASE WHEN mime IN ('text/plain', 'application/pdf') THEN t.matched::VARCHAR WHEN round(n.s, 4) >= 0.9::DOUBLE THEN n.item_id::VARCHAR END AS matched,
+CASE WHEN mime IN ('text/plain', 'application/pdf') THEN t.score WHEN mime = 'image/png' THEN coalesce(round(n.s, 4), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS score,
+CASE WHEN mime IN ('text/plain', 'application/pdf') THEN t.verdict WHEN mime = 'image/png' AND round(n.s, 4) >= 0.9::DOUBLE THEN 'BLOCKED' WHEN mime = 'image/png' AND round(n.s, 4) >= 0.7::DOUBLE THEN 'REVIEW' ELSE 'PASSED' END AS verdict
+FROM a JOIN t USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def mime_dispatch(spark, d):
+    """Every document by a MIME type: as text, as image (by a hash made from its id) or as neither."""
+    rows = table(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("asset_id"), pick("doc_id", 5, _MIMES).alias("mime_type"), "text", _image_hash(F.col("doc_id") % 100).alias("phash"))
+    works = table(spark, d, "benchmark")
+    return decision.dispatch(rows, works, works.select("item_id", _image_hash(F.col("item_id")).alias("phash"))).withColumn("score", F.round("score", 6))
+
+
+_REASON = "CASE WHEN doc_id % 17 = 0 THEN 'batch_id' WHEN doc_id % 11 = 0 THEN 'mime_type' WHEN doc_id % 19 = 0 THEN 'score' WHEN doc_id % 13 = 0 THEN 'asset_hash' END"
+
+
+@query(f"SELECT batch_id, CASE WHEN n > 26 THEN 'batch_size' ELSE r END AS reason, count(*) AS assets FROM (SELECT *, count(*) OVER (PARTITION BY batch_id) AS n FROM (SELECT CASE WHEN doc_id % 17 = 0 THEN 'b' ELSE 'batch-' || doc_id // 25 + doc_id // 500 % 2 END AS batch_id, {_REASON} AS r FROM documents)) GROUP BY 1, 2")
+def batch_quarantine(spark, d):
+    """Documents in batches of up to 26: how many rows of each are accepted (no reason), and why others are not."""
+    i = F.col("doc_id")
+    name = F.when(i % 17 == 0, "b").otherwise(F.concat(F.lit("batch-"), (F.floor(i / 25) + F.floor(i / 500) % 2).cast("long").cast("string")))
+    rows = table(spark, d, "documents").select(i.cast("string").alias("asset_id"), name.alias("batch_id"), F.when(i % 11 == 0, "text/html").otherwise("text/plain").alias("mime_type"), F.when(i % 19 == 0, 1.5).otherwise(0.5).alias("score"), F.when(i % 13 == 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(fp.sha256_prefixed(F.coalesce("text", F.lit("")).cast("binary"))).alias("asset_hash"))
+    accepted, bad = assets.batches(rows, (1, 26))
+    return accepted.withColumn("reason", F.lit(None).cast("string")).unionByName(bad).groupBy("batch_id", "reason").agg(F.count("*").alias("assets"))
+
+
+def _fetched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "pages").select("url", F.col("html").cast("binary").alias("content"), F.concat(F.lit('"'), "page_id", F.lit('"')).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.col("page_id").alias("fetched_at"), (F.col("page_id") % 4).alias("source_id"), web.license_hint(F.col("html"), F.lit(None).cast("string")).alias("license_hint"), web.page_reserves(F.col("html")).alias("tdm_opted_out"))
+    return p, spark.range(3).select(F.col("id").alias("source_id"), pick("id", 3, ["licensed-partner", "public-web-unknown", "high-risk-domain"]).alias("trust_tier"))
+
+
+@query(f"SELECT sha256(html)[1:12] || '_' || CASE WHEN regexp_extract(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '([^/]+)/?$', 1) = '' THEN 'asset' ELSE regexp_extract(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '([^/]+)/?$', 1) END AS asset_id, octet_length(encode(html)) AS size_bytes, 'sha256:' || sha256(html) AS asset_hash, url AS source_url, {_DOMAIN} AS domain, CASE page_id % 4 WHEN 0 THEN 'licensed-partner' WHEN 1 THEN 'public-web-unknown' WHEN 2 THEN 'high-risk-domain' END AS source_trust_tier, '\"' || page_id || '\"' AS etag, page_id AS crawl_timestamp FROM pages")
+def staged_fetches(spark, d):
+    """Assets made of all fetched pages, with what is known of their origin."""
+    return assets.staged(*_fetched(spark, d))[0].select("asset_id", "size_bytes", "asset_hash", "source_url", "domain", "source_trust_tier", "etag", "crawl_timestamp")
+
+
+@query("SELECT url, arg_max('\"' || page_id || '\"', page_id) AS etag, 'sha256:' || arg_max(sha256(html), page_id) AS sha256_hash, max(page_id) AS fetched_at FROM pages GROUP BY 1")
+def fetch_cache(spark, d):
+    """What the next conditional fetch of each URL asks with."""
+    return assets.staged(*_fetched(spark, d))[1].select("url", "etag", "sha256_hash", "fetched_at")
+
+
+@query(f"""WITH {_ROUTED}, issued AS (SELECT doc_id, status, CASE WHEN status = 'PASSED' THEN sha256(doc_id || '|' || sha256(text))[1:16] END AS cert FROM routed JOIN documents USING (doc_id))
+SELECT count(*) AS total, count_if(status = 'PASSED') AS passed, round(100.0::DOUBLE * count_if(status = 'PASSED') / count(*), 6) AS passed_pct, count(cert) AS certificates, (SELECT string_agg(cert, ', ' ORDER BY doc_id) FROM (SELECT doc_id, cert FROM issued WHERE cert IS NOT NULL ORDER BY doc_id LIMIT 5)) AS first_certificates FROM issued""")
+def dataset_card(spark, d):
+    """What heads a dataset card: how much passed, how many certificates, and the first five."""
+    h = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    rows = routed(spark, d).join(h, "doc_id").select(F.col("doc_id").alias("asset_id"), "status", F.when(F.col("status") == "PASSED", F.substring(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("|"), "h"), 256), 1, 16)).alias("certificate_id"))
+    return governance.card_summary(rows).withColumn("passed_pct", F.round("passed_pct", 6))

@@ -138,7 +138,46 @@ def intake(requests: DataFrame, contents: DataFrame) -> DataFrame:
     return requests.join(c, "source_uri", "left").withColumn("content", F.coalesce("content", F.encode("source_uri", "UTF-8")))
 
 
+#: Assets that a batch may have.
+BATCH = (1, 10_000)
+
+
+def invalid(cfg=config.DEFAULT) -> Column:
+    """The first field that isn't as the schema asks (asset_id, batch_id, mime_type, score, asset_hash); null if all are."""
+    rules = {
+        "asset_id": F.length("asset_id").between(1, 256), "batch_id": F.length("batch_id").between(3, 128), "mime_type": F.col("mime_type").isin(*cfg.mime_types),
+        "score": F.col("score").between(0, 1), "asset_hash": F.col("asset_hash").rlike(r"\Asha256:[0-9a-f]{64}\z"),
+    }
+    out = F.lit(None).cast("string")
+    for name, ok in reversed(rules.items()):
+        out = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(out)
+    return out
+
+
 def validated(rows: DataFrame) -> DataFrame:
     """rows with `valid`: id and batch lengths, MIME type, score and hash as the schema asks."""
-    ok = F.length("asset_id").between(1, 256) & F.length("batch_id").between(3, 128) & F.col("mime_type").isin(*config.DEFAULT.mime_types) & F.col("score").between(0, 1) & F.col("asset_hash").rlike("^sha256:[0-9a-f]{64}$")
-    return rows.withColumn("valid", F.coalesce(ok, F.lit(False)))
+    return rows.withColumn("valid", invalid().isNull())
+
+
+def batches(rows: DataFrame, bounds: tuple[int, int] = BATCH) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined) rows of batches (batch_id, asset_id, mime_type, score, asset_hash). quarantined has `reason`: the first field that is wrong, or batch_size for all rows of a batch with too many. A batch is counted by a partial aggregate, so a large one is no hot group."""
+    size = rows.groupBy("batch_id").agg(F.count("*").alias("__size"))
+    right = size.withColumnRenamed("batch_id", "__batch")
+    judged = rows.join(right, F.col("batch_id").eqNullSafe(F.col("__batch")), "left").withColumn("reason", F.when(~F.col("__size").between(*bounds), "batch_size").otherwise(invalid())).drop("__size", "__batch")
+    return judged.filter(F.col("reason").isNull()).drop("reason"), judged.filter(F.col("reason").isNotNull())
+
+
+def staged(fetched: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assets, cache) of fetched content: url, content, etag, last_modified, fetched_at, source_id, license_hint, tdm_opted_out; sources: source_id, trust_tier.
+
+    assets: named by hash and URL, sniffed, with what lineage and routing need to know of their origin. cache: what the next conditional fetch asks with, for commits.upsert(); of several fetches of a URL the last.
+    """
+    digest = F.sha2(F.col("content"), 256)
+    kind = sniff(F.col("content"), F.col("url"))
+    rows = fetched.join(sources.select("source_id", "trust_tier"), "source_id", "left").withColumns({"__digest": digest, "__kind": kind})
+    assets = rows.select(
+        staged_name(F.col("url"), F.col("__digest")).alias("asset_id"), F.col("__kind.track").alias("track"), F.col("__kind.mime").alias("mime_type"), F.length("content").cast("long").alias("size_bytes"), F.concat(F.lit("sha256:"), "__digest").alias("asset_hash"),
+        F.col("url").alias("source_url"), tx.source_domain(F.col("url")).alias("domain"), "source_id", F.col("trust_tier").alias("source_trust_tier"), "license_hint", "tdm_opted_out", F.col("fetched_at").alias("crawl_timestamp"), "etag", "last_modified", "content",
+    )
+    last = F.max_by(F.struct("etag", "last_modified", F.concat(F.lit("sha256:"), "__digest").alias("sha256_hash"), "fetched_at"), F.struct("fetched_at", "__digest"))
+    return assets, rows.groupBy("url").agg(last.alias("l")).select("url", "l.*")
