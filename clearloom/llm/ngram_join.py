@@ -129,15 +129,21 @@ def classed(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame
     return rows.select("doc_id", "t", "n", "s1", "s2"), stage(classes, "ngram-classes"), top
 
 
-def sets_for(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """t, s: the whole sets of the texts with these hashes (column t)."""
+def sets_for(docs: DataFrame, nodes: DataFrame, n: int, keys=None) -> DataFrame:
+    """t, s: the whole sets of the texts with these hashes (column t). With keys, a function of a set: t, key for each of what it gives; both in one pass, as each Python pass in a task is a worker of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, sets in sets_of(batch.column(1), n):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sets)), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["t", "s"])
+                t = batch.column(0).slice(i, len(sets))
+                if keys is None:
+                    yield pa.RecordBatch.from_arrays([t, pa.array([signed(s) for s in sets], pa.list_(pa.int64()))], names=["t", "s"])
+                else:
+                    found = [keys(s) for s in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(t.to_numpy(), [len(k) for k in found])), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *found])))], names=["t", "key"])
 
-    return docs.join(few(nodes), "t", "left_semi").dropDuplicates(["t"]).select("t", "text").mapInArrow(lean(run), "t long, s array<long>")
+    rows = docs.join(few(nodes), "t", "left_semi").dropDuplicates(["t"]).select("t", "text")
+    return rows.mapInArrow(lean(run), "t long, s array<long>" if keys is None else "t long, key long")
 
 
 def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
@@ -154,15 +160,12 @@ def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent:
     wide = lists.filter(F.col("n") > LONG).select(F.col("node").alias("t"), "n", "copies")
     if not wide.isEmpty():
 
-        def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for t, s in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    s = np.concatenate(in_order(np.asarray(s.values).view(np.uint64), top.value))[: 3 * most_apart(len(s), percent) + 2]
-                    with np.errstate(over="ignore"):
-                        keys = mix(mix(s[:-1]) * np.uint64(3) + s[1:])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.full(len(keys), t))], names=["key", "t"])
+        def neighbours(s: np.ndarray) -> np.ndarray:
+            s = np.concatenate(in_order(s, top.value))[: 3 * most_apart(len(s), percent) + 2]
+            with np.errstate(over="ignore"):
+                return mix(mix(s[:-1]) * np.uint64(3) + s[1:])
 
-        keys = sets_for(docs, wide.select("t"), n).mapInArrow(lean(neighbours), "key long, t long")
+        keys = sets_for(docs, wide.select("t"), n, neighbours)
         out = out.unionByName(keys.join(wide, "t").select("key", F.col("t").alias("node"), "n", "copies"))
     return stage(out.distinct(), "ngram-index")
 
@@ -310,8 +313,10 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """docs with one document of each component: the one with the smallest doc_id (null last), of rows with that id the one with the smallest text hash, of equal rows any one. Documents without words stay."""
+    """docs with one document of each component: the one with the smallest doc_id (null last), of rows with that id the one with the smallest text hash, of equal rows any one. Documents without words stay. Other columns pass through, whatever their names."""
     names = docs.columns
+    aside = {c: f"__kept_{i}" for i, c in enumerate(names) if c not in ("doc_id", "text")}
+    docs = docs.withColumnsRenamed(aside)
     found = stage(linked(docs.select("doc_id", "text"), n, percent).select("doc_id", "t", "label"), "ngram-found")
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("t"))
     first = found.filter(F.col("label").isNotNull()).groupBy("label").agg(F.min_by("doc_id", order).alias("first_id"), F.min_by("t", order).alias("first_t"))
@@ -322,7 +327,7 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     if not found.filter(F.col("label").isNotNull()).groupBy("doc_id", "t").count().filter(F.col("count") > 1).isEmpty():
         single = rows.filter(F.col("text").isNotNull()).dropDuplicates(["doc_id", "gone_by"])
         rows = single.unionByName(rows.filter(F.col("text").isNull()))
-    return rows.select(*names)
+    return rows.select(*(F.col(aside.get(c, c)).alias(c) for c in names))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

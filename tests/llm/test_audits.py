@@ -268,3 +268,38 @@ def test_counts_of_ids_beyond_63_bits():
     for weights, expected in ((None, want), (n, sums)):
         p, s, c = language_model.counted(parent, suffix, weights)
         assert list(zip(p.tolist(), s.tolist())) == sorted(want) and dict(zip(zip(p.tolist(), s.tolist()), c.tolist())) == dict(expected)
+
+
+def test_pipeline_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "rho", "tau", "phi", "chi", "psi", "mu"]) + str(r.randrange(50)) for _ in range(n))
+    base = words(80)
+    rows = [(1, base), (2, base), (3, words(70)), (None, words(60)), (None, words(61)), (3, words(50)), (4, base + " " + words(2))]
+    names = ["gone_id", "gone_by", "gone_t", "t", "label", "n_bytes", "n_removed", "n_spans", "removed", "kept", "__t", "__text", "__size", "__spans", "__words", "h", "node", "n", "s1", "lang_pred", "score", "margin", "first_id", "first_t", "n_chars"]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string").withColumns({c: F.concat(F.lit(c), F.substring("text", 1, 9)) for c in names if c != "n_chars"}).withColumn("n_chars", F.lit(5).cast("long"))
+    for step, f in corpus_pipeline.STAGES[:-1]:
+        docs_after = f(spark, docs, "")
+        assert docs_after.columns == docs.columns and dict(docs_after.dtypes) == dict(docs.dtypes), step
+        got = docs_after.collect()
+        assert all(x[c] == c + x["gone_id"][7:] for x in got for c in names if c != "n_chars")
+        docs = docs_after
+    assert sorted((x.doc_id or 0) for x in got) == [0, 0, 1, 3, 3] and all(x.n_chars == len(x.text) for x in got)
+
+
+@pytest.mark.parametrize("kind", ["empty", "odd"])
+def test_whole_pipeline(spark, tmp_path, kind):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    one, passage = words(90), words(60)
+    rows = [] if kind == "empty" else [(1, one), (1, one), (None, one), (2, None), (None, None), (3, ""), (4, words(30) + " " + passage), (5, passage + " " + words(30)), (6, words(40)), (6, words(41)), (None, words(42))]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if kind == "empty":
+        assert got == []
+    else:
+        ids = [x.doc_id for x in got if x.piece == 0]
+        assert sorted(x or 0 for x in ids) == [0, 1, 4, 5, 6, 6] and all(x.length <= 1024 for x in got)
