@@ -1,6 +1,8 @@
 """Document fingerprints as invertible Bloom lookup sketches. DataFrame operations only.
 
-A document is a set of paragraph digests (lines, and sentences within lines). Each digest goes into one cell of each of three sub-tables; a cell holds a signed count, the xor of its digests and the xor of their checksums. Sketches of two versions subtract cell by cell; peeling then recovers the digests that only one of them holds: a cell with count +1 or -1 and a fitting checksum holds one digest, which leaves its other cells too. Sub-tables take turns, so no digest is recovered twice. What doesn't empty is tried again with twice the cells and other hash functions, up to RETRIES times, and then compared digest by digest.
+A document is a set of paragraph digests (lines, and sentences within lines). Each digest goes into one cell of each of three sub-tables; a cell holds a signed count, the xor of its digests and the xor of their checksums. Sketches of two versions subtract cell by cell; peeling then recovers the digests that only one of them holds: a cell with count +1 or -1 and a fitting checksum holds one digest, which leaves its other cells too. Sub-tables take turns, so no digest is recovered twice. What doesn't empty is tried again with twice the cells and other hash functions, until it does.
+
+fingerprints() gives each sketch as a short digest. sketches() gives the sketch itself, cells of a size that the caller fixes: two stored ones subtract (subtracted()), and what differs is recovered from them alone.
 
 Nulls: a null text is an empty one, whose set is empty; two empty sets are alike (1.0). A null doc_id sorts first (the least long counts as null). A very long text is one row, whose cells are counted within its task. Repeated paragraphs count once. Repeated doc_ids are separate rows. An empty table gives an empty result. Other columns of the input are not read.
 """
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 from .common import few, stage, table
 
 PARAGRAPH = r"[\n\r]+|(?<=[.!?])\s+"
+#: Steps of peeling, by turns in each sub-table; each is an aggregate of the same tasks, which hold memory together. What needs more is tried again with more cells.
 ROUNDS = 9
-RETRIES = 2
+#: Attempts after which it is an error that a sketch doesn't empty; each has twice the cells of the one before.
+ATTEMPTS = 16
 KNOTS = 16
 #: Stands for a null key, so that the rows that move have the same columns for all that is made of them, and move once.
 NO_KEY = -(1 << 63)
@@ -124,7 +128,7 @@ def pairs(rows: DataFrame, left: str, rights: list[str], by: list[str], seed: in
     sides = rows.select(*by, F.inline(F.array(*options)))
     signs = F.concat(F.transform("a", lambda d: F.struct(d.alias("key"), F.lit(1).cast("long").alias("sign"))), F.transform("b", lambda d: F.struct(d.alias("key"), F.lit(-1).cast("long").alias("sign"))))
     flat = sides.select(*by, "pair", "size", F.inline(signs))
-    return peel(cells(flat, [*by, "pair"], seed), [*by, "pair"], seed, ROUNDS * scale)
+    return peel(cells(flat, [*by, "pair"], seed), [*by, "pair"], seed)
 
 
 def fingerprint_text(rows: DataFrame, cols: dict[str, str], by: list[str]) -> DataFrame:
@@ -137,6 +141,23 @@ def fingerprint_text(rows: DataFrame, cols: dict[str, str], by: list[str]) -> Da
     return sums.groupBy(*by).agg(*(F.max(F.when(F.col("of") == i, form)).alias(name) for i, name in enumerate(cols)))
 
 
+def sketches(docs: DataFrame, size: int, key: str = "doc_id", text: str = "text", seed: int = 1) -> DataFrame:
+    """key, size, cells (place, n, key, chk) of each document's sketch with `size` cells in a sub-table: what may be stored. Keys are distinct."""
+    rows = docs.select(key, F.lit(size).alias("size"), F.explode_outer(digests(F.coalesce(F.col(text), F.lit("")))).alias("key"), F.lit(1).cast("long").alias("sign"))
+    full = cells(rows.filter(F.col("key").isNotNull()), [key], seed).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("cell", "n", "key", "chk"))).alias("cells"))
+    none = F.array().cast(full.schema["cells"].dataType)
+    return docs.select(key).join(full, key, "left").select(key, F.lit(size).alias("size"), F.coalesce("cells", none).alias("cells"))
+
+
+def subtracted(a: DataFrame, b: DataFrame, key: str = "doc_id", seed: int = 1) -> DataFrame:
+    """key, only_a, only_b (numbers of recovered digests that one side alone holds), left (cells that didn't empty: sketch again, larger) of keys that both tables of stored sketches have in one size."""
+    both = a.select(key, "size", F.col("cells").alias("x")).join(b.select(key, "size", F.col("cells").alias("y")), [key, "size"])
+    minus = F.transform("y", lambda c: F.struct(c.cell.alias("cell"), (-c.n).alias("n"), c.key.alias("key"), c.chk.alias("chk")))
+    marker = F.array(F.struct(F.lit(-3).alias("cell"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk")))  # so that equal sketches have a row
+    flat = both.select(key, "size", F.inline(F.concat("x", minus, marker)))
+    return peel(summed(flat, [key]), [key], seed)
+
+
 EMPTY = "iblt-32-" + "0" * 32
 
 
@@ -155,9 +176,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return rows.withColumn("dig_edited", digests(F.col("edited")))
 
     def recovered(wide: DataFrame, attempt: int) -> DataFrame:
-        if attempt > RETRIES:  # digest by digest
-            gap = lambda x, y: F.size(F.array_except(x, y)).cast("long")
-            return wide.select(*by, *(c for p, col in pairs_of.items() for c in (gap("dig", col).alias(f"only_a_{p}"), gap(col, "dig").alias(f"only_b_{p}"), F.lit(0).cast("long").alias(f"left_{p}"))))
         d = pairs(wide, "dig", list(pairs_of.values()), by, 1 + attempt, 1 << attempt)
         of = lambda i, c: F.max(F.when(F.col("pair") == i, F.col(c)))
         return d.groupBy(*by).agg(*(of(i, c).alias(f"{c}_{p}") for i, p in enumerate(pairs_of) for c in ("only_a", "only_b", "left")))
@@ -167,10 +185,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     wide = base.select(*by, "dig", "dig_edited", "next_dig")
     prints = fingerprint_text(wide, {"fingerprint": "dig", "edited_fingerprint": "dig_edited"}, by)
     facts = stage(attrs.join(prints, by, "left").join(recovered(wide, 0), by, "left").na.fill(0, found).drop(*by), "fingerprints")
-    for attempt in range(1, RETRIES + 2):
+    for attempt in range(1, ATTEMPTS + 1):
         failed = facts.filter((F.col("left_edited") > 0) | (F.col("left_next") > 0))
         if failed.isEmpty():
             break
+        if attempt == ATTEMPTS:
+            raise RuntimeError("sketches that don't empty")
         # The failed documents and their next ones, by themselves: neighbours stay neighbours.
         again_k = few(failed.select(F.explode(F.array("k", "next_k")).alias("k")).distinct())
         again = versions(docs.withColumn("k", F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))).join(again_k, "k", "left_semi").select(key, text))

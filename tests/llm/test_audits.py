@@ -303,3 +303,45 @@ def test_whole_pipeline(spark, tmp_path, kind):
     else:
         ids = [x.doc_id for x in got if x.piece == 0]
         assert sorted(x or 0 for x in ids) == [0, 1, 4, 5, 6, 6] and all(x.length <= 1024 for x in got)
+
+
+def paragraphs(text):
+    return {p for p in re.split(r"[\n\r]+|(?<=[.!?])\s+", text or "") if p}
+
+
+def versions(seed=9):
+    r = random.Random(seed)
+    line = lambda: " ".join(r.choice("abcdefgh") * r.randrange(1, 5) for _ in range(5))
+    old = {i: [line() for _ in range(r.choice([1, 5, 40, 300]))] for i in range(30)} | {90: None, 91: [], 92: ["same"]}
+    new = {i: x and ([y for y in x if r.random() > 0.1] + [line() for _ in range(len(x) // 10)]) for i, x in old.items()} | {90: None, 91: ["new"], 92: ["same"]}
+    text = lambda x: None if x is None else "\n".join(x)
+    return {i: text(x) for i, x in old.items()}, {i: text(x) for i, x in new.items()}
+
+
+def test_stored_sketches_subtract(spark, tmp_path):
+    from clearloom.llm import fingerprints
+
+    old, new = versions()
+    for name, rows in (("old", old), ("new", new)):
+        fingerprints.sketches(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), 128).write.parquet(f"{tmp_path}/{name}")
+    got = {r.doc_id: r for r in fingerprints.subtracted(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("old", "new"))).collect()}
+    assert got.keys() == old.keys()
+    for i, r in got.items():
+        a, b = paragraphs(old[i]), paragraphs(new[i])
+        assert (r.only_a, r.only_b, r.left) == (len(a - b), len(b - a), 0)
+    small = fingerprints.sketches(spark.createDataFrame([(1, "\n".join(map(str, range(400))))], "doc_id long, text string"), 8)
+    none = fingerprints.sketches(spark.createDataFrame([(1, "")], "doc_id long, text string"), 8)
+    assert fingerprints.subtracted(small, none).first().left > 0
+
+
+def test_sketches_are_tried_again_until_they_empty(spark, monkeypatch):
+    from clearloom.llm import fingerprints
+
+    old, _ = versions(3)
+    docs = spark.createDataFrame([(i, t) for i, t in old.items() if i < 12 or i > 88], "doc_id long, text string")
+    want = sorted(tuple(r) for r in fingerprints.fingerprints(docs).select("doc_id", "near_edited", "near_next", "n_diff_next").collect())
+    tries, pairs = [], fingerprints.pairs
+    monkeypatch.setattr(fingerprints, "third", lambda n, scale=1: (n / 8 + 2 * scale).cast("int") + scale)
+    monkeypatch.setattr(fingerprints, "pairs", lambda *a: tries.append(a[-1]) or pairs(*a))
+    got = sorted(tuple(r) for r in fingerprints.fingerprints(docs).select("doc_id", "near_edited", "near_next", "n_diff_next").collect())
+    assert got == want and len(tries) > 2 and tries == [1 << i for i in range(len(tries))]
