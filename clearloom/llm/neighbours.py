@@ -4,7 +4,9 @@ The tree is fitted on three quarters of at most SAMPLE vectors (the first by a h
 
 Equal vectors form one class that is indexed and searched once. Of a class, only the smallest k + 1 ids can be among k nearest (ties go to smaller ids, one may be the query's own), so no more are carried; nothing else is left out. Neighbouring leaves travel as one group, up to BLOCK vectors, so a query moves once for each group and not for each leaf; of a group, it is compared only with the leaves that it visits. Groups and the queries that visit them are dealt in blocks, so no task grows with a hot leaf.
 
-Nulls: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, neither as query nor as candidate. Null ids take no part. Repeated ids are one row each (a query's own id is never its neighbour). An empty table gives an empty result. Other columns of the input are not read.
+Vectors of different lengths have no inner product: each length is indexed and searched by itself.
+
+Nulls: vectors that are null, zero, or hold null or non-finite components take no part, neither as query nor as candidate. Null ids take no part. Repeated ids are one row each (a query's own id is never its neighbour). An empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -109,8 +111,7 @@ def usable(vectors: DataFrame, key: str, col: str) -> DataFrame:
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     rows = rows.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
-    widths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("v") == (widths.d if widths else 0)).withColumn("h", F.xxhash64("v"))
+    return rows.withColumn("h", F.xxhash64("v"))
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -125,8 +126,15 @@ def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndar
 
 def nearest(vectors: DataFrame, key: str, col: str, k: int, is_query) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id fits is_query(column of ids)."""
-    spark = vectors.sparkSession
     rows = usable(vectors, key, col)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for w in rows.select(F.size("v").alias("d")).distinct().orderBy("d").collect():  # a table's vectors have one length, or a few
+        found = found.unionByName(nearest_of_one_length(rows.filter(F.size("v") == w.d), k, is_query))
+    return found
+
+
+def nearest_of_one_length(rows: DataFrame, k: int, is_query) -> DataFrame:
+    spark = rows.sparkSession
     same = Window.partitionBy("h", "v").orderBy("id")
     small = rows.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k + 1)
     classes = stage(small.groupBy("h", "v").agg(F.min("id").alias("cid"), F.array_sort(F.collect_list("id")).alias("ids")), "neighbours")

@@ -345,3 +345,20 @@ def test_sketches_are_tried_again_until_they_empty(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "pairs", lambda *a: tries.append(a[-1]) or pairs(*a))
     got = sorted(tuple(r) for r in fingerprints.fingerprints(docs).select("doc_id", "near_edited", "near_next", "n_diff_next").collect())
     assert got == want and len(tries) > 2 and tries == [1 << i for i in range(len(tries))]
+
+
+def test_vectors_of_several_lengths(spark):
+    """Each length by itself; all candidates where they are fewer than asked for."""
+    import numpy as np
+
+    from clearloom.llm import neighbours
+
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=3 if i % 3 else 5).tolist()) for i in range(100)] + [(200, [1.0])] + [(300 + i, [1.0, float(i)]) for i in range(6)] + [(1020, [2.0, 2.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 4, lambda c: c % 20 == 0).collect()
+    vectors, found = dict(rows), {}
+    for x in got:
+        assert len(vectors[x.vec_id]) == len(vectors[x.query_id]) and x.vec_id != x.query_id and abs(x.score - np.dot(vectors[x.vec_id], vectors[x.query_id])) < 1e-12
+        found.setdefault(x.query_id, {})[x.rank] = x.vec_id
+    assert found.keys() == {0, 20, 40, 60, 80, 300, 1020} and all(sorted(f) == [1, 2, 3, 4] for f in found.values())
+    assert found[1020] == {1: 305, 2: 304, 3: 303, 4: 302}
