@@ -150,7 +150,7 @@ def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent:
     """key, node, n, copies: the members of each bucket."""
     posts = classes.filter(F.size("prefix") > 0).select("node", "n", "copies", F.explode("prefix").alias("g"))
     df = posts.groupBy("g").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    posts = stage(posts.join(df, "g"), "ngram-posts")
+    posts = stage(posts.join(df.hint("shuffle_hash"), "g"), "ngram-posts")  # one row for each n-gram, far fewer than posts: hashed, so posts aren't sorted
     names = ["key", "node", "n", "copies"]
     rare = posts.filter(F.col("df") <= FREQUENT).select(F.col("g").alias("key"), *names[1:])
     lists = posts.filter(F.col("df") > FREQUENT).groupBy("node", "n", "copies").agg(F.array_sort(F.collect_list("g")).alias("gs")).filter(F.size("gs") >= COMBINE)  # a prefix at most
