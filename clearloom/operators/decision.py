@@ -91,6 +91,12 @@ def calibration(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     return one.select(F.inline("x"))
 
 
+def savings(rows: DataFrame, cfg=DEFAULT) -> DataFrame:
+    """assets, skipped, skipped_pct, hours_saved of rows with is_duplicate: one row."""
+    n = F.count_if("is_duplicate")
+    return rows.agg(F.count("*").alias("assets"), n.alias("skipped"), F.round(100.0 * n / F.greatest(F.count("*"), F.lit(1)), 6).alias("skipped_pct"), F.round(cfg.hours_per_skip * n, 6).alias("hours_saved"))
+
+
 #: MIME types by the pipeline that takes them.
 TEXT_TYPES, IMAGE_TYPES = ("text/plain", "application/pdf"), ("image/png", "image/jpeg", "image/webp")
 

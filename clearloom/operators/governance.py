@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from clearloom.config import DEFAULT
 from clearloom.functions import fingerprint as fp
 
+from .numbering import numbered
 from .simjoin import difflib_join, ngram_hits, set_jaccard
 
 
@@ -21,11 +22,9 @@ def index_version(takedowns: DataFrame) -> DataFrame:
 
 def submit_takedowns(takedowns: DataFrame, new: DataFrame) -> DataFrame:
     """New notices in order of notice_id, each with the next version."""
-    from pyspark.sql import Window
-
     top = takedowns.agg(F.coalesce(F.max("index_version"), F.lit(1)).alias("top"))
-    one = F.row_number().over(Window.orderBy("notice_id"))  # versions are given one by one, to the notices of one call
-    return takedowns.unionByName(new.crossJoin(F.broadcast(top)).withColumn("index_version", F.col("top") + one).drop("top"), allowMissingColumns=True)
+    one = numbered(new, "__number", "notice_id").join(F.broadcast(top))  # one row
+    return takedowns.unionByName(one.withColumn("index_version", F.col("top") + F.col("__number")).drop("top", "__number"), allowMissingColumns=True)
 
 
 def delta_candidates(cleared: DataFrame, takedowns: DataFrame, since: int, upto: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from clearloom import config
 from clearloom.functions import fingerprint as fp
 from clearloom.functions import text as tx
-from clearloom.operators import decision, dedup, evaluation, governance, ledger, provenance, simjoin, sinks, vector
+from clearloom.operators import decision, dedup, evaluation, governance, ledger, numbering, provenance, simjoin, sinks, vector
 from clearloom.sources import assets, web
 from clearloom.streaming import queue
 
@@ -610,8 +610,9 @@ def checkpoint_remaining(spark, d):
 def due_sources(spark, d):
     s = table(spark, d, "pages").groupBy(tx.source_domain(F.col("url")).alias("source_id")).agg(F.min("page_id").alias("m"))
     s = s.select("source_id", (F.col("m") % 5 != 0).alias("active"), F.when(F.col("m") % 3 != 0, F.col("m")).alias("last_crawled_at"))
-    w = Window.orderBy(F.asc_nulls_first("last_crawled_at"), "source_id")  # one row for each source
-    return web.due_sources(s).select("source_id", "last_crawled_at", F.row_number().over(w).alias("position"))
+    _checkpoints(spark)
+    rows = numbering.numbered(s.filter("active"), "position", F.asc_nulls_first("last_crawled_at"), "source_id")
+    return rows.select("source_id", "last_crawled_at", F.col("position").cast("int").alias("position"))
 
 
 # ---- lineage and certificates
@@ -739,6 +740,13 @@ def _near_hashes(v: DataFrame, index: DataFrame) -> DataFrame:
     return simjoin.hamming_join(v.select(F.col("vec_id").alias("asset_id"), F.col("h").alias("a_hash")), index, "asset_id", "item_id", "a_hash", "i_hash", config.DEFAULT.phash_distance - 1).withColumn("dist", F.col("dist").cast("int"))
 
 
+@query(f"SELECT count(*) AS assets, count_if(again) AS skipped, round(100.0::DOUBLE * count_if(again) / count(*), 6) AS skipped_pct, round({config.DEFAULT.hours_per_skip}::DOUBLE * count_if(again), 6) AS hours_saved FROM (SELECT doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS again FROM documents)")
+def dedup_savings(spark, d):
+    """Assets whose content was seen before, and the compute hours that not scoring them again saves."""
+    h = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    return decision.savings(dedup.first_seen(h, "doc_id", "h"))
+
+
 # ---- intake, dispatch by MIME type, cards
 _MIMES = ["text/plain", "application/pdf", "image/png", "video/mp4", "text/plain"]
 _MIME = "CASE doc_id % 5 " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(_MIMES)) + " END"

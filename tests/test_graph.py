@@ -74,3 +74,18 @@ def test_leaders_of_a_chain_of_ten_thousand(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda self, *a: passes.append(1) or inner(self, *a))
     got = {x.id: x.leader for x in dedup.elect_leaders(spark.createDataFrame(rows, "id long, h string, s long"), "id", "h", "s").collect()}
     assert got == lead and len(passes) < 60
+
+
+def test_numbers_over_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from clearloom.operators import governance
+    from clearloom.operators.numbering import numbered
+
+    rows = spark.range(1000).withColumn("x", F.when(F.col("id") % 7 != 0, (F.col("id") * 37) % 101)).repartition(9)
+    got = numbered(rows, "place", F.asc_nulls_first("x"), F.desc("id")).collect()
+    want = sorted(((r.x is not None, r.x or 0, -r.id), r.id) for r in rows.collect())
+    assert [r.id for r in sorted(got, key=lambda r: r.place)] == [i for _, i in want] and sorted(r.place for r in got) == list(range(1, 1001))
+    assert numbered(rows.limit(0), "place", "id").count() == 0
+    old, new = spark.createDataFrame([("n1", 4)], "notice_id string, index_version long"), spark.createDataFrame([("n9",), ("n3",)], "notice_id string")
+    assert {r.notice_id: r.index_version for r in governance.submit_takedowns(old, new).collect()} == {"n1": 4, "n3": 5, "n9": 6}
