@@ -650,16 +650,17 @@ def graph_catch_up(spark, d):
     return provenance.catch_up(rows, provenance.graph_nodes(rows.filter("asset_id % 3 = 0"))).select("asset_id")
 
 
-@query("SELECT page_id AS asset_id, CASE WHEN page_id % 7 = 0 THEN 'HASH_MISMATCH' ELSE 'SIGNATURE_VALID' END AS reason FROM pages")
+@query("SELECT page_id AS asset_id, CASE WHEN page_id % 7 = 0 THEN 'HASH_MISMATCH' WHEN page_id % 11 = 0 THEN 'SIGNATURE_INVALID' ELSE 'SIGNATURE_VALID' END AS reason FROM pages")
 def certificate_verify(spark, d):
-    """Signs certificates of all pages and verifies them; some come with another hash."""
+    """Signs certificates of all pages and verifies them; some come with another hash, some with a signature of something else."""
     return _verified(spark, _lineage(spark, d))
 
 
 def _verified(spark: SparkSession, lineage: DataFrame) -> DataFrame:
     signer = provenance.Signer(spark)
     rows = lineage.withColumn("claimed", F.when(F.col("asset_id") % 7 == 0, F.lit("0" * 64)).otherwise(F.col("asset_hash")))
-    signed = signer.sign(rows, "asset_hash")
+    other = F.when(F.col("asset_id") % 11 == 0, F.concat(F.lit("x"), "asset_hash")).otherwise(F.col("asset_hash"))
+    signed = signer.sign(rows.withColumn("signed_hash", other), "signed_hash")
     return provenance.verify_reason(signer.verify(signed, "asset_hash", "signature_b64"), "signature_valid", "claimed", "asset_hash").select("asset_id", "reason")
 
 
