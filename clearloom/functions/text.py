@@ -25,9 +25,9 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def windows(tokens: Column, n: int) -> Column:
-    """All n-token windows; none if there are fewer tokens."""
-    every = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))).otherwise(F.array().cast("array<array<string>>"))
+def windows(tokens: Column, n: int, kind: str = "string") -> Column:
+    """All n-token windows; none if there are fewer tokens. kind: the tokens' type."""
+    every = lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.slice(t, i, n))).otherwise(F.array().cast(f"array<array<{kind}>>"))
     return let(tokens, every)
 
 

@@ -122,12 +122,18 @@ def set_jaccard(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lset: s
 def ngram_hits(outputs: DataFrame, protected: DataFrame, key: str, n: int = DEFAULT.leakage_window) -> DataFrame:
     """key, pos, snippet: the first window of n words that also occurs in a protected text.
 
-    Windows are joined by 64-bit hashes; those that match are compared as strings. Only the hits' strings move.
+    Words are hashed once and windows are hashes of their words' hashes, so no window is built as a string but those that meet a protected one by hash; these are then compared as strings.
     """
-    grams = tx.joined_windows(tx.words(F.col("text"), tx.WORD), n)
-    known = small(protected.select(F.explode(grams).alias("known")).distinct().withColumn("h", F.xxhash64("known")))
-    seen = outputs.select(key, F.posexplode(grams).alias("pos", "g")).withColumn("h", F.xxhash64("g"))
-    hits = seen.join(known, "h").filter(F.col("g") == F.col("known"))
+    def hashed(words: Column) -> Column:
+        return tx.let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(tx.windows(h, n, "bigint"), lambda w: F.xxhash64(w)))
+
+    words = lambda c: tx.words(F.col(c), tx.WORD)
+    known = protected.select(F.explode(F.arrays_zip(tx.joined_windows(words("text"), n).alias("known"), hashed(words("text")).alias("h"))).alias("x")).select("x.*").distinct()
+    known = small(known)
+    seen = outputs.select(key, F.posexplode(hashed(words("text"))).alias("pos", "h"))
+    met = seen.join(known, "h", "left_semi").groupBy(key).agg(F.collect_set("pos").alias("at"))  # places of one text
+    found = outputs.select(key, "text").join(met, key).select(key, F.inline(tx.let(words("text"), lambda w: F.transform("at", lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(w, i + 1, F.lit(n)), " ").alias("g"))))))
+    hits = found.join(known, F.col("g") == F.col("known"), "left_semi")
     return hits.groupBy(key).agg(F.min("pos").alias("pos"), F.min_by("g", "pos").alias("snippet"))
 
 
