@@ -127,8 +127,8 @@ def png(pixels):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-@pytest.mark.parametrize("track", ["code", "image", "audio", "video", "clean"])
-def test_command_line_by_track(spark, tmp_path, track, capsys):
+@pytest.mark.parametrize("blocked", [True, False])
+def test_command_line_by_track(spark, tmp_path, blocked):
     import numpy as np
 
     r = np.random.default_rng(3)
@@ -143,9 +143,10 @@ def test_command_line_by_track(spark, tmp_path, track, capsys):
     (index / "song.wav").write_bytes(wav)
     (data / "fine.txt").write_text(ROWS[1][1])
     (data / "other.png").write_bytes(png(smooth(9)))
-    put = {"code": ("x.py", ("# mine" + RENAMED).encode()), "image": ("p.png", png(np.clip(smooth(1).astype(int) + 3, 0, 255).astype(np.uint8))), "audio": ("s.wav", wav), "video": ("v.mp4", b"\0\0\0\x18ftypmp42" + r.bytes(100)), "clean": ("more.txt", b"nothing of note")}[track]
-    (data / put[0]).write_bytes(put[1])
-    assert cli.main(["scan", str(data), "--index", str(index), "--out", str(tmp_path / "out")], spark) == (2 if track in ("code", "image", "audio") else 0)
-    got = {row.asset_id.rpartition("/")[2]: row for row in spark.read.json(str(tmp_path / "out")).collect()}
-    assert got["fine.txt"].outcome == got["other.png"].outcome == "PASSED"
-    assert got[put[0]].outcome == {"video": "HUMAN_REVIEW", "clean": "PASSED"}.get(track, "BLOCKED")
+    (data / "v.mp4").write_bytes(b"\0\0\0\x18ftypmp42" + r.bytes(100))
+    copies = {"x.py": ("# mine" + RENAMED).encode(), "p.png": png(np.clip(smooth(1).astype(int) + 3, 0, 255).astype(np.uint8)), "s.wav": wav}
+    for name, content in copies.items() if blocked else ():
+        (data / name).write_bytes(content)
+    assert cli.main(["scan", str(data), "--index", str(index), "--out", str(tmp_path / "out")], spark) == (2 if blocked else 0)
+    got = {row.asset_id.rpartition("/")[2]: row.outcome for row in spark.read.json(str(tmp_path / "out")).collect()}
+    assert got == {"fine.txt": "PASSED", "other.png": "PASSED", "v.mp4": "HUMAN_REVIEW"} | (dict.fromkeys(copies, "BLOCKED") if blocked else {})
