@@ -16,12 +16,18 @@ def normalised(v):
     return F.transform(v, lambda x: x.cast("double") / F.when(n == 0, 1.0).otherwise(n))
 
 
-def top_k(index: DataFrame, queries: DataFrame, key: str, qkey: str, col: str, k: int = 5, block: int = 8192) -> DataFrame:
-    """qkey, key, score, rank. Queries (a stated set) meet all rows in blocks: each block keeps its own k best for a query, and only these are merged."""
+#: Queries that meet a block in one task, and those whose scores are held at once.
+TILE, CHUNK = 16384, 256
+
+
+def top_k(index: DataFrame, queries: DataFrame, key: str, qkey: str, col: str, k: int = 5, block: int = 8192, tile: int = TILE) -> DataFrame:
+    """qkey, key, score, rank. Queries (a stated set) meet all rows, a tile of them and a block of rows in a task: each keeps its own k best for a query, and only these are merged. Scores that are equal to 10 digits are ties, in a block as among the merged ones; these go to the smaller key."""
     rows = index.select(F.col(key), F.col(col))
-    blocks = max(1, -(-rows.count() // block))
-    qs = queries.select(F.col(qkey), F.col(col).alias("_q")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    blocks, tiles = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // tile))
+    part = lambda c, n, name: F.pmod(F.xxhash64(c), F.lit(n)).cast("int").alias(name)
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    qs = queries.select(F.col(qkey), F.col(col).alias("_q"), part(qkey, tiles, "_a"), every(blocks, "_b"))
+    rows = rows.select(key, col, part(key, blocks, "_b"), every(tiles, "_a"))
 
     def unit(s: pd.Series) -> np.ndarray:
         m = np.stack(s.to_numpy()).astype(np.float64)
@@ -29,17 +35,22 @@ def top_k(index: DataFrame, queries: DataFrame, key: str, qkey: str, col: str, k
         return m / np.where(n == 0, 1, n)
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({qkey: [], key: [], "score": []})
-        b = b.sort_values(key)
-        s = unit(a["_q"]) @ unit(b[col]).T
-        top = np.argsort(-np.round(s, 12), 1, kind="stable")[:, :k]
-        i = np.repeat(np.arange(len(a)), top.shape[1])
-        return pd.DataFrame({qkey: a[qkey].to_numpy()[i], key: b[key].to_numpy()[top.ravel()], "score": s[i, top.ravel()]})
-
-    found = qs.groupBy("_b").cogroup(rows.groupBy("_b")).applyInPandas(run, f"{qkey} long, {key} long, score double")
-    w = Window.partitionBy(qkey).orderBy(F.desc(F.round("score", 10)), key)
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        out = [pd.DataFrame({qkey: [], key: [], "score": [], "_r": []})]
+        if len(a) and len(b):
+            b = b.sort_values(key)
+            keys, other = b[key].to_numpy(), unit(b[col]).T
+            for at in range(0, len(a), CHUNK):
+                some = a.iloc[at : at + CHUNK]
+                s = unit(some["_q"]) @ other
+                r = np.round(s, 10)
+                top = np.argsort(-r, 1, kind="stable")[:, :k]
+                i = np.repeat(np.arange(len(some)), top.shape[1])
+                out.append(pd.DataFrame({qkey: some[qkey].to_numpy()[i], key: keys[top.ravel()], "score": s[i, top.ravel()], "_r": r[i, top.ravel()]}))
+        return pd.concat(out[1:] or out)
+
+    found = qs.groupBy("_a", "_b").cogroup(rows.groupBy("_a", "_b")).applyInPandas(run, f"{qkey} long, {key} long, score double, _r double")
+    w = Window.partitionBy(qkey).orderBy(F.desc("_r"), key)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("_r")
 
 
 def save(index: DataFrame, path: str) -> int:
