@@ -112,11 +112,19 @@ def near_pairs(hashes: DataFrame, key: str, col: str, most: int = DEFAULT.simhas
 
 
 def set_jaccard(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lset: str, rset: str, least: float) -> DataFrame:
-    """lkey, rkey, jaccard (at least `least`) of pairs of arrays of distinct values."""
-    a = left.select(F.col(lkey), F.size(lset).alias("na"), F.explode(lset).alias("x"))
-    b = right.select(F.col(rkey), F.size(rset).alias("nb"), F.explode(rset).alias("x"))
-    n = a.join(b, "x").groupBy(lkey, rkey).agg(F.count("*").alias("k"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    return n.select(lkey, rkey, (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard")).filter(F.col("jaccard") >= least)
+    """lkey, rkey, jaccard (at least `least`) of pairs of arrays of distinct values; keys are unique. Two such sets share one of those values that a set can't do without (prefix filter: the rarest of the right side first), so only these are joined, and what meets is compared as a whole."""
+    often = right.select(F.explode(rset).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    spare = lambda c: F.size(c) - F.ceil(F.lit(least) * F.size(c) - 1e-9) + 1
+
+    def rare(rows: DataFrame, key: str, col: str, how: str) -> DataFrame:
+        values = rows.select(key, spare(col).alias("k"), F.explode(col).alias("x")).join(often, "x", how)
+        w = Window.partitionBy(key).orderBy(F.coalesce("n", F.lit(0)), "x")
+        return values.withColumn("r", F.row_number().over(w)).filter("r <= k").select(key, "x")
+
+    met = rare(left, lkey, lset, "left").join(rare(right, rkey, rset, "inner"), "x").select(lkey, rkey).distinct()
+    both = met.join(left.select(lkey, lset), lkey).join(right.select(rkey, rset), rkey)
+    k = F.size(F.array_intersect(lset, rset))
+    return both.select(lkey, rkey, (k / (F.size(lset) + F.size(rset) - k)).alias("jaccard")).filter(F.col("jaccard") >= least)
 
 
 def ngram_hits(outputs: DataFrame, protected: DataFrame, key: str, n: int = DEFAULT.leakage_window) -> DataFrame:
