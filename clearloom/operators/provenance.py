@@ -116,10 +116,12 @@ class Signer:
 
     def sign(self, df: DataFrame, message: str, out: str = "signature_b64") -> DataFrame:
         n, _, d = self.numbers()
+        primes = _integers(self.private)[3:8]
 
         @F.pandas_udf("string")
         def run(m: pd.Series) -> pd.Series:
-            return m.map(lambda x: base64.b64encode(pss_sign(x.encode(), n, d)).decode())
+            known = {x: base64.b64encode(pss_sign(x.encode(), n, d, primes)).decode() for x in m.unique()}  # equal messages are signed alike
+            return m.map(known)
 
         return df.withColumn(out, run(message))
 
@@ -155,7 +157,16 @@ def _mask(seed: bytes, n: int) -> bytes:
     return b"".join(hashlib.sha256(seed + i.to_bytes(4, "big")).digest() for i in range(-(-n // 32)))[:n]
 
 
-def pss_sign(message: bytes, n: int, d: int) -> bytes:
+def _private_power(x: int, n: int, d: int, primes: list[int]) -> int:
+    """x to the d-th power modulo n; with p, q, d mod p - 1, d mod q - 1 and the inverse of q mod p by two powers of half the size (RFC 8017, 5.1.2)."""
+    if len(primes) != 5 or primes[0] * primes[1] != n:
+        return pow(x, d, n)
+    p, q, dp, dq, inverse = primes
+    b = pow(x % q, dq, q)
+    return b + q * ((pow(x % p, dp, p) - b) * inverse % p)
+
+
+def pss_sign(message: bytes, n: int, d: int, primes: list[int] = ()) -> bytes:
     """The salt is derived from key and message, so a repeated task signs alike."""
     size = n.bit_length()
     em_len = -(-(size - 1) // 8)
@@ -165,7 +176,7 @@ def pss_sign(message: bytes, n: int, d: int) -> bytes:
     db = b"\x01" + salt
     masked = bytearray(a ^ b for a, b in zip(db, _mask(h, len(db))))
     masked[0] &= 0xFF >> (8 * em_len - (size - 1))
-    return pow(int.from_bytes(bytes(masked) + h + b"\xbc", "big"), d, n).to_bytes(-(-size // 8), "big")
+    return _private_power(int.from_bytes(bytes(masked) + h + b"\xbc", "big"), n, d, primes).to_bytes(-(-size // 8), "big")
 
 
 def pss_verify(message: bytes, signature_b64: str, n: int, e: int) -> bool:
