@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import difflib
+import hashlib
 import re
 
 import numpy as np
@@ -24,24 +25,27 @@ def sha256_prefixed(content: Column) -> Column:
 def simhash(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, simhash (signed 64 bits). Bit i is set if more word occurrences have it set than not, in the low 64 bits of the word's md5. No words: 0.
 
-    Each row is folded by itself, so nothing moves: words are hashed in the JVM, their bits are summed in Arrow batches.
+    Each row is folded by itself, so nothing moves; a batch's distinct words are hashed once.
     """
-    half = lambda w, a: F.conv(F.substring(F.md5(w.cast("binary")), a, 8), 16, 10).cast("long")
-    hashed = df.select(F.col(key), F.transform(words(F.col(text)), lambda w: F.shiftleft(half(w, 17), 32).bitwiseOR(half(w, 25))).alias("h"))
+    found = df.select(F.col(key), words(F.col(text)).alias("w"))
 
     def run(batches):
-        for batch in batches:
-            col = batch.column(1)
-            sizes = np.diff(col.offsets.to_numpy()) if col.null_count == 0 else pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy()
-            bits, ends = col.flatten().to_numpy().view(np.uint8).reshape(-1, 8), np.cumsum(sizes)
-            out = np.zeros(len(batch), np.int64)
-            for i, (a, b) in enumerate(zip(ends - sizes, ends)):
-                if a < b:
-                    votes = np.unpackbits(bits[a:b], axis=1, bitorder="little").sum(0, dtype=np.int64)
-                    out[i] = np.packbits(2 * votes > b - a, bitorder="little").view(np.int64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[key, "simhash"])
-
-    return hashed.mapInArrow(run, df.select(key).withColumn("simhash", F.lit(0).cast("long")).schema)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch = whole.slice(at, 1000)
+                col = batch.column(1)
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                coded = col.flatten().dictionary_encode()
+                low = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[8:], "big") for w in coded.dictionary.to_pylist()], np.uint64)
+                bits, of, ends = low.view(np.uint8).reshape(-1, 8), coded.indices.to_numpy(), np.cumsum(sizes)
+                out = np.zeros(len(batch), np.int64)
+                for i, (a, b) in enumerate(zip(ends - sizes, ends)):
+                    if a < b:
+                        votes = np.unpackbits(bits[of[a:b]], axis=1, bitorder="little").sum(0, dtype=np.int64)
+                        out[i] = np.packbits(2 * votes > b - a, bitorder="little").view(np.int64)[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=[key, "simhash"])
+
+    return found.mapInArrow(run, df.select(key).withColumn("simhash", F.lit(0).cast("long")).schema)
 
 
 def hamming(a: Column, b: Column) -> Column:

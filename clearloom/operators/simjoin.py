@@ -5,6 +5,8 @@ Index sides are broadcast only where their size was checked (small()), else shuf
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from . import seqjoin
 
 #: Rows, and bytes of their values, up to which an index side is broadcast.
 SMALL_ROWS, SMALL_BYTES = 200_000, 64 << 20
+#: Differing bits up to which hashes meet in two bands at once: ten pairs of about 26 bits for three.
+PAIRED = 4
 
 
 def _bytes(df: DataFrame) -> Column:
@@ -86,12 +90,18 @@ def two_stage(docs: DataFrame, works: DataFrame, cfg=DEFAULT) -> DataFrame:
 
 
 def hamming_join(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lhash: str, rhash: str, most: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """lkey, rkey, dist of pairs of 64-bit hashes at most `most` bits apart, equal in the columns of `by`. Of most + 1 bands one is equal (pigeonhole), so bands are joined."""
-    bands = most + 1
+    """lkey, rkey, dist of pairs of 64-bit hashes at most `most` bits apart, equal in the columns of `by`. Of most + 1 bands one is equal, of most + 2 two are (pigeonhole), so bands are joined: pairs of them where hashes may differ in a few bits, as a single band of 16 bits has few values, and a table's pairs would grow with its square."""
+    bands = most + 2 if most <= PAIRED else most + 1
     cuts = [64 * i // bands for i in range(bands + 1)]
+    ranges = list(zip(cuts, cuts[1:]))
 
     def banded(df: DataFrame, key: str, col: str) -> DataFrame:
-        band = F.array(*(F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(F.shiftleft(F.col(col), 64 - b), 64 - (b - a)).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+        part = lambda a, b: F.shiftrightunsigned(F.shiftleft(F.col(col), 64 - b), 64 - (b - a))
+        if most <= PAIRED:
+            parts = [F.shiftleft(part(*x), y[1] - y[0]).bitwiseOR(part(*y)) for x, y in itertools.combinations(ranges, 2)]
+        else:
+            parts = [part(*x) for x in ranges]
+        band = F.array(*(F.struct(F.lit(i).alias("no"), p.alias("part")) for i, p in enumerate(parts)))
         return df.select(F.col(key), F.col(col), *by, F.explode(band).alias("band"))
 
     a, b = banded(left, lkey, lhash), banded(right, rkey, rhash)

@@ -400,7 +400,7 @@ def _checkpoints(spark: SparkSession) -> None:
 def dedup_leaders(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text")
     _checkpoints(spark)
-    rows = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).join(fp.simhash(docs, "doc_id", "text"), "doc_id")
+    rows = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).join(fp.simhash(docs, "doc_id", "text"), "doc_id").checkpoint()  # read several times
     return dedup.elect_leaders(rows, "doc_id", "h", "simhash")
 
 
