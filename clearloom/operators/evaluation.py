@@ -40,7 +40,7 @@ TOKENS = Scorer(lambda docs, works: simjoin.text_scores(docs, works).select("doc
 #: Scorers of tracks; register() adds or replaces one. An asset of a track without scorer or index, or with nothing to compare, never passes.
 SCORERS: dict[str, Scorer] = {
     "TEXT": Scorer(lambda docs, works: simjoin.full_text_pairs(docs, works)),
-    "CODE": Scorer(lambda docs, works: simjoin.code_match(docs, works).select("doc_id", "item_id", "score")),
+    "CODE": Scorer(lambda docs, works: simjoin.code_match(docs, works, best=1).select("doc_id", "item_id", "score")),
     "IMAGE": Scorer(_images, lambda: F.col("phash").isNotNull()),
     "AUDIO": Scorer(simjoin.audio_match, lambda: F.col("content").isNotNull()),
     "VIDEO": Scorer(_videos, lambda: F.size("frames") > 0),

@@ -185,8 +185,10 @@ def full_text_match(docs: DataFrame, works: DataFrame, cfg=DEFAULT, least: float
     return out.select("doc_id", F.col("item_id").alias("matched"), F.round("score", 4).alias("score"), F.col("score").isNotNull().alias("exact"))
 
 
-def code_match(code: DataFrame, index: DataFrame, least: float = 0.4) -> DataFrame:
-    """doc_id, item_id, structure, tokens, score (above `least`), stage for code texts against indexed code.
+def code_match(code: DataFrame, index: DataFrame, least: float = 0.4, best: int | None = None) -> DataFrame:
+    """doc_id, item_id, structure, tokens, score (above `least`), stage for code texts against indexed code; best: only so many of each text (ties: smaller item_id).
+
+    Texts of one structure, one number of tokens and the same tokens that occur in the index score alike with all indexed code: they are one kind, and pairs are between kinds and indexed code until the best are chosen.
 
     score = structure ratio r, or 0.7 r + 0.3 x Jaccard of tokens if that is more; where four fifths of the query's tokens are in the indexed code, 0.75 + 0.12 r at least. A pair scores above `least` only if r or the Jaccard is above it or the tokens are contained, so candidates come from the ratio join of structures and from shared rare tokens: those that the overlap can't do without (prefix filter over tokens, the rarest of the index first). What all code shares, like `def`, is never such a token.
     """
@@ -194,18 +196,23 @@ def code_match(code: DataFrame, index: DataFrame, least: float = 0.4) -> DataFra
     blank = F.col("text").isNull() | (F.btrim("text", F.lit(_WHITE)) == "")
     a = code.filter(~blank).select("doc_id", fp.code_structure_udf("text").alias("l_text"), toks(F.col("text")).alias("a"))
     b = index.filter(F.col("text").isNotNull()).select("item_id", fp.code_structure_udf("text").alias("r_text"), toks(F.col("text")).alias("b"))
-    shapes = seqjoin.ratio_pairs(a, b, least, lower=False)
-    left, right = a.withColumn("l_id", seqjoin.text_id("l_text")), b.withColumn("r_id", seqjoin.text_id("r_text"))
-    by_shape = left.select("doc_id", "l_id").join(shapes, "l_id").join(right.select("item_id", "r_id"), "r_id").select("doc_id", "item_id")
     posts = b.select("item_id", F.explode("b").alias("tok"))
     often = posts.groupBy("tok").agg(F.count("*").alias("n"))
-    mine = a.select("doc_id", F.size("a").alias("na"), F.explode("a").alias("tok")).join(small(often), "tok", "left")
+    mine = a.select("doc_id", "l_text", F.size("a").alias("na"), F.explode_outer("a").alias("tok")).join(small(often), "tok", "left")
+    mine = mine.groupBy("doc_id", "l_text", "na").agg(F.array_sort(F.collect_list(F.when(F.col("n").isNotNull(), F.col("tok")))).alias("a"))
+    kind = F.sha2(F.concat_ws("|", seqjoin.text_id("l_text"), F.col("na").cast("string"), F.array_join("a", "|")).cast("binary"), 256)
+    mine = mine.withColumn("kind", kind).persist()
+    a = mine.select("kind", "l_text", "na", "a").dropDuplicates(["kind"]).persist()
+    shapes = seqjoin.ratio_pairs(a, b, least, lower=False)
+    left, right = a.withColumn("l_id", seqjoin.text_id("l_text")), b.withColumn("r_id", seqjoin.text_id("r_text"))
+    by_shape = left.select("kind", "l_id").join(shapes, "l_id").join(right.select("item_id", "r_id"), "r_id").select("kind", "item_id")
     need = F.ceil(F.least(F.lit(0.8), F.lit(least)) * F.col("na") - 1e-9)
-    rare = mine.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("n", F.lit(0)), "tok"))).filter(F.col("r") <= F.col("na") - need + 1)
-    by_token = rare.filter(F.col("n").isNotNull()).select("doc_id", "tok").join(small(posts), "tok").select("doc_id", "item_id").distinct()
-    pairs = by_shape.unionByName(by_token).distinct().join(left, "doc_id").join(right, "item_id")
+    known = a.select("kind", (F.size("a") - need + 1).alias("k"), F.explode("a").alias("tok")).join(small(often), "tok")  # tokens that the index lacks are rarer, and meet nothing
+    rare = known.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("n", "tok"))).filter(F.col("r") <= F.col("k"))
+    by_token = rare.select("kind", "tok").join(small(posts), "tok").select("kind", "item_id").distinct()
+    pairs = by_shape.unionByName(by_token).distinct().join(left, "kind").join(right, "item_id")
     shared = F.size(F.array_intersect("a", "b"))
-    pairs = pairs.withColumns({"tokens": shared / F.greatest(F.size(F.array_union("a", "b")), F.lit(1)), "inside": shared / F.greatest(F.size("a"), F.lit(1))})
+    pairs = pairs.withColumns({"tokens": shared / F.greatest(F.col("na") + F.size("b") - shared, F.lit(1)), "inside": shared / F.greatest("na", F.lit(1))})
     known = pairs.join(shapes, ["l_id", "r_id"], "left")
     # Structures below `least` count where tokens speak for the pair.
     known = known.filter(F.col("ratio").isNotNull() | (F.col("tokens") > least) | (F.col("inside") >= 0.8))
@@ -214,8 +221,10 @@ def code_match(code: DataFrame, index: DataFrame, least: float = 0.4) -> DataFra
     rows = known.join(other, ["l_id", "r_id"], "left").withColumn("structure", F.coalesce("ratio", "low"))
     s = F.greatest(F.col("structure"), 0.7 * F.col("structure") + 0.3 * F.col("tokens"))
     s = F.when(F.col("inside") >= 0.8, F.greatest(s, 0.75 + 0.12 * F.col("structure"))).otherwise(s)
-    rows = rows.select("doc_id", "item_id", "structure", "tokens", s.alias("score")).filter(F.col("score") > least)
-    return rows.withColumn("score", F.round("score", 4)).withColumn("stage", F.when(F.col("structure") > 0.85, "ast_structure").otherwise("token_overlap"))
+    rows = rows.select("kind", "item_id", "structure", "tokens", s.alias("score")).filter(F.col("score") > least).withColumn("score", F.round("score", 4))
+    rows = top_k(rows, "kind", "score", "item_id", best).drop("rank") if best else rows
+    rows = mine.select("doc_id", "kind").join(rows, "kind").select("doc_id", "item_id", "structure", "tokens", "score")
+    return rows.withColumn("stage", F.when(F.col("structure") > 0.85, "ast_structure").otherwise("token_overlap"))
 
 
 def audio_match(assets: DataFrame, index: DataFrame, least: float = 0.5) -> DataFrame:

@@ -704,7 +704,7 @@ def evidence_paths(spark, d):
 @query(f"WITH {_CODE_BEST} SELECT doc_id, item_id, code_score AS score, stage FROM cb")
 def code_match(spark, d):
     """Code made from every id against indexed code, by structure and tokens: the best indexed one of each."""
-    return simjoin.top_k(simjoin.code_match(*_code_tables(spark, d)), "doc_id", "score", "item_id", 1).select("doc_id", "item_id", "score", "stage")
+    return simjoin.code_match(*_code_tables(spark, d), best=1).select("doc_id", "item_id", "score", "stage")
 
 
 @query("""WITH f AS (SELECT doc_id, encode(text) AS b FROM documents), g AS (SELECT doc_id, b, unnest(range(least(16, CAST(ceil(octet_length(b) / 2048.0) AS INTEGER)))) AS i FROM f WHERE octet_length(b) > 0),
