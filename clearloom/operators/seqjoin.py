@@ -3,7 +3,7 @@
 No pair is made on lengths alone. With B blocks at most, M matched characters leave one block of M / B characters or more, so both texts share a window of that many characters:
 - in a text of 200 characters or more difflib matches from characters that it doesn't call popular (more than 1 % of the text), so a block holds one of these, or begins both texts: B is their number plus 1;
 - between two blocks at least one character is unmatched, so B <= T - 2 M + 1 too.
-Windows of 4, 8 or 16 characters, whichever the bound allows, are an inverted index; keys hold the query's band of lengths, since M grows with it. Where blocks may be shorter than 4 characters (short texts, low ratios) the characters themselves are the index: 2 M / T >= r bounds the overlap of the multisets from below, so the rarest of (character, number of its occurrence) of both texts must meet (prefix filter). Survivors are compared by difflib itself.
+Windows of 4, 8 or 16 characters, whichever the bound allows, are an inverted index; keys hold the query's band of lengths, since M grows with it. Where blocks may be shorter than 4 characters (short texts, low ratios) the characters themselves are the index: 2 M / T >= r bounds the overlap of the multisets from below, so the rarest of (character, number of its occurrence) of both texts must meet (prefix filter). Survivors whose bounds (covered characters, common subsequences) don't rule them out are compared by difflib itself.
 
 Equal texts are compared once. The keys of the indexed side, where they are few, filter the queries' windows before these leave their task.
 """
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 WINDOWS, STEP = (16, 8, 4), 1.25
 #: Keys of the indexed side up to which they go to all tasks, as 8 bytes each.
 MOST_KEYS = 2_000_000
+#: Cells of a matrix of two texts' characters up to which blocks are looked for in it.
+MOST_CELLS = 1 << 18
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -117,13 +119,89 @@ def query_keys(text: str, least: float, common: dict[str, int], sizes: dict[int,
         yield keys ^ _salt(b, size)
 
 
+def _covered(b2j: dict[str, list[int]], a: str, b: str) -> int:
+    """The most characters of b that difflib can match where it calls some popular: a block begins both texts or holds a character that isn't, so what such runs cover bounds the blocks. b2j: the places in b of characters that aren't popular."""
+    n, m = len(b), len(a)
+    seen, ends = bytearray(n), {}
+    k = 0
+    while k < n and k < m and a[k] == b[k]:
+        k += 1
+    seen[:k] = b"\1" * k
+    for j in sorted(j for places in b2j.values() for j in places):
+        i = a.find(b[j])
+        while i >= 0:
+            if ends.get(i - j, 0) <= j:  # not in a run that was seen
+                lo, hi = j, j + 1
+                while lo and lo + i - j and a[lo - 1 + i - j] == b[lo - 1]:
+                    lo -= 1
+                while hi < n and hi + i - j < m and a[hi + i - j] == b[hi]:
+                    hi += 1
+                ends[i - j] = hi
+                seen[lo:hi] = b"\1" * (hi - lo)
+            i = a.find(b[j], i + 1)
+    return sum(seen)
+
+
+def _subsequence(a: str, masks: dict[str, int], lo: int, hi: int) -> int:
+    """Length of the longest common subsequence of a and b[lo:hi], with a bit for each place of b; masks: the places of each character."""
+    full = (1 << (hi - lo)) - 1
+    v = full
+    part = {c: masks.get(c, 0) >> lo & full for c in set(a)}
+    for c in a:
+        u = v & part[c]
+        if u:
+            v = ((v + u) | (v - u)) & full
+    return hi - lo - v.bit_count()
+
+
+def _longest(same: np.ndarray) -> tuple[int, int, int]:
+    """(i, j, k): the longest diagonal run of a matrix of equal characters, k long, the first of equally long ones as difflib takes it."""
+    k, runs, last = 0, same, None
+    while runs.size and runs.any():
+        k, last = k + 1, runs
+        runs = runs[:-1, :-1] & same[k:, k:]
+    return (*divmod(int(last.argmax()), last.shape[1]), k) if k else (0, 0, 0)
+
+
+def _reaches(a: str, b: str, need: int) -> bool:
+    """Whether difflib matches `need` characters, where it calls none popular. Blocks are taken as difflib takes them, as long as these and the longest common subsequences of what is left beside them reach that many."""
+    masks: dict[str, int] = {}
+    for j, c in enumerate(b):
+        masks[c] = masks.get(c, 0) | 1 << j
+    left = _subsequence(a, masks, 0, len(b))
+    if left < need:
+        return False
+    same = characters(a)[:, None] == characters(b)
+    matched, parts = 0, [(left, 0, len(a), 0, len(b))]
+    while parts:
+        most, i0, i1, j0, j1 = parts.pop()
+        i, j, k = _longest(same[i0:i1, j0:j1])
+        matched, left = matched + k, left - most + k
+        for x0, x1, y0, y1 in ((i0, i0 + i, j0, j0 + j), (i0 + i + k, i1, j0 + j + k, j1)):
+            if k and x0 < x1 and y0 < y1:
+                most = _subsequence(a[x0:x1], masks, y0, y1)
+                if most:
+                    left += most
+                    parts.append((most, x0, x1, y0, y1))
+        if left < need:
+            return False
+    return matched >= need
+
+
 def ratio_from(matcher: difflib.SequenceMatcher, a: str, b: str, least: float) -> float:
-    """difflib's ratio where it is at least `least`, else 0. matcher has b as its second text."""
-    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)) - 1e-9:
+    """difflib's ratio where it is at least `least`, else 0. matcher has b as its second text. Bounds come first: most pairs that share a key are far below."""
+    total = len(a) + len(b)
+    if 2 * min(len(a), len(b)) < least * total - 1e-9:
         return 0.0
     matcher.set_seq1(a)
     if matcher.quick_ratio() < least - 1e-9:
         return 0.0
+    need = math.ceil(least * total / 2 - 1e-6)
+    if matcher.bpopular:
+        if _covered(matcher.b2j, a, b) < need:
+            return 0.0
+    elif len(a) * len(b) <= MOST_CELLS and not _reaches(a, b, need):
+        return 0.0
     r = matcher.ratio()
     return r if r >= least else 0.0
 

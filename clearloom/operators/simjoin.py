@@ -6,9 +6,14 @@ Index sides are broadcast only where their size was checked (small()), else shuf
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
 from clearloom.config import DEFAULT
 from clearloom.functions import fingerprint as fp
@@ -37,22 +42,81 @@ def _bytes(df: DataFrame) -> Column:
     return out
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
-    """df, to be broadcast if it has at most `rows` rows of at most `size` bytes together. To know that, a job reads it, as far as `rows` + 1 rows."""
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether df has at most `rows` rows of at most `size` bytes together. To know that, a job reads it, as far as `rows` + 1 rows."""
     got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(_bytes(df)).alias("bytes")).first()
-    return F.broadcast(df) if got.n <= rows and (got.bytes or 0) <= size else df
+    return got.n <= rows and (got.bytes or 0) <= size
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> DataFrame:
+    """df, to be broadcast if it is_small."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
+
+
+#: Pairs of a text's word and a work, and cells of texts by works, that are counted at once.
+TOGETHER = 1 << 20
+
+
+def _shared(docs: DataFrame, posts: pa.Table, item: DataType, least: float) -> DataFrame:
+    """doc_id, nd, item_id, nw, k (shared words) of the pairs that may score above `least`. docs: doc_id, d (distinct words); posts: item_id, nw, tok of a small index, which all tasks get. Words of a text are looked up together and counted by work in place, so neither words nor pairs below `least` are shuffled."""
+    tok = posts["tok"].combine_chunks().dictionary_encode()
+    order = np.argsort(tok.indices.to_numpy(), kind="stable")
+    kinds = pa.table({"item_id": posts["item_id"], "nw": posts["nw"]}).combine_chunks()
+    both = kinds.append_column("at", pa.array(np.arange(len(kinds)))).group_by(["item_id", "nw"]).aggregate([("at", "list")])  # one for each work
+    number = np.empty(len(kinds), np.int64)
+    number[both["at_list"].combine_chunks().flatten().to_numpy()] = np.repeat(np.arange(len(both)), pc.list_value_length(both["at_list"]).to_numpy())
+    often = np.bincount(tok.indices.to_numpy(), minlength=len(tok.dictionary))
+    index = docs.sparkSession.sparkContext.broadcast((tok.dictionary, often, np.cumsum(often) - often, number[order], both["item_id"].combine_chunks(), both["nw"].to_numpy().astype(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, often, first, works, items, sizes = index.value
+        for batch in batches:
+            nd = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(batch.column(1).flatten(), value_set=words), -1).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(nd)), nd)[at >= 0]
+            at = at[at >= 0]
+            met = np.bincount(doc, weights=often[at], minlength=len(nd)).astype(np.int64)  # pairs of each text
+            ends, end = np.cumsum(met), np.searchsorted(doc, np.arange(len(nd) + 1))
+            i = 0
+            while i < len(nd):
+                j = int(np.searchsorted(ends, ends[i] - met[i] + TOGETHER, side="right"))
+                j = min(max(j, i + 1), i + max(1, TOGETHER // max(1, len(sizes))), len(nd))
+                a = at[end[i] : end[j]]
+                n = often[a]
+                place = np.repeat(first[a] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                k = np.bincount(np.repeat(doc[end[i] : end[j]] - i, n) * len(sizes) + works[place], minlength=(j - i) * len(sizes))
+                cell = np.flatnonzero(k)
+                d, w, k = cell // len(sizes) + i, cell % len(sizes), k[cell]
+                may = np.maximum(1.5 * (k / (nd[d] + sizes[w] - k)), k / sizes[w]) > least
+                d, w, k = d[may], w[may], k[may]
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array(nd[d].astype(np.int32)), items.take(pa.array(w)), pa.array(sizes[w].astype(np.int32)), pa.array(k.astype(np.int64))], names=["doc_id", "nd", "item_id", "nw", "k"])
+                i = j
+
+    fields = [StructField("doc_id", docs.schema["doc_id"].dataType), StructField("nd", IntegerType()), StructField("item_id", item), StructField("nw", IntegerType()), StructField("k", LongType())]
+    return docs.select("doc_id", "d").mapInArrow(run, StructType(fields))
 
 
 def text_scores(docs: DataFrame, works: DataFrame, least: float = DEFAULT.candidate_least) -> DataFrame:
     """doc_id, item_id, containment, jaccard, score of pairs with score above `least`. docs: doc_id, text; works: item_id, text.
 
-    score = least(0.98, greatest(1.5 x Jaccard, shared / size of the work)). Shared words are counted by an equi-join on words; the sizes travel with them, so no set moves and none is compared again.
+    score = least(0.98, greatest(1.5 x Jaccard, shared / size of the work)). A small index goes to all tasks, which count shared words text by text; else these are counted by an equi-join on words, and the sizes travel with them, so no set moves and none is compared again. Rows of a repeated doc_id count together.
     """
     d = docs.select("doc_id", F.array_distinct(tx.words(F.trim("text"))).alias("d"))
-    d = d.select("doc_id", F.size("d").alias("nd"), F.explode("d").alias("tok"))
     w = works.select("item_id", F.array_distinct(tx.words(F.col("text"))).alias("w"))
-    index = small(w.select("item_id", F.size("w").alias("nw"), F.explode("w").alias("tok")))
-    both = d.join(index, "tok").groupBy("doc_id", "nd", "item_id", "nw").agg(F.count("*").alias("k"))
+    index = w.select("item_id", F.size("w").alias("nw"), F.explode("w").alias("tok"))
+
+    def joined(d: DataFrame) -> DataFrame:
+        d = d.select("doc_id", F.size("d").alias("nd"), F.explode("d").alias("tok"))
+        return d.join(index, "tok").groupBy("doc_id", "nd", "item_id", "nw").agg(F.count("*").alias("k"))
+
+    if docs.isStreaming or not is_small(index):
+        both = joined(d)
+    else:
+        twice = docs.groupBy("doc_id").count().filter(F.col("count") > 1).select("doc_id")
+        again = not twice.isEmpty()
+        both = _shared(d.join(twice, "doc_id", "left_anti") if again else d, index.toArrow(), works.schema["item_id"].dataType, least)
+        both = both.unionByName(joined(d.join(twice, "doc_id", "left_semi"))) if again else both
     both = both.withColumns({"containment": F.col("k") / F.col("nw"), "jaccard": F.col("k") / (F.col("nd") + F.col("nw") - F.col("k"))})
     both = both.withColumn("score", F.least(F.lit(0.98), F.greatest(1.5 * F.col("jaccard"), F.col("containment"))))
     return both.filter(F.col("score") > least).select("doc_id", "item_id", "containment", "jaccard", "score")
