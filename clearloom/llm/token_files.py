@@ -37,21 +37,23 @@ BLOCKS = "shard int, block int, before long, tokens long, payload binary"
 def frequent_pairs(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs at the places `at` (ascending): those that occur `least` times there, as left << 32 | right; their counts; the places they stand at; and the number of the pair at each of these."""
     a, b = seq[at].astype(np.uint64), seq[at + 1].astype(np.uint64)
-    keys = a << np.uint64(32) | b
     wide, far = np.uint64(int(seq.max()).bit_length()), np.uint64(max(1, len(at).bit_length()))
     if 2 * wide + far <= 64:  # pair and place in one number: sorted without an index
-        low = (np.uint64(1) << far) - np.uint64(1)
-        order = (np.sort((a << wide | b) << far | np.arange(len(at), dtype=np.uint64)) & low).astype(np.int64)
+        both = (a << wide | b) << far | np.arange(len(at), dtype=np.uint64)
+        both.sort()
+        keys, order = both >> far, both & ((np.uint64(1) << far) - np.uint64(1))
     else:
-        order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+        keys = a << wide | b
+        order = np.argsort(keys, kind="stable").view(np.uint64)
+        keys = keys[order]
     first = np.flatnonzero(np.concatenate([keys[:1] == keys[:1], keys[1:] != keys[:-1]]))
     n = np.diff(first, append=len(keys))
     often = n >= least
+    keys, count = keys[first[often]], n[often]
     number = np.full(len(at), -1, np.int32)
-    number[order] = np.repeat(np.where(often, np.cumsum(often) - 1, -1), n)
+    number[order[np.repeat(often, n)].view(np.int64)] = np.repeat(np.arange(len(count), dtype=np.int32), count)
     hit = np.flatnonzero(number >= 0)
-    return keys[first[often]], n[often], at[hit], number[hit]
+    return (keys >> wide) << np.uint64(32) | keys & ((np.uint64(1) << wide) - np.uint64(1)), count, at[hit], number[hit]
 
 
 def chosen(at: np.ndarray, number: np.ndarray, counts: np.ndarray) -> np.ndarray:

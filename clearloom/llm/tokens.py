@@ -1,12 +1,13 @@
 """Token ids of whole texts by a tokenizer with the byte-level pattern, piece by piece, in numpy.
 
-A text is cut where the pattern always begins a new match, whatever stands before or after: before a space that something printable follows (a space is only ever the first character of a match, or in a run of white space that gives up its last space), and between two ASCII characters of different kinds (letter, digit, mark), but for an apostrophe before a letter; before a line end that follows a mark, letter or digit, and after it if it stands alone. A piece's ids don't depend on its neighbours, so each distinct piece is encoded once and looked up afterwards: pieces of up to SHORT bytes in a hash table of whole keys (two 64-bit words that hold the bytes and their number, so nothing is taken on trust), longer ones in a dictionary. Both are bounded and start anew when full.
+A text is cut where the pattern always begins a new match, whatever stands before or after: before a space that something printable in ASCII or a character from U+00C0 to U+07FF follows (a space is only ever the first character of a match, or in a run of white space that gives up its last space), and between two ASCII characters of different kinds (letter, digit, mark), but for an apostrophe before a letter; before a line end that follows a mark, letter or digit, and after it if it stands alone. A piece's ids don't depend on its neighbours, so each distinct piece is encoded once and looked up afterwards: pieces of up to SHORT bytes in a hash table of whole keys (two 64-bit words that hold the bytes and their number, so nothing is taken on trust), longer ones in a dictionary. Both are bounded and start anew when full.
 
 Texts that hold the string of a special token are encoded by the library as they are.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ _encoders: dict[str, "PieceEncoder"] = {}
 _KIND = np.zeros(256, np.uint8)
 for _b in range(33, 127):
     _KIND[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 3
-_PLAIN = _KIND > 0
+#: Bytes that begin what is no white space: printable ASCII, and U+00C0 to U+07FF.
+_SOLID = _KIND > 0
+_SOLID[0xC3:0xE0] = True
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
@@ -37,7 +40,7 @@ def cuts(raw: np.ndarray) -> np.ndarray:
     if len(raw) < 2:
         return out
     plain = kind > 0
-    out[:-1] = (raw[:-1] == 32) & plain[1:]
+    out[:-1] = (raw[:-1] == 32) & _SOLID[raw[1:]]
     both = plain[:-1] & plain[1:] & (kind[:-1] != kind[1:])
     both &= ~((raw[:-1] == 39) & (kind[1:] == 1))
     out[1:] |= both
@@ -53,6 +56,7 @@ class PieceEncoder:
     def __init__(self, path: str, pieces: int = PIECES):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads that wait for work cost as much as it
         self.tokenizer = Tokenizer.from_file(path)
         (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self._begin(pieces, [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()])
@@ -150,7 +154,7 @@ class PieceEncoder:
         place = self._find(k0, k1)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            place = self._learned(k0, k1, missing)
+            place = self._learned(k0, k1, place, missing)
         count = np.zeros(len(start), np.int64)
         source = np.zeros(len(start), np.int64)
         count[short], source[short] = self.count[place], self.at[place]
@@ -183,7 +187,7 @@ class PieceEncoder:
                     at = data.find(s, at + 1)
         return np.unique(np.array(found, np.int64))
 
-    def _learned(self, k0: np.ndarray, k1: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    def _learned(self, k0: np.ndarray, k1: np.ndarray, place: np.ndarray, missing: np.ndarray) -> np.ndarray:
         def distinct(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             order = at[np.lexsort((k1[at], k0[at]))]
             new = np.ones(len(order), bool)
@@ -192,7 +196,9 @@ class PieceEncoder:
 
         a, b = distinct(missing)
         ids = self.learn(_pieces(a, b))
+        again = missing
         if self.held + len(a) > self.pieces or self.used + sum(map(len, ids)) > IDS:
+            again = np.arange(len(k0))
             if self.held:  # the table begins anew, with all that these texts need
                 self._anew()
                 a, b = distinct(np.arange(len(k0)))
@@ -205,7 +211,8 @@ class PieceEncoder:
                     self.ids = np.zeros(sum(map(len, ids)), np.uint32)
                     break
         self._add(a, b, ids)
-        return self._find(k0, k1)
+        place[again] = self._find(k0[again], k1[again])
+        return place
 
     def _long(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray, apart: set[int]) -> list[np.ndarray]:
         """Ids of the pieces at these places, from the dictionary."""
