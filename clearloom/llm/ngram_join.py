@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, few, lean, mix, signed, slices, stage, table, text_buffers, word_hashes
@@ -214,27 +214,28 @@ def based_on(lead: np.ndarray, s: np.ndarray, top: np.ndarray, percent: int) ->
 
 
 def rebased(groups: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
-    """From pairs (lead, node): key, node, far, near of the buckets of each lead's members by their differences from it (a pair needs a look if one of the two is far in the bucket and the other near); and, marked as link, the pairs that are linked, with the lead as key."""
+    """From pairs (lead, node; n, copies of the node): key, node, n, copies, far, near of the buckets of each lead's members by their differences from it (a pair needs a look if one of the two is far in the bucket and the other near); and, marked as link, the pairs that are linked, with the lead as key."""
     sets = stage(sets_for(docs, groups.select(F.col("lead").alias("t")).union(groups.select("node")).distinct(), n), "ngram-sets")
     both = groups.join(sets.select(F.col("t").alias("node"), F.col("s").alias("s_node")), "node").join(sets.select(F.col("t").alias("lead"), F.col("s").alias("s_lead")), "lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                part, out = batch.slice(at, 256), ([], [], [], [], [])
-                for lead, node, a, b in zip(part.column("lead").to_pylist(), part.column("node").to_pylist(), part.column("s_lead"), part.column("s_node")):
+                part, out = batch.slice(at, 256), ([], [], [], [], [], [], [])
+                for lead, node, size, copies, a, b in zip(*(part.column(c).to_pylist() for c in ("lead", "node", "n", "copies")), part.column("s_lead"), part.column("s_node")):
                     order, far, near = based_on(np.asarray(a.values).view(np.uint64), np.asarray(b.values).view(np.uint64), top.value, percent)
                     m, own = max(far, near), np.array([lead]).view(np.uint64)
                     with np.errstate(over="ignore"):
                         out[0].append(np.concatenate([mix(order[:m] ^ mix(own)), own[: not far]]))
-                    out[1].append(np.full(m + (not far), node))
-                    out[2].append(np.arange(m + (not far)) < far)
-                    out[3].append(np.arange(m + (not far)) < near)
-                    out[4].append(np.arange(m + (not far)) == m)
+                    for x, value, kind in zip(out[1:4], (node, size, copies), (np.int64, np.int32, np.int64)):
+                        x.append(np.full(m + (not far), value, kind))
+                    out[4].append(np.arange(m + (not far)) < far)
+                    out[5].append(np.arange(m + (not far)) < near)
+                    out[6].append(np.arange(m + (not far)) == m)
                 key, *rest = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *map(pa.array, rest)], names=["key", "node", "far", "near", "link"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), *map(pa.array, rest)], names=["key", "node", "n", "copies", "far", "near", "link"])
 
-    out = stage(both.select("lead", "node", "s_lead", "s_node").mapInArrow(lean(run), "key long, node long, far boolean, near boolean, link boolean"), "ngram-rebased")
+    out = stage(both.select("lead", "node", "n", "copies", "s_lead", "s_node").mapInArrow(lean(run), "key long, node long, n int, copies long, far boolean, near boolean, link boolean"), "ngram-rebased")
     discard(sets)
     return out
 
@@ -293,17 +294,18 @@ def linked(docs: DataFrame, n: int, percent: int) -> DataFrame:
         one, other = (live.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("own").alias(f"own_{x}"), F.col(role)) for x, role in (("x", "far"), ("y", "near")))
         met = one.filter("far").join(other.filter("near"), "key").filter((F.col("own_x") != F.col("own_y")) & sized("n_x", "n_y", percent))
         edges, labels = joined(edges, labels, verified(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), docs, classes, n, percent))
-        large = apart(members.filter("large"), labels)
+        large = members.filter("large")
+        if first:
+            large = large.withColumn("home", F.max(F.struct("lead_copies", "lead")).over(Window.partitionBy("node")))
+        large = apart(large, labels)
         if first:  # all buckets of a group of copies take the same class, whether they hold it or not: of the leads that their members have in any bucket, the one of most copies
-            home = members.filter("large").groupBy("node").agg(F.max(F.struct("lead_copies", "lead")).alias("home"))
-            large = large.drop("lead").join(home, "node")
-            large = large.join(large.groupBy("key").agg(F.max("home").alias("base")).select("key", F.col("base.lead").alias("lead")), "key")
-        groups = stage(large.filter(F.col("node") != F.col("lead")).select("lead", "node").distinct(), "ngram-groups")
+            large = large.drop("lead").join(large.groupBy("key").agg(F.max("home").alias("base")).select("key", F.col("base.lead").alias("lead")), "key")
+        groups = stage(large.filter(F.col("node") != F.col("lead")).select("lead", "node", "n", "copies").distinct(), "ngram-groups")
         if groups.isEmpty():
             break
         found = rebased(groups, docs, top, n, percent)
         edges, labels = joined(edges, labels, found.filter("link").select(F.col("key").alias("a"), F.col("node").alias("b")))
-        members = found.filter("not link").drop("link").join(classes.select("node", "n", "copies"), "node")
+        members = found.filter("not link").drop("link")
         first, most = False, most * MORE
     nodes = classes.select("s1", "s2", "n", "node").join(labels, "node", "left").select("s1", "s2", "n", F.coalesce("label", "node").alias("label"))
     out = stage(rows.join(nodes, ["s1", "s2", "n"], "left"), "ngram-out")
