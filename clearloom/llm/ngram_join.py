@@ -1,6 +1,6 @@
 """Similarity join of documents on word n-gram sets (Jaccard), with token-combination prefixes.
 
-Sets are hashed n-grams. Equal sets are one class, so copies are never paired. All classes order their n-grams in one way: those that are known to be frequent last, then by hash. Two sets of Jaccard similarity J overlap in at least J times the larger size, so they share at least COMBINE n-grams among the first n - ceil(J n) + COMBINE of each. The index holds these prefixes: an n-gram of at most FREQUENT classes by itself, more frequent ones in combinations of COMBINE (similar sets that share no rarer n-gram share such a combination). Sets above LONG n-grams have too many pairs; they combine each n-gram of a longer prefix with the next one: two linked sets are at most d n-grams apart, each of which parts two neighbours at most, so among the first 3 d + 2 of each some neighbours stay together. Sizes between LONG and LONG / J do both.
+Sets are hashed n-grams. Equal sets are one class, so copies are never paired. All classes order their n-grams in one way: those that are known to be frequent last, then by hash. Two sets of Jaccard similarity J overlap in at least J times the larger size, so they share at least COMBINE n-grams among the first n - ceil(J n) + COMBINE of each. The index holds these prefixes: an n-gram of at most FREQUENT classes by itself, more frequent ones in combinations of COMBINE (similar sets that share no rarer n-gram share such a combination), but again by themselves where near copies would have too many of these (combined). Sets above LONG n-grams have too many pairs; they combine each n-gram of a longer prefix with the next one: two linked sets are at most d n-grams apart, each of which parts two neighbours at most, so among the first 3 d + 2 of each some neighbours stay together. Sizes between LONG and LONG / J do both.
 
 In each bucket of the index all members are compared with its lead, the class of most copies. Buckets that links then connect are done. Of others, the small ones compare their pairs of different components; the large ones go on with each member's differences from the lead instead of its n-grams (based_on): a member that isn't linked to the lead can be linked only to members that share several of its differences, so new buckets of those are far smaller. That goes on, with more pairs compared in each round, until all buckets are done: no link between components is missed, and a group of n near copies costs about n comparisons, not n squared.
 
@@ -24,6 +24,8 @@ from .common import discard, few, lean, mix, signed, slices, stage, table, text_
 COMBINE = 2
 #: Classes up to which an n-gram is indexed by itself; n-grams of a set from which neighbours are combined instead of all pairs.
 FREQUENT, LONG = 128, 200
+#: Combinations for each class from which a frequent n-gram is indexed by itself, so that they don't grow with the square of the n-grams that a group of near copies shares.
+CROWDED = 4
 #: Pairs for each member up to which all pairs of a bucket are compared, in the first round; in each later one this times as many.
 FEW, MORE = 64, 8
 #: N-grams counted before the join: this share of the hash range; more frequent than TOP_COUNT comes last in the order; at most TOP_MOST of them are known.
@@ -146,6 +148,19 @@ def sets_for(docs: DataFrame, nodes: DataFrame, n: int, keys=None) -> DataFrame:
     return rows.mapInArrow(lean(run), "t long, s array<long>" if keys is None else "t long, key long")
 
 
+def combined(lists: DataFrame) -> DataFrame:
+    """key, node, n, copies of the combinations of frequent n-grams (column gs, ascending). A pair belongs to its smaller n-gram. One that would be combined with CROWDED others or more in each of its classes is a bucket by itself instead: two classes that share any of its pairs share it too."""
+    names = ["node", "n", "copies"]
+    each = lists.select(*names, F.posexplode("gs").alias("i", "g"), F.size("gs").alias("of"))
+    crowded = each.groupBy("g").agg(F.sum(F.col("of") - 1 - F.col("i")).alias("pairs"), F.count("*").alias("size")).filter(F.col("pairs") >= CROWDED * F.col("size"))
+    crowded = few(stage(crowded.select("g", F.lit(True).alias("crowded")), "ngram-crowded"))
+    marked = each.select(*names, "g").join(crowded, "g", "left")
+    open_ = F.struct("g", F.col("crowded").isNull().alias("open"))
+    sets = marked.groupBy(*names).agg(F.array_sort(F.collect_list(open_)).alias("gs"))  # a prefix at most
+    pairs = F.transform("gs", lambda x, i: F.when(x.open, F.transform(F.slice("gs", i + 2, F.size("gs")), lambda y: F.xxhash64(x.g, y.g))).otherwise(F.array().cast("array<bigint>")))
+    return marked.filter("crowded").select(F.col("g").alias("key"), *names).unionByName(sets.select(F.explode(F.flatten(pairs)).alias("key"), *names))
+
+
 def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent: int) -> DataFrame:
     """key, node, n, copies: the members of each bucket."""
     posts = classes.filter(F.size("prefix") > 0).select("node", "n", "copies", F.explode("prefix").alias("g"))
@@ -155,8 +170,7 @@ def index(classes: DataFrame, docs: DataFrame, top: Broadcast, n: int, percent:
     rare = posts.filter(F.col("df") <= FREQUENT).select(F.col("g").alias("key"), *names[1:])
     lists = posts.filter(F.col("df") > FREQUENT).groupBy("node", "n", "copies").agg(F.array_sort(F.collect_list("g")).alias("gs")).filter(F.size("gs") >= COMBINE)  # a prefix at most
     lists = stage(lists, "ngram-frequent")
-    pairs = F.flatten(F.transform("gs", lambda x, i: F.transform(F.slice("gs", i + 2, F.size("gs")), lambda y: F.xxhash64(x, y))))
-    out = rare.unionByName(lists.filter(F.col("n") * percent <= LONG * 100).select(F.explode(pairs).alias("key"), *names[1:]))
+    out = rare.unionByName(combined(lists.filter(F.col("n") * percent <= LONG * 100)))
     wide = lists.filter(F.col("n") > LONG).select(F.col("node").alias("t"), "n", "copies")
     if not wide.isEmpty():
 
